@@ -126,7 +126,7 @@ def usable_leads(leads: DataFrame, cohort: str = d.COHORT) -> DataFrame:
     verified = F.coalesce(F.col("official_url_verified"), F.lit(False))
     waiting = F.coalesce(F.col("verification_status"), F.lit("NEEDS_REVIEW")) == "NEEDS_REVIEW"
     return leads.filter(
-        (F.coalesce("company_id", F.lit("")) != "") & F.coalesce(F.col("official_url").startswith("https://"), F.lit(False))
+        (F.coalesce(F.col("company_id").cast("string"), F.lit("")) != "") & F.coalesce(F.col("official_url").startswith("https://"), F.lit(False))
         & F.col("title").rlike(title) & (verified | waiting))
 
 
