@@ -175,16 +175,22 @@ def _scan_aliases(rows: DataFrame, row: str, listed: list[tuple], id_type: str)
     return rows.mapInPandas(scan, f"`{row}` {row_type}, matched_alias string, matched_company_id {id_type}")
 
 
-def _join_aliases(rows: DataFrame, row: str, known: DataFrame, company: str, seq: str, width: int = 2) -> DataFrame:
-    """Every distinct start of ``width`` characters in a text meets the aliases that begin with it."""
-
-    known = known.withColumn("_head", F.substring("key", 1, width))
-    lengths = known.groupBy("_head").agg(F.array_sort(F.collect_set(F.length("key"))).alias("_sizes"))  # sizes, not aliases
-    longest = known.agg(F.max(F.length("key"))).first()[0] or 0
-    places = F.explode(F.sequence(F.lit(1), F.length("_text") - width + 1))
-    starts = rows.filter(F.length("_text") >= width).select(row, "_text", places.alias("_at"))
-    starts = starts.select(row, "_at", F.substring("_text", F.col("_at"), F.lit(longest)).alias("_tail"))
-    sized = lookup_join(starts.withColumn("_head", F.substring("_tail", 1, width)), lengths, "_head", "inner", spread=[row, "_at"])
+def _join_aliases(rows: DataFrame, row: str, known: DataFrame, company: str, seq: str) -> DataFrame:
+    """Every piece of a text that starts like some alias is compared with the aliases of that start.
+
+    Starts are as long as the shortest alias allows, up to eight characters. Pieces are no longer than the longest alias.
+    """
+
+    known = known.withColumn("_len", F.length("key"))
+    span = known.agg(F.min("_len").alias("low"), F.max("_len").alias("high")).first()
+    if span["low"] is None:
+        return rows.select(row, F.lit(None).cast("string").alias("matched_alias"), F.lit(None).alias("matched_company_id")).limit(0)
+    width = min(span["low"], 8)
+    heads = known.groupBy(F.substring("key", 1, width).alias("_head")).agg(F.array_sort(F.collect_set("_len")).alias("_sizes"))  # lengths, not aliases
+    # a look-ahead gives the piece at every position in one pass over the text
+    pieces = F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{width},{span['high']}}}))"), F.lit(1))
+    starts = rows.select(row, F.explode(F.array_distinct(pieces)).alias("_tail"))
+    sized = lookup_join(starts.withColumn("_head", F.substring("_tail", 1, width)), heads, "_head", "inner", spread=[row, "_tail"])
     parts = sized.select(row, "_tail", F.explode("_sizes").alias("_n")).filter(F.length("_tail") >= F.col("_n"))
     parts = parts.select(row, F.substring("_tail", F.lit(1), F.col("_n")).alias("key")).distinct()
     hits = lookup_join(parts, known.select("key", company, seq), "key", "inner", spread=[row])
