@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery import defaults as d
-from gleanery.functions.rules import blocked_category, blocked_title, demanded_portfolio, has_any, words_pattern
+from gleanery.functions.rules import blocked_category, blocked_title, demanded_portfolio, words_pattern
 from gleanery.functions.text import sentences, squash
 
 TARGET, OUT, REVIEW = "TARGET_GENERALIST", "OUT_OF_SCOPE", "NEEDS_REVIEW"
-ALL_BLOCKED = "(?i)" + "|".join(f"(?:{p})" for p in d.NON_TARGET_MAJORS)
-ALL_TARGET = "(?i)" + "|".join(f"(?:{p})" for p in d.TARGET_MAJORS)
+ANY_MAJOR = "(?i)" + "|".join(d.NON_TARGET_MAJORS + d.TARGET_MAJORS)
+ANY_BLOCKED_TITLE = "(?i)" + "|".join(p for p, _ in d.BLOCKED_TITLE_PATTERNS)
+REQUIREMENT, DESCRIPTION, TAG = 0, 1, 2
 
 _TERMS = T.ArrayType(
     T.StructType([
@@ -65,74 +66,67 @@ def _tag_terms(tags: Column, patterns: list[str]) -> Column:
     return F.array_distinct(F.filter(F.flatten(hits), lambda t: t != ""))
 
 
-def _sentence_terms(texts: Column) -> tuple[Column, Column]:
-    """(all sentences, those that name a major). Rows without any major word send an empty list to Python."""
+def _named_sentences(origin: int, texts: Column) -> Column:
+    """Sentences that name any major, with their origin. Most texts have none and send nothing to Python."""
 
-    parts = sentences(texts)
-    return parts, F.filter(parts, lambda s: squash(s).rlike(ALL_BLOCKED) | squash(s).rlike(ALL_TARGET))
-
-
-def _tight(name: str) -> Column:
-    return F.transform(name, lambda s: squash(s))
+    found = F.filter(sentences(texts), lambda s: squash(s).rlike(ANY_MAJOR))
+    return F.transform(found, lambda s: F.struct(F.lit(origin).alias("origin"), s.alias("text")))
 
 
 def assess(df, title: str = "title", category: str = "role_category", requirements: str = "requirements",
            description: str = "description", tags: str = "major_tags", name: str = "audience"):
     """Add the struct ``audience(decision, reason_codes, matched_terms)``.
 
-    Cheap tests come first; the sentence step only sees rows that no title or category rule has settled.
+    One ``when`` chain decides, cheap tests first and evaluated only as far as needed. Rows that the title or category
+    settles send no sentences to Python.
     """
 
     empty = F.array().cast("array<string>")
     reqs, labels = F.coalesce(F.col(requirements), empty), F.coalesce(F.col(tags), empty)
-    texts = F.concat(reqs, F.array(F.coalesce(F.col(description), F.lit(""))))
-    df = df.withColumn("_category", blocked_category(F.coalesce(F.col(category), F.lit(""))))
-    df = df.withColumn("_title", F.when(F.col("_category").isNull(), blocked_title(F.col(title))))
-    open_row = F.col("_category").isNull() & F.col("_title").isNull()
-    df = df.withColumn("_portfolio", F.when(open_row, demanded_portfolio(texts)))
-    open_row = open_row & F.col("_portfolio").isNull()
-    df = df.withColumn("_tag_allow", F.when(open_row, _tag_terms(labels, d.TARGET_MAJORS)))
-    df = df.withColumn("_tag_block", F.when(open_row, _tag_terms(labels, d.NON_TARGET_MAJORS)))
-    open_row = open_row & (F.size("_tag_allow") == 0) & (F.size("_tag_block") == 0)
-
-    parts, named = _sentence_terms(texts)
-    _, late = _sentence_terms(F.concat(reqs, labels))
-    df = df.withColumn("_parts", F.when(open_row, parts)).withColumn("_named", F.when(open_row, named))
-    df = df.withColumn("_late", F.when(open_row, late))
-    df = df.withColumn("_terms", major_terms(_tight("_named"))).withColumn("_late_terms", major_terms(_tight("_late")))
-
-    soft, strong = words_pattern(d.SOFT_MARKERS), words_pattern(d.STRONG_MARKERS)
-    free = "(?i)" + d.UNRESTRICTED_MAJOR
+    about = F.array(F.coalesce(F.col(description), F.lit("")))
+    kind = F.coalesce(F.col(category), F.lit(""))
+    settled = F.trim(kind).isin(*[c for c, _ in d.BLOCKED_CATEGORIES]) | F.coalesce(
+        F.lower(F.col(title)).rlike(ANY_BLOCKED_TITLE) | squash(title).rlike(ANY_BLOCKED_TITLE), F.lit(False))
+    named = F.concat(_named_sentences(REQUIREMENT, reqs), _named_sentences(DESCRIPTION, about), _named_sentences(TAG, labels))
+    df = df.withColumn("_named", F.when(~settled, named))
+    df = df.withColumn("_terms", major_terms(F.transform("_named", lambda x: squash(x["text"]))))
+
+    soft, strong, free = words_pattern(d.SOFT_MARKERS), words_pattern(d.STRONG_MARKERS), "(?i)" + d.UNRESTRICTED_MAJOR
     firm = lambda s: s.rlike(strong) | ~s.rlike(soft)
-    free_hit = F.exists("_parts", lambda s: s.rlike(free) & firm(squash(s)))
-    paired = F.filter(F.arrays_zip("_named", "_terms"), lambda x: firm(squash(x["_named"])) & ~x["_named"].rlike(free))
-    good = F.flatten(F.transform(paired, lambda x: x["_terms"]["allowed"]))
-    bad = F.array_distinct(F.flatten(F.transform(paired, lambda x: x["_terms"]["blocked"])))
-    good = F.array_distinct(F.concat(F.when(free_hit, F.array(F.lit(d.UNRESTRICTED_TERM))).otherwise(empty), good))
-    late = F.array_distinct(F.flatten(F.transform("_late_terms", lambda x: x["allowed_in_context"])))
-    free_late = F.concat_ws(" ", reqs, labels).rlike(free)
-    general = "(?i)" + "|".join(f"(?:{p})" for p in d.GENERALIST_TITLES)
+    pairs = F.arrays_zip("_named", "_terms")
+    counted = F.filter(pairs, lambda x: (x["_named"]["origin"] != TAG) & firm(squash(x["_named"]["text"])) & ~x["_named"]["text"].rlike(free))
+    texts = F.concat(reqs, about)
+    free_hit = F.exists(sentences(texts), lambda s: s.rlike(free) & firm(squash(s)))
+    free_term = F.when(free_hit, F.array(F.lit(d.UNRESTRICTED_TERM))).otherwise(empty)
+    late = F.filter(pairs, lambda x: x["_named"]["origin"] != DESCRIPTION)
+    df = df.withColumns({
+        "_good": F.array_distinct(F.concat(free_term, F.flatten(F.transform(counted, lambda x: x["_terms"]["allowed"])))),
+        "_bad": F.array_distinct(F.flatten(F.transform(counted, lambda x: x["_terms"]["blocked"]))),
+        "_late": F.array_distinct(F.flatten(F.transform(late, lambda x: x["_terms"]["allowed_in_context"]))),
+    })
+    general = "(?i)" + "|".join(d.GENERALIST_TITLES)
+    blocked, titled = blocked_category(kind), blocked_title(F.col(title))
+    folio = F.when(F.exists(texts, lambda x: x.rlike("(?i)作品集|portfolio")), demanded_portfolio(texts))
+    tag_good, tag_bad = _tag_terms(labels, d.TARGET_MAJORS), _tag_terms(labels, d.NON_TARGET_MAJORS)
 
     def verdict(decision: str, reason, terms):
         reason = F.lit(reason) if isinstance(reason, str) else reason
         return F.struct(F.lit(decision).alias("decision"), F.array(reason).alias("reason_codes"), terms.alias("matched_terms"))
 
     result = (
-        F.when(F.col("_category").isNotNull(), verdict(OUT, F.col("_category"), F.array(F.trim(F.col(category)))))
-        .when(F.col("_title").isNotNull(), verdict(OUT, F.col("_title.reason"), F.array(F.col("_title.term"))))
-        .when(F.col("_portfolio").isNotNull(), verdict(OUT, "BLOCKED_SPECIALIST_PORTFOLIO", F.array(F.col("_portfolio"))))
-        .when(F.size("_tag_allow") > 0, verdict(TARGET, "ALLOWED_TARGET_MAJOR", F.col("_tag_allow")))
-        .when(F.size("_tag_block") > 0, verdict(OUT, "BLOCKED_NON_TARGET_MAJOR", F.col("_tag_block")))
-        .when(F.size(good) > 0, verdict(TARGET, "ALLOWED_TARGET_MAJOR", good))
-        .when(F.size(bad) > 0, verdict(OUT, "BLOCKED_NON_TARGET_MAJOR", bad))
-        .when(free_late, verdict(TARGET, "ALLOWED_UNRESTRICTED_MAJOR", F.array(F.lit(d.UNRESTRICTED_TERM))))
-        .when(F.size(late) > 0, verdict(TARGET, "ALLOWED_TARGET_MAJOR", late))
+        F.when(blocked.isNotNull(), verdict(OUT, blocked, F.array(F.trim(kind))))
+        .when(settled, verdict(OUT, titled["reason"], F.array(titled["term"])))
+        .when(folio.isNotNull(), verdict(OUT, "BLOCKED_SPECIALIST_PORTFOLIO", F.array(folio)))
+        .when(F.size(tag_good) > 0, verdict(TARGET, "ALLOWED_TARGET_MAJOR", tag_good))
+        .when(F.size(tag_bad) > 0, verdict(OUT, "BLOCKED_NON_TARGET_MAJOR", tag_bad))
+        .when(F.size("_good") > 0, verdict(TARGET, "ALLOWED_TARGET_MAJOR", F.col("_good")))
+        .when(F.size("_bad") > 0, verdict(OUT, "BLOCKED_NON_TARGET_MAJOR", F.col("_bad")))
+        .when(F.concat_ws(" ", reqs, labels).rlike(free), verdict(TARGET, "ALLOWED_UNRESTRICTED_MAJOR", F.array(F.lit(d.UNRESTRICTED_TERM))))
+        .when(F.size("_late") > 0, verdict(TARGET, "ALLOWED_TARGET_MAJOR", F.col("_late")))
         .when(squash(title).rlike(general), verdict(TARGET, "ALLOWED_GENERALIST_TITLE", empty))
         .otherwise(verdict(REVIEW, "REVIEW_INSUFFICIENT_REQUIREMENTS", empty))
     )
-    return df.withColumn(name, result).drop(
-        "_category", "_title", "_portfolio", "_tag_allow", "_tag_block", "_parts", "_named", "_late", "_terms", "_late_terms"
-    )
+    return df.withColumn(name, result).drop("_named", "_terms", "_good", "_bad", "_late")
 
 
 def is_publishable(audience: str = "audience") -> Column:
