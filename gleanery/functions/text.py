@@ -19,6 +19,16 @@ def lit_or_col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
+def first_not_null(values: Column) -> Column:
+    return F.try_element_at(F.filter(values, lambda x: x.isNotNull()), F.lit(1))
+
+
 def squash(text: str | Column) -> Column:
     """Remove all white space and lower the case."""
 

@@ -319,7 +319,7 @@ def analyse_pages(pages: DataFrame, keep: list[str], url: str = "url", html: str
     p = F.col(page)
     rows = F.filter(p["rows"], lambda r: (F.size(r["cells"]) > 0) | (F.size(r["hrefs"]) > 0))
     in_body = F.filter(rows, lambda r: r["in_body"])
-    postings = F.filter(jsonld_objects(p["json_ld"]), is_type)
+    postings = F.filter(jsonld_objects(p["json_ld"]), lambda x: is_type(x))
     links = F.array_compact(F.array_distinct(F.transform(p["links"], lambda x: F.coalesce(x["href"], x["src"]))))
     feed_hit = lambda x: F.coalesce(
         x["href"].isNotNull() & x["tag"].isin("a", "link") & (urls.mime_type(F.coalesce(x["type"], F.lit(""))).isin(*d.FEED_MIME_TYPES) | F.lower(F.regexp_replace(x["href"], r"^https?://[^/]*|[?#].*$", "")).rlike(words_pattern(d.FEED_PATH_TOKENS))), F.lit(False))

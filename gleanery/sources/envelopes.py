@@ -8,43 +8,54 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery import defaults as d
-from gleanery.functions.text import lit_or_col
+from gleanery.functions.text import first_not_null, let, lit_or_col
 
 ROWS = "array<variant>"
+FIELDS = "map<string,variant>"
 
 
 def path(*keys: str) -> str:
     return "$" + "".join(f"['{k}']" for k in keys)
 
 
+def list_of(value: Column) -> Column:
+    """The items of a JSON list, NULL for anything else."""
+
+    return F.try_variant_get(value, "$", ROWS)
+
+
+def fields_of(value: Column) -> Column:
+    """The fields of a JSON object, NULL for anything else."""
+
+    return F.try_variant_get(value, "$", FIELDS)
+
+
 def is_array(value: Column) -> Column:
-    return F.schema_of_variant(value).startswith("ARRAY")
+    return list_of(value).isNotNull()
 
 
 def is_object(value: Column) -> Column:
-    return F.schema_of_variant(value).startswith("OBJECT")
+    return fields_of(value).isNotNull()
 
 
-def _list_at(payload: Column, *keys: str) -> Column:
-    where = F.try_variant_get(payload, path(*keys), "variant") if keys else payload
-    return F.when(is_array(where), F.try_variant_get(payload, path(*keys), ROWS))
+def texts(words) -> Column:
+    return F.array(*[F.lit(w) for w in words])
 
 
-def row_paths(keys=tuple(d.ROW_LIST_KEYS), wrappers=tuple(d.ROW_LIST_WRAPPERS), depth: int = 2) -> list[tuple[str, ...]]:
-    """Candidate paths in the order they are tried: own keys first, then inside each wrapper, at most ``depth`` deep."""
+def row_list(payload: Column, keys=tuple(d.ROW_LIST_KEYS), wrappers=tuple(d.ROW_LIST_WRAPPERS)) -> Column:
+    """First known list in the envelope as ``array<variant>``; NULL when none is found.
 
-    found: list[tuple[str, ...]] = [(k,) for k in keys]
-    if depth:
-        for wrapper in wrappers:
-            found.extend((wrapper, *rest) for rest in row_paths(keys, wrappers, depth - 1))
-    return found
+    Own keys come first, then each wrapper in order: its own keys, then the wrappers inside it.
+    """
 
+    own = lambda m: first_not_null(F.transform(texts(keys), lambda k: list_of(F.try_element_at(m, k))))
+    inner = lambda m: F.filter(F.transform(texts(wrappers), lambda w: fields_of(F.try_element_at(m, w))), lambda x: x.isNotNull())
 
-def row_list(payload: Column, keys=tuple(d.ROW_LIST_KEYS), wrappers=tuple(d.ROW_LIST_WRAPPERS)) -> Column:
-    """First known list in the envelope as ``array<variant>``; NULL when none is found."""
+    def deep(m):
+        level = F.flatten(F.transform(inner(m), lambda x: F.concat(F.array(own(x)), F.transform(inner(x), lambda y: own(y)))))
+        return F.coalesce(own(m), first_not_null(level))
 
-    return F.coalesce(F.when(is_array(payload), F.try_variant_get(payload, "$", ROWS)),
-                      *[_list_at(payload, *p) for p in row_paths(keys, wrappers)])
+    return let(payload, lambda v: F.coalesce(list_of(v), let(fields_of(v), deep)))
 
 
 def unwrap(df: DataFrame, body: str, item: str = "item", found: str = "found") -> DataFrame:
@@ -55,61 +66,55 @@ def unwrap(df: DataFrame, body: str, item: str = "item", found: str = "found") -
         "*", F.posexplode_outer("_rows").alias("item_no", item)).drop("_rows")
 
 
-def all_directory_rows(payload: Column, keys=tuple(d.DIRECTORY_LIST_KEYS), depth: int = 3) -> Column:
-    """Every object in every known list, to ``depth`` nested envelopes: hits are joined, not first-wins."""
-
-    def lists(prefix: tuple[str, ...], left: int) -> list[Column]:
-        got: list[Column] = []
-        for key in keys:
-            here = (*prefix, key)
-            got.append(_list_at(payload, *here))
-            if left > 1:
-                got.extend(lists(here, left - 1))
-        return got
+def all_directory_rows(payload: Column, keys=tuple(d.DIRECTORY_LIST_KEYS)) -> Column:
+    """Every object in every known list, in the envelope and in the envelopes one level inside: hits are joined."""
 
-    own = F.when(is_array(payload), F.try_variant_get(payload, "$", ROWS))
     empty = F.array().cast(ROWS)
-    every = F.concat(*[F.coalesce(x, empty) for x in [own, *lists((), min(depth, 2))]])
+    at = lambda m, read: F.filter(F.transform(texts(keys), lambda k: read(F.try_element_at(m, k))), lambda x: x.isNotNull())
+    lists = lambda m: F.flatten(at(m, list_of))
+
+    def rows(m):
+        return F.concat(lists(m), F.flatten(F.transform(at(m, fields_of), lambda x: lists(x))))
+
+    every = let(payload, lambda v: F.coalesce(list_of(v), let(fields_of(v), rows), empty))
     return F.filter(every, is_object)
 
 
 def first_field(item: Column, *keys: str) -> Column:
     """First field that is neither NULL, blank, ``[]`` nor ``{}``, as text."""
 
-    got = [F.try_variant_get(item, path(k), "string") for k in keys]
-    usable = [F.when(~g.isin("", "[]", "{}"), g) for g in got]
-    return F.coalesce(*usable)
+    got = F.array(*[F.try_variant_get(item, path(k), "string") for k in keys])
+    return F.try_element_at(F.filter(got, lambda g: g.isNotNull() & ~g.isin("", "[]", "{}")), F.lit(1))
 
 
 def first_variant(item: Column, *keys: str) -> Column:
-    got = []
-    for key in keys:
-        value = F.try_variant_get(item, path(key), "variant")
-        text = F.try_variant_get(item, path(key), "string")
-        got.append(F.when(~F.is_variant_null(value) & (text != ""), value))
-    return F.coalesce(*got)
+    got = F.array(*[F.try_variant_get(item, path(k), "variant") for k in keys])
+    return F.try_element_at(F.filter(got, lambda v: F.coalesce(F.try_variant_get(v, "$", "string") != "", F.lit(False))), F.lit(1))
 
 
 def first_number(payload: Column, wrappers: list[str], keys: list[str]) -> Column:
-    places = [(k,) for k in keys] + [(w, k) for w in wrappers for k in keys]
-    return F.coalesce(*[F.try_variant_get(payload, path(*p), "string").try_cast("bigint") for p in places])
+    """First whole number under the keys, in the envelope itself and then in each wrapper."""
+
+    number = lambda m: first_not_null(F.transform(texts(keys), lambda k: F.try_variant_get(F.try_element_at(m, k), "$", "string").try_cast("bigint")))
+    inner = lambda m: F.transform(texts(wrappers), lambda w: number(fields_of(F.try_element_at(m, w))))
+    return let(fields_of(payload), lambda m: F.coalesce(number(m), first_not_null(inner(m))))
 
 
 def page_meta(payload: Column) -> Column:
     """Struct (total, page_size) from the usual pagination envelopes."""
 
-    return F.struct(
-        first_number(payload, d.PAGE_META_WRAPPERS, d.PAGE_TOTAL_KEYS).alias("total"),
-        first_number(payload, d.PAGE_META_WRAPPERS, d.PAGE_SIZE_KEYS).alias("page_size"),
-    )
+    return let(payload, lambda p: F.struct(
+        first_number(p, d.PAGE_META_WRAPPERS, d.PAGE_TOTAL_KEYS).alias("total"),
+        first_number(p, d.PAGE_META_WRAPPERS, d.PAGE_SIZE_KEYS).alias("page_size")))
 
 
 def listing_page(payload: Column) -> Column:
     """Struct (items, total) of one listing page; the total is only read when a list was found."""
 
-    items = F.filter(row_list(payload), is_object)
-    total = first_number(payload, ["data"], d.LISTING_TOTAL_KEYS)
-    return F.struct(F.coalesce(items, F.array().cast(ROWS)).alias("items"), F.when(items.isNotNull(), total).alias("total"))
+    empty = F.array().cast(ROWS)
+    return let(payload, lambda p: let(row_list(p), lambda rows: F.struct(
+        F.coalesce(F.filter(rows, is_object), empty).alias("items"),
+        F.when(rows.isNotNull(), first_number(p, ["data"], d.LISTING_TOTAL_KEYS)).alias("total"))))
 
 
 def payload_kind(content_type: str | Column, body: str | Column) -> Column:
@@ -122,13 +127,10 @@ def payload_kind(content_type: str | Column, body: str | Column) -> Column:
 def jsonld_objects(blocks: Column) -> Column:
     """JSON-LD script texts to their objects, ``@graph`` lists opened (two levels)."""
 
-    empty = F.array().cast(ROWS)
-    as_list = lambda v: F.when(is_array(v), F.try_variant_get(v, "$", ROWS)).when(is_object(v), F.array(v)).otherwise(empty)
-    parsed = F.filter(F.transform(blocks, lambda b: F.try_parse_json(b)), lambda v: v.isNotNull())
-    level = F.flatten(F.transform(parsed, as_list))
-    graph = lambda v: F.try_variant_get(v, "$['@graph']", "variant")
+    as_list = lambda v: F.coalesce(list_of(v), F.array(v))
+    level = F.flatten(F.transform(F.filter(F.transform(blocks, lambda b: F.try_parse_json(b)), lambda v: v.isNotNull()), as_list))
     for _ in range(2):
-        level = F.flatten(F.transform(level, lambda v: F.when(graph(v).isNotNull(), as_list(graph(v))).otherwise(as_list(v))))
+        level = F.flatten(F.transform(level, lambda v: as_list(F.coalesce(F.try_variant_get(v, "$['@graph']", "variant"), v))))
     return F.filter(level, is_object)
 
 
@@ -171,5 +173,5 @@ def assigned_object(text: str | Column, name: str, limit: int = 200_000) -> Colu
 
     tail = F.regexp_extract(lit_or_col(text), rf"(?is)(?:window\.)?{name}\s*=\s*(\{{.*)$", 1)
     literal = _balanced_object(F.nullif(F.substring(tail, 1, limit), F.lit("")))
-    parsed = F.coalesce(F.try_parse_json(literal), F.try_parse_json(F.replace(literal, F.lit("'"), F.lit('"'))))
-    return F.when(is_object(parsed), parsed)
+    read = lambda x: F.coalesce(F.try_parse_json(x), F.try_parse_json(F.replace(x, F.lit("'"), F.lit('"'))))
+    return let(read(literal), lambda v: F.when(is_object(v), v))

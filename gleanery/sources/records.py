@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from gleanery import defaults as d
 from gleanery.functions import dates, rules, urls
 from gleanery.functions.locations import LOCATION_TYPE, rename_location_fields
-from gleanery.sources.envelopes import ROWS, first_field, first_variant, is_array, is_object, path
-
-NO_LOCATIONS = F.array
+from gleanery.functions.text import let
+from gleanery.sources.envelopes import ROWS, fields_of, first_field, first_variant, is_array, is_object, list_of, path, texts
 
 
 @dataclass(frozen=True)
@@ -151,17 +150,15 @@ def map_record(df: DataFrame, spec: Mapping[str, Sequence[str | Column]], keep:
 def as_texts(value: Column) -> Column:
     """Text, list or object to an array of its texts."""
 
-    listed = F.transform(F.try_variant_get(value, "$", ROWS), lambda v: F.try_variant_get(v, "$", "string"))
-    fields = F.transform(F.map_values(F.try_variant_get(value, "$", "map<string,variant>")), lambda v: F.try_variant_get(v, "$", "string"))
-    text = F.array(F.try_variant_get(value, "$", "string"))
-    got = F.when(is_array(value), listed).when(is_object(value), fields).otherwise(text)
-    return F.coalesce(F.array_compact(got), F.array().cast("array<string>"))
+    word = lambda v: F.try_variant_get(v, "$", "string")
+    got = F.coalesce(F.transform(list_of(value), word), F.transform(F.map_values(fields_of(value)), word), F.array(word(value)))
+    return F.filter(got, lambda t: t.isNotNull())
 
 
 def context_text(item: Column) -> Column:
     """All wording of an item that may carry cohort, batch, degree or scope (P5)."""
 
-    return F.array_join(F.flatten(F.array(*[as_texts(F.try_variant_get(item, path(k), "variant")) for k in CONTEXT_FIELDS])), " ")
+    return let(fields_of(item), lambda m: F.array_join(F.flatten(F.transform(texts(CONTEXT_FIELDS), lambda k: as_texts(F.try_element_at(m, k)))), " "))
 
 
 def place_text(value: Column, parts: Sequence[str] = ("name", "text", "displayName")) -> Column:
@@ -175,9 +172,12 @@ def place_text(value: Column, parts: Sequence[str] = ("name", "text", "displayNa
         text = F.try_variant_get(v, "$", "string")
         return F.trim(F.when(is_object(v), F.coalesce(first_field(v, "name", "text"), text)).otherwise(text))
 
-    listed = F.array_join(F.filter(F.transform(F.try_variant_get(value, "$", ROWS), of_entry), lambda t: t != ""), "、")
-    text = F.when(is_array(value), listed).when(is_object(value), of_object(value)).otherwise(F.try_variant_get(value, "$", "string"))
-    return F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit(d.UNKNOWN))
+    def read(v):
+        listed = F.array_join(F.filter(F.transform(list_of(v), of_entry), lambda t: t != ""), "、")
+        text = F.when(is_array(v), listed).when(is_object(v), of_object(v)).otherwise(F.try_variant_get(v, "$", "string"))
+        return F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit(d.UNKNOWN))
+
+    return let(value, read)
 
 
 def address_text(value: Column) -> Column:
@@ -195,7 +195,7 @@ def address_text(value: Column) -> Column:
 
 
 def text_list(value: Column) -> Column:
-    return F.filter(F.transform(as_texts(value), lambda t: F.trim(t)), lambda t: t != "")
+    return let(value, lambda v: F.filter(F.transform(as_texts(v), lambda t: F.trim(t)), lambda t: t != ""))
 
 
 def campaign_name(cohort: Column, batch: Column, fallback: Column | str = "校园招聘") -> Column:
@@ -232,12 +232,12 @@ def _posting(item_columns: dict[str, Column]) -> list[Column]:
     return [c.alias(n) for n, c in base.items()] + _source_fields()
 
 
-def feed_rows_allowed(df: DataFrame, item: str = "item") -> Column:
+def feed_rows_allowed(df: DataFrame, item: str = "item", context: Column | None = None) -> Column:
     """Combined feed filter for the shared shapes: allow-lists, then scope words in the item's wording."""
 
     it = F.col(item)
     ids = F.array_compact(F.array(*[first_field(it, k) for k in FEED_ID_FIELDS]))
-    return rules.feed_row_allowed(ids, first_field(it, *FEED_TITLE_FIELDS), context_text(it), _list("allowed_job_ids"),
+    return rules.feed_row_allowed(ids, first_field(it, *FEED_TITLE_FIELDS), context_text(it) if context is None else context, _list("allowed_job_ids"),
                                   _list("allowed_title_markers"), _list("campus_markers"))
 
 
@@ -270,10 +270,10 @@ def map_feed(df: DataFrame, shape: str, item: str = "item") -> DataFrame:
     if shape == "jsonld":
         identifier = F.try_variant_get(it, "$.identifier", "variant")
         job_id = F.when(is_object(identifier), first_field(identifier, "value")).otherwise(first_field(it, "identifier"))
-    rows = df.filter(feed_rows_allowed(df, item))
+    rows = df.withColumn("_context", context_text(it)).filter(feed_rows_allowed(df, item, F.col("_context")))
     if spec.listed_flag:
         rows = rows.filter(~F.try_variant_get(it, path(spec.listed_flag), "boolean").eqNullSafe(F.lit(False)))
-    rows = rows.withColumn("_context", context_text(it)).withColumn("_title", F.trim(F.coalesce(first_field(it, *spec.title), F.lit(""))))
+    rows = rows.withColumn("_title", F.trim(F.coalesce(first_field(it, *spec.title), F.lit(""))))
     cohort, batch = rules.cohort("_context", F.col("current_cohort_signal")), rules.batch("_context")
     rows = rows.withColumn("_cohort", cohort).withColumn("_batch", batch)
     published = dates.official_date(first_field(it, *spec.published))

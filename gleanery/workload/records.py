@@ -81,7 +81,7 @@ def z2(t):
     one = F.concat(F.lit('{"@type":"Organization","name":"'), "p_name", F.lit('"}'))
     graph = F.concat(F.lit('{"@graph":['), one, F.lit(',{"@type":["Thing","https://schema.org/JobPosting"],"title":"'), "p_name", F.lit('"}]}'))
     found = envelopes.jsonld_objects(F.array(F.when(F.col("p_size") > 25, graph).otherwise(one), F.lit("not json")))
-    return t.part.select("p_partkey", F.size(found).alias("objects"), F.size(F.filter(found, envelopes.is_type)).alias("postings"))
+    return t.part.select("p_partkey", F.size(found).alias("objects"), F.size(F.filter(found, lambda x: envelopes.is_type(x))).alias("postings"))
 
 
 @query("Z3_assigned_object", "select p_partkey, p_partkey as id, p_name as name from part")
