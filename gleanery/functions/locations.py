@@ -19,18 +19,22 @@ def location(**parts: Column | str | None) -> Column:
     return F.struct(*[value(parts.get(f)).cast("string").alias(f) for f in FIELDS])
 
 
+def _quote(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    """A fixed table as one literal map."""
+
+    return F.expr("map(" + ", ".join(f"{_quote(k)}, {_quote(v)}" for k, v in pairs.items()) + ")")
 
 
 def _first_contained(text: Column, pairs: dict[str, str]) -> Column:
     """Value of the first listed name found inside the text."""
 
-    chain = None
-    for name, value in pairs.items():
-        hit = F.contains(text, F.lit(name))
-        chain = F.when(hit, F.lit(value)) if chain is None else chain.when(hit, F.lit(value))
-    return chain
+    table = F.expr("array(" + ", ".join(f"named_struct('name', {_quote(k)}, 'value', {_quote(v)})" for k, v in pairs.items()) + ")")
+    found = F.filter(table, lambda x: F.contains(text, x["name"]))
+    return F.try_element_at(found, F.lit(1))["value"]
 
 
 def _locate(raw: Column) -> Column:

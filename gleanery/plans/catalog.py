@@ -9,7 +9,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +17,7 @@ from gleanery.functions import ids, rules, text, urls
 from gleanery.functions.audience import assess, is_publishable
 from gleanery.functions.locations import normalize_locations
 from gleanery.operators import dedup, gates, quality, reports, snapshots
-from gleanery.scale import lookup_join
+from gleanery.scale import lookup_join, materialize
 from gleanery.sources import sinks
 
 LOG_COLUMNS = ("source_id", "complete", "not_modified", "health", "reason", "raw_count", "fetched_at")
@@ -26,7 +25,7 @@ LOG_COLUMNS = ("source_id", "complete", "not_modified", "health", "reason", "raw
 
 @dataclass
 class CatalogRun:
-    """Tables of one run. ``held`` are frames kept in memory and disk until ``release``."""
+    """Tables of one run, read from the stages the run has written to the checkpoint folder."""
 
     jobs: DataFrame
     rejects: DataFrame
@@ -40,11 +39,6 @@ class CatalogRun:
     manifest: DataFrame
     counts_state: DataFrame
     version: str
-    held: list[DataFrame]
-
-    def release(self) -> None:
-        for frame in self.held:
-            frame.unpersist()
 
     def write(self, root: str) -> None:
         """All products under one version folder; the previous version stays as it is."""
@@ -113,20 +107,15 @@ def build_catalog(
     if companies is not None:
         raw = reports.fill_unknown(raw, companies, "company_id", {"company_industry": "industry", "company_type": "type", "company_scale": "scale"}, ["apply_url", "title"])
     normal, rejects = normalise(raw, sources, at)
-    held: list[DataFrame] = []
-
-    def hold(df: DataFrame) -> DataFrame:
-        held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return held[-1]
-
-    # read by the quality report, the decision counts and the merge
-    gated = hold(gate(normal))
+    # read by the quality report, the counts and the merge; written once, so every reader sees the same rows
+    gated = materialize(gate(normal))
     names = [c for c in gated.columns if c != "audience"]
     if previous is None:
-        previous = spark.createDataFrame([], gated.select(*names).schema)
-    # state of an older policy is judged again before it is used
-    regated = gate(previous.drop("audience_decision", "audience_reason_codes")).filter(is_publishable())
-    old = hold(regated.withColumn("role_category", rules.role_category("role_category")).select(*names))
+        old = spark.createDataFrame([], gated.select(*names).schema)
+    else:
+        # state of an older policy is judged again before it is used
+        regated = gate(previous.drop("audience_decision", "audience_reason_codes")).filter(is_publishable())
+        old = materialize(regated.withColumn("role_category", rules.role_category("role_category")).select(*names))
     log = snapshots.reuse_unmodified(log, old)
     arrival = ["content_hash", "apply_url"]
     observed = dedup.latest_per_key(gated, ["source_id", "id"], "last_verified_at", arrival)
@@ -138,10 +127,10 @@ def build_catalog(
     if counts_state is None:
         counts_state = spark.createDataFrame([], "source_id string, previous_count bigint, count_history array<bigint>")
     judged_log = log.join(counts_state, "source_id", "left").withColumnRenamed("complete", "fetch_ok")
-    report = hold(quality.source_quality(counts, judged_log, "source_id", at))
+    report = materialize(quality.source_quality(counts, judged_log, "source_id", at))
     flags = log.select("source_id", "complete").join(report.select("source_id", "quarantined"), "source_id", "left")
     merged = snapshots.advance_lifecycle(old, current, flags, at)
-    jobs = hold(snapshots.retain(dedup.latest_per_key(merged, ["id"], "last_verified_at", ["source_id"]), at))
+    jobs = materialize(snapshots.retain(dedup.latest_per_key(merged, ["id"], "last_verified_at", ["source_id"]), at))
 
     held_counts = counts.select("source_id", F.col("item_count").alias("observed_count"))
     moved = judged_log.join(held_counts, "source_id", "left").withColumn("observed_count", F.coalesce("observed_count", F.lit(0)).cast("bigint"))
@@ -151,7 +140,7 @@ def build_catalog(
     settled = log.join(report.drop("raw_count", "reason"), "source_id", "left")
     health = F.when(F.col("quarantined"), "quarantined").when(~F.col("complete") & (F.col("health") == "healthy"), "stale").otherwise(F.col("health"))
     settled = settled.withColumn("health", health).withColumn("reason", F.when(F.col("quarantined"), "count_drop_over_50_percent").otherwise(F.col("reason")))
-    shown = hold(reports.public_sources(sources, settled))
+    shown = materialize(reports.public_sources(sources, settled))
     gates.require_verified_sources(shown, minimum_verified)
     return CatalogRun(
         jobs=jobs, rejects=rejects, quality=report, sources=shown, decisions=quality.decision_counts(gated, "source_id", "audience_decision"),
@@ -159,4 +148,4 @@ def build_catalog(
         review=gated.filter(F.col("audience_decision") == "NEEDS_REVIEW").select("id", "source_id", "company_name", "title", "audience_reason_codes"),
         campaigns=reports.campaigns(jobs, at), campaign_jobs=reports.campaign_jobs(jobs, ["last_verified_at", "id"]),
         manifest=reports.manifest(jobs, shown, at).withColumn("policy_version", F.lit(d.POLICY_VERSION)), counts_state=next_state,
-        version=now.strftime("%Y.%m.%d.%H%M"), held=held)
+        version=now.strftime("%Y.%m.%d.%H%M"))

@@ -6,7 +6,8 @@ from gleanery.functions.locations import location
 from gleanery.operators import facets
 from gleanery.workload import query
 
-NOW = F.lit("1999-06-15 10:00:00").cast("timestamp")
+def now():
+    return F.lit("1999-06-15 10:00:00").cast("timestamp")
 
 
 @query("F18_matches_choices", """
@@ -61,8 +62,8 @@ def f17_names(t):
 def f24(t):
     from gleanery.functions.dates import is_due_within
 
-    rows = facets.schedule_flags(t.orders.withColumn("done", F.col("o_orderstatus") == "F"), NOW, "o_orderdate", "done")
-    return rows.select("o_orderkey", is_due_within("o_orderdate", NOW).alias("due_soon"), "is_overdue", "is_today", "in_week")
+    rows = facets.schedule_flags(t.orders.withColumn("done", F.col("o_orderstatus") == "F"), now(), "o_orderdate", "done")
+    return rows.select("o_orderkey", is_due_within("o_orderdate", now()).alias("due_soon"), "is_overdue", "is_today", "in_week")
 
 
 @query("F31_tracked_rows", "select o_orderkey from orders where contains(lower(o_orderpriority || ' ' || o_orderstatus), 'urgent') and o_orderstatus = 'P'")
@@ -94,7 +95,7 @@ def a20_cities(t):
     with d as (select o_orderdate, o_orderpriority, date_diff('day', date '1999-06-15', (o_orderdate + interval 8 hours)::date) as days from orders)
     select count(*) filter (where o_orderdate > timestamp '1999-01-01') as new_since_visit, count(*) filter (where days between 0 and 7) as due_soon, count(*) filter (where o_orderpriority = '5-LOW') as matched, count(*) as shown from d""")
 def a21(t):
-    return facets.overview(t.orders, NOW, F.lit("1999-01-01 00:00:00").cast("timestamp"), F.col("o_orderpriority") == "5-LOW", "o_orderdate", "o_orderdate")
+    return facets.overview(t.orders, now(), F.lit("1999-01-01 00:00:00").cast("timestamp"), F.col("o_orderpriority") == "5-LOW", "o_orderdate", "o_orderdate")
 
 
 @query("A21_tracked_count", "select count(*) filter (where event_type not in ('view', 'error')) as active_tracked from events")

@@ -69,7 +69,8 @@ def directory_input(t):
     return companies, supplier_sources(t), jobs, leads
 
 
-NOW = F.lit("2001-09-01 00:00:00").cast("timestamp")
+def now():
+    return F.lit("2001-09-01 00:00:00").cast("timestamp")
 
 
 @query("J7_J8_directory_from_observations", f"""with {DIRECTORY}
@@ -83,9 +84,9 @@ def j7(t):
     peak = t.supplier.groupBy(F.col("s_nationkey").alias("company_id")).agg(F.max("s_acctbal").alias("m"))
     text = F.lit(None).cast("string")
     seen = peak.select("company_id", F.when(F.col("m") > 9000, "ACTIVE_CONFIRMED").when(F.col("m") > 6000, "ACTIVE_LEAD").otherwise("STALE").alias("directory_status"), text.alias("entry_type"),
-                       text.alias("career_url"), text.alias("evidence_url"), F.array().cast("array<string>").alias("signals"), F.lit(None).cast("timestamp").alias("first_confirmed_at"), NOW.alias("last_checked_at"))
+                       text.alias("career_url"), text.alias("evidence_url"), F.array().cast("array<string>").alias("signals"), F.lit(None).cast("timestamp").alias("first_confirmed_at"), now().alias("last_checked_at"))
     focus = t.nation.select(F.col("n_nationkey").alias("company_id"), F.col("n_regionkey").alias("segment"))
-    out = reports.company_directory(companies, sources, jobs, NOW, "1999", observations=seen, focus=focus)
+    out = reports.company_directory(companies, sources, jobs, now(), "1999", observations=seen, focus=focus)
     return out.select("company_id", "directory_status", "entry_type", "career_url", "current_jobs", F.col("focus_segment").alias("segment"))
 
 
@@ -96,7 +97,7 @@ def j7(t):
     where n_nationkey % 5 = 0 or leads.url is not null or fst.url is not null""")
 def j9(t):
     companies, sources, jobs, leads = directory_input(t)
-    out = reports.company_directory(companies, sources, jobs, NOW, "1999", leads=leads)
+    out = reports.company_directory(companies, sources, jobs, now(), "1999", leads=leads)
     return out.select("company_id", (F.col("directory_status") == "ACTIVE_CONFIRMED").alias("confirmed"), "career_url")
 
 
@@ -108,7 +109,7 @@ def j9(t):
       count(*) filter (where n > 0) as companies_with_jobs, cast(sum(n) as bigint) as eligible_jobs from d""")
 def a12(t):
     companies, sources, jobs, leads = directory_input(t)
-    out = reports.directory_summary(reports.company_directory(companies, sources, jobs, NOW, "1999", leads=leads))
+    out = reports.directory_summary(reports.company_directory(companies, sources, jobs, now(), "1999", leads=leads))
     return out.select("active_companies", "official_entries", "entry_leads", "companies_with_jobs", "eligible_jobs")
 
 

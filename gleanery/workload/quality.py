@@ -7,7 +7,8 @@ from gleanery.operators import facets, gates, quality, snapshots
 from gleanery.plans.slices import allowed_link_counts, run_quality
 from gleanery.workload import query
 
-NOW = F.lit("2001-09-01 00:00:00").cast("timestamp")
+def now():
+    return F.lit("2001-09-01 00:00:00").cast("timestamp")
 RUNS = """runs as (select event_type, cast(ts as date) as run, count(*) as raw_rows, count(distinct user_id) as unique_rows from events group by 1, 2),
   latest as (select event_type, cast(ts as date) as run, user_id, value, row_number() over (partition by event_type, cast(ts as date), user_id order by ts desc, event_id) rn from events),
   ok as (select event_type, run, count(*) filter (where value > 1) as valid_rows from latest where rn = 1 group by 1, 2),
@@ -77,7 +78,7 @@ def a1_report(t):
     rows = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("bigint").alias("source_id")), "o_custkey")
     problem = F.when(F.col("o_totalprice") < 5000, "missing_required_field")
     counts = quality.source_counts(rows, ["source_id"], "o_custkey", problem, F.col("o_orderpriority") == "4-NOT SPECIFIED")
-    out = quality.source_quality(counts, nation_log(t), "source_id", NOW)
+    out = quality.source_quality(counts, nation_log(t), "source_id", now())
     r6 = lambda c: F.round(c, 6).alias(c)
     return out.select("source_id", "raw_count", "unique_count", "duplicate_count", r6("duplicate_ratio"), r6("field_completeness"), r6("unknown_ratio"), "accepted", "rejected",
                       F.coalesce("baseline_count", F.lit(-1).cast("bigint")).alias("baseline_count"), "quarantined", F.coalesce("reason", F.lit("")).alias("reason"),
@@ -97,7 +98,7 @@ def a1_rejects(t):
     b as (select *, cast(floor(list_aggregate(h, 'median')) as bigint) as base from s)
     select source_id, health, c as fetched_job_count, base as baseline_count, c < base * 0.5 and health not in ('blocked', 'error', 'not_ready') as anomalous_drop, 11.5::double as freshness_days from b""")
 def a3(t):
-    rows = quality.health_rows(_health_input(t), NOW)
+    rows = quality.health_rows(_health_input(t), now())
     return rows.select("source_id", "health", "fetched_job_count", "baseline_count", "anomalous_drop", "freshness_days")
 
 
@@ -115,7 +116,7 @@ def _health_input(t):
     select count(*) as source_count, count(*) filter (where k in (0, 1)) as healthy, count(*) filter (where k = 1) as not_modified,
       count(*) filter (where low and k <> 2) as anomalous_drop, count(*) filter (where k in (2, 3)) as stale, count(*) filter (where k = 4) as quarantined from s""")
 def a3_summary(t):
-    return quality.health_summary(quality.health_rows(_health_input(t), NOW))
+    return quality.health_summary(quality.health_rows(_health_input(t), now()))
 
 
 @query("A4_decision_counts", """

@@ -134,18 +134,25 @@ def quoted(value):
     return F.concat(F.lit('"'), value, F.lit('"'))
 
 
-KEY, NAME = F.col("p_partkey").cast("string"), F.col("p_name")
+def key():
+    return F.col("p_partkey").cast("string")
+
+
+def name():
+    return F.col("p_name")
+
+
 SHAPES = {
-    "greenhouse": ("P6", {"id": KEY, "title": quoted(NAME), "absolute_url": quoted(F.concat(F.lit("/jobs/"), KEY)), "location": F.lit('{"name":"Gotham"}'), "content": quoted(F.col("p_type")), "updated_at": F.lit('"2020-01-01"'), "published_at": F.lit('"2026-08-20T01:00:00Z"')}),
-    "lever": ("P7", {"id": quoted(KEY), "text": quoted(NAME), "hostedUrl": quoted(F.concat(F.lit("/jobs/"), KEY)), "categories": F.lit('{"location":"Gotham"}'), "descriptionPlain": quoted(F.col("p_type")), "createdAt": F.lit("1787187600000")}),
-    "workday": ("P8", {"bulletFields": F.concat(F.lit('["'), KEY, F.lit('"]')), "title": quoted(NAME), "externalPath": quoted(F.concat(F.lit("/jobs/"), KEY)), "locationsText": F.lit('"Gotham"'), "description": quoted(F.col("p_type")), "postedOn": F.lit('"2026-08-20"')}),
-    "rss": ("P12", {"id": quoted(KEY), "title": quoted(NAME), "url": quoted(F.concat(F.lit("/jobs/"), KEY)), "location": F.lit('["Gotham"]'), "summary": quoted(F.col("p_type")), "publishedAt": F.lit('"2026-08-20"')}),
-    "ashby": ("P13", {"jobPostingId": quoted(KEY), "title": quoted(NAME), "jobUrl": quoted(F.concat(F.lit("/jobs/"), KEY)), "location": F.lit('"Gotham"'), "description": quoted(F.col("p_type")), "publishedAt": F.lit('"2026-08-20"'), "isListed": (F.col("p_size") > 10).cast("string")}),
-    "workable": ("P14", {"shortcode": quoted(KEY), "title": quoted(NAME), "city": F.lit('"Gotham"'), "description": quoted(F.col("p_type")), "published": F.lit('"2026-08-20"')}),
-    "smartrecruiters": ("P15", {"id": quoted(KEY), "name": quoted(NAME), "ref": quoted(F.concat(F.lit("/jobs/"), KEY)), "location": F.lit('{"city":"Gotham","name":"x"}'), "jobAd": quoted(F.col("p_type")), "releasedDate": F.lit('"2026-08-20"')}),
-    "bamboohr": ("P16", {"jobId": quoted(KEY), "jobName": quoted(NAME), "detailUrl": quoted(F.concat(F.lit("/jobs/"), KEY)), "locations": F.lit('[{"name":"Gotham"}]'), "content": quoted(F.col("p_type")), "datePosted": F.lit('"2026-08-20"')}),
-    "beisen": ("P17", {"jobId": quoted(KEY), "jobTitle": quoted(NAME), "detailUrl": quoted(F.concat(F.lit("/jobs/"), KEY)), "cityName": F.lit('"Gotham"'), "jobDescription": quoted(F.col("p_type")), "publishDate": F.lit('"2026-08-20"')}),
-    "jsonld": ("P18", {"identifier": F.concat(F.lit('{"value":"'), KEY, F.lit('"}')), "title": quoted(NAME), "url": quoted(F.concat(F.lit("/jobs/"), KEY)), "jobLocation": F.lit('{"address":{"addressLocality":"Gotham"}}'), "description": quoted(F.col("p_type")), "datePosted": F.lit('"2026-08-20"')}),
+    "greenhouse": ("P6", lambda: {"id": key(), "title": quoted(name()), "absolute_url": quoted(F.concat(F.lit("/jobs/"), key())), "location": F.lit('{"name":"Gotham"}'), "content": quoted(F.col("p_type")), "updated_at": F.lit('"2020-01-01"'), "published_at": F.lit('"2026-08-20T01:00:00Z"')}),
+    "lever": ("P7", lambda: {"id": quoted(key()), "text": quoted(name()), "hostedUrl": quoted(F.concat(F.lit("/jobs/"), key())), "categories": F.lit('{"location":"Gotham"}'), "descriptionPlain": quoted(F.col("p_type")), "createdAt": F.lit("1787187600000")}),
+    "workday": ("P8", lambda: {"bulletFields": F.concat(F.lit('["'), key(), F.lit('"]')), "title": quoted(name()), "externalPath": quoted(F.concat(F.lit("/jobs/"), key())), "locationsText": F.lit('"Gotham"'), "description": quoted(F.col("p_type")), "postedOn": F.lit('"2026-08-20"')}),
+    "rss": ("P12", lambda: {"id": quoted(key()), "title": quoted(name()), "url": quoted(F.concat(F.lit("/jobs/"), key())), "location": F.lit('["Gotham"]'), "summary": quoted(F.col("p_type")), "publishedAt": F.lit('"2026-08-20"')}),
+    "ashby": ("P13", lambda: {"jobPostingId": quoted(key()), "title": quoted(name()), "jobUrl": quoted(F.concat(F.lit("/jobs/"), key())), "location": F.lit('"Gotham"'), "description": quoted(F.col("p_type")), "publishedAt": F.lit('"2026-08-20"'), "isListed": (F.col("p_size") > 10).cast("string")}),
+    "workable": ("P14", lambda: {"shortcode": quoted(key()), "title": quoted(name()), "city": F.lit('"Gotham"'), "description": quoted(F.col("p_type")), "published": F.lit('"2026-08-20"')}),
+    "smartrecruiters": ("P15", lambda: {"id": quoted(key()), "name": quoted(name()), "ref": quoted(F.concat(F.lit("/jobs/"), key())), "location": F.lit('{"city":"Gotham","name":"x"}'), "jobAd": quoted(F.col("p_type")), "releasedDate": F.lit('"2026-08-20"')}),
+    "bamboohr": ("P16", lambda: {"jobId": quoted(key()), "jobName": quoted(name()), "detailUrl": quoted(F.concat(F.lit("/jobs/"), key())), "locations": F.lit('[{"name":"Gotham"}]'), "content": quoted(F.col("p_type")), "datePosted": F.lit('"2026-08-20"')}),
+    "beisen": ("P17", lambda: {"jobId": quoted(key()), "jobTitle": quoted(name()), "detailUrl": quoted(F.concat(F.lit("/jobs/"), key())), "cityName": F.lit('"Gotham"'), "jobDescription": quoted(F.col("p_type")), "publishDate": F.lit('"2026-08-20"')}),
+    "jsonld": ("P18", lambda: {"identifier": F.concat(F.lit('{"value":"'), key(), F.lit('"}')), "title": quoted(name()), "url": quoted(F.concat(F.lit("/jobs/"), key())), "jobLocation": F.lit('{"address":{"addressLocality":"Gotham"}}'), "description": quoted(F.col("p_type")), "datePosted": F.lit('"2026-08-20"')}),
 }
 
 
@@ -163,7 +170,7 @@ def shape_sql(adapter):
 def _register(adapter, code, fields):
     @query(f"{code}_{adapter}_items", shape_sql(adapter))
     def run(t):
-        return mapped(records.map_items(items(t, adapter, fields), [adapter]))
+        return mapped(records.map_items(items(t, adapter, fields()), [adapter]))
 
 
 for _adapter, (_code, _fields) in SHAPES.items():
@@ -175,7 +182,7 @@ for _adapter, (_code, _fields) in SHAPES.items():
       'Gotham|N' || p_size as places, 'red,hot' as skills from part""")
 def p2(t):
     place = F.concat(F.lit('["Gotham",{"displayName":"N'), F.col("p_size"), F.lit('","cityCode":"X-1"}]'))
-    fields = {"jobId": KEY, "jobTitle": quoted(NAME), "applyUrl": quoted(F.concat(F.lit("https://x.example.com/"), KEY)), "detail": quoted(F.col("p_type")), "postedAt": F.lit('"2026-08-20"'), "location": place, "tags": F.lit('["red","hot"]')}
+    fields = {"jobId": key(), "jobTitle": quoted(name()), "applyUrl": quoted(F.concat(F.lit("https://x.example.com/"), key())), "detail": quoted(F.col("p_type")), "postedAt": F.lit('"2026-08-20"'), "location": place, "tags": F.lit('["red","hot"]')}
     out = records.map_items(items(t, "json", fields), ["json"])
     return mapped(out).drop("campaign_id").join(out.select("source_job_id", F.array_join(F.transform("locations", lambda x: x["display_name"]), "|").alias("places"), F.array_join("skills", ",").alias("skills")), "source_job_id")
 
@@ -183,14 +190,14 @@ def p2(t):
 @query("P3_tencent_items", """
     select p_partkey::varchar as source_job_id, p_name as title, 'https://careers.tencent.com/' || p_partkey as apply_url, p_type || E'\n' || p_brand as description, 'UNKNOWN' as publish_date_source, '' as publish_date from part""")
 def p3(t):
-    fields = {"PostId": KEY, "RecruitPostName": quoted(NAME), "PostURL": quoted(F.concat(F.lit("http://careers.tencent.com/"), KEY)), "Responsibility": quoted(F.col("p_type")), "Requirement": quoted(F.col("p_brand")), "LastUpdateTime": F.lit('"2026-08-20"')}
+    fields = {"PostId": key(), "RecruitPostName": quoted(name()), "PostURL": quoted(F.concat(F.lit("http://careers.tencent.com/"), key())), "Responsibility": quoted(F.col("p_type")), "Requirement": quoted(F.col("p_brand")), "LastUpdateTime": F.lit('"2026-08-20"')}
     return records.map_items(items(t, "tencent", fields), ["tencent"]).select("source_job_id", "title", "apply_url", "description", "publish_date_source", F.coalesce(F.col("publish_date").cast("string"), F.lit("")).alias("publish_date"))
 
 
 @query("P9_baidu_items", """
     select p_partkey::varchar as source_job_id, p_name || ' 产品' as title, '产品' as role_category, '2027' as cohort, '硕士' as education, 'https://talent.baidu.com/jobs/detail/GRADUATE/' || p_partkey as apply_url, '2027届校园招聘' as campaign_name from part where p_size > 10 and p_type <> 'PROMO'""")
 def p9(t):
-    fields = {"postId": KEY, "name": quoted(F.concat(NAME, F.lit(" 产品"))), "workContent": F.lit('"2027届"'), "serviceCondition": F.lit('"硕士"'), "publishDate": F.lit('"2026-08-20"'),
+    fields = {"postId": key(), "name": quoted(F.concat(name(), F.lit(" 产品"))), "workContent": F.lit('"2027届"'), "serviceCondition": F.lit('"硕士"'), "publishDate": F.lit('"2026-08-20"'),
               "recruitType": quoted(F.when(F.col("p_size") > 10, "GRADUATE").otherwise("SOCIAL")), "projectType": quoted(F.when(F.col("p_type") == "PROMO", "实习").otherwise("校招"))}
     return records.map_items(items(t, "baidu", fields), ["baidu"]).select("source_job_id", "title", "role_category", "cohort", "education", "apply_url", "campaign_name")
 
@@ -199,7 +206,7 @@ def p9(t):
     select p_partkey::varchar as source_job_id, p_name as title, '上海、' || p_brand as city, '供应链/采购/物流' as role_category, '2026-08-20' as publish_date from part where p_type <> 'PROMO'""")
 def p10(t):
     cities = F.concat(F.lit('[{"workCity":"中国-上海市"},{"workCity":"x-y-'), F.col("p_brand"), F.lit('"},{"workCity":"上海"}]'))
-    fields = {"publishId": KEY, "positionName": quoted(NAME), "jobDirection": quoted(F.when(F.col("p_type") == "PROMO", "社招").otherwise("采销")), "publishTime": F.lit("1787187600000"), "requirementVoList": cities}
+    fields = {"publishId": key(), "positionName": quoted(name()), "jobDirection": quoted(F.when(F.col("p_type") == "PROMO", "社招").otherwise("采销")), "publishTime": F.lit("1787187600000"), "requirementVoList": cities}
     return records.map_items(items(t, "jd", fields), ["jd"]).select("source_job_id", "title", "city", "role_category", F.date_format("publish_date", "yyyy-MM-dd").alias("publish_date"))
 
 
@@ -207,14 +214,14 @@ def p10(t):
     select p_partkey::varchar as source_job_id, p_name as title, '上海、北京' as city, '运营' as role_category, 'https://acme.jobs.feishu.cn/campus/position/' || p_partkey || '/detail' as apply_url, '2026-08-20' as publish_date from part where p_size <= 25 or p_type = 'PROMO'""")
 def p11(t):
     kind = F.when(F.col("p_type") == "PROMO", '{"id":"9","name":"校招","parent":{"id":"2"}}').when(F.col("p_size") <= 25, '{"id":"201","name":"校招"}').otherwise('{"id":"101","name":"其他"}')
-    fields = {"id": KEY, "title": quoted(NAME), "city_list": F.lit('[{"name":"上海"},{"name":""},{"name":"北京"}]'), "job_function": F.lit('{"name":"运营"}'), "recruit_type": kind, "publish_time": F.lit("1787187600000")}
+    fields = {"id": key(), "title": quoted(name()), "city_list": F.lit('[{"name":"上海"},{"name":""},{"name":"北京"}]'), "job_function": F.lit('{"name":"运营"}'), "recruit_type": kind, "publish_time": F.lit("1787187600000")}
     return records.map_items(items(t, "feishu", fields), ["feishu"]).select("source_job_id", "title", "city", "role_category", "apply_url", F.date_format("publish_date", "yyyy-MM-dd").alias("publish_date"))
 
 
 @query("P4_P5_context_fields", """
     select p_partkey::varchar as source_job_id, '2027' as cohort, '秋招正式批' as batch, '本科' as education, p_brand || '|R2' as requirements, lower(p_brand) || ':2027:秋招正式批' as campaign_id, '2027届秋招正式批' as campaign_name from part where p_size <= 40""")
 def p4(t):
-    fields = {"id": KEY, "title": quoted(NAME), "url": quoted(F.concat(F.lit("https://x.example.com/"), KEY)), "categories": F.lit('{"a":"2027届","b":"秋招"}'), "bulletFields": F.lit('["本科"]'), "description": quoted(F.when(F.col("p_size") > 40, "experienced hire").otherwise("")),
+    fields = {"id": key(), "title": quoted(name()), "url": quoted(F.concat(F.lit("https://x.example.com/"), key())), "categories": F.lit('{"a":"2027届","b":"秋招"}'), "bulletFields": F.lit('["本科"]'), "description": quoted(F.when(F.col("p_size") > 40, "experienced hire").otherwise("")),
               "requirements": F.concat(F.lit('["'), F.col("p_brand"), F.lit('"," ","R2 "]'))}
     out = records.map_items(items(t, "feed", fields), ["feed"])
     return out.select("source_job_id", "cohort", "batch", "education", F.array_join("requirements", "|").alias("requirements"), "campaign_id", "campaign_name")
@@ -224,7 +231,7 @@ def p4(t):
     select case when p_size <= 15 then 'greenhouse' when p_size <= 30 then 'lever' else 'own' end as adapter, count(*) as rows from part group by 1""")
 def g1(t):
     k = F.col("p_size")
-    fields = {"id": KEY, "title": quoted(NAME), "text": quoted(NAME), "url": quoted(F.concat(F.lit("https://x.example.com/"), KEY))}
+    fields = {"id": key(), "title": quoted(name()), "text": quoted(name()), "url": quoted(F.concat(F.lit("https://x.example.com/"), key()))}
     rows = items(t, "x", fields, [k.alias("size")]).withColumn("adapter", F.when(F.col("size") <= 15, "Greenhouse").when(F.col("size") <= 30, "lever").otherwise("own"))
     rows = rows.withColumn("source_id", F.lower("adapter"))
     out = records.map_items(rows, ["greenhouse", "lever"], custom={"own": records.map_generic})

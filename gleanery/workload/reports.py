@@ -11,7 +11,8 @@ from gleanery.workload import query
 from gleanery.workload.gates import gate_sources
 from gleanery.workload.joins import supplier_sources
 
-NOW = F.lit("2001-07-20 12:00:00").cast("timestamp")
+def now():
+    return F.lit("2001-07-20 12:00:00").cast("timestamp")
 
 
 def companies(t):
@@ -74,7 +75,7 @@ def order_jobs(t):
     a as (select cid, count(distinct o_orderkey) as job_count, strftime(max(o_orderdate), '%Y-%m-%d') as verified from j group by 1)
     select h.cid as campaign_id, c_name as company_name, o_orderpriority as batch, strftime(o_orderdate, '%Y-%m-%d') as open_date, job_count, verified, case when o_orderdate + interval 30 days < date '2001-07-20' then 'CLOSED' else 'OPEN' end as status from h join a using (cid)""")
 def a5(t):
-    out = reports.campaigns(order_jobs(t), NOW)
+    out = reports.campaigns(order_jobs(t), now())
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     return out.select("campaign_id", "company_name", "batch", day("open_date").alias("open_date"), "job_count", day("verified_at").alias("verified"), "status")
 
@@ -87,7 +88,7 @@ def a5(t):
 def a6(t):
     pick = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("s_suppkey") % len(names) + 1).cast("int"))
     sources = t.supplier.select(pick(["VERIFIED", "AUTO_VERIFIED", "TARGET"]).alias("status"), pick(["healthy", "not_modified", "quarantined", "error"]).alias("health"))
-    out = reports.manifest(order_jobs(t), sources, NOW)
+    out = reports.manifest(order_jobs(t), sources, now())
     return out.select("total_jobs", "active_jobs", "today_published", "today_first_seen", "unknown_location_count", "source_count", "verified_source_count", "auto_verified_source_count", "healthy", "quarantined",
                       F.col("accessible_source_coverage_rate").alias("rate"), "catalog_version")
 

@@ -8,7 +8,8 @@ from gleanery.sources import feeds, sinks
 from gleanery.workload import query
 
 SPLIT = "2024-01-15"
-NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
+def now():
+    return F.lit("2024-02-01 00:00:00").cast("timestamp")
 
 
 def half(t, first: bool):
@@ -51,7 +52,7 @@ def t1(t):
     old = job_state(half(t, True), F.col("user_id") % 2, F.when(F.col("user_id") % 17 == 0, "CLOSED").otherwise("ACTIVE"))
     new = job_state(half(t, False), F.lit(0), F.lit("ACTIVE"))
     flags = t.events.select(F.col("event_type").alias("source_id")).distinct().withColumns({"complete": F.col("source_id") != "purchase", "quarantined": F.col("source_id") == "error"})
-    out = snapshots.advance_lifecycle(old, new, flags, NOW)
+    out = snapshots.advance_lifecycle(old, new, flags, now())
     return out.select("source_id", "id", "origin", "status", F.col("first_missing_successes").alias("misses"), F.date_format("first_seen_at", "yyyy-MM-dd HH:mm:ss").alias("first_seen"),
                       F.coalesce(F.date_format("changed_at", "yyyy-MM-dd"), F.lit("")).alias("changed"))
 
@@ -246,7 +247,7 @@ def s28(t):
     e = t.events.withColumnRenamed("event_type", "job_id")
     old = e.filter(F.col("ts") < SPLIT).groupBy("user_id", "job_id").agg(F.lit("UNSUITABLE").alias("interest"), F.lit("SCREENING").alias("stage"), F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"))
     patches = e.filter(F.col("ts") >= SPLIT).select("user_id", "job_id", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "SUITABLE").alias("interest"), F.when(F.col("event_id") % 2 == 0, "APPLIED").otherwise("OFFER").alias("stage"))
-    out = sinks.upsert_job_states(old, patches, NOW)
+    out = sinks.upsert_job_states(old, patches, now())
     return out.select("user_id", "job_id", "interest", "stage", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
 
 
@@ -258,7 +259,7 @@ def s29(t):
     events = t.orders.select(F.col("o_orderkey").alias("event_id"), "o_custkey", (F.col("o_orderstatus") == "F").alias("completed"), F.lit(None).cast("timestamp").alias("completed_at"))
     toggles = t.events.filter("event_type = 'click'").select(F.col("user_id").alias("event_id"))
     kept = sinks.without_rows(events, t.supplier.select(F.col("s_suppkey").alias("o_custkey")), ["o_custkey"])
-    return sinks.toggle_done(kept, toggles, NOW).select(F.col("event_id").alias("o_orderkey"), "completed")
+    return sinks.toggle_done(kept, toggles, now()).select(F.col("event_id").alias("o_orderkey"), "completed")
 
 
 @query("S29_preference_defaults", "select c_custkey, case when c_acctbal < 0 then 'MAINLAND_CHINA' else c_mktsegment end as scope from customer")
