@@ -11,10 +11,30 @@ from pyspark.sql import types as T
 
 from gleanery import defaults as d
 from gleanery.functions.rules import blocked_category, blocked_title, demanded_portfolio, words_pattern
-from gleanery.functions.text import sentences, squash
+from gleanery.functions.text import let, sentences, squash
+from gleanery.scale import spread_if_small
 
 TARGET, OUT, REVIEW = "TARGET_GENERALIST", "OUT_OF_SCOPE", "NEEDS_REVIEW"
 ANY_MAJOR = "(?i)" + "|".join(d.NON_TARGET_MAJORS + d.TARGET_MAJORS)
+
+
+def _stems(patterns: list[str]) -> list[str]:
+    """Literal text every match of a pattern starts with, per alternative: plain search rules most texts out at once."""
+
+    found, depth, current = [], 0, ""
+    for ch in "|".join(patterns) + "|":
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and not depth:
+            head = re.match(r"[^(\[?\\]*", current)[0]
+            found.append(head[:-1] if current[len(head):].startswith("?") else head)
+            current = ""
+        else:
+            current += ch
+    unique = sorted(set(found), key=len)
+    return [s for i, s in enumerate(unique) if not any(t in s for t in unique[:i])]
+
+
+MAJOR_STEMS = _stems(d.NON_TARGET_MAJORS + d.TARGET_MAJORS)
 ANY_BLOCKED_TITLE = "(?i)" + "|".join(p for p, _ in d.BLOCKED_TITLE_PATTERNS)
 REQUIREMENT, DESCRIPTION, TAG = 0, 1, 2
 
@@ -69,7 +89,9 @@ def _tag_terms(tags: Column, patterns: list[str]) -> Column:
 def _named_sentences(origin: int, texts: Column) -> Column:
     """Sentences that name any major, with their origin. Most texts have none and send nothing to Python."""
 
-    found = F.filter(sentences(texts), lambda s: squash(s).rlike(ANY_MAJOR))
+    stems = F.array(*[F.lit(s) for s in MAJOR_STEMS])
+    hinted = F.filter(texts, lambda t: let(squash(t), lambda tight: F.exists(stems, lambda s: F.contains(tight, s))))
+    found = F.filter(sentences(hinted), lambda s: squash(s).rlike(ANY_MAJOR))
     return F.transform(found, lambda s: F.struct(F.lit(origin).alias("origin"), s.alias("text")))
 
 
@@ -81,6 +103,7 @@ def assess(df, title: str = "title", category: str = "role_category", requiremen
     settles send no sentences to Python.
     """
 
+    df = spread_if_small(df)
     empty = F.array().cast("array<string>")
     reqs, labels = F.coalesce(F.col(requirements), empty), F.coalesce(F.col(tags), empty)
     about = F.array(F.coalesce(F.col(description), F.lit("")))

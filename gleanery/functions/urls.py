@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery import defaults as d
-from gleanery.functions.text import bounded_text, lit_or_col, nfkc, single_spaced
+from gleanery.functions.text import SPACE, bounded_text, lit_or_col, nfkc, single_spaced
 
 # parse_url throws on odd input and rejects raw CJK paths, so the parts come from patterns
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
@@ -134,7 +134,7 @@ def homepage_candidates(value: str | Column) -> Column:
     """Struct of safe homepage addresses and the reasons others were refused."""
 
     values = homepage_values(value)
-    spaced = lambda x: x.rlike(r"(?U)\s")
+    spaced = lambda x: x.rlike(SPACE)
     good = F.filter(
         F.transform(F.filter(values, lambda x: ~spaced(x)), lambda x: _with_scheme(x)), lambda x: is_web_url(x)
     )

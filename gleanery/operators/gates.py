@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleanery import defaults as d
 from gleanery.functions import rules, urls
 from gleanery.functions.audience import assess, is_publishable
+from gleanery.functions.text import SPACE
 from gleanery.scale import lookup_join
 
 
@@ -115,7 +116,7 @@ def url_gate(job_source_url: Column, apply_url: Column, reviewed_url: Column, do
 def exact_or_mixed(value: Column, exact: str = d.STATE_OWNED) -> Column:
     """``exact``, ``mixed`` (holds the value among others: to review) or ``other``."""
 
-    text = F.regexp_replace(F.coalesce(value, F.lit("")), r"(?U)\s+", "")
+    text = F.regexp_replace(F.coalesce(value, F.lit("")), SPACE, "")
     return F.when(text == exact, "exact").when(text.contains(exact), "mixed").otherwise("other")
 
 

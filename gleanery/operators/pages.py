@@ -16,9 +16,9 @@ from pyspark.sql import types as T
 from gleanery import defaults as d
 from gleanery.functions import urls
 from gleanery.functions.rules import first_reason, has_any, reason_list, words_pattern
-from gleanery.functions.text import name_key, nfkc, single_spaced
+from gleanery.functions.text import SPACE, let, name_key, nfkc, single_spaced
 from gleanery.operators.gates import access_class
-from gleanery.scale import keep_first
+from gleanery.scale import keep_first, spread_if_small
 from gleanery.sources.envelopes import first_field, is_type, jsonld_objects
 
 _S = T.StringType()
@@ -140,7 +140,7 @@ def parse_pages(pages: DataFrame, html: str = "html", name: str = "page") -> Dat
             out[name] = pd.Series([_read_page(h) for h in batch[html]], index=batch.index, dtype=object)
             yield out
 
-    return pages.mapInPandas(read, schema)
+    return spread_if_small(pages).mapInPandas(read, schema)
 
 
 def visible_text(page: str = "page") -> Column:
@@ -153,7 +153,7 @@ def visible_text(page: str = "page") -> Column:
 def campus_signals(text: str | Column, cohort: str = d.COHORT) -> Column:
     """Signal codes of a page's visible text (H2, page-probe rules)."""
 
-    tight = F.lower(F.regexp_replace(nfkc(text), r"(?U)\s+", ""))
+    tight = F.lower(F.regexp_replace(nfkc(text), SPACE, ""))
     return reason_list(
         (tight.rlike(f"{cohort}(?:届|级|校招|校园招聘)"), f"{cohort}_CAMPUS"), (tight.rlike("秋招|秋季校园招聘|秋季招聘|秋季校招"), "AUTUMN_RECRUITMENT"),
         (tight.rlike("校园招聘(?:已|现)?开放|校招(?:已|现)?启动|校园招聘正式启动"), "CAMPUS_RECRUITMENT_OPEN"))
@@ -163,7 +163,7 @@ def source_signals(html: str | Column, cohort: str = d.COHORT) -> Column:
     """Signal codes of a page's source (H2, vendor-probe rules)."""
 
     html = F.col(html) if isinstance(html, str) else html
-    tight = F.lower(F.regexp_replace(html, r"(?U)\s+", ""))
+    tight = F.lower(F.regexp_replace(html, SPACE, ""))
     return reason_list(
         (tight.rlike(f"{cohort}届|{cohort}校招|{cohort}校园招聘"), f"{cohort}_CAMPUS"), (tight.contains("秋招"), "AUTUMN_RECRUITMENT"),
         (tight.contains("校园招聘开放"), "CAMPUS_RECRUITMENT_OPEN"))
@@ -237,18 +237,22 @@ def posting_completeness(item: Column) -> Column:
 def vendor_matches(source: Column, meta: Column, url: Column, links: Column) -> Column:
     """Vendors whose signatures show up in page source, metas, address or links, in fixed order (H7)."""
 
-    context = F.lower(F.concat_ws(" ", F.replace(source, F.lit("\\/"), F.lit("/")), meta, urls.url_host(url), urls.url_path(url), F.array_join(links, " ")))
-    host = urls.url_host(url)
     table = F.array(*[F.struct(F.lit(v).alias("vendor"), F.array(*[F.lit(s.lower()) for s in signs]).alias("signs")) for v, signs in d.VENDOR_SIGNATURES])
+    host = urls.url_host(url)
+
+    def scan(seen):
+        # everything that does not depend on the vendor is in ``seen``, computed once per page
+        def match(row):
+            found = F.filter(row["signs"], lambda s: F.contains(seen["context"], s))
+            link = F.try_element_at(F.filter(seen["links"], lambda u: F.exists(row["signs"], lambda s: F.contains(F.lower(u), s))), F.lit(1))
+            sure = F.exists(row["signs"], lambda s: F.contains(seen["host"], s))
+            return F.when(F.size(found) > 0, F.struct(row["vendor"].alias("vendor"), F.when(sure, "HIGH").otherwise("MEDIUM").alias("confidence"), found.alias("signals"),
+                                                      F.coalesce(link, seen["url"]).alias("context_url")))
 
-    def match(row):
-        found = F.filter(row["signs"], lambda s: F.contains(context, s))
-        link = F.try_element_at(F.filter(links, lambda u: F.exists(row["signs"], lambda s: F.contains(F.lower(u), s))), F.lit(1))
-        sure = F.exists(row["signs"], lambda s: F.contains(host, s))
-        return F.struct(row["vendor"].alias("vendor"), F.when(sure, "HIGH").otherwise("MEDIUM").alias("confidence"), found.alias("signals"),
-                        F.coalesce(link, url).alias("context_url"))
+        return F.filter(F.transform(table, match), lambda m: m.isNotNull())
 
-    return F.filter(F.transform(table, match), lambda m: F.size(m["signals"]) > 0)
+    context = F.lower(F.concat_ws(" ", F.replace(source, F.lit("\\/"), F.lit("/")), meta, host, urls.url_path(url), F.array_join(links, " ")))
+    return let(F.struct(context.alias("context"), host.alias("host"), url.alias("url"), links.alias("links")), scan)
 
 
 def _slug(url: Column, marker: str) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gleanery import defaults as d
 from gleanery.functions.text import name_key, text_key
 from gleanery.functions.urls import normalized_domain, stock_code
-from gleanery.scale import MAX_BROADCAST_ROWS, is_bounded, keep_first, lookup_join
+from gleanery.scale import MAX_BROADCAST_ROWS, is_bounded, keep_first, lookup_join, spread_if_small
 
 
 def exploded_keys(df: DataFrame, row: Sequence[str], keys: dict[str, Column]) -> DataFrame:
@@ -147,7 +147,7 @@ def longest_alias(texts: DataFrame, row: str, text: str, aliases: DataFrame, com
 
     known = aliases.withColumn("key", text_key(alias)).filter(F.length("key") >= 2)
     known = keep_first(known.select("key", company, seq), ["key"], [F.col(seq).asc(), F.col(company).asc()])
-    rows = texts.select(row, text_key(text).alias("_text"))
+    rows = spread_if_small(texts.select(row, text)).select(row, text_key(text).alias("_text"))
     if is_bounded(known, max_aliases):
         listed = [tuple(r) for r in known.select("key", company, seq).collect()]  # at most max_aliases rows
         found = _scan_aliases(rows, row, listed, known.schema[company].dataType.simpleString())

@@ -68,6 +68,20 @@ def lookup_join(
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def spread_if_small(df: DataFrame) -> DataFrame:
+    """Give costly row work a task per core when the input is too small to fill the cluster by itself.
+
+    A few large row groups otherwise end in as few tasks. Inputs of at least one full split per core stay as they are, so
+    large scans are never shuffled for this.
+    """
+
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split else df
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key by a total order.
 

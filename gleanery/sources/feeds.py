@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from gleanery import defaults as d
 from gleanery.functions.dates import feed_date
+from gleanery.scale import spread_if_small
 
 # --- fixed values: element names of a feed row, in the order they are tried --------------------------------
 FEED_FIELDS = {
@@ -69,7 +70,7 @@ def read_feed(bodies: pd.Series, bases: pd.Series) -> pd.DataFrame:
 def feed_rows(bodies: DataFrame, keep: list[str], body: str = "body", base: str = "base_url") -> DataFrame:
     """One row per usable record of each stored feed body."""
 
-    parsed = bodies.withColumn("feed", read_feed(F.col(body), F.col(base)))
+    parsed = spread_if_small(bodies).withColumn("feed", read_feed(F.col(body), F.col(base)))
     long = parsed.select(*keep, F.posexplode("feed.rows").alias("row_no", "r"))
     return long.select(
         *keep, "row_no", F.coalesce("r.id", "r.url").alias("id"), "r.title", F.coalesce("r.description", F.lit("")).alias("description"),
@@ -80,7 +81,7 @@ def feed_rows(bodies: DataFrame, keep: list[str], body: str = "body", base: str
 def feed_counts(bodies: DataFrame, keep: list[str], body: str = "body", base: str = "base_url") -> DataFrame:
     """Record and usable-row counts per body."""
 
-    parsed = bodies.withColumn("feed", read_feed(F.col(body), F.col(base)))
+    parsed = spread_if_small(bodies).withColumn("feed", read_feed(F.col(body), F.col(base)))
     return parsed.select(*keep, "feed.valid_xml", "feed.record_count", F.size("feed.rows").alias("usable_rows"))
 
 

@@ -13,7 +13,7 @@ from gleanery import defaults as d
 from gleanery.functions import ids, urls
 from gleanery.functions.dates import date_in_text
 from gleanery.functions.rules import reason_list
-from gleanery.functions.text import blank_to_null, bounded_text, clean_list, clean_text, name_key, nfkc
+from gleanery.functions.text import SPACE, blank_to_null, bounded_text, clean_list, clean_text, name_key, nfkc
 from gleanery.operators.gates import GateFailed, dense_rank_check, exact_or_mixed
 from gleanery.scale import keep_first
 
@@ -183,7 +183,7 @@ def sanitize_observations(rows: DataFrame) -> DataFrame:
             value = bounded_text(c, 40)
             out.append(F.when(value.isin(*words), value).alias(c))
     if "signals" in have:
-        items = F.transform(F.slice("signals", 1, 32), lambda s: F.substring(F.trim(F.regexp_replace(s, r"(?U)\s+", " ")), 1, 120))
+        items = F.transform(F.slice("signals", 1, 32), lambda s: F.substring(F.trim(F.regexp_replace(s, SPACE, " ")), 1, 120))
         out.append(F.array_distinct(F.filter(items, lambda s: s != "")).alias("signals"))
     out += [F.col(c).cast("boolean").alias(c) for c in ("reachable", "blocked", "public") if c in have]
     for c, (low, high) in numbers.items():
