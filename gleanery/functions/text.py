@@ -12,9 +12,7 @@ from pyspark.sql import types as T
 
 from gleanery import defaults as d
 
-# Unicode white space spelled out: far cheaper for the regex engine than (?U)\s
-SPACE_CHARS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACE = f"[{SPACE_CHARS}]+"
+SPACE = r"(?U)\s+"  # Unicode white space, as in U+3000
 
 
 def lit_or_col(value: str | Column) -> Column:
@@ -120,7 +118,7 @@ def sentences(values: str | Column) -> Column:
     """Non-blank sentences of every text in an array."""
 
     parts = F.transform(lit_or_col(values), lambda v: F.split(F.coalesce(v, F.lit("")), r"[。；;\n.!！?？]"))
-    return F.filter(F.flatten(parts), lambda s: s.rlike(f"[^{SPACE_CHARS}]"))
+    return F.filter(F.flatten(parts), lambda s: s.rlike(r"(?U)\S"))
 
 
 @F.pandas_udf(T.StringType())
@@ -172,4 +170,4 @@ def string_list(*values: Column) -> Column:
 def text_key(text: str | Column) -> Column:
     """Loose matching key: lower case, without white space and bracket or dot marks."""
 
-    return F.regexp_replace(F.lower(F.trim(F.coalesce(lit_or_col(text), F.lit("")))), f"[{SPACE_CHARS}·・()（）【】\\[\\]{{}}]+", "")
+    return F.regexp_replace(F.lower(F.trim(F.coalesce(lit_or_col(text), F.lit("")))), r"(?U)[\s·・()（）【】\[\]{}]+", "")
