@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from gleanery import defaults as d
 from gleanery.functions.rules import blocked_category, blocked_title, demanded_portfolio, words_pattern
 from gleanery.functions.text import let, sentences, squash
-from gleanery.scale import spread_if_small
 
 TARGET, OUT, REVIEW = "TARGET_GENERALIST", "OUT_OF_SCOPE", "NEEDS_REVIEW"
 ANY_MAJOR = "(?i)" + "|".join(d.NON_TARGET_MAJORS + d.TARGET_MAJORS)
@@ -56,7 +55,7 @@ def _in_context(sentence: str, start: int, end: int, cue: re.Pattern) -> bool:
 
 
 @F.pandas_udf(_TERMS)
-def major_terms(texts: pd.Series) -> pd.Series:
+def _major_terms(texts: pd.Series) -> pd.Series:
     """Majors named in each compact sentence, kept only where at least one stands in a qualification context.
 
     Match offsets decide this, and Spark's regex functions return none, hence the only Python in the gate.
@@ -77,6 +76,10 @@ def major_terms(texts: pd.Series) -> pd.Series:
     return texts.map(lambda items: None if items is None else [one(s) for s in items])
 
 
+# filters on the decision must not be pushed below this step: Catalyst would copy the whole gate into them
+major_terms = _major_terms.asNondeterministic()
+
+
 def _tag_terms(tags: Column, patterns: list[str]) -> Column:
     """First hit of every pattern in every tag that is a real demand (soft wording without a hard mark is skipped)."""
 
@@ -103,7 +106,6 @@ def assess(df, title: str = "title", category: str = "role_category", requiremen
     settles send no sentences to Python.
     """
 
-    df = spread_if_small(df)
     empty = F.array().cast("array<string>")
     reqs, labels = F.coalesce(F.col(requirements), empty), F.coalesce(F.col(tags), empty)
     about = F.array(F.coalesce(F.col(description), F.lit("")))

@@ -169,8 +169,8 @@ def _scan_aliases(rows: DataFrame, row: str, listed: list[tuple], id_type: str)
         for batch in batches:
             best = [max((hit for _, hit in tree.iter(t)), default=None, key=lambda h: h[:2]) if shared.value else None for t in batch["_text"]]
             keep = [i for i, b in enumerate(best) if b]
-            yield pd.DataFrame({row: batch[row].iloc[keep].to_numpy(), "matched_alias": [best[i][2] for i in keep],
-                                "matched_company_id": [best[i][3] for i in keep]})
+            column = lambda values: pd.Series(list(values), dtype=object)
+            yield pd.DataFrame({row: column(batch[row].iloc[keep]), "matched_alias": column(best[i][2] for i in keep), "matched_company_id": column(best[i][3] for i in keep)})
 
     return rows.mapInPandas(scan, f"`{row}` {row_type}, matched_alias string, matched_company_id {id_type}")
 

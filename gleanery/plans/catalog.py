@@ -108,7 +108,9 @@ def build_catalog(
         raw = reports.fill_unknown(raw, companies, "company_id", {"company_industry": "industry", "company_type": "type", "company_scale": "scale"}, ["apply_url", "title"])
     normal, rejects = normalise(raw, sources, at)
     # read by the quality report, the counts and the merge; written once, so every reader sees the same rows
-    gated = materialize(gate(normal))
+    # the two Python steps (text cleaning, major terms) are planned apart: Spark 4.1 fails to extract the second one from
+    # some short inputs when both sit in one plan
+    gated = materialize(gate(materialize(normal)))
     names = [c for c in gated.columns if c != "audience"]
     if previous is None:
         old = spark.createDataFrame([], gated.select(*names).schema)

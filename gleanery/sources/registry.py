@@ -15,7 +15,7 @@ from gleanery.functions.dates import date_in_text
 from gleanery.functions.rules import reason_list
 from gleanery.functions.text import SPACE, blank_to_null, bounded_text, clean_list, clean_text, name_key, nfkc
 from gleanery.operators.gates import GateFailed, dense_rank_check, exact_or_mixed
-from gleanery.scale import keep_first
+from gleanery.scale import keep_first, materialize
 
 CORRUPT = "_corrupt_record"
 
@@ -53,7 +53,8 @@ def read_json_rows(spark: SparkSession, path: str, schema: T.StructType | str, m
 
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", multi_line).json(path)
+    # parsed once for both results; Spark also needs parsed rows at hand to answer on the corrupt-record column alone
+    rows = materialize(spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", multi_line).json(path))
     required = [f.name for f in schema.fields if not f.nullable]
     bad = F.col(CORRUPT).isNotNull()
     for name in required:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,12 +74,17 @@ def csv_rows(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Every cell quoted, UTF-8 with a byte-order mark on each file's header."""
+    """Every cell quoted; each file opens with a UTF-8 byte-order mark and the header."""
 
-    rows = csv_rows(df)
-    first, *rest = rows.columns
-    marked = rows.withColumnRenamed(first, "﻿" + first).select(F.col("`﻿" + first + "`"), *rest)
-    marked.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("lineSep", "\r\n").csv(path)
+    quoted = [F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) for c in df.columns]
+    header = "\ufeff" + ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
+
+    def with_header(batches):
+        yield pd.DataFrame({"value": pd.Series([header], dtype=object)})
+        yield from batches
+
+    lines = csv_rows(df).select(F.concat_ws(",", *quoted).alias("value"))
+    lines.mapInPandas(with_header, "value string").write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def write_backup(tables: Mapping[str, DataFrame], path: str) -> None:
