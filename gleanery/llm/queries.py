@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontam
+from gleanery.llm import decontam, simhash
 from gleanery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,8 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op6_benchmark_decontamination(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", "text")
     return decontam.digest(decontam.find_contamination(docs, table(spark, root, "benchmark"), offsets=False))
+
+
+@query
+def op3_simhash_golay(spark: SparkSession, root: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, root, "documents")))
