@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontam, simhash
+from gleanery.llm import decontam, pii, simhash
 from gleanery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,8 @@ def op6_benchmark_decontamination(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op3_simhash_golay(spark: SparkSession, root: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, root, "documents")))
+
+
+@query
+def op2_disclosure_sanitising(spark: SparkSession, root: str) -> DataFrame:
+    return pii.digest(pii.find_spans(table(spark, root, "documents").select("doc_id", "text")))
