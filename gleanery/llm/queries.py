@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontam, pii, simhash
+from gleanery.llm import decontam, mixing, pii, simhash, toxicity
 from gleanery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,13 @@ def op3_simhash_golay(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op2_disclosure_sanitising(spark: SparkSession, root: str) -> DataFrame:
     return pii.digest(pii.find_spans(table(spark, root, "documents").select("doc_id", "text")))
+
+
+@query
+def op5_nearest_labelled_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    return toxicity.digest(toxicity.score_toxicity(table(spark, root, "documents").select("doc_id", "text"), table(spark, root, "labels")))
+
+
+@query
+def op1_pfair_mixing(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, root, "documents")).drop("text")
