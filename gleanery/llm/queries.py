@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontam, mixing, pii, simhash, toxicity
+from gleanery.llm import decontam, mixing, pii, simhash, toxicity, warc
 from gleanery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,8 @@ def op5_nearest_labelled_toxicity(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op1_pfair_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix_sources(table(spark, root, "documents")).drop("text")
+
+
+@query
+def op10_warc_normaliser(spark: SparkSession, root: str) -> DataFrame:
+    return warc.digest(warc.round_trip(table(spark, root, "pages")))
