@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontam, mixing, pii, simhash, suffix, toxicity, warc
+from gleanery.llm import decontam, lm, mixing, pii, simhash, suffix, toxicity, warc
 from gleanery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,8 @@ def op10_warc_normaliser(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op7_repeated_strings(spark: SparkSession, root: str) -> DataFrame:
     return suffix.digest(suffix.remove_repeats(table(spark, root, "documents")))
+
+
+@query
+def op9_kneser_ney(spark: SparkSession, root: str) -> DataFrame:
+    return lm.digest(table(spark, root, "documents"))
