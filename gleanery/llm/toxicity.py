@@ -5,9 +5,8 @@ forms. Terms are kept that tell the label apart in the labelled training texts (
 ``max_terms`` strongest); term frequencies are damped (1 + ln tf), document frequencies are counted over all documents, and vectors are scaled to length 1.
 
 The examples are a bounded sample of the labelled training rows (the ``max_examples`` smallest by hash of the id). They are indexed by term:
-posting lists in blocks of ``block``, each with its largest weight. A query walks its terms by largest possible contribution and, once
-the terms left cannot lift an unseen example over the k-th best, only looks at blocks of the remaining terms whose maximum still can
-change the answer. Scores of surviving candidates are completed from their forward vectors, so the top k by cosine is exact; ties go to the
+a list of blocks of ``block`` examples, each with the term's largest weight in it. A query adds up what each block can reach at
+most and scores whole blocks, best first, until no block left can reach the k-th best, so the top k by cosine is exact; ties go to the
 smaller example id. The vote is the cosine-weighted share of toxic neighbours, and votes are turned into probabilities by
 monotone steps fitted on the examples themselves, each scored without itself.
 
@@ -105,66 +104,54 @@ def features(docs: DataFrame, terms: list[str]) -> DataFrame:
 
 
 class BlockMaxIndex:
-    """Exact top-k cosine over unit vectors of (term, weight)."""
+    """Exact top-k cosine over unit vectors of (term, weight).
+
+    Rows are laid out by their heaviest term, so that a block holds alike rows. A term's list has the blocks it occurs in with its largest
+    weight there.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK) -> None:
-        self.block, self.n = block, len(vectors)
-        lengths = np.array([len(t) for t, _ in vectors], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        terms = np.concatenate([t for t, _ in vectors]) if len(vectors) else np.zeros(0, np.int64)
-        weights = np.concatenate([w for _, w in vectors]) if len(vectors) else np.zeros(0)
-        self.terms, self.weights = terms, weights
-        rows = np.repeat(np.arange(len(vectors)), lengths)
-        order = np.lexsort((rows, terms))
-        edges = np.searchsorted(terms[order], np.arange(n_terms + 1))
-        self.postings, self.values, self.maxima = [], [], []
-        for t in range(n_terms):
-            part = order[edges[t]: edges[t + 1]]
-            self.postings.append(rows[part])
-            self.values.append(weights[part])
-            self.maxima.append(np.maximum.reduceat(weights[part], np.arange(0, len(part), block)) if len(part) else np.zeros(0))
+        heaviest = np.array([t[np.argmax(w)] for t, w in vectors], np.int64)
+        self.row = np.argsort(heaviest, kind="stable")
+        lengths = np.array([len(vectors[r][0]) for r in self.row], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(lengths)])
+        self.terms = np.concatenate([vectors[r][0] for r in self.row])
+        self.weights = np.concatenate([vectors[r][1] for r in self.row])
+        self.block, self.blocks = block, -(-len(vectors) // block)
+        key = self.terms * self.blocks + np.repeat(np.arange(len(vectors)) // block, lengths)
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        self.maxima, self.places = np.maximum.reduceat(self.weights[order], at), k[at] % self.blocks
+        self.edges = np.searchsorted(k[at] // self.blocks, np.arange(n_terms + 1))
+        self.query = np.zeros(n_terms)
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest, by cosine and then row; ``skip`` is a row to leave out. Rows that share no term are left out."""
-        reach = np.array([w * (self.maxima[t].max() if len(self.maxima[t]) else 0.0) for t, w in zip(terms, weights)])
+        """Rows and cosines of the k nearest, by cosine and then row; ``skip`` is a row to leave out. Rows that share no term are left out.
+
+        Blocks are taken by what they can reach at most, until none left can reach the k-th best.
+        """
+        reach = np.zeros(self.blocks)
+        for t, w in zip(terms, weights):
+            span = slice(self.edges[t], self.edges[t + 1])
+            reach[self.places[span]] += w * self.maxima[span]
         order = np.argsort(-reach, kind="stable")
-        left = np.concatenate([np.cumsum(reach[order][::-1])[::-1], [0.0]])
-        score, seen, bar, lost = np.zeros(self.n), np.zeros(self.n, bool), 0.0, 0.0
-        for place, i in enumerate(order):
-            t, w = terms[i], weights[i]
-            rows, values = self.postings[t], self.values[t]
-            if not len(rows):
-                continue
-            if bar > 0.0:
-                # an unseen row of a block can reach the block's maximum here plus all later terms; below the bar it can't enter
-                open_ = np.flatnonzero(self.maxima[t] * w + left[place + 1] >= bar - 1e-9)
-                if len(open_) < len(self.maxima[t]):
-                    closed = np.ones(len(self.maxima[t]), bool)
-                    closed[open_] = False
-                    lost += w * self.maxima[t][closed].max()  # the most that a row already seen misses here
-                    at = (open_[:, None] * self.block + np.arange(self.block)).ravel()
-                    at = at[at < len(rows)]
-                    rows, values = rows[at], values[at]
-            score[rows] += w * values
-            seen[rows] = True
-            if skip >= 0:
-                seen[skip] = False
-            if seen.sum() >= k:
-                live = score[seen]
-                bar = np.partition(live, len(live) - k)[len(live) - k]
-        found = np.flatnonzero(seen)
-        # partial sums are lower bounds: complete every row that can reach the bar with what it may have missed
-        query = np.zeros(len(self.postings))
-        query[terms] = weights
-        kept = found[score[found] + lost >= bar - 1e-9]
-        if not len(kept):
-            return kept, np.zeros(0)
-        spans = [np.arange(self.start[r], self.start[r + 1]) for r in kept]
-        flat = np.concatenate(spans)
-        full = np.add.reduceat(query[self.terms[flat]] * self.weights[flat], np.concatenate([[0], np.cumsum([len(s) for s in spans])[:-1]]))
-        full = np.round(full, 9)  # ties are ties whatever the order of summing
-        best = np.lexsort((kept, -full))[:k]
-        return kept[best], full[best]
+        order = order[reach[order] > 0]
+        self.query[terms] = weights
+        rows, near, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 1
+        while at < len(order) and (len(rows) < k or reach[order[at]] >= near[-1] - 1e-9):
+            for b in order[at: at + step]:
+                first, last = b * self.block, min((b + 1) * self.block, len(self.row))
+                flat = slice(self.start[first], self.start[last])
+                full = np.round(np.add.reduceat(self.query[self.terms[flat]] * self.weights[flat], self.start[first:last] - self.start[first]), 9)
+                mine = self.row[first:last]
+                hit = (full > 0) & (mine != skip)
+                rows, near = np.concatenate([rows, mine[hit]]), np.concatenate([near, full[hit]])
+            at += step
+            best = np.lexsort((rows, -near))[:k]
+            rows, near = rows[best], near[best]
+        self.query[terms] = 0.0
+        return rows, near
 
 
 def _vector(terms: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,10 +185,10 @@ class Scorer:
 
     def vote(self, terms: np.ndarray, tf: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         rows, near = self.index.top(*_vector(terms, tf, self.idf), self.k, skip)
+        # the nearer the more it counts; what is left of one whole neighbour goes to the share of texts without any term
         total = near.sum()
-        # neighbours that are far count less, and the rest of the vote goes to the share of texts without any term
         far = max(0.0, 1.0 - total)
-        return float(((near * self.labels[rows]).sum() + far * self.base) / (total + far)) if total + far > 0 else self.base, rows, near
+        return float(((near * self.labels[rows]).sum() + far * self.base) / (total + far)), rows, near
 
     def score(self, terms: np.ndarray, tf: np.ndarray) -> tuple[float, list, list]:
         if not len(terms):
