@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontam, lm, mixing, pii, quality, simhash, suffix, toxicity, warc
+from gleanery.llm import decontam, lm, mixing, pii, quality, simhash, suffix, tokens, toxicity, warc
 from gleanery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,8 @@ def op9_kneser_ney(spark: SparkSession, root: str) -> DataFrame:
 def op8_line_crf_quality(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", "text")
     return quality.digest(quality.judge(docs, quality.learn(docs, table(spark, root, "labels"))))
+
+
+@query
+def op4_unigram_token_counts(spark: SparkSession, root: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, root, "documents").select("doc_id", "text"), tokens.Vocabulary.load()).drop("text")
