@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from gleanery.llm.common import list_column, stored, text_of
 
-MAX_EXAMPLES, MAX_TERMS, MIN_G2, NEIGHBOURS, BLOCK, THRESHOLD = 20_000, 4096, 40.0, 25, 64, 0.3
+MAX_EXAMPLES, MAX_TERMS, MIN_G2, NEIGHBOURS, BLOCK, THRESHOLD = 4000, 4096, 40.0, 25, 64, 0.3
 PREFIXES = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -138,16 +138,18 @@ class BlockMaxIndex:
         order = np.argsort(-reach, kind="stable")
         order = order[reach[order] > 0]
         self.query[terms] = weights
-        rows, near, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 1
+        rows, near, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
         while at < len(order) and (len(rows) < k or reach[order[at]] >= near[-1] - 1e-9):
+            parts = [(rows, near)]
             for b in order[at: at + step]:
                 first, last = b * self.block, min((b + 1) * self.block, len(self.row))
                 flat = slice(self.start[first], self.start[last])
-                full = np.round(np.add.reduceat(self.query[self.terms[flat]] * self.weights[flat], self.start[first:last] - self.start[first]), 9)
-                mine = self.row[first:last]
-                hit = (full > 0) & (mine != skip)
-                rows, near = np.concatenate([rows, mine[hit]]), np.concatenate([near, full[hit]])
-            at += step
+                full = np.add.reduceat(self.query[self.terms[flat]] * self.weights[flat], self.start[first:last] - self.start[first])
+                hit = np.flatnonzero(full > max(0.0, parts[0][1][-1] - 1e-9 if len(rows) == k else 0.0))
+                parts.append((self.row[first + hit], np.round(full[hit], 9)))
+            at, step = at + step, step * 2
+            rows, near = (np.concatenate(x) for x in zip(*parts))
+            rows, near = rows[rows != skip], near[rows != skip]
             best = np.lexsort((rows, -near))[:k]
             rows, near = rows[best], near[best]
         self.query[terms] = 0.0
