@@ -1,8 +1,8 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-cased runs of letters and their starts of 4 to 6 letters (``word`` and ``star*``), which also catch inflected and compound
-forms. Terms are kept that tell the label apart in the labelled training texts (likelihood ratio G2 of at least ``min_g2``, the
-``max_terms`` strongest); term frequencies are damped (1 + ln tf), document frequencies are counted over all documents, and vectors are scaled to length 1.
+forms. Terms are kept that mark toxic texts among the labelled training ones (a toxic share of at least three times the usual one and a likelihood
+ratio G2 of at least ``min_g2``; the ``max_terms`` strongest); term frequencies are damped (1 + ln tf), document frequencies are counted over all documents, and vectors are scaled to length 1.
 
 The examples are a bounded sample of the labelled training rows (the ``max_examples`` smallest by hash of the id). They are indexed by term:
 a list of blocks of ``block`` examples, each with the term's largest weight in it. A query adds up what each block can reach at
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from gleanery.llm.common import list_column, stored, text_of
 
-MAX_EXAMPLES, MAX_TERMS, MIN_G2, NEIGHBOURS, BLOCK, THRESHOLD = 4000, 4096, 40.0, 25, 64, 0.3
+MAX_EXAMPLES, MAX_TERMS, MIN_G2, NEIGHBOURS, BLOCK, THRESHOLD, MIN_LIFT = 4000, 4096, 40.0, 25, 64, 0.3, 3.0
 PREFIXES = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -67,7 +67,7 @@ def choose_terms(training: DataFrame, max_terms: int, min_g2: float) -> list[str
 
     n, t = F.col("n"), F.col("t")
     g2 = 2 * (part(t, n * share) + part(n - t, n * (1 - share)) + part(F.lit(size.t) - t, (F.lit(size.n) - n) * share) + part(F.lit(size.n - size.t) - (n - t), (F.lit(size.n) - n) * (1 - share)))
-    best = counts.withColumn("g2", g2).filter(F.col("g2") >= min_g2).orderBy(F.desc("g2"), "term").limit(max_terms)
+    best = counts.filter(t >= MIN_LIFT * share * n).withColumn("g2", g2).filter(F.col("g2") >= min_g2).orderBy(F.desc("g2"), "term").limit(max_terms)
     return [r.term for r in best.collect()]
 
 
