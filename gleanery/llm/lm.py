@@ -43,7 +43,7 @@ class Hashes(dict):
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         return np.array([self[w] for w in words], np.int64)
 
