@@ -186,7 +186,6 @@ MAJOR_CUES = r"专业|相关|背景|学历|学位|本科|硕士|博士|major|deg
 MAJOR_CUE_BEFORE = 12
 MAJOR_CUE_AFTER = 20
 MAJOR_SHARE = 0.45
-HARD_MARKERS = ["仅限", "限招", "限专业", "必须为", "须为", "要求专业", "专业要求", "相关专业", "专业背景", "本科专业为", "学历专业", "专业:", "专业：", "所学专业"]
 STRONG_MARKERS = ["仅限", "限招", "限专业", "必须", "须为", "要求专业", "专业要求", "本科专业为", "学历专业", "required", "requires", "must", "mandatory", "needto"]
 SOFT_MARKERS = ["优先", "加分", "优先考虑", "熟悉", "了解", "有经验者", "preferred", "preferably", "nicetohave", "aplus"]
 UNRESTRICTED_MAJOR = r"不限专业|专业不限|无专业限制|any\s+major|all\s+majors?|no\s+major\s+restriction|open\s+to\s+all\s+majors?"
@@ -239,7 +238,6 @@ EVIDENCE_FLAGS = [
 ]
 VERIFIED_STATUSES = ["VERIFIED", "AUTO_VERIFIED"]
 HEALTHY_STATES = ["healthy", "not_modified"]
-BLOCKED_SOURCE_STATUSES = ["BLOCKED", "QUARANTINED", "REPLACED", "STALE"]
 LARGE_SCALES = ["500–999", "1000–9999", "10000+"]
 REQUIRED_JOB_FIELDS = ["title", "company_name", "city", "role_category", "cohort", "batch", "education", "apply_url", "source_url"]
 SUMMARY_DROPPED = [
@@ -282,7 +280,6 @@ CHALLENGE_MARKERS = [
 ]
 BLOCKED_HTTP = [401, 403, 405, 429]
 JSONLD_REQUIRED = ["title", "url", "description", "jobLocation", "datePosted", "hiringOrganization"]
-DISCOVERY_CLASSES = ["CONNECTOR_CANDIDATE", "NEEDS_MANUAL_REVIEW", "MANUAL_IMPORT_ONLY", "PUBLIC_ACCESS_UNAVAILABLE"]
 RECRUITMENT_WORDS = ["招聘", "人才", "加入我们", "校园", "校招", "应届", "career", "careers", "jobs", "job", "campus", "join us", "graduate"]
 RECRUITMENT_TEXT_BONUS = ["校园", "校招", "应届", "graduate", "campus"]
 RECRUITMENT_PATH_BONUS = ["career", "job", "campus", "recruit", "join", "xiaozhao"]
@@ -345,6 +342,5 @@ PUBLIC_LEAD_FIELDS = [
     "sourceAuthorLabel", "publishedAt", "discoveredAt", "verificationStatus", "note",
 ]
 LEAD_PLATFORM = "xiaohongshu"
-STAGES = ["NOT_APPLIED", "APPLIED", "SCREENING", "ASSESSMENT", "INTERVIEW", "OFFER", "REJECTED", "WITHDRAWN"]
 STAGE_EVENTS = {"SCREENING": "SCREENING", "ASSESSMENT": "ASSESSMENT", "INTERVIEW": "INTERVIEW", "OFFER": "OFFER", "REJECTED": "REJECTED", "APPLIED": "NOTE"}
 UNTRACKED_STAGES = ["NOT_APPLIED", "REJECTED", "WITHDRAWN"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery import defaults as d
 from gleanery.functions.rules import has_any, words_pattern
-from gleanery.functions.text import _markup_texts, lit_or_col, single_spaced
+from gleanery.functions.text import clean_each, lit_or_col, single_spaced
 
 FIELDS = ("scope", "country_code", "province_code", "city_code", "district_code", "display_name", "raw")
 LOCATION_TYPE = "struct<" + ",".join(f"{f}:string" for f in FIELDS) + ">"
@@ -74,9 +74,7 @@ def parse_locations(text: str | Column) -> Column:
     text = F.coalesce(lit_or_col(text), F.lit(""))
     pieces = F.filter(F.split(text, d.LOCATION_SEPARATORS), lambda p: single_spaced(p) != "")
     pieces = F.when(F.size(pieces) == 0, F.array(F.lit(d.UNKNOWN))).otherwise(pieces)
-    marked = text.rlike("[<&]")
-    cleaned = F.coalesce(_markup_texts(F.when(marked, pieces)), F.transform(pieces, lambda p: single_spaced(p)))
-    return F.array_distinct(F.transform(F.transform(cleaned, lambda p: F.substring(p, 1, 80)), lambda p: _locate(p)))
+    return F.array_distinct(F.transform(clean_each(pieces), lambda p: _locate(p)))
 
 
 def complete_locations(given: str | Column) -> Column:

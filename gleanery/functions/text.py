@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -49,68 +49,71 @@ def bounded_text(text: str | Column, limit: int) -> Column:
     return F.nullif(F.substring(single_spaced(text), 1, limit), F.lit(""))
 
 
-class _Visible(HTMLParser):
-    """Collects text outside hidden tags; block tags become a space."""
+# Markup as four kinds of pieces; attributes may hold ">" in quotes. Possessive loops keep each scan linear.
+_ATTRIBUTES = r"""(?:"[^"<]*"|'[^'<]*'|[^"'<>])*+"""
+_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+_HIDDEN = rf"(?is)<({'|'.join(d.HIDDEN_TAGS)})\b[^>]*+>.*?(?:</\1\s*+>|\z)"
+_BREAK = rf"(?i)</?(?:{'|'.join(d.BREAK_TAGS)})\b{_ATTRIBUTES}>"
+_TAG = rf"</?[a-zA-Z]{_ATTRIBUTES}>|</?[a-zA-Z][^<>]*+>|<[!?][^<>]*+>"
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.hidden = 0
 
-    def handle_starttag(self, tag, attrs):
-        if tag in d.HIDDEN_TAGS:
-            self.hidden += 1
-        elif tag in d.BREAK_TAGS and not self.hidden:
-            self.out.append(" ")
+def without_markup(text: Column) -> Column:
+    """Comments, hidden elements and tags removed; block tags become a space. What is no whole tag stays text."""
 
-    def handle_endtag(self, tag):
-        if tag in d.HIDDEN_TAGS:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in d.BREAK_TAGS and tag != "br" and not self.hidden:
-            self.out.append(" ")
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.out.append(data)
-
-
-def _strip_markup(text: str | None) -> str | None:
-    if text is None:
-        return None
-    parser = _Visible()
-    parser.feed(text)
-    return " ".join("".join(parser.out).split())
+    plain = text
+    for pattern, by in ((_COMMENT, ""), (_HIDDEN, ""), (_BREAK, " "), (_TAG, "")):
+        plain = F.regexp_replace(plain, pattern, by)
+    return F.when(text.contains("<"), plain).otherwise(text)
 
 
 @F.pandas_udf(T.StringType())
-def _markup_text(texts: pd.Series) -> pd.Series:
-    return texts.map(_strip_markup)
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _markup_texts(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda items: None if items is None else [_strip_markup(x) for x in items])
+def _unescaped_each(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda items: [x if x is None else html.unescape(x) for x in items], na_action="ignore")
+
 
+_REFERENCE = "&#?[A-Za-z0-9]"
 
-def clean_text(text: str | Column, limit: int = 12_000) -> Column:
-    """Visible text of possibly marked-up input. Plain rows stay on the JVM; only rows with markup go to Python."""
+
+def clean_text(text: str | Column, limit: int | None = None) -> Column:
+    """Visible text of possibly marked-up input, whole unless a limit is asked for. Only rows that may hold character references leave the JVM."""
 
     text = lit_or_col(text)
-    marked = text.rlike("[<&]")
-    parsed = F.coalesce(_markup_text(F.when(marked, text)), single_spaced(text))
-    return F.substring(parsed, 1, limit)
+    plain = F.coalesce(_unescaped(F.when(text.rlike(_REFERENCE), without_markup(text))), without_markup(text))
+    spaced = single_spaced(plain)
+    return F.substring(spaced, 1, limit) if limit else spaced
+
+
+def is_cut(text: str | Column, limit: int) -> Column:
+    """True where ``clean_text`` with this limit loses characters."""
 
+    return F.length(clean_text(text)) > limit
+
+
+def clean_each(items: Column) -> Column:
+    """``clean_text`` of every text in an array."""
+
+    plain = F.transform(items, without_markup)
+    referring = F.exists(items, lambda x: x.rlike(_REFERENCE))
+    return F.transform(F.coalesce(_unescaped_each(F.when(referring, plain)), plain), lambda x: single_spaced(x))
+
+
+def clean_list(items: str | Column, limit: int | None = None, item_limit: int | None = None) -> Column:
+    """Distinct non-blank clean texts in order; all of them, and whole, unless limits are asked for."""
 
-def clean_list(items: str | Column, limit: int = 40, item_limit: int = 600) -> Column:
     items = F.coalesce(lit_or_col(items), F.array().cast("array<string>"))
-    marked = F.exists(items, lambda x: x.rlike("[<&]"))
-    parsed = F.coalesce(_markup_texts(F.when(marked, items)), F.transform(items, lambda x: single_spaced(x)))
-    cut = F.transform(parsed, lambda x: F.substring(x, 1, item_limit))
-    return F.slice(F.array_distinct(F.filter(cut, lambda x: x != "")), 1, limit)
+    parsed = clean_each(items)
+    cut = F.transform(parsed, lambda x: F.substring(x, 1, item_limit)) if item_limit else parsed
+    kept = F.array_distinct(F.filter(cut, lambda x: x != ""))
+    return F.slice(kept, 1, limit) if limit else kept
 
 
 def normalize_city(city: str | Column, unknown: str = d.UNKNOWN) -> Column:
-    stripped = F.replace(clean_text(city, 50), F.lit("市"), F.lit(""))
+    stripped = F.replace(clean_text(city), F.lit("市"), F.lit(""))
     return F.coalesce(F.nullif(stripped, F.lit("")), F.lit(unknown))
 
 
@@ -147,18 +150,17 @@ def name_key(name: str | Column) -> Column:
 
 
 def name_keys(names: str | Column) -> Column:
-    """``name_key`` over an array. Used on registry-sized tables."""
+    """``name_key`` over an array; lists of ASCII names stay on the JVM."""
 
-    return _name_keys(lit_or_col(names))
+    names = lit_or_col(names)
+    wide = F.exists(names, lambda x: x.rlike(r"[^\x00-\x7F]"))
+    folded = F.coalesce(_nfkc_folded_each(F.when(wide, names)), F.transform(names, lambda x: F.lower(F.coalesce(x, F.lit("")))))
+    return F.transform(folded, lambda x: F.regexp_replace(x, "[^0-9a-z㐀-鿿]+", ""))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _name_keys(lists: pd.Series) -> pd.Series:
-    def key(value):
-        text = unicodedata.normalize("NFKC", value or "").casefold()
-        return "".join(ch for ch in text if ch.isascii() and (ch.isdigit() or "a" <= ch <= "z") or "㐀" <= ch <= "鿿")
-
-    return lists.map(lambda items: None if items is None else [key(x) for x in items])
+def _nfkc_folded_each(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda items: [unicodedata.normalize("NFKC", x or "").casefold() for x in items], na_action="ignore")
 
 
 def string_list(*values: Column) -> Column:

@@ -51,22 +51,29 @@ def is_web_url(url: str | Column, schemes: tuple[str, ...] = ("http", "https"))
     return F.coalesce(url_scheme(url).isin(*schemes) & (url_host(url) != "") & ~has_userinfo(url), F.lit(False))
 
 
+def url_problem(url: str | Column, limit: int = 2048, schemes: tuple[str, ...] = ("http", "https")) -> Column:
+    """Why a link is refused: ``blank``, ``too_long`` or ``not_web``; NULL if it is fine. A long link is never cut to another one."""
+
+    text = F.trim(F.coalesce(lit_or_col(url), F.lit("")))
+    return F.when(text == "", "blank").when(F.length(text) > limit, "too_long").when(~is_web_url(text, schemes), "not_web")
+
+
 def safe_url(url: str | Column, limit: int = 2048) -> Column:
-    text = bounded_text(url, limit)
-    return F.when(is_web_url(text), text)
+    text = F.nullif(single_spaced(url), F.lit(""))
+    return F.when(url_problem(text, limit).isNull(), text)
 
 
 def https_url(url: str | Column, limit: int = 2048) -> Column:
     text = F.trim(lit_or_col(url))
-    return F.when(is_web_url(text, ("https",)), F.substring(text, 1, limit))
+    return F.when(url_problem(text, limit, ("https",)).isNull(), text)
 
 
 def page_url(url: str | Column) -> Column:
     """https URL with the fragment removed; script, mail and in-page links are NULL."""
 
-    text = F.substring(single_spaced(url), 1, 2000)
+    text = single_spaced(url)
     skipped = text.rlike("^(javascript:|data:|mailto:|tel:|#)")
-    return F.when(~skipped & is_web_url(text, ("https",)), without_fragment(text))
+    return F.when(~skipped & url_problem(text, 2000, ("https",)).isNull(), without_fragment(text))
 
 
 def host_suffixes(host: str | Column) -> Column:

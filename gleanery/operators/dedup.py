@@ -55,7 +55,7 @@ def order_groups_by_head(df: DataFrame, group: Sequence[str], order: Sequence[Co
     """Give every row the value its group's first row has, the sort key of grouped views."""
 
     heads = keep_first(df, group, order).select(*group, F.col(head).alias(f"group_{head}"))
-    return lookup_join(df, heads, list(group), "left", spread=[c for c in df.columns if c not in group])
+    return lookup_join(df, heads, list(group), "left")
 
 
 def earliest(df: DataFrame, key: Sequence[str], stamp: str, name: str) -> DataFrame:

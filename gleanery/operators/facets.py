@@ -87,10 +87,10 @@ def segment(company_focus: Column, authority: Column, radar: Column, fallback: C
     return F.coalesce(F.nullif(F.trim(F.coalesce(company_focus, authority, radar, fallback)), F.lit("")), F.lit(""))
 
 
-def with_company(df: DataFrame, companies: DataFrame, key: str = "company_id", spread: Sequence[str] = ("id",)) -> DataFrame:
+def with_company(df: DataFrame, companies: DataFrame, key: str = "company_id") -> DataFrame:
     """Company columns for search and segment."""
 
-    return lookup_join(df, companies, key, "left", spread=list(spread))
+    return lookup_join(df, companies, key, "left")
 
 
 def match_reasons(checks: Sequence[tuple[Column, str | Column]], limit: int = 3) -> Column:

@@ -6,6 +6,7 @@ works on that struct, and the page source is dropped before any shuffle.
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -18,7 +19,7 @@ from gleanery.functions import urls
 from gleanery.functions.rules import first_reason, has_any, reason_list, words_pattern
 from gleanery.functions.text import SPACE, let, name_key, nfkc, single_spaced
 from gleanery.operators.gates import access_class
-from gleanery.scale import keep_first, spread_if_small
+from gleanery.scale import dealt, keep_first
 from gleanery.sources.envelopes import first_field, is_type, jsonld_objects
 
 _S = T.StringType()
@@ -34,6 +35,10 @@ PAGE = T.StructType([
 ])
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
+#: Elements that a start tag ends when they are the innermost open one.
+_IMPLIED_END = {"li": {"p", "li"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"}, "tr": {"p", "td", "th", "tr"}, "option": {"option"},
+                **dict.fromkeys(["p", "div", "ul", "ol", "table", "section", "h1", "h2", "h3"], {"p"})}
+
 
 class _Page(HTMLParser):
     """One pass over a page: open elements form a stack that tells what is hidden or navigation."""
@@ -41,7 +46,8 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[dict] = []
-        self.text: list[str] = []
+        self.open: Counter[str] = Counter()  # open elements by tag
+        self.text: list[str] = []  # shown text; an element's text is what was added since it opened
         self.title: list[str] = []
         self.described: list[str] = []
         self.metas: list[str] = []
@@ -51,12 +57,14 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
+        while self.stack and self.stack[-1]["tag"] in _IMPLIED_END.get(tag, ()):
+            self._close()
         up = self.stack[-1] if self.stack else {}
         marks = f"{a.get('class', '')} {a.get('id', '')}".lower()
         style = a.get("style", "").replace(" ", "").lower()
         shut = up.get("shut") or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
         node = {
-            "tag": tag, "mute": up.get("mute") or tag in d.HIDDEN_TAGS, "shut": bool(shut), "text": [], "link": None, "row": None, "cell": None,
+            "tag": tag, "mute": up.get("mute") or tag in d.HIDDEN_TAGS, "shut": bool(shut), "from": len(self.text), "link": None, "row": up.get("row"), "cell": None,
             "nav": up.get("nav") or tag in {"header", "nav", "footer"} or any(t in marks for t in d.NAVIGATION_TOKENS),
             "ld": tag == "script" and "ld+json" in a.get("type", "").lower(), "body": up.get("body") or tag == "tbody"}
         if tag == "meta":
@@ -67,9 +75,8 @@ class _Page(HTMLParser):
             node["link"] = {"tag": tag, "href": a.get("href"), "src": a.get("src"), "type": a.get("type"), "rel": a.get("rel", "").lower(),
                             "text": "", "around": "", "nav": bool(node["nav"]), "hidden": node["shut"]}
             self.links.append(node["link"])
-            for row in [n["row"] for n in self.stack if n["row"] is not None][-1:]:
-                if tag == "a" and "href" in a:
-                    row["hrefs"].append(a["href"])
+            if node["row"] is not None and tag == "a" and "href" in a:
+                node["row"]["hrefs"].append(a["href"])
         if tag == "tr":
             node["row"] = {"cells": [], "data_cells": 0, "in_body": bool(node["body"]), "hrefs": [], "labels": [], "hidden": node["shut"]}
             self.rows.append(node["row"])
@@ -77,40 +84,43 @@ class _Page(HTMLParser):
             node["cell"] = tag
         if tag not in _VOID:
             self.stack.append(node)
+            self.open[tag] += 1
+
+    def _close(self):
+        node = self.stack.pop()
+        self.open[node["tag"]] -= 1
+        up = self.stack[-1] if self.stack else None
+        row = up["row"] if up is not None else None
+        named = row is not None and (node["cell"] or node["tag"] == "a")
+        if node["link"] is None and "around" not in node and not named:
+            return  # nobody asks for its text
+        words = " ".join(" ".join(self.text[node["from"]:]).split())
+        if node["link"] is not None:
+            node["link"]["text"] = words
+            if up is not None:
+                up.setdefault("around", []).append(node["link"])
+        for link in node.get("around", []):
+            link["around"] = words
+        if named and node["cell"]:
+            row["cells"].append(words)
+            row["data_cells"] += node["cell"] == "td"
+        elif named:
+            row["labels"].append(words)
 
     def handle_endtag(self, tag):
-        if not any(n["tag"] == tag for n in self.stack):
+        if not self.open[tag]:
             return
-        while self.stack:
-            node = self.stack.pop()
-            words = " ".join(" ".join(node["text"]).split())
-            up = self.stack[-1] if self.stack else None
-            if up is not None and not node["mute"]:
-                up["text"].append(words)
-            if node["link"] is not None:
-                node["link"]["text"] = words
-                if up is not None:
-                    up.setdefault("around", []).append(node["link"])
-            for link in node.get("around", []):
-                link["around"] = words
-            row = next((n["row"] for n in reversed(self.stack) if n["row"] is not None), None)
-            if node["cell"] and row is not None:
-                row["cells"].append(words)
-                row["data_cells"] += node["cell"] == "td"
-            if node["tag"] == "a" and row is not None:
-                row["labels"].append(words)
-            if node["tag"] == tag:
-                return
+        while self.stack[-1]["tag"] != tag:
+            self._close()
+        self._close()
 
     def handle_data(self, data):
         if self.stack and self.stack[-1]["ld"]:
             self.blocks.append(data)
         if self.stack and self.stack[-1]["mute"]:
             return
-        if self.stack:
-            self.stack[-1]["text"].append(data)
-            if self.stack[-1]["tag"] == "title":
-                self.title.append(data)
+        if self.stack and self.stack[-1]["tag"] == "title":
+            self.title.append(data)
         self.text.append(data)
 
 
@@ -120,15 +130,15 @@ def _read_page(html: str | None) -> dict | None:
     page = _Page()
     page.feed(html)
     page.close()
-    for node in [n["tag"] for n in reversed(page.stack)]:
-        page.handle_endtag(node)
+    while page.stack:
+        page._close()
     flat = lambda parts: " ".join(" ".join(parts).split())
     return {"title": flat(page.title), "text": flat(page.text), "head_text": flat([*page.title, *page.described]), "meta_text": flat(page.metas),
             "links": page.links, "json_ld": page.blocks, "rows": page.rows}
 
 
-def parse_pages(pages: DataFrame, html: str = "html", name: str = "page") -> DataFrame:
-    """Add the parsed page struct. Runs in Arrow batches; ``html`` is read whole."""
+def parse_pages(pages: DataFrame, html: str = "html", name: str = "page", tasks: int | None = None) -> DataFrame:
+    """Add the parsed page struct. Runs in Arrow batches; ``html`` is read whole. ``tasks`` deals the pages anew first."""
 
     fields = {f.name: f.dataType for f in pages.schema.fields}
     kept = [c for c in pages.columns if c != name]
@@ -140,7 +150,7 @@ def parse_pages(pages: DataFrame, html: str = "html", name: str = "page") -> Dat
             out[name] = pd.Series([_read_page(h) for h in batch[html]], index=batch.index, dtype=object)
             yield out
 
-    return spread_if_small(pages).mapInPandas(read, schema)
+    return dealt(pages, tasks).mapInPandas(read, schema)
 
 
 def visible_text(page: str = "page") -> Column:
@@ -320,10 +330,11 @@ def review_reasons(vendors: Column, feeds: Column, structured: Column, table_row
 def analyse_pages(pages: DataFrame, keep: list[str], url: str = "url", html: str = "html", page: str = "page") -> DataFrame:
     """One analysis row per parsed page: vendors, endpoints, feeds, structured rows, signals, class and reasons."""
 
+    pages = pages.withColumn("_objects", jsonld_objects(F.col(page)["json_ld"]))  # before the lambdas below, which can't hold its Python step
     p = F.col(page)
     rows = F.filter(p["rows"], lambda r: (F.size(r["cells"]) > 0) | (F.size(r["hrefs"]) > 0))
     in_body = F.filter(rows, lambda r: r["in_body"])
-    postings = F.filter(jsonld_objects(p["json_ld"]), lambda x: is_type(x))
+    postings = F.filter("_objects", lambda x: is_type(x))
     links = F.array_compact(F.array_distinct(F.transform(p["links"], lambda x: F.coalesce(x["href"], x["src"]))))
     feed_hit = lambda x: F.coalesce(
         x["href"].isNotNull() & x["tag"].isin("a", "link") & (urls.mime_type(F.coalesce(x["type"], F.lit(""))).isin(*d.FEED_MIME_TYPES) | F.lower(F.regexp_replace(x["href"], r"^https?://[^/]*|[?#].*$", "")).rlike(words_pattern(d.FEED_PATH_TOKENS))), F.lit(False))

@@ -170,7 +170,7 @@ def domain_audit(rows: DataFrame, sources: DataFrame, source: str, host: Column)
 
     from gleanery.functions.urls import host_under_any
 
-    joined = lookup_join(rows, sources.select(source, "domains"), source, "left", spread=[c for c in rows.columns if c != source])
+    joined = lookup_join(rows, sources.select(source, "domains"), source, "left")
     return joined.withColumn("domain_valid", F.coalesce(host_under_any(host, "domains"), F.lit(False))).drop("domains")
 
 

@@ -14,22 +14,22 @@ from gleanery.operators.gates import usable_leads
 from gleanery.scale import keep_first, lookup_join, rank_rows
 
 
-def fill_unknown(df: DataFrame, facts: DataFrame, key: str, columns: dict[str, str], spread: Sequence[str], unknown: str = d.UNKNOWN) -> DataFrame:
+def fill_unknown(df: DataFrame, facts: DataFrame, key: str, columns: dict[str, str], unknown: str = d.UNKNOWN) -> DataFrame:
     """Take a fact from the company table where the row says unknown (J1). ``columns``: row column -> fact column."""
 
     side = facts.select(key, *[F.col(f).alias(f"_f_{c}") for c, f in columns.items()])
-    joined = lookup_join(df, side, key, "left", spread=spread)
+    joined = lookup_join(df, side, key, "left")
     for c in columns:
         fact = F.nullif(F.col(f"_f_{c}"), F.lit(""))
         joined = joined.withColumn(c, F.when(F.col(c) == unknown, F.coalesce(fact, F.col(c))).otherwise(F.col(c))).drop(f"_f_{c}")
     return joined
 
 
-def with_source(df: DataFrame, sources: DataFrame, key: str, fallback: dict[str, Column], spread: Sequence[str]) -> DataFrame:
+def with_source(df: DataFrame, sources: DataFrame, key: str, fallback: dict[str, Column]) -> DataFrame:
     """Source configuration of each row, derived from the row itself when it has none."""
 
     side = sources.select(key, *[F.col(c).alias(f"_s_{c}") for c in fallback])
-    joined = lookup_join(df, side, key, "left", spread=spread)
+    joined = lookup_join(df, side, key, "left")
     for c, value in fallback.items():
         joined = joined.withColumn(c, F.coalesce(F.col(f"_s_{c}"), value)).drop(f"_s_{c}")
     return joined

@@ -8,15 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import ahocorasick
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery import defaults as d
 from gleanery.functions.text import name_key, text_key
 from gleanery.functions.urls import normalized_domain, stock_code
-from gleanery.scale import MAX_BROADCAST_ROWS, is_bounded, keep_first, lookup_join, spread_if_small
+from gleanery.scale import keep_first, lookup_join
 
 
 def exploded_keys(df: DataFrame, row: Sequence[str], keys: dict[str, Column]) -> DataFrame:
@@ -40,14 +38,14 @@ def match_by_names(rows: DataFrame, row: str, keys: Column, index: DataFrame, co
     """Row -> company: explicit id first, else its name keys; one match counts, several are a conflict."""
 
     long = rows.select(row, F.explode(F.array_distinct(keys)).alias("key")).filter("key != ''")
-    hits = lookup_join(long, index, "key", "inner", spread=[row])
+    hits = lookup_join(long, index, "key", "inner")
     by_name = hits.groupBy(row).agg(F.min("matched_company_id").alias("_low"), F.max("matched_company_id").alias("_high"))
     out = rows.join(by_name, row, "left")
     low, high = F.col("_low"), F.col("_high")
     given = F.lit(None).cast("string")
     if canonical and companies is not None:
         known = companies.select(F.col(company).alias(canonical)).distinct().withColumn("_given", F.col(canonical))
-        out = lookup_join(out, known, canonical, "left", spread=[row])
+        out = lookup_join(out, known, canonical, "left")
         given = F.col("_given")
     return (
         out.withColumn("matched_company_id", F.coalesce(given, F.when(low == high, low)))
@@ -62,7 +60,7 @@ def authority_candidates(matched: DataFrame, rank: str = "rank", prefix: str = "
     padded = F.lpad(F.col(rank).cast("string"), 3, "0")
     rows = matched.withColumn("candidate_id", F.coalesce(F.col("matched_company_id"), F.concat(F.lit(prefix), padded)))
     firsts = rows.groupBy("candidate_id").agg(F.min(rank).alias("_first"))
-    rows = lookup_join(rows, firsts, "candidate_id", "left", spread=[rank])
+    rows = lookup_join(rows, firsts, "candidate_id", "left")
     again = F.col(rank) > F.col("_first")
     status = F.when(F.col("matched_company_id").isNotNull(), "MATCHED_REGISTRY").otherwise("DISCOVERED")
     return (
@@ -89,7 +87,7 @@ def match_first_key(rows: DataFrame, row: str, keys: Sequence[Column], index: Da
 
     typed = F.array(*[F.struct(F.lit(i).alias("n"), k.alias("key")) for i, k in enumerate(keys)])
     long = rows.select(row, F.explode(typed).alias("t")).select(row, "t.n", "t.key").filter("key != ''")
-    hits = lookup_join(long, index, "key", "inner", spread=[row])
+    hits = lookup_join(long, index, "key", "inner")
     best = hits.groupBy(row).agg(F.min(F.struct("n", "matched_company_id"))["matched_company_id"].alias("matched_company_id"))
     return rows.join(best, row, "left")
 
@@ -101,7 +99,7 @@ def match_identity(candidates: DataFrame, companies: DataFrame, candidate: str =
     left = exploded_keys(candidates, [candidate], candidate_keys or candidate_key_columns())
     right = exploded_keys(companies, [company], company_keys or company_key_columns())
     index = right.groupBy("key_type", "key").agg(F.min(company).alias("_low"), F.max(company).alias("_high"))
-    hits = lookup_join(left, index, ["key_type", "key"], "inner", spread=[candidate])
+    hits = lookup_join(left, index, ["key_type", "key"], "inner")
     order = F.when(F.col("key_type") == "STOCK_CODE", 0).when(F.col("key_type") == "LEGAL_NAME_OR_ALIAS", 1).otherwise(2)
     found = hits.groupBy(candidate).agg(
         F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.min(F.struct(order.alias("n"), "key_type"))["key_type"].alias("_method"))
@@ -137,42 +135,16 @@ def company_key_columns() -> dict[str, Column]:
     }
 
 
-def longest_alias(texts: DataFrame, row: str, text: str, aliases: DataFrame, company: str = "company_id", alias: str = "alias",
-                  seq: str = "seq", max_aliases: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def longest_alias(texts: DataFrame, row: str, text: str, aliases: DataFrame, company: str = "company_id", alias: str = "alias", seq: str = "seq") -> DataFrame:
     """Longest alias found inside each text (J16, W12); ties go to the alias listed first.
 
-    Up to ``max_aliases`` proven rows become one automaton that every task runs over its texts. A longer list is
-    joined on the first characters of each alias instead, so neither way compares every text with every alias.
+    Pieces of the texts are joined on the first characters of the aliases, so no text is compared with every alias.
     """
 
     known = aliases.withColumn("key", text_key(alias)).filter(F.length("key") >= 2)
     known = keep_first(known.select("key", company, seq), ["key"], [F.col(seq).asc(), F.col(company).asc()])
-    rows = spread_if_small(texts.select(row, text)).select(row, text_key(text).alias("_text"))
-    if is_bounded(known, max_aliases):
-        listed = [tuple(r) for r in known.select("key", company, seq).collect()]  # at most max_aliases rows
-        found = _scan_aliases(rows, row, listed, known.schema[company].dataType.simpleString())
-    else:
-        found = _join_aliases(rows, row, known, company, seq)
-    return texts.join(found, row, "left")
-
-
-def _scan_aliases(rows: DataFrame, row: str, listed: list[tuple], id_type: str) -> DataFrame:
-    row_type = rows.schema[row].dataType.simpleString()
-    shared = rows.sparkSession.sparkContext.broadcast(listed)
-
-    def scan(batches):
-        tree = ahocorasick.Automaton()
-        for key, company, seq in shared.value:
-            tree.add_word(key, (len(key), -seq, key, company))
-        if shared.value:
-            tree.make_automaton()
-        for batch in batches:
-            best = [max((hit for _, hit in tree.iter(t)), default=None, key=lambda h: h[:2]) if shared.value else None for t in batch["_text"]]
-            keep = [i for i, b in enumerate(best) if b]
-            column = lambda values: pd.Series(list(values), dtype=object)
-            yield pd.DataFrame({row: column(batch[row].iloc[keep]), "matched_alias": column(best[i][2] for i in keep), "matched_company_id": column(best[i][3] for i in keep)})
-
-    return rows.mapInPandas(scan, f"`{row}` {row_type}, matched_alias string, matched_company_id {id_type}")
+    rows = texts.select(row, text_key(text).alias("_text"))
+    return texts.join(_join_aliases(rows, row, known, company, seq), row, "left")
 
 
 def _join_aliases(rows: DataFrame, row: str, known: DataFrame, company: str, seq: str) -> DataFrame:
@@ -190,10 +162,10 @@ def _join_aliases(rows: DataFrame, row: str, known: DataFrame, company: str, seq
     # a look-ahead gives the piece at every position in one pass over the text
     pieces = F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{width},{span['high']}}}))"), F.lit(1))
     starts = rows.select(row, F.explode(F.array_distinct(pieces)).alias("_tail"))
-    sized = lookup_join(starts.withColumn("_head", F.substring("_tail", 1, width)), heads, "_head", "inner", spread=[row, "_tail"])
+    sized = lookup_join(starts.withColumn("_head", F.substring("_tail", 1, width)), heads, "_head", "inner")
     parts = sized.select(row, "_tail", F.explode("_sizes").alias("_n")).filter(F.length("_tail") >= F.col("_n"))
     parts = parts.select(row, F.substring("_tail", F.lit(1), F.col("_n")).alias("key")).distinct()
-    hits = lookup_join(parts, known.select("key", company, seq), "key", "inner", spread=[row])
+    hits = lookup_join(parts, known.select("key", company, seq), "key", "inner")
     best = keep_first(hits, [row], [F.length("key").desc(), F.col(seq).asc()])
     return best.select(row, F.col("key").alias("matched_alias"), F.col(company).alias("matched_company_id"))
 
@@ -208,8 +180,8 @@ def central_group_labels(candidates: DataFrame, groups: DataFrame, companies: Da
     parents = companies.select(
         F.col("company_id").alias("matched_company_id"), F.col("parent_group_id").alias("_parent"), F.col("ownership_class").alias("_class"),
         (F.coalesce(F.size("ownership_evidence_urls"), F.lit(0)) > 0).alias("_proven"))
-    rows = lookup_join(candidates.withColumn("key", name_key("legal_name")), index, "key", "left", spread=[candidate]).drop("key")
-    rows = lookup_join(rows, parents, "matched_company_id", "left", spread=[candidate])
+    rows = lookup_join(candidates.withColumn("key", name_key("legal_name")), index, "key", "left").drop("key")
+    rows = lookup_join(rows, parents, "matched_company_id", "left")
     child = F.col("_parent").isNotNull() & F.coalesce(F.col("_proven"), F.lit(False))
     local = F.upper(F.coalesce(F.col("_class"), F.lit(""))) == "LOCAL_STATE_OWNED"
     ownership = (

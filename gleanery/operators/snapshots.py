@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery import defaults as d
-from gleanery.scale import keep_first, lag_rows, lookup_join, streak_rows
+from gleanery.scale import keep_first, lag_rows, lookup_join, rank_rows, streak_rows
 
 
 def snapshot_diff(previous: DataFrame, current: DataFrame, keys: Sequence[str], content: str) -> DataFrame:
@@ -49,7 +49,7 @@ def advance_lifecycle(
     )
     old = previous.select(source, key, F.struct(*names).alias("_o"))
     new = current.select(source, key, F.struct(*names).alias("_c"))
-    both = lookup_join(old.join(new, [source, key], "full_outer"), flags, source, "left", spread=[key])
+    both = lookup_join(old.join(new, [source, key], "full_outer"), flags, source, "left")
     o, c = F.col("_o"), F.col("_c")
     keep = F.coalesce("_keep", F.lit(True))
 
@@ -98,8 +98,8 @@ def reuse_unmodified(log: DataFrame, previous: DataFrame, source: str = "source_
 def current_or_previous(current: DataFrame, previous: DataFrame, log: DataFrame, source: str = "source_id") -> DataFrame:
     """Rows to treat as the current snapshot: the old ones for reused sources, the fetched ones for the rest."""
 
-    reused = log.filter("reuse_previous").select(source)
-    return current.join(reused, source, "left_anti").unionByName(previous.join(reused, source, "left_semi"))
+    reused = log.filter("reuse_previous").select(source).distinct()
+    return lookup_join(current, reused, source, "left_anti").unionByName(lookup_join(previous, reused, source, "left_semi"))
 
 
 def merge_validators(old: DataFrame, new: DataFrame, source: str = "source_id",
@@ -192,9 +192,11 @@ def merge_processed(old: DataFrame, new: DataFrame, keys: Sequence[str], seq: Se
 def saturation(runs: DataFrame, run: str, added: str, cycles: int = 2) -> DataFrame:
     """Runs after which ``cycles`` runs in a row brought nothing new (T8). One row per run."""
 
-    frame = Window.orderBy(run).rowsBetween(-(cycles - 1), 0)  # the run table has one row per scheduled run
-    quiet = (F.sum(added).over(frame) == 0) & (F.count("*").over(frame) == cycles)
-    return runs.withColumn("saturated", quiet)
+    ranked = rank_rows(runs, [F.col(run).asc()], rank="_place")
+    reach = ranked.select(F.explode(F.sequence(F.col("_place"), F.col("_place") + cycles - 1)).alias("_place"), F.col(added).alias("_added"))
+    seen = reach.groupBy("_place").agg(F.sum("_added").alias("_sum"), F.count("*").alias("_runs"))
+    quiet = (F.col("_sum") == 0) & (F.col("_runs") == cycles)
+    return ranked.join(seen, "_place").withColumn("saturated", quiet).select(*runs.columns, "saturated")
 
 
 def stage_events(log: DataFrame, keys: Sequence[str], order: Sequence[Column], stage: str = "stage",

@@ -56,7 +56,7 @@ def with_source_columns(raw: DataFrame, sources: DataFrame) -> DataFrame:
 
     side = sources.select("source_id", F.col("source_url").alias("_reviewed_url"), gates.allowed_domains(
         F.col("apply_domain"), F.col("apply_domains"), F.col("ats_host")).alias("_domains"), F.col("source_level").alias("_level"))
-    rows = lookup_join(raw, side, "source_id", "left", spread=["apply_url", "title"])
+    rows = lookup_join(raw, side, "source_id", "left")
     return rows.withColumns({
         "_reviewed_url": F.coalesce("_reviewed_url", "source_url"),
         "_domains": F.coalesce("_domains", F.array(urls.url_host("source_url"))),
@@ -105,7 +105,7 @@ def build_catalog(
 
     spark, at = raw.sparkSession, F.lit(now).cast("timestamp")
     if companies is not None:
-        raw = reports.fill_unknown(raw, companies, "company_id", {"company_industry": "industry", "company_type": "type", "company_scale": "scale"}, ["apply_url", "title"])
+        raw = reports.fill_unknown(raw, companies, "company_id", {"company_industry": "industry", "company_type": "type", "company_scale": "scale"})
     normal, rejects = normalise(raw, sources, at)
     # read by the quality report, the counts and the merge; written once, so every reader sees the same rows
     # the two Python steps (text cleaning, major terms) are planned apart: Spark 4.1 fails to extract the second one from

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.urls import host_under_any, url_host
-from gleanery.operators.dedup import latest_per_key
 from gleanery.operators.quality import is_count_drop, whole_median
 from gleanery.operators.snapshots import recent_counts
 
@@ -17,15 +16,13 @@ from gleanery.operators.snapshots import recent_counts
 def run_quality(rows: DataFrame, source: str, run: str, key: str, stamp: str, seq: str, valid: Column, share: float = 0.5) -> DataFrame:
     """Quality per (source, run): raw, unique, duplicates, completeness, baseline of the last three runs and drop flag.
 
-    The latest row per (source, run, id) is chosen on the map side; one shuffle by that key serves it, a second one adds
-    up (source, run).
+    One aggregate per (source, run, id), combined before its shuffle, counts the copies and keeps the newest one's validity (ties: the
+    smallest arrival number ``seq``); a second one adds up (source, run).
     """
 
-    raw = rows.groupBy(source, run, key).agg(F.count("*").alias("copies"))
-    latest = latest_per_key(rows, [source, run, key], stamp, [seq]).select(source, run, key, valid.alias("ok"))
-    per_run = latest.groupBy(source, run).agg(F.count("*").alias("unique_rows"), F.count_if("ok").alias("valid_rows"))
-    totals = raw.groupBy(source, run).agg(F.sum("copies").alias("raw_rows"))
-    joined = totals.join(per_run, [source, run])
+    newest = F.max_by(F.struct(valid.alias("ok")), F.struct(F.col(stamp), -F.col(seq)))
+    per_id = rows.groupBy(source, run, key).agg(F.count("*").alias("copies"), newest.alias("newest"))
+    joined = per_id.groupBy(source, run).agg(F.sum("copies").alias("raw_rows"), F.count("*").alias("unique_rows"), F.count_if("newest.ok").alias("valid_rows"))
     judged = recent_counts(joined, [source], run, "unique_rows").withColumn("baseline", whole_median(F.col("recent")))
     return judged.select(
         source, run, "raw_rows", "unique_rows", (F.col("raw_rows") - F.col("unique_rows")).alias("duplicate_rows"),

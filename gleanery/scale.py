@@ -7,9 +7,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_BROADCAST_ROWS = 100_000
-SALTS = 16
+MAX_BROADCAST_BYTES = 64 << 20
+LOOKUP_JOINS = ("inner", "left", "left_semi", "left_anti")
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
@@ -35,51 +37,35 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_bounded(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> bool:
-    """True when the frame is proven to hold at most ``limit`` rows (reads no further than that)."""
+def is_bounded(df: DataFrame, limit: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """True when the frame is proven to hold at most ``limit`` rows of at most ``max_bytes`` in all (reads no further than that)."""
 
-    return df.limit(limit + 1).count() <= limit
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) if _as_text(f.dataType) else F.lit(16) for f in df.schema.fields), F.lit(0))
+    seen = df.limit(limit + 1).agg(F.count("*").alias("n"), F.sum(width.cast("long")).alias("size")).first()
+    return seen["n"] <= limit and (seen["size"] or 0) <= max_bytes
 
 
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: str | Sequence[str],
-    how: str = "left",
-    spread: str | Sequence[str] | None = None,
-    max_rows: int = MAX_BROADCAST_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join facts to a lookup with one row per key.
+def _as_text(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.StringType, T.ArrayType, T.MapType, T.StructType, T.VariantType))
+
+
+def lookup_join(facts: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "left", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Join facts to a lookup with one row per key; both ways give the same rows.
 
-    A lookup proven small is broadcast. A larger one is shuffled; with ``spread`` (columns that differ
-    between the rows of a hot key) each key is first divided over ``salts`` slices, so a key holding a
-    third of the facts is read by many tasks. Salts come from a hash, so a retried task repeats them.
+    A lookup proven small, in rows and bytes, is broadcast. A larger one is shuffled, and the facts of a hot key are split over tasks
+    by the engine's skew join, which may split the facts' side in all the joins allowed here.
     """
 
+    if how not in LOOKUP_JOINS:
+        raise ValueError(f"{how} is no lookup join; use one of {', '.join(LOOKUP_JOINS)}")
     keys = [on] if isinstance(on, str) else list(on)
-    if is_bounded(lookup, max_rows):
-        return facts.join(F.broadcast(lookup), keys, how)
-    if spread is None:
-        return facts.join(lookup, keys, how)
-    columns = [spread] if isinstance(spread, str) else list(spread)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return facts.join(F.broadcast(lookup) if is_bounded(lookup, max_rows) else lookup, keys, how)
 
 
-def spread_if_small(df: DataFrame) -> DataFrame:
-    """Give costly row work a task per core when the input is too small to fill the cluster by itself.
-
-    A few large row groups otherwise end in as few tasks. Inputs of at least one full split per core stay as they are, so
-    large scans are never shuffled for this.
-    """
+def dealt(df: DataFrame, tasks: int | None) -> DataFrame:
+    """The rows dealt to ``tasks`` partitions, for costly row work on few input splits; as they are without it."""
 
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * split else df
+    return df.repartition(tasks) if tasks else df
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,8 +69,32 @@ def unwrap(df: DataFrame, body: str, item: str = "item", found: str = "found") -
         "*", F.posexplode_outer("_rows").alias("item_no", item)).drop("_rows")
 
 
+def _rows_at_any_depth(keys: tuple[str, ...]):
+    """Objects in known lists of each payload: an envelope's own lists first, then the envelopes inside it, in key order."""
+
+    def walk(text):
+        root = json.loads(text)
+        found, todo = (list(root), []) if isinstance(root, list) else ([], [root])
+        while todo:
+            value = todo.pop()
+            known = [value[k] for k in keys if k in value]
+            for item in known:
+                found += item if isinstance(item, list) else []
+            todo += [item for item in reversed(known) if isinstance(item, dict)]
+        return [json.dumps(x, ensure_ascii=False) for x in found if isinstance(x, dict)]
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def rows(payloads: pd.Series) -> pd.Series:
+        return payloads.map(walk, na_action="ignore")
+
+    return rows
+
+
 def all_directory_rows(payload: Column, keys=tuple(d.DIRECTORY_LIST_KEYS)) -> Column:
-    """Every object in every known list, in the envelope and in the envelopes one level inside: hits are joined."""
+    """Every object in every known list, in the envelope and in the envelopes inside it, to any depth: hits are joined.
+
+    Two levels are read on the JVM; only payloads with an envelope below them are walked in Python.
+    """
 
     empty = F.array().cast(ROWS)
     at = lambda m, read: F.filter(F.transform(texts(keys), lambda k: read(F.try_element_at(m, k))), lambda x: x.isNotNull())
@@ -76,8 +103,12 @@ def all_directory_rows(payload: Column, keys=tuple(d.DIRECTORY_LIST_KEYS)) -> Co
     def rows(m):
         return F.concat(lists(m), F.flatten(F.transform(at(m, fields_of), lambda x: lists(x))))
 
+    # two envelopes in one payload may lie in one another; the walk decides
+    body, envelope = payload.cast("string"), rf'"(?:{"|".join(re.escape(k) for k in keys)})":\{{'
+    deeper = body.rlike(rf"(?s){envelope}.*{envelope}")
+    walked = F.transform(_rows_at_any_depth(tuple(keys))(F.when(deeper, body)), lambda x: F.parse_json(x))
     every = let(payload, lambda v: F.coalesce(list_of(v), let(fields_of(v), rows), empty))
-    return F.filter(every, is_object)
+    return F.coalesce(walked, F.filter(every, is_object))
 
 
 def first_field(item: Column, *keys: str) -> Column:
@@ -124,14 +155,38 @@ def payload_kind(content_type: str | Column, body: str | Column) -> Column:
     return F.when(json, F.lit("json")).otherwise(F.lit("html"))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _graphs_at_any_depth(blocks: pd.Series) -> pd.Series:
+    def walk(texts_):
+        found = []
+        for text in texts_:
+            try:
+                todo = [json.loads(text)]
+            except (TypeError, ValueError):
+                continue
+            while todo:
+                value = todo.pop()
+                if isinstance(value, list):
+                    todo += reversed(value)
+                elif isinstance(value, dict):
+                    todo.append(value["@graph"]) if value.get("@graph") is not None else found.append(value)
+        return [json.dumps(x, ensure_ascii=False) for x in found]
+
+    return blocks.map(walk, na_action="ignore")
+
+
 def jsonld_objects(blocks: Column) -> Column:
-    """JSON-LD script texts to their objects, ``@graph`` lists opened (two levels)."""
+    """JSON-LD script texts to their objects, ``@graph`` lists opened to any depth (the first two levels on the JVM)."""
 
+    graph = lambda v: F.try_variant_get(v, "$['@graph']", "variant")
     as_list = lambda v: F.coalesce(list_of(v), F.array(v))
     level = F.flatten(F.transform(F.filter(F.transform(blocks, lambda b: F.try_parse_json(b)), lambda v: v.isNotNull()), as_list))
     for _ in range(2):
-        level = F.flatten(F.transform(level, lambda v: as_list(F.coalesce(F.try_variant_get(v, "$['@graph']", "variant"), v))))
-    return F.filter(level, is_object)
+        level = F.flatten(F.transform(level, lambda v: as_list(F.coalesce(graph(v), v))))
+    graphs = r'"@graph"\s*:'
+    deeper = F.array_join(blocks, " ").rlike(rf"(?s){graphs}.*{graphs}.*{graphs}|\[\s*\[")
+    walked = F.transform(_graphs_at_any_depth(F.when(deeper, blocks)), lambda x: F.parse_json(x))
+    return F.coalesce(walked, F.filter(level, is_object))
 
 
 def is_type(item: Column, name: str = "jobposting") -> Column:
@@ -143,35 +198,28 @@ def is_type(item: Column, name: str = "jobposting") -> Column:
     return F.coalesce(F.exists(many, lambda t: t.rlike(pattern)), one.rlike(pattern), F.lit(False))
 
 
+_LITERAL_TOKENS = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\Z)|\'(?:[^\'\\]|\\.)*+(?:\'|\Z)|[{}]', re.S)
+
+
 @F.pandas_udf(T.StringType())
-def _balanced_object(texts: pd.Series) -> pd.Series:
-    """Text from the opening brace to its partner; quotes and escapes are respected."""
+def _object_literal(texts_: pd.Series) -> pd.Series:
+    """Each text up to the brace that closes its first one. Strings are whole tokens, so braces in them do not count."""
 
     def cut(text):
-        if not text or text[0] != "{":
-            return None
-        depth, quote, skip = 0, "", False
-        for at, ch in enumerate(text):
-            if skip:
-                skip = False
-            elif quote:
-                skip = ch == "\\"
-                quote = "" if ch == quote else quote
-            elif ch in "\"'":
-                quote = ch
-            elif ch in "{}":
-                depth += 1 if ch == "{" else -1
-                if not depth:
-                    return text[: at + 1]
+        level = 0
+        for token in _LITERAL_TOKENS.finditer(text):
+            level += {"{": 1, "}": -1}.get(token[0], 0)
+            if not level:
+                return text[: token.end()]
         return None
 
-    return texts.map(cut)
+    return texts_.map(cut, na_action="ignore")
 
 
-def assigned_object(text: str | Column, name: str, limit: int = 200_000) -> Column:
+def assigned_object(text: str | Column, name: str) -> Column:
     """Object literal assigned to a script variable, as VARIANT; braces are matched, nothing is evaluated."""
 
     tail = F.regexp_extract(lit_or_col(text), rf"(?is)(?:window\.)?{name}\s*=\s*(\{{.*)$", 1)
-    literal = _balanced_object(F.nullif(F.substring(tail, 1, limit), F.lit("")))
+    literal = _object_literal(F.nullif(tail, F.lit("")))
     read = lambda x: F.coalesce(F.try_parse_json(x), F.try_parse_json(F.replace(x, F.lit("'"), F.lit('"'))))
     return let(read(literal), lambda v: F.when(is_object(v), v))

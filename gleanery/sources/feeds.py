@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 from urllib.parse import urljoin
 from xml.etree import ElementTree
 
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 
 from gleanery import defaults as d
 from gleanery.functions.dates import feed_date
-from gleanery.scale import spread_if_small
+from gleanery.scale import dealt, lookup_join
 
 # --- fixed values: element names of a feed row, in the order they are tried --------------------------------
 FEED_FIELDS = {
@@ -26,16 +28,36 @@ FEED_FIELDS = {
     "department": ["department", "team", "category"],
 }
 LINK_FIELDS = ["applyUrl", "apply_url", "applicationUrl", "url", "link", "hostedUrl"]
+_LOCAL_NAME = re.compile(r"[^}:]*$")
 ROW = T.StructType([T.StructField(f, T.StringType()) for f in [*FEED_FIELDS, "url"]])
 FEED = T.StructType([T.StructField("valid_xml", T.BooleanType()), T.StructField("record_count", T.IntegerType()), T.StructField("rows", T.ArrayType(ROW))])
 
 
-def _tag(node) -> str:
-    return str(node.tag).rsplit("}", 1)[-1].split(":")[-1].lower()
+def _children(record) -> dict[str, list]:
+    """Descendants of a record by local name in lower case, in document order."""
 
+    named: dict[str, list] = {}
+    for node in itertools.islice(record.iter(), 1, None):
+        named.setdefault(_LOCAL_NAME.search(str(node.tag))[0].lower(), []).append(node)
+    return named
 
-def _words(node) -> str:
-    return " ".join(part.strip() for part in node.itertext() if part.strip())
+
+def _text(node) -> str:
+    return " ".join(" ".join(node.itertext()).split())
+
+
+def _record(node, base: str) -> dict:
+    """Column values of one record: the first element in the document with one of a column's names and a text wins."""
+
+    named = _children(node)
+    place = {id(n): i for i, n in enumerate(node.iter())}
+
+    def first(names, read):
+        nodes = sorted((n for name in {x.lower() for x in names} for n in named.get(name, ())), key=lambda n: place[id(n)])
+        return next(filter(None, map(read, nodes)), None)
+
+    href = first(LINK_FIELDS, lambda n: (n.get("href") or n.get("url") or _text(n)).strip())
+    return {**{column: first(names, _text) for column, names in FEED_FIELDS.items()}, "url": href and urljoin(base, href)}
 
 
 def _read_feed(xml: str | None, base: str | None) -> dict:
@@ -45,21 +67,10 @@ def _read_feed(xml: str | None, base: str | None) -> dict:
         root = ElementTree.fromstring(xml or "")
     except (ElementTree.ParseError, ValueError):
         return {"valid_xml": False, "record_count": 0, "rows": []}
-
-    def field(node, names):
-        wanted = {n.lower() for n in names}
-        return next((w for c in node.iter() if c is not node and _tag(c) in wanted and (w := _words(c))), None)
-
-    def link(node):
-        wanted = {n.lower() for n in LINK_FIELDS}
-        found = ((c.get("href") or c.get("url") or _words(c)).strip() for c in node.iter() if c is not node and _tag(c) in wanted)
-        return next((urljoin(base or "", f) for f in found if f), None)
-
-    records = [n for n in root.iter() if _tag(n) in d.FEED_RECORD_TAGS]
-    if not records:
-        records = [n for n in root if field(n, ["title", "name"]) and link(n)]
-    rows = [{**{f: field(n, names) for f, names in FEED_FIELDS.items()}, "url": link(n)} for n in records]
-    return {"valid_xml": True, "record_count": len(records), "rows": [r for r in rows if r["title"] and r["url"]]}
+    tagged = [n for n in root.iter() if _LOCAL_NAME.search(str(n.tag))[0].lower() in d.FEED_RECORD_TAGS]
+    rows = [_record(n, base or "") for n in tagged or root]
+    usable = [r for r in rows if r["title"] and r["url"]]
+    return {"valid_xml": True, "record_count": len(tagged or usable), "rows": usable}
 
 
 @F.pandas_udf(FEED)
@@ -67,10 +78,10 @@ def read_feed(bodies: pd.Series, bases: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_read_feed(x, b) for x, b in zip(bodies, bases)], columns=["valid_xml", "record_count", "rows"])
 
 
-def feed_rows(bodies: DataFrame, keep: list[str], body: str = "body", base: str = "base_url") -> DataFrame:
+def feed_rows(bodies: DataFrame, keep: list[str], body: str = "body", base: str = "base_url", tasks: int | None = None) -> DataFrame:
     """One row per usable record of each stored feed body."""
 
-    parsed = spread_if_small(bodies).withColumn("feed", read_feed(F.col(body), F.col(base)))
+    parsed = dealt(bodies, tasks).withColumn("feed", read_feed(F.col(body), F.col(base)))
     long = parsed.select(*keep, F.posexplode("feed.rows").alias("row_no", "r"))
     return long.select(
         *keep, "row_no", F.coalesce("r.id", "r.url").alias("id"), "r.title", F.coalesce("r.description", F.lit("")).alias("description"),
@@ -78,10 +89,10 @@ def feed_rows(bodies: DataFrame, keep: list[str], body: str = "body", base: str
         feed_date("r.published").alias("published_at"), feed_date("r.deadline").alias("deadline"), F.coalesce("r.department", F.lit("")).alias("department"))
 
 
-def feed_counts(bodies: DataFrame, keep: list[str], body: str = "body", base: str = "base_url") -> DataFrame:
+def feed_counts(bodies: DataFrame, keep: list[str], body: str = "body", base: str = "base_url", tasks: int | None = None) -> DataFrame:
     """Record and usable-row counts per body."""
 
-    parsed = spread_if_small(bodies).withColumn("feed", read_feed(F.col(body), F.col(base)))
+    parsed = dealt(bodies, tasks).withColumn("feed", read_feed(F.col(body), F.col(base)))
     return parsed.select(*keep, "feed.valid_xml", "feed.record_count", F.size("feed.rows").alias("usable_rows"))
 
 
@@ -118,7 +129,7 @@ def paging_state(pages: DataFrame, source: str = "source_id") -> DataFrame:
 def complete_rows(rows: DataFrame, state: DataFrame, source: str = "source_id") -> DataFrame:
     """Rows of whole feeds only: a part of a feed is never published."""
 
-    return rows.join(state.filter("not complete").select(source), source, "left_anti")
+    return lookup_join(rows, state.filter("not complete").select(source).distinct(), source, "left_anti")
 
 
 def parse_health(sources: DataFrame, rows: DataFrame, in_scope: Column, valid: Column, source: str = "source_id") -> DataFrame:

@@ -16,6 +16,7 @@ from gleanery.functions.rules import reason_list
 from gleanery.functions.text import SPACE, blank_to_null, bounded_text, clean_list, clean_text, name_key, nfkc
 from gleanery.operators.gates import GateFailed, dense_rank_check, exact_or_mixed
 from gleanery.scale import keep_first, materialize
+from gleanery.sources import envelopes
 
 CORRUPT = "_corrupt_record"
 
@@ -276,3 +277,17 @@ def directory_candidates(rows: DataFrame, authority: str, source_url: str, seq:
     return first.select(
         ids.candidate_id("name").alias("candidate_id"), F.trim("name").alias("name"), "normalized_name", F.array(F.lit(authority)).alias("authority_ids"),
         F.array(F.lit(source_url)).alias("source_urls"), "stock_codes", F.col("market").alias("listing_market"), F.lit("DISCOVERED").alias("discovery_status"), *seq)
+
+
+def directory_rows(bodies: DataFrame, body: str, keep: Sequence[str]) -> DataFrame:
+    """Companies in stored directory payloads (P31): objects of known lists at any depth, their name, stock codes and market by alias.
+
+    Rows without a name are left out; ``keep`` and ``row_no`` tell where a row came from.
+    """
+
+    items = bodies.select(*keep, F.posexplode(envelopes.all_directory_rows(F.try_parse_json(F.col(body)))).alias("row_no", "_item"))
+    code = urls.stock_code(envelopes.first_field(F.col("_item"), *d.COMPANY_CODE_KEYS))
+    rows = items.select(
+        *keep, "row_no", envelopes.first_field(F.col("_item"), *d.COMPANY_NAME_KEYS).alias("name"), F.array_compact(F.array(code)).alias("stock_codes"),
+        envelopes.first_field(F.col("_item"), *d.COMPANY_MARKET_KEYS).alias("market"))
+    return rows.filter("name is not null")

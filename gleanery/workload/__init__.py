@@ -17,6 +17,11 @@ class Tables:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root
 
+    @property
+    def tasks(self) -> int:
+        """Partitions for costly row work on the small shared tables."""
+        return self.spark.sparkContext.defaultParallelism
+
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self.root, name)
 

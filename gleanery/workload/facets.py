@@ -21,7 +21,7 @@ def f18(t):
       and o_orderdate >= '1998-01-01' and o_orderdate <= '2000-12-31' and o_totalprice >= 10000 and c_acctbal > 0""")
 def f19(t):
     comp = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment", "c_acctbal")
-    rows = facets.with_company(t.orders, comp, "o_custkey", ["o_orderkey"])
+    rows = facets.with_company(t.orders, comp, "o_custkey")
     out = facets.facet_filter(rows, {"o_orderstatus": ["O"]}, {"o_orderdate": ("1998-01-01", "2000-12-31"), "o_totalprice": (10000, None)}, " HIGH Customer#00000", ["o_orderpriority", "c_name", "c_mktsegment"], F.col("c_acctbal") > 0)
     return out.select("o_orderkey")
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import rules, urls
 from gleanery.functions.audience import assess
 from gleanery.operators import facets, gates, pages
-from gleanery.scale import spread_if_small
+from gleanery.scale import dealt
 from gleanery.workload import query
 
 HOST = r"regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)"
@@ -73,7 +73,7 @@ def f8(t):
 @query("F11_audience_gate")
 def f11(t):
     empty = F.array().cast("array<string>")
-    rows = spread_if_small(t.documents).select("doc_id", F.col("source").alias("title"), F.lit("其他").alias("role_category"), empty.alias("major_tags"), F.array("text").alias("requirements"), F.lit("").alias("description"))
+    rows = dealt(t.documents, t.tasks).select("doc_id", F.col("source").alias("title"), F.lit("其他").alias("role_category"), empty.alias("major_tags"), F.array("text").alias("requirements"), F.lit("").alias("description"))
     return assess(rows).select("doc_id", "audience.decision", F.array_join("audience.reason_codes", ",").alias("reasons"), F.array_join("audience.matched_terms", ",").alias("terms"))
 
 

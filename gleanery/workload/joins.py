@@ -15,7 +15,7 @@ PART_KEYS = "lower(regexp_replace(p_name, '[^0-9A-Za-z]', '', 'g'))"
 def j1(t):
     rows = t.orders.select("o_orderkey", F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("priority"))
     facts = t.customer.select(F.col("c_custkey").alias("k"), "c_mktsegment")
-    return reports.fill_unknown(rows, facts, "k", {"priority": "c_mktsegment"}, ["o_orderkey"], "4-NOT SPECIFIED").select("o_orderkey", "priority")
+    return reports.fill_unknown(rows, facts, "k", {"priority": "c_mktsegment"}, "4-NOT SPECIFIED").select("o_orderkey", "priority")
 
 
 @query("J2_source_or_fallback", """
@@ -23,7 +23,7 @@ def j1(t):
 def j2(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     sources = t.supplier.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("source_name"))
-    out = reports.with_source(rows, sources, "l_suppkey", {"source_name": F.concat(F.lit("fixture-"), F.col("l_suppkey"))}, ["l_orderkey", "l_linenumber"])
+    out = reports.with_source(rows, sources, "l_suppkey", {"source_name": F.concat(F.lit("fixture-"), F.col("l_suppkey"))})
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "source_name")
 
 
@@ -213,7 +213,7 @@ def j16(t):
 
 @query("J16_longest_alias_by_join", LONGEST)
 def j16_join(t):
-    out = resolve.longest_alias(t.documents.select("doc_id", "text"), "doc_id", "text", phrases(t), max_aliases=5)
+    out = resolve.longest_alias(t.documents.select("doc_id", "text"), "doc_id", "text", phrases(t))
     return out.select("doc_id", F.coalesce("matched_company_id", F.lit(-1).cast("bigint")).alias("matched_company_id"))
 
 
@@ -297,6 +297,20 @@ def p31(t):
     return out.select("candidate_id", "normalized_name", F.col("p_partkey").alias("first_row"))
 
 
+@query("P31_directory_from_json", """
+    with k as (select p_partkey, p_name, replace(p_name, ' ', '') as key, row_number() over (partition by p_name order by p_partkey) rn from part where p_size <> 7)
+    select 'candidate-' || substr(sha256(key), 1, 12) as candidate_id, key as normalized_name, p_partkey as first_row, lpad(p_partkey::varchar, 6, '0') as code, case when p_partkey % 2 = 0 then 'SSE' else '-' end as market from k where rn = 1""")
+def p31_json(t):
+    """Payloads with the rows three levels down, under changing field names; a part of size 7 has no name."""
+    name = F.element_at(F.array(*[F.lit(x) for x in ("companyName", "证券简称", "FULL_NAME", "简称")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    market = F.when(F.col("p_partkey") % 2 == 0, ',"exchange":"SSE"').otherwise("")
+    named = F.when(F.col("p_size") == 7, "").otherwise(F.concat(F.lit(',"'), name, F.lit('":"'), "p_name", F.lit('"')))
+    body = F.concat(F.lit('{"data":{"result":{"items":[{"股票代码":"'), "p_partkey", F.lit('"'), named, market, F.lit("}]}}}"))
+    rows = registry.directory_rows(t.part.select("p_partkey", body.alias("body")), "body", ["p_partkey"])
+    out = registry.directory_candidates(rows, "exchange", "https://list.example.com", ["p_partkey"])
+    return out.select("candidate_id", "normalized_name", F.col("p_partkey").alias("first_row"), F.get("stock_codes", F.lit(0)).alias("code"), F.coalesce("listing_market", F.lit("-")).alias("market"))
+
+
 @query("J17_audience_violations")
 def j17(t):
     details = t.part.filter("p_size <> 7").select(F.col("p_partkey").alias("id"), F.concat(F.col("p_name"), F.lit(" marketing")).alias("title"), F.when(F.col("p_type") == "PROMO", "设计").otherwise("其他").alias("role_category"),

@@ -1,10 +1,13 @@
 """Envelopes, record mapping and sanitizers. Items are JSON built from the shared tables, so their number grows with them."""
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.functions import urls
+from gleanery.scale import ensure_checkpoint_dir
 from gleanery.sources import envelopes, feeds, records, registry, sinks
 from gleanery.workload import query
 
@@ -47,6 +50,18 @@ def s7(t):
     return t.events.select("event_id", F.size(rows).alias("rows"), total.alias("total"))
 
 
+@query("S7_deep_envelopes", """
+    select event_id, case when event_id % 2 = 0 then 6 else 2 end as rows, cast(case when event_id % 2 = 0 then 6 else 2 end * cast(json_extract(props, '$.k') as bigint) as bigint) as total from events""")
+def s7_deep(t):
+    """Envelopes three to five levels deep, beside lists on the way."""
+    shallow = '{"data":{"result":{"items":[{0},{0}]}}}'
+    deep = '{"data":{"items":[{0}],"result":{"data":{"rows":[{0},{0},7],"result":{"list":[{0},{0},{0}]}}}}}'
+    body = F.replace(F.when(F.col("event_id") % 2 == 0, deep).otherwise(shallow), F.lit("{0}"), F.col("props"))
+    rows = envelopes.all_directory_rows(F.try_parse_json(body))
+    total = F.aggregate(rows, F.lit(0).cast("bigint"), lambda acc, x: acc + F.try_variant_get(x, "$.k", "bigint"))
+    return t.events.select("event_id", F.size(rows).alias("rows"), total.alias("total"))
+
+
 @query("S8_S12_page_meta", """
     select event_id, event_id % 500 as total, case when event_id % 2 = 0 then 20 else -1 end as page_size, case when event_id % 3 = 0 then 2 else 0 end as items, case when event_id % 3 = 0 then event_id % 500 else -1 end as listing_total from events""")
 def s8(t):
@@ -60,13 +75,18 @@ def s8(t):
 
 
 @query("S1_json_rows_and_rejects", """
-    select event_type, count(*) filter (where event_id % 7 <> 3) as good, count(*) filter (where event_id % 7 = 3) as rejected, cast(sum(case when event_id % 7 <> 3 then cast(json_extract(props, '$.k') as bigint) end) as bigint) as total from events group by 1""")
+    select event_type, count(*) filter (where event_id % 7 not in (3, 5)) as good, cast(sum(case when event_id % 7 not in (3, 5) then cast(json_extract(props, '$.k') as bigint) end) as bigint) as total, 0 as rejected from events group by 1
+    union all select 'rejects', 0, 0, count(*) from events where event_id % 7 in (3, 5)""")
 def s1(t):
-    body = F.when(F.col("event_id") % 7 == 3, F.replace("props", F.lit("}"), F.lit(""))).otherwise(F.col("props"))
-    parsed = F.from_json(body, "k bigint, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    rows = t.events.select("event_type", parsed.alias("r"))
-    bad = F.col("r._corrupt_record").isNotNull() | F.col("r.k").isNull()
-    return rows.groupBy("event_type").agg(F.count_if(~bad).alias("good"), F.count_if(bad).alias("rejected"), F.sum(F.when(~bad, F.col("r.k"))).alias("total"))
+    """A snapshot written as JSON lines and scanned: some lines are cut short, some lack the required field."""
+    line = F.concat(F.lit('{"kind":"'), "event_type", F.lit('"'), F.when(F.col("event_id") % 7 == 5, "").otherwise(F.concat(F.lit(',"k":'), F.try_variant_get(F.parse_json("props"), "$.k", "string"))), F.when(F.col("event_id") % 7 == 3, "").otherwise("}"))
+    ensure_checkpoint_dir(t.spark)
+    path = f"{t.spark.sparkContext.getCheckpointDir()}/snapshot-{uuid.uuid4().hex}"
+    t.events.select(line.alias("value")).write.text(path)
+    good, rejects = registry.read_json_rows(t.spark, path, T.StructType([T.StructField("kind", T.StringType(), False), T.StructField("k", T.LongType(), False)]), multi_line=False)
+    counts = good.groupBy(F.col("kind").alias("event_type")).agg(F.count("*").alias("good"), F.sum("k").alias("total")).withColumn("rejected", F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    return counts.unionByName(rejects.groupBy().agg(F.count("*").alias("rejected")).select(F.lit("rejects").alias("event_type"), zero.alias("good"), zero.alias("total"), "rejected"))
 
 
 @query("S30_payload_kind", "select page_id, case when page_id % 2 = 0 or page_id % 3 = 0 then 'json' else 'html' end as kind from pages")
@@ -84,6 +104,22 @@ def z2(t):
     return t.part.select("p_partkey", F.size(found).alias("objects"), F.size(F.filter(found, lambda x: envelopes.is_type(x))).alias("postings"))
 
 
+@query("Z2_deep_graphs", "select p_partkey, cast(2 + p_size % 4 as int) as objects, 1 as postings, p_name as title from part")
+def z2_deep(t):
+    """Graphs nested two to five deep."""
+    inner = F.concat(F.lit('[{"@type":"JobPosting","title":"'), "p_name", F.lit('"}]'))
+    nested = inner
+    wrapped = [inner]
+    for _ in range(5):
+        nested = F.concat(F.lit('[{"@graph":'), nested, F.lit('},{"@type":"Thing"}]'))
+        wrapped.append(nested)
+    depth = (F.col("p_size") % 4 + 1).cast("int")
+    body = F.concat(F.lit('{"@graph":'), F.element_at(F.array(*wrapped), depth + 1), F.lit("}"))
+    found = envelopes.jsonld_objects(F.array(body, F.lit("not json")))
+    jobs = F.filter(found, lambda x: envelopes.is_type(x))
+    return t.part.select("p_partkey", F.size(found).alias("objects"), F.size(jobs).alias("postings"), F.try_variant_get(F.get(jobs, F.lit(0)), "$.title", "string").alias("title"))
+
+
 @query("Z3_assigned_object", "select p_partkey, p_partkey as id, p_name as name from part")
 def z3(t):
     script = F.concat(F.lit("<script>var a = {}; window.BSGlobal = {\"id\":"), "p_partkey", F.lit(',"x":{"y":"}"},"name":"'), "p_name", F.lit("\"}; run({});</script>"))
@@ -106,12 +142,12 @@ def feed_bodies(t):
 
 @query("S9_feed_rows", FEED_SQL)
 def s9(t):
-    return feeds.feed_rows(feed_bodies(t), ["p_partkey"]).select("p_partkey", "title", "id", "url", F.date_format("published_at", "yyyy-MM-dd").alias("published"))
+    return feeds.feed_rows(feed_bodies(t), ["p_partkey"], tasks=t.tasks).select("p_partkey", "title", "id", "url", F.date_format("published_at", "yyyy-MM-dd").alias("published"))
 
 
 @query("S10_feed_counts", "select p_partkey, true as valid_xml, 1 as record_count, case when p_size > 10 then 1 else 0 end as usable_rows from part")
 def s10(t):
-    return feeds.feed_counts(feed_bodies(t), ["p_partkey"])
+    return feeds.feed_counts(feed_bodies(t), ["p_partkey"], tasks=t.tasks)
 
 
 # --- one feed shape per query ---------------------------------------------------------------------------

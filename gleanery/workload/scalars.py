@@ -7,20 +7,36 @@ from gleanery.operators import reports
 from gleanery.workload import query
 
 
+TAIL = " Head of R&D at AT&T, Tom &Jerry, a<b> R&D &amp; x &lt; y <!-- note -->&#233; <c"  # loose marks are text, whole tags and references are not
+
+
 @query("X1_clean_text", r"""
-    select doc_id, case when regexp_matches(text, '[<&]') then '' else substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 12000) end as cleaned from documents""")
+    select doc_id, trim(regexp_replace(text || ' Head of R&D at AT&T, Tom &Jerry, a R&D & x < y é <c', '\s+', ' ', 'g')) as cleaned from documents""")
 def x1(t):
-    return t.documents.select("doc_id", F.when(F.col("text").rlike("[<&]"), "").otherwise(text.clean_text("text")).alias("cleaned"))
+    return t.documents.select("doc_id", text.clean_text(F.concat("text", F.lit(TAIL))).alias("cleaned"))
 
 
 @query("X1_markup_removed", r"""
-    select doc_id, substr(trim(regexp_replace(replace(replace(text, '<', ' '), '&', ' ') || ' tail & end', '\s+', ' ', 'g')), 1, 12000) as cleaned from documents""")
+    select doc_id, trim(regexp_replace(text || ' tail & end', '\s+', ' ', 'g')) as cleaned from documents""")
 def x1_markup(t):
-    plain = F.replace(F.replace("text", F.lit("<"), F.lit(" ")), F.lit("&"), F.lit(" "))
-    page = F.concat(F.lit("<div><script>var t = '</p>';</script>"), plain, F.lit("<p>tail &amp; end</p><style>p{}</style></div>"))
+    page = F.concat(F.lit("<div title='a > b'><script>var t = '</p>';</script>"), "text", F.lit("<p>tail &amp; end</p><style>p{}</style></div>"))
     return t.documents.select("doc_id", text.clean_text(page).alias("cleaned"))
 
 
+@query("X20_cut_is_told", r"""
+    select doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) > 400 as was_cut, least(length(trim(regexp_replace(text, '\s+', ' ', 'g'))), 400) as kept from documents""")
+def x20_cut(t):
+    return t.documents.select("doc_id", text.is_cut("text", 400).alias("was_cut"), F.length(text.clean_text("text", 400)).cast("bigint").alias("kept"))
+
+
+@query("X2_long_list", r"""
+    select p_partkey, cast(61 as bigint) as items, cast(20 * length(p_name) + 19 as bigint) as longest, 'R&D 60 <x ' || p_name as last_item from part""")
+def x2_long(t):
+    many = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("<b>R&amp;D</b> "), i, F.lit(" <x "), "p_name"))
+    items = text.clean_list(F.concat(F.array(F.repeat(F.concat("p_name", F.lit("\n")), F.lit(20))), many))
+    return t.part.select("p_partkey", F.size(items).cast("bigint").alias("items"), F.length(F.element_at(items, 1)).cast("bigint").alias("longest"), F.element_at(items, -1).alias("last_item"))
+
+
 @query("X2_clean_list", """
     select p_partkey, array_to_string(list_distinct_kept, ',') as items from (select p_partkey, case when split_part(p_name, ' ', 1) = lower(p_type) then [lower(p_type), split_part(p_name, ' ', 2)] when split_part(p_name, ' ', 2) = lower(p_type)
       then [split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)] else [split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), lower(p_type)] end as list_distinct_kept from part)""")
@@ -97,11 +113,12 @@ def x8(t):
 
 @query("X10_name_key", """
     select 'c' || c_custkey as id, regexp_replace(lower(c_name), '[^0-9a-z]', '', 'g') as name_key from customer
-    union all select 'd' || doc_id, regexp_replace(lower(substr(text, 1, 40)), '[^0-9a-z]', '', 'g') from documents where not regexp_matches(substr(text, 1, 40), '[^\\x00-\\x7F]')""")
+    union all select 'd' || doc_id, regexp_replace(lower(replace(replace(text, 'ß', 'ss'), 'ﬁ', 'fi')), '[^0-9a-z]', '', 'g') || 'fi5abcss' from documents""")
 def x10(t):
+    """Whole texts with their non-ASCII letters (accents are no base letters under NFKC), and compatibility forms at the end."""
     a = t.customer.select(F.concat(F.lit("c"), "c_custkey").alias("id"), text.name_key("c_name").alias("name_key"))
-    head = F.substring("text", 1, 40)
-    return a.unionByName(t.documents.filter(~head.rlike(r"[^\x00-\x7F]")).select(F.concat(F.lit("d"), "doc_id").alias("id"), text.name_key(head).alias("name_key")))
+    b = t.documents.select(F.concat(F.lit("d"), "doc_id").alias("id"), text.name_key(F.concat("text", F.lit(" ﬁ⑤ＡＢＣß"))).alias("name_key"))
+    return a.unionByName(b)
 
 
 @query("X11_hash_ids", """

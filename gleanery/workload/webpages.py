@@ -12,7 +12,7 @@ def parsed(t, extra=None):
     """Pages with their parsed struct; ``extra`` is markup put in front of the page."""
 
     rows = t.pages if extra is None else t.pages.withColumn("html", F.concat(extra, "html"))
-    return pages.parse_pages(rows.select("page_id", "url", "html"))
+    return pages.parse_pages(rows.select("page_id", "url", "html"), tasks=t.tasks)
 
 
 TITLE = r"html_title as (select page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) as title from pages)"

@@ -168,12 +168,15 @@ def o1(t):
 
 @query("O5_sort_modes", """
     select 'deadline' as mode, p_partkey, row_number() over (order by p_size, p_retailprice desc, p_partkey) as place from part
-    union all select 'publish', p_partkey, row_number() over (order by p_retailprice desc, p_name, p_partkey) from part""")
+    union all select 'publish', p_partkey, row_number() over (order by p_retailprice desc, p_name, p_partkey) from part
+    union all select 'match', p_partkey, row_number() over (order by case when p_type = 'PROMO' then 1 else 0 end desc, p_retailprice desc, p_partkey) from part
+    union all select 'open', p_partkey, row_number() over (order by p_size desc, p_partkey) from part
+    union all select 'company', p_partkey, row_number() over (order by p_name, p_partkey) from part""")
 def o5(t):
-    rows = t.part.select("p_partkey", "p_size", "p_retailprice", "p_name")
+    rows = t.part.select("p_partkey", "p_size", "p_retailprice", "p_name", "p_type")
     modes = []
-    for mode in ("deadline", "publish"):
-        keys = facets.sort_keys(mode, title="p_name", publish="p_retailprice", deadline="p_size", seq="p_partkey")
+    for mode in ("deadline", "publish", "match", "open", "company"):
+        keys = facets.sort_keys(mode, title="p_name", company="p_name", publish="p_retailprice", deadline="p_size", first_seen="p_size", matched=F.col("p_type") == "PROMO", seq="p_partkey")
         modes.append(rank_rows(rows, keys, rank="place").select(F.lit(mode).alias("mode"), "p_partkey", "place"))
     return dedup.union_rows(*modes)
 

@@ -106,3 +106,29 @@ def test_json_snapshot_and_round_trips(spark, tmp_path):
     assert "\"'=HYPERLINK(1)\"" in text and '""北京""' in text
     sinks.write_backup({"states": df}, str(tmp_path / "backup"))
     assert sinks.read_backup(spark, str(tmp_path / "backup"), {"states": "a string, b string"}, {"states": ["a"]})["states"].count() == 1
+
+
+def test_unclosed_tags_end_where_they_must_and_cost_linear_time():
+    import time
+
+    from gleanery.operators.pages import _read_page
+
+    row = _read_page("<table><tr><td>a<td>b<tr><td>c</table>")["rows"]
+    assert [r["cells"] for r in row] == [["a", "b"], ["c"]]
+    start = time.process_time()
+    page = _read_page("<p>word " * 40_000 + "<b>" * 40_000 + "<li><a href='x'>t" * 2_000)
+    assert time.process_time() - start < 6 and page["text"].startswith("word word") and len(page["links"]) == 2_000
+
+
+def test_scale_joins_agree(spark):
+    import pytest
+
+    from gleanery.scale import lookup_join
+
+    facts = spark.createDataFrame([(i % 3 if i % 5 else None, i) for i in range(30)], "k int, v int")
+    lookup = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c")], "k int, w string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        both = [sorted(map(str, lookup_join(facts, lookup, "k", how, max_rows=n).collect())) for n in (10, 1)]
+        assert both[0] == both[1]
+    with pytest.raises(ValueError):
+        lookup_join(facts, lookup, "k", "full_outer")
