@@ -112,7 +112,7 @@ def _with_base(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _windows(base: DataFrame, window: int) -> DataFrame:
-    """(entity, terms) of every checked value, terms being the distinct words around it."""
+    """For each row, ``windows``: array of (entity, terms) of its checked values, terms being the distinct words around them."""
     def context(kind: str):
         words = F.col(f"_w_{kind}")
         return lambda s: F.struct(_entity(kind, s["value"]).alias("entity"), F.array_sort(F.array_distinct(F.concat(
@@ -120,9 +120,8 @@ def _windows(base: DataFrame, window: int) -> DataFrame:
 
     base = base.withColumns({f"_w_{kind}": F.transform(f"_p_{kind}", lambda p: F.regexp_extract_all(F.lower(p), F.lit(WORD), F.lit(0))) for kind in KINDS})
     around = F.concat(*[F.transform(f"_s_{kind}", context(kind)) for kind in KINDS])
-    # an entity named twice in a text, with the same words around it, counts once. Outer, and no filter on the arrays: the
-    # optimizer would carry one down and evaluate the patterns again
-    return base.select(F.explode_outer(F.array_distinct(around)).alias("x")).filter("x is not null").select("x.entity", "x.terms")
+    # an entity named twice in a text, with the same words around it, counts once
+    return base.select(F.array_distinct(around).alias("windows"))
 
 
 def _match(facts: DataFrame, terms: DataFrame, on: str, n: int, max_broadcast: int) -> DataFrame:
@@ -136,22 +135,28 @@ def disclosing_terms(
 ) -> DataFrame:
     """(term, entity, share, action): the terms above the disclosure threshold, each with the entity it reveals most (stored table)."""
     plain = docs.select(text_of(docs, text_col).alias("_text"))
-    windows = stored(_windows(_with_base(plain, "_text"), window), "windows")
+    held = stored(_windows(_with_base(plain, "_text"), window), "windows")
+    total = held.count()
+    windows = held.select(F.explode("windows").alias("x")).select("x.entity", "x.terms")
+    n_e = windows.groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = (
         windows.groupBy("entity", "terms").agg(F.count("*").alias("rows")).select("entity", "rows", F.explode("terms").alias("term"))
         .groupBy("entity", "term").agg(F.count("*").alias("windows"), F.sum("rows").alias("n_et"))
         .filter(F.col("windows") >= min_windows)
     )
-    pairs = stored(pairs, "pairs")
+
+    def share(n_term: str) -> Column:
+        return 1 + F.log2(F.least(F.lit(1.0), F.col("n_et") / F.col(n_term))) / F.log2(F.greatest(F.lit(2.0), F.lit(float(total)) / F.col("n_e")))
+
+    # texts with the term in some window are a lower bound of n(t): pairs that fail with it fail with n(t), which spares counting common words
+    least = held.select(F.explode(F.array_distinct(F.flatten(F.col("windows.terms")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_low"))
+    pairs = stored(pairs.join(n_e, "entity").join(least, "term").filter(share("n_low") >= generalise).select("entity", "term", "n_et", "n_e"), "pairs")
     n_pairs = pairs.count()
     terms = pairs.select("term").distinct()
     words = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0)))
     seen = _match(plain.select(F.explode(words).alias("term")), terms, "term", n_pairs, max_broadcast) if n_pairs else plain.select(F.lit("").alias("term")).limit(0)
     n_t = seen.groupBy("term").agg(F.count("*").alias("n_t"))
-    n_e = windows.groupBy("entity").agg(F.count("*").alias("n_e"))
-    total = plain.count() if n_pairs else 0
-    share = 1 + F.log2(F.least(F.lit(1.0), F.col("n_et") / F.col("n_t"))) / F.log2(F.greatest(F.lit(2.0), F.lit(float(total)) / F.col("n_e")))
-    scored = pairs.join(n_e, "entity").join(n_t, "term").withColumn("share", share).filter(F.col("share") >= generalise)
+    scored = pairs.join(n_t, "term").withColumn("share", share("n_t")).filter(F.col("share") >= generalise)
     best = scored.groupBy("term").agg(F.max_by(F.struct("entity", "share"), F.struct("share", "entity")).alias("b"))
     action = F.when(F.col("b.share") >= remove, "remove").otherwise("generalise")
     return stored(best.select("term", F.col("b.entity").alias("entity"), F.col("b.share").alias("share"), action.alias("action")), "terms")
