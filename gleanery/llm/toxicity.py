@@ -1,7 +1,7 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-cased runs of letters and their starts of 4 to 6 letters (``word`` and ``star*``), which also catch inflected and compound
-forms. Terms are kept that mark toxic texts among the labelled training ones (a toxic share of at least three times the usual one and a likelihood
+forms. Terms are kept that mark toxic texts among a bounded sample of labelled training ones (the ``max_labelled`` smallest by hash of the id; a toxic share of at least three times the usual one and a likelihood
 ratio G2 of at least ``min_g2``; the ``max_terms`` strongest); term frequencies are damped (1 + ln tf), document frequencies are counted over all documents, and vectors are scaled to length 1.
 
 The examples are a bounded sample of the labelled training rows (the ``max_examples`` smallest by hash of the id). They are indexed by term:
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from gleanery.llm.common import list_column, stored, text_of
 
-MAX_EXAMPLES, MAX_TERMS, MIN_G2, NEIGHBOURS, BLOCK, THRESHOLD, MIN_LIFT = 4000, 4096, 40.0, 25, 64, 0.3, 3.0
+MAX_LABELLED, MAX_EXAMPLES, MAX_TERMS, MIN_G2, NEIGHBOURS, BLOCK, THRESHOLD, MIN_LIFT = 20_000, 4000, 4096, 40.0, 25, 64, 0.3, 3.0
 PREFIXES = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -242,12 +242,14 @@ def calibrate(model: dict, spark) -> dict:
 
 def learn(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, min_g2: float = MIN_G2, k: int = NEIGHBOURS,
+    max_labelled: int = MAX_LABELLED, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, min_g2: float = MIN_G2, k: int = NEIGHBOURS,
 ) -> tuple[list[str], dict | None]:
     """Kept terms and model. A document with several label rows is labelled toxic if any says so."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_lid")).agg(F.max(F.col(label_col)).cast("int").alias("_y"))
     plain = docs.select(docs[id_col].alias("_id"), text_of(docs, text_col).alias("_text"))
-    teach = plain.filter(~held_out(F.col("_id"))).join(known, F.col("_id") == F.col("_lid"))
+    # ids and labels of the sample: max_labelled rows of two numbers, small enough to send everywhere, so that no text is shuffled
+    sample = known.filter(~held_out(F.col("_lid"))).orderBy(F.xxhash64("_lid"), "_lid").limit(max_labelled)
+    teach = plain.join(F.broadcast(sample), F.col("_id") == F.col("_lid"))
     terms = choose_terms(teach.select(F.col("_text").alias("text"), F.col("_y").alias("toxic")), max_terms, min_g2)
     feats = stored(features(plain, terms), "features")
     marked = feats.join(known, F.col("_id") == F.col("_lid"), "left")
