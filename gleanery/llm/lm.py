@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from gleanery.llm.common import filesystem, fresh_dir, local_path, mix64, stored, text_of, utf8_rows
 
-SHARD_BYTES, MIN_SHARDS, PIECE, SAMPLE = 16 << 20, 16, 400_000, 0.01
+SHARD_BYTES, MIN_SHARDS, PIECE, SAMPLE = 8 << 20, 16, 200_000, 0.01
 
 
 class Hashes(dict):
@@ -171,10 +171,11 @@ def _write_pairs(folder: str, bits: int):
             keys, first, second, n = keys[at], first[at], second[at], np.add.reduceat(n, at)
             _save(folder, f"pair-key-{shard}.npy", keys)
             _save(folder, f"pair-n-{shard}.npy", np.minimum(n, 2**32 - 1).astype(np.uint32))
-            zero, one = np.zeros(len(n), np.int64), np.ones(len(n), np.int64)
-            words, *sums = _sums(np.concatenate([first, second]), *(np.concatenate(c) for c in (
-                (n, zero), ((n == 1).astype(np.int64), zero), ((n == 2).astype(np.int64), zero), ((n > 2).astype(np.int64), zero), (zero, one))))
-            rows = list(_deal(shard_of(words, bits), words, *sums))
+            before, *sums = _sums(first, n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
+            after, different = _sums(second, np.ones(len(n), np.int64))
+            none = np.zeros(len(after), np.int64)
+            rows = list(_deal(shard_of(before, bits), before, *sums, np.zeros(len(before), np.int64)))
+            rows += _deal(shard_of(after, bits), after, none, none, none, none, different)
             rows.append((-1, _pack(*(np.array([int((n == k).sum())]) for k in (1, 2, 3, 4)), np.array([len(n)]))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "block"])
 
