@@ -1,16 +1,19 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-cased runs of letters and their starts of 4 to 6 letters (``word`` and ``star*``), which also catch inflected and compound
-forms. Terms are kept that mark toxic texts among a bounded sample of labelled training ones (the ``max_labelled`` smallest by hash of the id; a toxic share of at least three times the usual one and a likelihood
-ratio G2 of at least ``min_g2``; the ``max_terms`` strongest); term frequencies are damped (1 + ln tf), document frequencies are counted over all documents, and vectors are scaled to length 1.
+Terms are lower-cased runs of letters: every word of every example counts, whatever the toxic share and however few the labels. Words and
+starts of words (4 to 6 letters, ``start*``, for inflected and compound forms) that tell the label apart among a bounded sample of labelled
+training texts (the ``max_labelled`` smallest by hash of the id that have a document; toxic odds of at least three times the usual ones and a
+likelihood ratio G2 of at least ``min_g2``; the ``max_terms`` strongest) count three times as much; without any, the words decide alone. Term
+frequencies are damped (1 + ln tf), document frequencies are counted over all documents, and vectors are scaled to length 1.
 
-The examples are a bounded sample of the labelled training rows (the ``max_examples`` smallest by hash of the id). They are indexed by term:
+The examples are the ``max_examples`` smallest of that sample by hash of the id, so long as they have a word. They are indexed by term:
 a list of blocks of ``block`` examples, each with the term's largest weight in it. A query adds up what each block can reach at
-most and scores whole blocks, best first, until no block left can reach the k-th best, so the top k by cosine is exact; ties go to the
-smaller example id. The vote is the cosine-weighted share of toxic neighbours, and votes are turned into probabilities by
-monotone steps fitted on the examples themselves, each scored without itself.
+most and scores whole blocks, best first, until no block left can reach the k-th best; where most blocks could, whole posting lists are
+added up instead. Either way the top k by cosine is exact; ties go to the smaller example id. The vote is the cosine-weighted share of toxic neighbours, and votes are turned into probabilities by
+monotone steps fitted on the examples themselves, each scored without itself. A text at cosine 1 of examples takes the toxic share of those.
 
-A text without any kept term (null and empty texts too) has no neighbour and takes the toxic share of such training texts. Labels, language,
+A text without a word (null and empty texts too) has no neighbour and takes the toxic share of such training texts, one clean text added; a
+text that shares no word with an example takes the calibrated usual share. Labels, language,
 source and id are never inputs: the id only decides which rows may teach. Repeated rows are scored each. Tables without labelled
 training rows give 0 to every text.
 """
@@ -23,14 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.llm.common import list_column, stored, text_of
+from gleanery.llm.common import stored, text_of
 
-MAX_LABELLED, MAX_EXAMPLES, MAX_TERMS, MIN_G2, NEIGHBOURS, BLOCK, THRESHOLD, MIN_LIFT = 20_000, 4000, 4096, 40.0, 25, 64, 0.3, 3.0
+MAX_LABELLED, MAX_EXAMPLES, MAX_TERMS, MIN_G2, NEIGHBOURS, BLOCK, THRESHOLD, MIN_ODDS, TELLING = 20_000, 4000, 4096, 25.0, 25, 64, 0.3, 3.0, 3.0
 PREFIXES = (4, 5, 6)
+MANY_TERMS = 12
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -67,40 +72,54 @@ def choose_terms(training: DataFrame, max_terms: int, min_g2: float) -> list[str
 
     n, t = F.col("n"), F.col("t")
     g2 = 2 * (part(t, n * share) + part(n - t, n * (1 - share)) + part(F.lit(size.t) - t, (F.lit(size.n) - n) * share) + part(F.lit(size.n - size.t) - (n - t), (F.lit(size.n) - n) * (1 - share)))
-    best = counts.filter(t >= MIN_LIFT * share * n).withColumn("g2", g2).filter(F.col("g2") >= min_g2).orderBy(F.desc("g2"), "term").limit(max_terms)
+    odds = (t + 0.5) * (size.n - size.t + 0.5) / ((n - t + 0.5) * (size.t + 0.5))
+    best = counts.filter(odds >= MIN_ODDS).withColumn("g2", g2).filter(F.col("g2") >= min_g2).orderBy(F.desc("g2"), "term").limit(max_terms)
     return [r.term for r in best.collect()]
 
 
-def features(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """Trades the last column, a text, for ``terms`` (array<int>, ascending) and ``tf`` of the kept terms."""
-    names = docs.columns[:-1]
-    shared = docs.sparkSession.sparkContext.broadcast(terms)  # at most max_terms strings
+class Counter:
+    """Numbers and frequencies of a text's terms: ``terms`` are words and starts (``start*``)."""
+
+    def __init__(self, terms: list[str]) -> None:
+        self.number = {t: i for i, t in enumerate(terms)}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def count(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Terms (ascending), their frequencies, and whether the text has any word, known or not."""
+        found: dict[int, int] = {}
+        words = _WORD.findall(text.lower())
+        for word in words:
+            hits = self.known.get(word)
+            if hits is None:
+                hits = tuple(self.number[t] for t in terms_of(word) if t in self.number)
+                if len(self.known) > 200_000:
+                    self.known.clear()
+                self.known[word] = hits
+            for i in hits:
+                found[i] = found.get(i, 0) + 1
+        order = np.fromiter(found, np.int64, len(found))
+        tf = np.fromiter(found.values(), np.int64, len(found))
+        by = np.argsort(order)
+        return order[by], tf[by], bool(words)
+
+
+def document_frequencies(texts: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
+    """Number of texts, and of those that hold each term; ``texts`` has one column."""
+    shared = texts.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {t: i for i, t in enumerate(shared.value)}
-        known: dict[str, tuple[int, ...]] = {}
+        counter, df, n = Counter(shared.value), np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
-            ids, tfs, lengths = [], [], []
-            for text in batch.column(len(names)).to_pylist():
-                found: dict[int, int] = {}
-                for word in _WORD.findall(text.lower()):
-                    hits = known.get(word)
-                    if hits is None:
-                        hits = tuple(number[t] for t in terms_of(word) if t in number)
-                        if len(known) > 200_000:
-                            known.clear()
-                        known[word] = hits
-                    for i in hits:
-                        found[i] = found.get(i, 0) + 1
-                order = sorted(found)
-                ids += order
-                tfs += [found[i] for i in order]
-                lengths.append(len(order))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], list_column(np.array(ids, np.int32), np.array(lengths), pa.int32()), list_column(np.array(tfs, np.int32), np.array(lengths), pa.int32())], [f"c{i}" for i in range(len(names) + 2)])
-
-    fields = [*docs.schema.fields[:-1], T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("tf", T.ArrayType(T.IntegerType()))]
-    safe = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(fields)])
-    return docs.mapInArrow(run, safe).toDF(*names, "terms", "tf")
+            n += batch.num_rows
+            for text in batch.column(0).to_pylist():
+                df[counter.count(text)[0]] += 1
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int64()), pa.array(np.append(df[seen], n), pa.int64())], ["term", "n"])
+
+    got = texts.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row per term
+    df = np.zeros(len(terms) + 1, np.int64)
+    df[got.column("term").to_numpy()] = got.column("n").to_numpy()  # -1, the texts, is the last place
+    return int(df[-1]), df[:-1]
 
 
 class BlockMaxIndex:
@@ -125,12 +144,31 @@ class BlockMaxIndex:
         self.maxima, self.places = np.maximum.reduceat(self.weights[order], at), k[at] % self.blocks
         self.edges = np.searchsorted(k[at] // self.blocks, np.arange(n_terms + 1))
         self.query = np.zeros(n_terms)
+        order = np.argsort(self.terms, kind="stable")
+        self.posted, self.posted_weights = np.repeat(np.arange(len(vectors)), lengths)[order], self.weights[order]
+        self.lists = np.searchsorted(self.terms[order], np.arange(n_terms + 1))
+
+    def all_cosines(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Cosines of all rows in layout order, by adding up the posting lists."""
+        first, last = self.lists[terms], self.lists[terms + 1]
+        spans = [slice(a, b) for a, b in zip(first.tolist(), last.tolist())]
+        rows = np.concatenate([self.posted[x] for x in spans])
+        return np.bincount(rows, np.concatenate([self.posted_weights[x] for x in spans]) * np.repeat(weights, last - first), len(self.row))
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest, by cosine and then row; ``skip`` is a row to leave out. Rows that share no term are left out.
 
-        Blocks are taken by what they can reach at most, until none left can reach the k-th best.
+        Blocks are taken by what they can reach at most, until none left can reach the k-th best. Queries of many terms reach most blocks:
+        they add up whole posting lists.
         """
+        if len(terms) > MANY_TERMS:
+            full = np.round(self.all_cosines(terms, weights), 9)
+            if skip >= 0:
+                full[self.row == skip] = 0.0
+            least = np.partition(full, -k)[-k] if k < len(full) else 0.0
+            hit = np.flatnonzero((full >= least) & (full > 0))
+            best = hit[np.lexsort((self.row[hit], -full[hit]))[:k]]
+            return self.row[best], full[best]
         reach = np.zeros(self.blocks)
         for t, w in zip(terms, weights):
             span = slice(self.edges[t], self.edges[t + 1])
@@ -163,64 +201,71 @@ def _vector(terms: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndar
 
 
 def _steps(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Monotone step function (pool adjacent violators): (upper vote of each step, share)."""
+    """Monotone step function (pool adjacent violators): (upper edge of each step, share). Edges lie midway between the votes of two steps."""
     order = np.argsort(votes, kind="stable")
-    blocks: list[list[float]] = []  # sum, count, upper vote
+    blocks: list[list[float]] = []  # sum, count, upper vote, lower vote
     for v, y in zip(votes[order], labels[order]):
-        if blocks and blocks[-1][2] == v:
+        if blocks and blocks[-1][2] == blocks[-1][3] == v:
             blocks[-1][0] += y
             blocks[-1][1] += 1
         else:
-            blocks.append([float(y), 1.0, float(v)])
-        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            s, n, v2 = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, v2]
-    return np.array([b[2] for b in blocks]), np.array([(b[0] + 0.02) / (b[1] + 0.04) for b in blocks])
+            blocks.append([float(y), 1.0, float(v), float(v)])
+        while len(blocks) > 1 and (blocks[-2][2] == v or blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]):
+            s, n, v2, _ = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, v2, blocks[-1][3]]
+    edges = [(b[2] + after[3]) / 2 for b, after in zip(blocks, blocks[1:])] + [b[2] for b in blocks[-1:]]
+    return np.array(edges), np.array([(b[0] + 0.02) / (b[1] + 0.04) for b in blocks])
 
 
 class Scorer:
     def __init__(self, model: dict) -> None:
-        self.idf, self.labels, self.ids, self.k = model["idf"], model["labels"], model["ids"], model["k"]
-        self.index = BlockMaxIndex([_vector(t, f, self.idf) for t, f in model["vectors"]], len(self.idf))
+        self.weight, self.labels, self.ids, self.k = model["weight"], model["labels"], model["ids"], model["k"]
+        self.index = BlockMaxIndex([_vector(t, f, self.weight) for t, f in model["vectors"]], len(self.weight))
+        self.counter, self.bare = Counter(model["terms"]), model["bare"]
         self.base, self.upper, self.share = model["base"], model.get("upper"), model.get("share")
         self.done: dict[bytes, tuple] = {}
 
     def vote(self, terms: np.ndarray, tf: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        rows, near = self.index.top(*_vector(terms, tf, self.idf), self.k, skip)
-        # the nearer the more it counts; what is left of one whole neighbour goes to the share of texts without any term
+        rows, near = self.index.top(*_vector(terms, tf, self.weight), self.k, skip)
+        # the nearer the more it counts; what is left of one whole neighbour goes to the usual share
         total = near.sum()
         far = max(0.0, 1.0 - total)
         return float(((near * self.labels[rows]).sum() + far * self.base) / (total + far)), rows, near
 
-    def score(self, terms: np.ndarray, tf: np.ndarray) -> tuple[float, list, list]:
-        if not len(terms):
-            return self.base, [], []
-        key = terms.tobytes() + tf.tobytes()
+    def score(self, text: str) -> tuple[float, list, list]:
+        key = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
         if key not in self.done:
-            vote, rows, near = self.vote(terms, tf)
+            terms, tf, any_word = self.counter.count(text)
+            if not any_word:
+                return self.bare, [], []
+            vote, rows, near = self.vote(terms, tf) if len(terms) else (self.base, [], np.zeros(0))
             at = min(int(np.searchsorted(self.upper, vote - 1e-12)), len(self.upper) - 1)
             if len(self.done) > 50_000:
                 self.done.clear()
-            self.done[key] = (float(self.share[at]), [self.ids[r] for r in rows[:5]], near[:5].tolist())
+            same = self.labels[rows[near >= 1 - 1e-9]] if len(near) else near  # examples of the same terms speak for themselves
+            share = (same.sum() + 0.02) / (len(same) + 0.04) if len(same) else self.share[at]
+            self.done[key] = (float(share), [self.ids[r] for r in rows[:5]], near[:5].tolist())
         return self.done[key]
 
 
-def fit(feats: DataFrame, id_col: str, label_col: str, n_terms: int, max_examples: int, k: int) -> dict | None:
-    """Model of the labelled training rows of ``feats`` (a null label: not labelled)."""
-    n_docs = feats.count()
-    if not n_terms or not n_docs:
-        return None
-    df = dict(feats.select(F.explode("terms").alias("t")).groupBy("t").count().collect())  # at most max_terms rows
-    idf = np.log((n_docs + 1.0) / (np.array([df.get(t, 0) for t in range(n_terms)]) + 1.0)) + 1.0
-    teach = feats.filter(F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
-    bare = teach.filter(F.size("terms") == 0).agg(F.count("*").alias("n"), F.sum(label_col).alias("t")).first()
-    base = ((bare.t or 0) + 0.02) / (bare.n + 0.04)
-    sample = teach.filter(F.size("terms") > 0).select(F.col(id_col).alias("id"), "terms", "tf", F.col(label_col).alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_examples)
-    rows = sorted(sample.collect(), key=lambda r: r.id)  # at most max_examples rows of short arrays
+def fit(texts: DataFrame, teach: DataFrame, telling: list[str], max_examples: int, k: int) -> dict | None:
+    """Model of the labelled training rows ``teach`` (id, text, toxic), with document frequencies of ``texts`` (one column)."""
+    has_word = F.col("text").rlike(r"\p{L}")
+    size = teach.agg(F.count("*").alias("n"), F.sum("toxic").alias("t"), F.sum((~has_word).cast("int")).alias("bare"), F.sum(F.when(~has_word, F.col("toxic"))).alias("bare_t")).first()
+    rows = teach.filter(has_word).orderBy(F.xxhash64("id"), "id").limit(max_examples).collect()  # at most max_examples texts
+    rows = sorted((r for r in rows if _WORD.search(r.text.lower())), key=lambda r: r.id)
     if not rows:
         return None
-    vectors = [(np.array(r.terms, np.int64), np.array(r.tf, np.int64)) for r in rows]
-    return {"idf": idf, "vectors": vectors, "labels": np.array([r.y for r in rows], float), "ids": [r.id for r in rows], "k": k, "base": base}
+    terms = sorted({w for r in rows for w in _WORD.findall(r.text.lower())} | set(telling))
+    n_docs, df = document_frequencies(texts, terms)
+    idf = np.log((n_docs + 1.0) / (df + 1.0)) + 1.0
+    strong = set(telling)
+    weight = idf * np.array([TELLING if t in strong else 1.0 for t in terms])
+    counter = Counter(terms)
+    return {
+        "terms": terms, "weight": weight, "vectors": [counter.count(r.text)[:2] for r in rows], "labels": np.array([r.toxic for r in rows], float), "ids": [r.id for r in rows],
+        "k": k, "base": (size.t + 0.02) / (size.n + 0.04), "bare": ((size.bare_t or 0) + 0.02) / (size.bare + 1.0),
+    }
 
 
 def calibrate(model: dict, spark) -> dict:
@@ -243,44 +288,40 @@ def calibrate(model: dict, spark) -> dict:
 def learn(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     max_labelled: int = MAX_LABELLED, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, min_g2: float = MIN_G2, k: int = NEIGHBOURS,
-) -> tuple[list[str], dict | None]:
-    """Kept terms and model. A document with several label rows is labelled toxic if any says so."""
+) -> dict | None:
+    """The model. A document with several label rows is labelled toxic if any says so."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_lid")).agg(F.max(F.col(label_col)).cast("int").alias("_y"))
     plain = docs.select(docs[id_col].alias("_id"), text_of(docs, text_col).alias("_text"))
     # ids and labels of the sample: max_labelled rows of two numbers, small enough to send everywhere, so that no text is shuffled
-    sample = known.filter(~held_out(F.col("_lid"))).orderBy(F.xxhash64("_lid"), "_lid").limit(max_labelled)
-    teach = plain.join(F.broadcast(sample), F.col("_id") == F.col("_lid"))
-    terms = choose_terms(teach.select(F.col("_text").alias("text"), F.col("_y").alias("toxic")), max_terms, min_g2)
-    feats = stored(features(plain, terms), "features")
-    marked = feats.join(known, F.col("_id") == F.col("_lid"), "left")
-    model = fit(marked, "_id", "_y", len(terms), max_examples, k)
-    return terms, calibrate(model, docs.sparkSession) if model else None
+    there = known.filter(~held_out(F.col("_lid"))).join(plain.select("_id"), F.col("_id") == F.col("_lid"), "left_semi")
+    sample = there.orderBy(F.xxhash64("_lid"), "_lid").limit(max_labelled)
+    teach = stored(plain.join(F.broadcast(sample), F.col("_id") == F.col("_lid")).select(F.col("_id").alias("id"), F.col("_text").alias("text"), F.col("_y").alias("toxic")), "labelled")
+    telling = choose_terms(teach.select("text", "toxic"), max_terms, min_g2)
+    model = fit(plain.select("_text"), teach, telling, max_examples, k)
+    return calibrate(model, docs.sparkSession) if model else None
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with ``score``, ``neighbours`` (ids of the five nearest examples) and ``cosines``; input columns of these names are replaced."""
     new = ["score", "neighbours", "cosines"]
-    terms, model = learn(docs, labels, id_col, text_col, **options)
+    model = learn(docs, labels, id_col, text_col, **options)
     docs = docs.select(*[docs[c] for c in docs.columns if c not in new or c in (id_col, text_col)])
     if model is None:
         return docs.select("*", F.lit(0.0).alias("score"), F.array().cast("array<bigint>").alias("neighbours"), F.array().cast("array<double>").alias("cosines"))
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    feats = features(docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], text_of(docs, text_col).alias("_text")), terms)
+    plain = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], text_of(docs, text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, n = Scorer(pickle.loads(shared.value)), len(names)
         for batch in batches:
-            t, f = batch.column(n), batch.column(n + 1)
-            offs = t.offsets.to_numpy()
-            tv, fv = t.values.to_numpy().astype(np.int64), f.values.to_numpy().astype(np.int64)
-            got = [scorer.score(tv[a:b], fv[a:b]) for a, b in zip(offs[:-1], offs[1:])]
+            got = [scorer.score(text) for text in batch.column(n).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in range(n)], pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
                 [*[f"c{i}" for i in range(n)], *new])
 
-    schema = T.StructType([*feats.schema.fields[: len(names)], T.StructField("score", T.DoubleType()), T.StructField("neighbours", T.ArrayType(T.LongType())), T.StructField("cosines", T.ArrayType(T.DoubleType()))])
-    return feats.mapInArrow(run, schema).toDF(*names, *new)
+    schema = T.StructType([*plain.schema.fields[: len(names)], T.StructField("score", T.DoubleType()), T.StructField("neighbours", T.ArrayType(T.LongType())), T.StructField("cosines", T.ArrayType(T.DoubleType()))])
+    return plain.mapInArrow(run, schema).toDF(*names, *new)
 
 
 def digest(scored: DataFrame) -> DataFrame:

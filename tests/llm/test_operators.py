@@ -124,6 +124,34 @@ def test_toxicity_on_held_out_rows(spark):
     assert {x.score for x in bare.select("score").collect()} == {0.0}
 
 
+def test_toxicity_with_many_toxic_labels_few_labels_and_unmarked_copies(spark):
+    r = random.Random(8)
+    marked = [words(r, 60) + (f" {r.choice(['vilew', 'nastyx', 'crudelt'])} " if i % 5 < 2 else " ") + words(r, 20) for i in range(500)]
+    labels = spark.createDataFrame([(i, int(i % 5 < 2)) for i in range(450)], "doc_id long, toxic int")
+    rows = {x.doc_id: x.predicted for x in toxicity.digest(toxicity.score_toxicity(docs_of(spark, marked), labels)).collect()}
+    assert sum(rows[i] != int(i % 5 < 2) for i in rows) <= 10  # 40 % toxic
+
+    taught = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2]
+    plain = [" ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(80)) for _ in range(100)]
+    toxic = taught[::10]  # 10 % or less, no term in common
+    copies = {100 + j: i for j, i in enumerate(toxic)}
+    few = spark.createDataFrame([(i, int(i in toxic)) for i in range(100)], "doc_id long, toxic int")
+    rows = {x.doc_id: x for x in toxicity.digest(toxicity.score_toxicity(docs_of(spark, plain + [plain[i] for i in copies.values()]), few)).collect()}
+    assert all(rows[c].neighbours[0] == i and rows[c].cosines[0] == 1.0 for c, i in copies.items())
+    assert all(rows[c].predicted == 1 for c in copies) and not any(rows[i].predicted for i in range(100) if i not in toxic)
+
+
+def test_posting_lists_find_what_block_maxima_find(monkeypatch):
+    r = np.random.default_rng(2)
+    vectors = [toxicity._vector(np.sort(r.choice(60, r.integers(1, 25), replace=False)), np.ones(1), np.ones(60)) for _ in range(200)]
+    index = toxicity.BlockMaxIndex(vectors, 60, block=8)
+    found = []
+    for many in (0, 99):
+        monkeypatch.setattr(toxicity, "MANY_TERMS", many)
+        found.append([index.top(*vectors[q], 15, skip=q) for q in range(200)])
+    assert all(a[0].tolist() == b[0].tolist() and np.allclose(a[1], b[1]) for a, b in zip(*found))
+
+
 def test_pfair_schedule():
     r = random.Random(3)
     for _ in range(20):
