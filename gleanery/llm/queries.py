@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontam, lm, mixing, pii, quality, simhash, suffix, tokens, toxicity, warc
+from gleanery.llm import decontam, divergence, lm, mixing, pii, quality, resampling, sharding, simhash, suffix, tokens, toxicity, warc
 from gleanery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,22 @@ def op8_line_crf_quality(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op4_unigram_token_counts(spark: SparkSession, root: str) -> DataFrame:
     return tokens.count_tokens(table(spark, root, "documents").select("doc_id", "text"), tokens.Vocabulary.load()).drop("text")
+
+
+@query
+def op11_rendezvous_sharding(spark: SparkSession, root: str) -> DataFrame:
+    return sharding.digest(sharding.assign_shards(table(spark, root, "documents"), carry=["doc_id"]))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, root: str) -> DataFrame:
+    return divergence.audit_divergence(table(spark, root, "documents"))
+
+
+SQL["op12_source_divergence"] = divergence.SQL
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    return resampling.digest(resampling.draw(resampling.weigh(docs, table(spark, root, "benchmark")).drop("text")))
