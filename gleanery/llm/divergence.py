@@ -13,7 +13,8 @@ and changes nothing: their own counts discard them again. Counts are added up in
 Each group (language, source) and each language gives term t, with count c of N in all, the share p = 1 + floor(10^9 (c + 1) / (N + V)),
 V the kept terms of the language. Two shares p, q differ by floor((p - q)^2 / q). Sums over all V terms are put together from the terms
 that occur: a pair of groups needs how often each count occurs in either group, and single terms only where both groups hold them.
-All numbers are whole: bigint, and decimal(38, 0) where a product may pass it.
+All numbers are whole: bigint, and decimal where a product may pass it. Shares add up to 10^9 + V, so no sum passes 2 (10^9 + V)^2, which
+a bigint holds up to 10^9 kept terms of a language; a larger sum would be refused with an error, not cut.
 
 Each row is a document; null texts, languages and sources are ''. Repeated rows count as documents of their own. Texts and terms of any
 length are read whole. Ties rank by term or source in UTF-8 order. An empty table gives an empty result. Other columns aren't read.
@@ -36,6 +37,7 @@ from gleanery.llm.runs import LETTERS, lengths_of, word_runs
 from gleanery.scale import is_bounded, lookup_join
 
 MIN_DOCS, FIRST_LEVEL, BITS, TOP_TERMS = 3, 6, 1 << 24, 200
+SLICE_BYTES = 6 << 20  # text taken up at a time by a task
 COUNTS = "whole boolean, lang string, source string, term binary, docs long, n long"
 SURVIVORS = "lang string, source string, terms array<binary>, counts array<int>"
 COUNTS_ARROW = pa.schema([("whole", pa.bool_()), ("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("n", pa.int64())])
@@ -84,7 +86,7 @@ def _coded(values: list) -> tuple[list, np.ndarray]:
 def slices(batch: pa.RecordBatch) -> Iterator[Slice]:
     langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
     if len(batch.schema) == 3:  # texts
-        for part in word_runs(batch.column(2), LETTERS):
+        for part in word_runs(batch.column(2), LETTERS, SLICE_BYTES):
             span = slice(part.first, part.first + len(part.per_row))
             yield Slice(part.rows, part.words, None, langs[span], sources[span])
         return
@@ -178,11 +180,13 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, first_level: int = FIR
 
 def share(count: Column, total: Column, kinds: Column) -> Column:
     """1 + floor(10^9 (count + 1) / (total + kinds)), exact for any count; null where no term is kept."""
-    return F.when(kinds > 0, F.call_function("div", F.lit(1_000_000_000).cast("decimal(18,0)") * (count + 1).cast("decimal(20,0)"), (total + kinds).cast("decimal(20,0)")) + 1)
+    wide = F.call_function("div", F.lit(1_000_000_000).cast("decimal(18,0)") * (count + 1).cast("decimal(20,0)"), (total + kinds).cast("decimal(20,0)"))
+    plain = F.call_function("div", F.lit(1_000_000_000).cast("long") * (count + 1).cast("long"), total + kinds)
+    return F.when(kinds > 0, F.when(count < 9_000_000_000, plain).otherwise(wide) + 1)
 
 
 def gap(p: Column, q: Column) -> Column:
-    return F.call_function("div", (p - q) * (p - q), q).cast("decimal(38,0)")
+    return F.call_function("div", (p - q) * (p - q), q)
 
 
 def groups_of(docs: DataFrame, cells: DataFrame) -> DataFrame:
@@ -212,8 +216,7 @@ def pair_values(cells: DataFrame, groups: DataFrame) -> DataFrame:
     both = held.join(held.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("p0").alias("q0")), ["lang", "term"]).filter(other)
     p, q, p0, q0 = (F.col(c) for c in ("p", "q", "p0", "q0"))
     both = both.select("lang", "source", "item", (gap(p, q) - gap(p, q0) - gap(p0, q) + gap(p0, q0)).alias("value"))
-    parts = [x.withColumn("value", F.col("value").cast("decimal(38,0)")) for x in (neither, mine, theirs, both)]
-    return reduce(DataFrame.unionAll, parts).groupBy("lang", "source", "item").agg(F.sum("value").cast("long").alias("value"))
+    return reduce(DataFrame.unionAll, (neither, mine, theirs, both)).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
 def audit_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS, first_level: int = FIRST_LEVEL) -> DataFrame:
@@ -225,7 +228,7 @@ def audit_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int =
     pairs = pair_values(cells, groups).withColumn("rank", F.row_number().over(best))
     terms = lookup_join(cells, groups.select("lang", "source", "total", "v", "lang_total"), ["lang", "source"], "inner")
     terms = terms.select("lang", "source", F.col("term").alias("item"), share(F.col("n"), F.col("total"), F.col("v")).alias("p"), share(F.col("lang_n"), F.col("lang_total"), F.col("v")).alias("q"))
-    terms = terms.filter("p > q").select("lang", "source", "item", gap(F.col("p"), F.col("q")).cast("long").alias("value"))
+    terms = terms.filter("p > q").select("lang", "source", "item", gap(F.col("p"), F.col("q")).alias("value"))
     terms = terms.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_terms)
     out = pairs.withColumn("part", F.lit("pair")).unionByName(terms.withColumn("part", F.lit("term")))
     return out.select("lang", "source", "part", "item", "value", F.col("rank").cast("int").alias("rank"))
