@@ -7,14 +7,17 @@ the smallest and largest id. "One company or several" only needs these two.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery import defaults as d
 from gleanery.functions.text import name_key, text_key
 from gleanery.functions.urls import normalized_domain, stock_code
-from gleanery.scale import keep_first, lookup_join
+from gleanery.scale import bit_set, dealt, keep_first, lookup_join, materialize
 
 
 def exploded_keys(df: DataFrame, row: Sequence[str], keys: dict[str, Column]) -> DataFrame:
@@ -135,39 +138,109 @@ def company_key_columns() -> dict[str, Column]:
     }
 
 
-def longest_alias(texts: DataFrame, row: str, text: str, aliases: DataFrame, company: str = "company_id", alias: str = "alias", seq: str = "seq") -> DataFrame:
+def longest_alias(texts: DataFrame, row: str, text: str, aliases: DataFrame, company: str = "company_id", alias: str = "alias", seq: str = "seq",
+                  tasks: int | None = None) -> DataFrame:
     """Longest alias found inside each text (J16, W12); ties go to the alias listed first.
 
-    Pieces of the texts are joined on the first characters of the aliases, so no text is compared with every alias.
+    Rolling hashes give every position of a text the hash of any window from there. Aliases fall into tiers of 2^k to 2^(k+1) - 1
+    characters. For each tier a fixed-size bit set of the aliases' first 2^k characters rules out nearly all positions, and a second one
+    of whole aliases the windows that are none; only the rest, copies of aliases but for a few, leave the row and meet the aliases in an
+    equi-join, which decides. Neither aliases nor texts are compared pair by pair, and a task holds one text at a time.
     """
 
     known = aliases.withColumn("key", text_key(alias)).filter(F.length("key") >= 2)
-    known = keep_first(known.select("key", company, seq), ["key"], [F.col(seq).asc(), F.col(company).asc()])
-    rows = texts.select(row, text_key(text).alias("_text"))
-    return texts.join(_join_aliases(rows, row, known, company, seq), row, "left")
-
-
-def _join_aliases(rows: DataFrame, row: str, known: DataFrame, company: str, seq: str) -> DataFrame:
-    """Every piece of a text that starts like some alias is compared with the aliases of that start.
-
-    Starts are as long as the shortest alias allows, up to eight characters. Pieces are no longer than the longest alias.
-    """
-
-    known = known.withColumn("_len", F.length("key"))
-    span = known.agg(F.min("_len").alias("low"), F.max("_len").alias("high")).first()
-    if span["low"] is None:
-        return rows.select(row, F.lit(None).cast("string").alias("matched_alias"), F.lit(None).alias("matched_company_id")).limit(0)
-    width = min(span["low"], 8)
-    heads = known.groupBy(F.substring("key", 1, width).alias("_head")).agg(F.array_sort(F.collect_set("_len")).alias("_sizes"))  # lengths, not aliases
-    # a look-ahead gives the piece at every position in one pass over the text
-    pieces = F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{width},{span['high']}}}))"), F.lit(1))
-    starts = rows.select(row, F.explode(F.array_distinct(pieces)).alias("_tail"))
-    sized = lookup_join(starts.withColumn("_head", F.substring("_tail", 1, width)), heads, "_head", "inner")
-    parts = sized.select(row, "_tail", F.explode("_sizes").alias("_n")).filter(F.length("_tail") >= F.col("_n"))
-    parts = parts.select(row, F.substring("_tail", F.lit(1), F.col("_n")).alias("key")).distinct()
-    hits = lookup_join(parts, known.select("key", company, seq), "key", "inner")
-    best = keep_first(hits, [row], [F.length("key").desc(), F.col(seq).asc()])
-    return best.select(row, F.col("key").alias("matched_alias"), F.col(company).alias("matched_company_id"))
+    known = materialize(keep_first(known.select("key", company, seq), ["key"], [F.col(seq).asc(), F.col(company).asc()]).withColumn("_len", F.length("key")))
+    sizes = sorted(r["_len"] for r in known.select("_len").distinct().collect())  # no more than the longest alias has characters
+    if not sizes:
+        return texts.withColumns({"matched_alias": F.lit(None).cast("string"), "matched_company_id": F.lit(None).cast(aliases.schema[company].dataType)})
+    index = WindowIndex.of(sizes)
+    marks = known.select(_alias_marks(index)("key").alias("_m"))
+    heads, whole = (bit_set(marks.select(F.col("_m")[i].alias("m")), "m", ALIAS_BITS) for i in (0, 1))
+    spark = texts.sparkSession
+    sets = spark.sparkContext.broadcast((heads, whole))
+    found = dealt(texts.select(row, text), tasks).select(row, F.explode(_alias_windows(index, sets)(text_key(text))).alias("key"))
+    hits = lookup_join(found, known, "key", "inner")
+    best = keep_first(hits, [row], [F.col("_len").desc(), F.col(seq).asc()])
+    return texts.join(best.select(row, F.col("key").alias("matched_alias"), F.col(company).alias("matched_company_id")), row, "left")
+
+
+@dataclass(frozen=True)
+class WindowIndex:
+    """Hashes of all windows of a text. ``tiers``: a power of two and the alias sizes from it up to its double."""
+
+    tiers: list[tuple[int, list[int]]]
+
+    @classmethod
+    def of(cls, sizes: list[int]) -> WindowIndex:
+        heads = sorted({1 << (n.bit_length() - 1) for n in sizes})
+        return cls([(h, [n for n in sizes if h <= n < 2 * h]) for h in heads])
+
+    def sums(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of characters times powers of the base, and the powers that undo a start (all modulo 2^64)."""
+        chars = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        sums = np.zeros(len(chars) + 1, np.uint64)
+        np.cumsum(chars * _powers(HASH_BASE, len(chars)), out=sums[1:])
+        return sums, _powers(HASH_UNDO, len(chars) + 1)
+
+    def marks(self, sums: np.ndarray, undo: np.ndarray, at: np.ndarray | None, size: int) -> np.ndarray:
+        """Bits of the windows of ``size`` characters that begin at ``at``, or anywhere."""
+        if at is None:
+            n = max(0, len(sums) - size)
+            mixed = sums[size:] - sums[:n]
+            mixed *= undo[:n]
+        else:
+            mixed = (sums[at + size] - sums[at]) * undo[at]
+        mixed += np.uint64(size)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed >>= np.uint64(64 - ALIAS_BITS.bit_length() + 1)
+        return mixed.view(np.int64)
+
+
+HASH_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
+HASH_UNDO = pow(HASH_BASE, -1, 1 << 64)
+ALIAS_BITS = 1 << 23
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(max(n, 1), base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)[:n]
+
+
+def _alias_marks(index: WindowIndex):
+    @F.pandas_udf("array<long>")
+    def marks(keys: pd.Series) -> pd.Series:
+        def of(key):
+            sums, undo = index.sums(key)
+            return [int(index.marks(sums, undo, np.zeros(1, np.int64), n)[0]) for n in (1 << (len(key).bit_length() - 1), len(key))]
+
+        return keys.map(of)
+
+    return marks
+
+
+def _alias_windows(index: WindowIndex, sets):
+    @F.pandas_udf("array<string>")
+    def windows(texts: pd.Series) -> pd.Series:
+        heads, whole = (np.frombuffer(b, np.uint8) for b in sets.value)
+        has = lambda bits, marks: (bits[marks >> 3] >> (marks & 7).astype(np.uint8) & 1).astype(bool)
+
+        def of(text):
+            if not text:
+                return []
+            sums, undo = index.sums(text)
+            out: set[str] = set()
+            for head, sizes in index.tiers:
+                at = np.flatnonzero(has(heads, index.marks(sums, undo, None, head)))
+                for n in sizes if len(at) else ():
+                    fits = at[at + n <= len(text)]
+                    out.update(text[i: i + n] for i in fits[has(whole, index.marks(sums, undo, fits, n))].tolist())
+            return list(out)
+
+        return texts.map(of)
+
+    return windows
 
 
 def central_group_labels(candidates: DataFrame, groups: DataFrame, companies: DataFrame, candidate: str = "candidate_id") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +63,16 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, on: str | Sequence[str], ho
     return facts.join(F.broadcast(lookup) if is_bounded(lookup, max_rows) else lookup, keys, how)
 
 
+def bit_set(df: DataFrame, mark: str, bits: int) -> bytes:
+    """The marks (whole numbers under ``bits``) as a set of bits, of that size whatever the number of rows."""
+
+    words = df.select(F.shiftright(mark, 6).alias("word"), F.expr(f"shiftleft(1L, cast({mark} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = words.toPandas()  # bits / 64 rows at most
+    out = np.zeros(bits // 64, np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out.tobytes()
+
+
 def dealt(df: DataFrame, tasks: int | None) -> DataFrame:
     """The rows dealt to ``tasks`` partitions, for costly row work on few input splits; as they are without it."""
 
@@ -101,7 +112,12 @@ def _place(df: DataFrame, order: Sequence[Column], group: Sequence[str]) -> Data
 
 
 def _join_runs(placed: DataFrame, runs: DataFrame, group: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Rows with the values of their run. Runs are few, one per partition and group; proven small they are broadcast, so rows stay where they are."""
+
     right = runs.select(F.col("_part").alias("_rpart"), *[F.col(c).alias(f"_r_{c}") for c in group], *values)
+    right = materialize(right)
+    if is_bounded(right):
+        right = F.broadcast(right)
     match = F.col("_part") == F.col("_rpart")
     for c in group:
         match = match & F.col(c).eqNullSafe(F.col(f"_r_{c}"))

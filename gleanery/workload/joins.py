@@ -192,29 +192,30 @@ def j14(t):
     return out.select("candidate_id", F.coalesce("matched_company_id", F.lit(-1).cast("bigint")).alias("matched_company_id"), F.coalesce("match_method", F.lit("")).alias("match_method"))
 
 
-ALIASES = "al as (select item_id, regexp_replace(lower(substr(trim(text), 1, 8 + item_id % 5)), '[\\s]', '', 'g') as key from benchmark)"
-
-
-def phrases(t):
-    return t.benchmark.select(F.col("item_id").alias("company_id"), F.col("item_id").alias("seq"), F.substring(F.trim("text"), F.lit(1), (8 + F.col("item_id") % 5).cast("int")).alias("alias"))
-
-
-LONGEST = f"""with {ALIASES},
-    d as (select doc_id, regexp_replace(regexp_replace(lower(trim(text)), '\\s', '', 'g'), '[·・()（）【】\\[\\]{{}}]', '', 'g') as body from documents),
+def alias_sql(source):
+    key = lambda x: f"regexp_replace(regexp_replace(lower(trim({x})), '\\s', '', 'g'), '[·・()（）【】\\[\\]{{}}]', '', 'g')"
+    return f"""with a as ({source}), al as (select item_id, {key('alias')} as key from a),
+    d as (select doc_id, {key('text')} as body from documents),
     h as (select doc_id, item_id, row_number() over (partition by doc_id order by length(key) desc, item_id) rn from d join al on contains(body, key) where length(key) >= 2)
     select documents.doc_id, coalesce(item_id, -1) as matched_company_id from documents left join (select * from h where rn = 1) h using (doc_id)"""
 
 
-@query("J16_longest_alias", LONGEST)
-def j16(t):
-    out = resolve.longest_alias(t.documents.select("doc_id", "text"), "doc_id", "text", phrases(t))
+def alias_search(t, aliases):
+    rows = aliases.withColumns({"company_id": F.col("item_id"), "seq": F.col("item_id")})
+    out = resolve.longest_alias(t.documents.select("doc_id", "text"), "doc_id", "text", rows, tasks=t.tasks)
     return out.select("doc_id", F.coalesce("matched_company_id", F.lit(-1).cast("bigint")).alias("matched_company_id"))
 
 
-@query("J16_longest_alias_by_join", LONGEST)
+@query("J16_longest_alias", alias_sql(r"select item_id, text as alias from benchmark union all select item_id, regexp_extract(trim(text), '^\S+\s+\S+') from benchmark"))
+def j16(t):
+    """Whole items, and their first two words: long aliases and short ones that many texts hold."""
+    two = t.benchmark.select("item_id", F.regexp_extract(F.trim("text"), r"^\S+\s+\S+", 0).alias("alias"))
+    return alias_search(t, t.benchmark.select("item_id", F.col("text").alias("alias")).union(two))
+
+
+@query("J16_longest_alias_by_join", alias_sql("select item_id, substr(trim(text), 1, 8 + item_id % 5) as alias from benchmark"))
 def j16_join(t):
-    out = resolve.longest_alias(t.documents.select("doc_id", "text"), "doc_id", "text", phrases(t))
-    return out.select("doc_id", F.coalesce("matched_company_id", F.lit(-1).cast("bigint")).alias("matched_company_id"))
+    return alias_search(t, t.benchmark.select("item_id", F.substring(F.trim("text"), F.lit(1), (8 + F.col("item_id") % 5).cast("int")).alias("alias")))
 
 
 @query("J18_campaign_jobs", """

@@ -1,6 +1,7 @@
 """Operators against brute force on small skewed inputs, state transitions and gates."""
 
 import random
+import re
 from datetime import datetime
 
 import pytest
@@ -121,6 +122,21 @@ def test_longest_alias(spark):
     aliases = spark.createDataFrame([("t", "腾讯", 0), ("m", "腾讯音乐", 1), ("t", "tencent", 2), ("z", "腾讯", 3)], "company_id string, alias string, seq int")
     got = resolve.longest_alias(texts, "n", "t", aliases)
     assert {r["n"]: r["matched_company_id"] for r in got.collect()} == {1: "m", 2: "t", 3: None, 4: "t"}
+    assert resolve.longest_alias(texts, "n", "t", aliases.limit(0)).filter("matched_company_id is not null").count() == 0
+
+
+def test_longest_alias_in_long_texts_equals_search(spark):
+    r = random.Random(6)
+    names = ["".join(r.choice("abé𝒳腾 ") for _ in range(r.choice([2, 3, 4, 7, 8, 9, 15, 16, 40]))) for _ in range(60)] + ["z" * 2000 + "q", "zz", None, ""]
+    bodies = ["".join(r.choice("abé𝒳腾z ") for _ in range(r.choice([0, 1, 5, 300]))) + r.choice(names[:60]) for _ in range(60)] + ["z " * 2500 + "Q" + "ab" * 60_000, None, "z" * 9000]
+    aliases = spark.createDataFrame([(f"c{i}", a, i) for i, a in enumerate(names)], "company_id string, alias string, seq int")
+    texts = spark.createDataFrame(list(enumerate(bodies)), "n int, t string")
+    key = lambda s: re.sub(r"[\s·・()（）【】\[\]{}]+", "", (s or "").strip().lower())
+    want = {}
+    for n, body in enumerate(bodies):
+        hits = sorted((-len(key(a)), i) for i, a in enumerate(names) if len(key(a)) >= 2 and key(a) in key(body))
+        want[n] = f"c{hits[0][1]}" if hits else None
+    assert {x["n"]: x["matched_company_id"] for x in resolve.longest_alias(texts, "n", "t", aliases).collect()} == want
 
 
 def test_identity_match(spark):
