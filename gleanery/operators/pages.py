@@ -195,16 +195,16 @@ def page_links(pages: DataFrame, keep: list[str], url: str = "url", page: str =
     return long.filter(urls.is_web_url("link_url"))
 
 
-def feed_links(links: DataFrame, keep: list[str], limit: int = 20) -> DataFrame:
-    """Feed addresses of each page by MIME type, rel or path, first ``limit`` (H4)."""
+def feed_links(links: DataFrame, keep: list[str], limit: int | None = None) -> DataFrame:
+    """Feed addresses of each page by MIME type, rel or path (H4): all of them, or the first ``limit`` and their number in ``found``."""
 
     kind, path = urls.mime_type(F.coalesce("link.type", F.lit(""))), F.lower(urls.url_path("link_url"))
     hit = kind.isin(*d.FEED_MIME_TYPES) | (F.col("link.rel").contains("alternate") & kind.rlike("rss|atom")) | path.rlike(words_pattern(d.FEED_PATH_TOKENS))
     return _first_links(links.filter(F.col("link.tag").isin("link", "a") & F.col("link.href").isNotNull() & hit), keep, limit)
 
 
-def sitemap_links(links: DataFrame, pages: DataFrame, keep: list[str], url: str = "url", limit: int = 10) -> DataFrame:
-    """Sitemap addresses named on the page, anchors first, then the two conventional ones (H5)."""
+def sitemap_links(links: DataFrame, pages: DataFrame, keep: list[str], url: str = "url", limit: int | None = None) -> DataFrame:
+    """Sitemap addresses named on the page, anchors first, then the two conventional ones (H5): all, or the first ``limit`` and their number."""
 
     named = links.filter(F.col("link.tag").isin("a", "link") & F.col("link.href").isNotNull() & F.lower(urls.url_path("link_url")).contains("sitemap"))
     named = named.select(*keep, F.when(F.col("link.tag") == "a", F.col("link_no")).otherwise(F.col("link_no") + 1_000_000).alias("link_no"), "link_url")
@@ -214,21 +214,23 @@ def sitemap_links(links: DataFrame, pages: DataFrame, keep: list[str], url: str
     return _first_links(both, keep, limit)
 
 
-def _first_links(links: DataFrame, keep: list[str], limit: int) -> DataFrame:
+def _first_links(links: DataFrame, keep: list[str], limit: int | None) -> DataFrame:
     """Distinct addresses per page in page order. A page's links come from one row, so they are few."""
 
     first = links.groupBy(*keep, "link_url").agg(F.min("link_no").alias("link_no"))
     grouped = first.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("link_no", "link_url"))).alias("_l"))
-    return grouped.select(*keep, F.slice(F.transform("_l", lambda x: x["link_url"]), 1, limit).alias("urls"))
+    found = F.transform("_l", lambda x: x["link_url"])
+    return grouped.select(*keep, (found if limit is None else F.slice(found, 1, limit)).alias("urls"), F.size("_l").alias("found"))
 
 
-def sitemap_locations(xml: str | Column, limit: int = 500) -> Column:
-    """Addresses in a sitemap or sitemap index (H5)."""
+def sitemap_locations(xml: str | Column, limit: int | None = None) -> Column:
+    """Addresses in a sitemap or sitemap index (H5), all or the first ``limit``."""
 
     xml = F.col(xml) if isinstance(xml, str) else xml
     found = F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<(?:\w+:)?loc\s*>(?:\s*<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>\s*)?</(?:\w+:)?loc\s*>"), F.lit(1)),
                         lambda x: F.replace(F.trim(x), F.lit("&amp;"), F.lit("&")))
-    return F.slice(F.array_distinct(F.filter(found, lambda x: urls.is_web_url(x))), 1, limit)
+    distinct = F.array_distinct(F.filter(found, lambda x: urls.is_web_url(x)))
+    return distinct if limit is None else F.slice(distinct, 1, limit)
 
 
 def job_postings(pages: DataFrame, keep: list[str], page: str = "page") -> DataFrame:
@@ -403,29 +405,29 @@ def table_jobs(pages: DataFrame, keep: list[str], url: str = "url", page: str =
     title = F.try_element_at(F.concat(F.filter("r.labels", usable), F.filter("r.cells", usable)), F.lit(1))
     rest = F.slice("r.cells", 2, F.size("r.cells"))
     placed = F.try_element_at(F.filter(rest, lambda c: has_any(c, d.ROW_CITY_WORDS)), F.lit(1))
-    second = F.substring(F.try_element_at("r.cells", F.lit(2)), 1, 240)
+    second = F.try_element_at("r.cells", F.lit(2))
     plain = F.when((second != "") & (F.length(second) <= 80) & ~second.rlike(d.ROW_REQUIREMENT_WORDS), second)
     long = long.withColumn("title", title).filter(F.coalesce(is_job_title(F.col("title")), F.lit(False)))
     link = F.try_element_at("r.hrefs", F.lit(1))
     long = long.withColumn("href", urls.page_url(urls.absolute_url(F.coalesce(link, F.lit("")), F.col("page_url"))))
     row_id = F.concat(F.lit("row-"), F.col("row_no"), F.lit("-"), F.substring(F.sha2(F.array_join("r.cells", "|"), 256), 1, 12))
     return long.select(
-        *keep, F.col("row_no"), "title", F.coalesce(F.substring(placed, 1, 240), plain, F.lit(d.UNKNOWN)).alias("location"),
+        *keep, F.col("row_no"), "title", F.coalesce(placed, plain, F.lit(d.UNKNOWN)).alias("location"),
         F.coalesce("href", "page_url").alias("apply_url"), F.coalesce("href", row_id).alias("source_job_id"),
         F.array_join(F.filter("r.cells", lambda c: c != ""), " ").alias("description"), F.array_join(F.slice("r.cells", 3, F.size("r.cells")), " ").alias("requirements"))
 
 
-def link_jobs(links: DataFrame, pages: DataFrame, keep: list[str], domains: str, url: str = "url", page: str = "page", limit: int = 200) -> DataFrame:
-    """Job-looking links of pages that look like recruitment pages (H12), at most ``limit`` per page."""
+def link_jobs(links: DataFrame, pages: DataFrame, keep: list[str], domains: str, url: str = "url", page: str = "page") -> DataFrame:
+    """Job-looking links of pages that look like recruitment pages (H12), each address once per page."""
 
     wanted = pages.filter(is_recruitment_page(F.col(url), F.col(f"{page}.text"))).select(*keep, F.col(domains).alias("_domains"))
     rows = links.filter((F.col("link.tag") == "a") & ~F.col("link.nav") & ~F.col("link.hidden")).join(wanted, keep)
     rows = rows.withColumn("href", urls.page_url("link_url"))
-    title = F.substring(single_spaced("link.text"), 1, 200)
+    title = single_spaced("link.text")
     hint = has_any(urls.url_path("href"), d.JOB_LINK_PATH_WORDS) | has_any(title, d.JOB_LINK_TITLE_WORDS) | F.col("link.around").rlike("20\\d{2}[年./-]")
     rows = rows.filter(F.coalesce(is_job_title(title) & urls.host_under_any(urls.url_host("href"), "_domains") & hint, F.lit(False)))
     first = rows.groupBy(*keep, "href").agg(F.min(F.struct("link_no", title.alias("title"), F.col("link.around").alias("around"))).alias("x"))
-    grouped = first.groupBy(*keep).agg(F.slice(F.array_sort(F.collect_list(F.struct("x.link_no", "href", "x.title", "x.around"))), 1, limit).alias("_l"))
+    grouped = first.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("x.link_no", "href", "x.title", "x.around"))).alias("_l"))
     return grouped.select(*keep, F.explode("_l").alias("x")).select(*keep, F.col("x.title").alias("title"), F.col("x.href").alias("apply_url"), F.col("x.around").alias("description"))
 
 
@@ -436,7 +438,7 @@ def directory_companies(pages: DataFrame, keep: list[str], seq: str, page: str =
     joined = F.array_join("r.cells", " ")
     header = has_any(joined, d.DIRECTORY_HEADER_WORDS) & (F.size("r.cells") <= 3)
     usable = F.filter("r.cells", lambda c: (c != "") & ~c.rlike(r"^\d{5,6}$") & (c.rlike(d.COMPANY_NAME_WORDS) | c.rlike("[㐀-鿿]")))
-    name = F.substring(F.coalesce(F.try_element_at(usable, F.lit(1)), F.trim(F.try_element_at("r.cells", F.lit(1)))), 1, 120)
+    name = F.coalesce(F.try_element_at(usable, F.lit(1)), F.trim(F.try_element_at("r.cells", F.lit(1))))
     code = F.nullif(F.regexp_extract(joined, r"(?<!\d)(\d{5,6})(?!\d)", 1), F.lit(""))
     long = long.filter(~header).select(*keep, seq, "row_no", name.alias("name"), code.alias("stock_code"))
     long = long.withColumn("normalized_name", name_key("name")).filter(F.length("normalized_name") >= 2)

@@ -296,7 +296,7 @@ def domain_batch(candidates: DataFrame, order: Sequence[Column], domain: Column,
     known = ranked.filter("_domain <> 'unknown'")
     heads = known.groupBy("_domain").agg(F.min("_at").alias("_first")).orderBy("_first").limit(max_domains)  # bounded
     passed = ranked.filter("_domain = 'unknown'").unionByName(known.join(F.broadcast(heads.select("_domain")), "_domain", "left_semi").select(ranked.columns))
-    return passed.orderBy("_at").limit(max(1, min(size, 100))).drop("_domain", "_at")
+    return passed.orderBy("_at").limit(max(1, size)).drop("_domain", "_at")
 
 
 def distinct_names_report(rows: DataFrame, name: str, url: str, rank: str) -> DataFrame:

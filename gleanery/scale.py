@@ -63,6 +63,17 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, on: str | Sequence[str], ho
     return facts.join(F.broadcast(lookup) if is_bounded(lookup, max_rows) else lookup, keys, how)
 
 
+def with_computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once per row, however often later filters and projections name them.
+
+    The values pass a one-element explode, through which the optimizer doesn't copy expressions.
+    """
+
+    held = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_computed")
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select("*", held).select(*kept, "_computed.*")
+
+
 def bit_set(df: DataFrame, mark: str, bits: int) -> bytes:
     """The marks (whole numbers under ``bits``) as a set of bits, of that size whatever the number of rows."""
 

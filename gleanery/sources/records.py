@@ -245,8 +245,11 @@ def _list(name: str) -> Column:
     return F.coalesce(F.col(name), F.array().cast("array<string>"))
 
 
-def map_feed(df: DataFrame, shape: str, item: str = "item") -> DataFrame:
-    """Items of one shared shape to postings (P4). Rows without an apply URL come out with a NULL one: see ``split_rejects``."""
+def map_feed(df: DataFrame, shape: str, item: str = "item", keep: Sequence[str] = ()) -> DataFrame:
+    """Items of one shared shape to postings (P4). Rows without an apply URL come out with a NULL one: see ``split_rejects``.
+
+    ``keep`` names columns to carry along.
+    """
 
     spec, it = FEEDS[shape], F.col(item)
     holder = F.try_variant_get(it, path(spec.place_in), "variant") if spec.place_in else it
@@ -277,7 +280,7 @@ def map_feed(df: DataFrame, shape: str, item: str = "item") -> DataFrame:
     cohort, batch = rules.cohort("_context", F.col("current_cohort_signal")), rules.batch("_context")
     rows = rows.withColumn("_cohort", cohort).withColumn("_batch", batch)
     published = dates.official_date(first_field(it, *spec.published))
-    return rows.select(*_posting({
+    return rows.select(*keep, *_posting({
         "source_job_id": F.trim(job_id), "title": F.col("_title"), "city": place,
         "role_category": rules.feed_role_category("_title"), "cohort": F.col("_cohort"), "batch": F.col("_batch"),
         "education": rules.education("_context"), "description": F.trim(F.coalesce(first_field(it, *spec.description), F.lit(""))),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,17 +137,30 @@ def read_observations(spark: SparkSession, path: str | None, schema: T.StructTyp
 
 # --- allow-list sanitizers -----------------------------------------------------------------------------
 
-def sanitize_inbox(rows: DataFrame, imported_at: Column) -> DataFrame:
-    """Allow-listed inbox columns, cut to length; rows without title, company or https link are dropped (P20)."""
+def _limited(columns: dict[str, Column], limits: Mapping[str, int]) -> list[Column]:
+    """Text columns as they are, or to their limits; with limits, ``cut`` names the columns that were shortened."""
+
+    out = [F.substring(c, 1, limits[n]).alias(n) if n in limits else c.alias(n) for n, c in columns.items()]
+    if limits:
+        long = [F.when(F.length(columns[n]) > size, F.lit(n)) for n, size in limits.items() if n in columns]
+        out.append(F.array_compact(F.array(*long)).cast("array<string>").alias("cut"))
+    return out
+
+
+def sanitize_inbox(rows: DataFrame, imported_at: Column, limits: Mapping[str, int] = MappingProxyType({})) -> DataFrame:
+    """Allow-listed inbox columns; rows without title, company or https link are dropped (P20).
+
+    Texts are whole unless ``limits`` gives a column's length; then ``cut`` names the columns that lost text.
+    """
 
     have = set(rows.columns)
     pick = lambda *names: F.coalesce(*[F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in have], F.lit(None).cast("string"))
     apply = urls.https_url(pick("applyUrl", "url", "jobUrl"))
     out = rows.select(
-        clean_text(F.coalesce(pick("id", "jobId"), apply), 240).alias("id"), clean_text(pick("title", "jobTitle"), 240).alias("title"),
-        clean_text(pick("companyName", "company"), 240).alias("company_name"),
-        F.coalesce(F.nullif(clean_text(pick("city", "location"), 160), F.lit("")), F.lit(d.UNKNOWN)).alias("city"),
-        clean_text(F.coalesce(pick("description"), F.lit("")), 12_000).alias("description"),
+        *_limited({
+            "id": clean_text(F.coalesce(pick("id", "jobId"), apply)), "title": clean_text(pick("title", "jobTitle")), "company_name": clean_text(pick("companyName", "company")),
+            "city": F.coalesce(F.nullif(clean_text(pick("city", "location")), F.lit("")), F.lit(d.UNKNOWN)), "description": clean_text(F.coalesce(pick("description"), F.lit(""))),
+        }, limits),
         clean_list(F.coalesce(*[F.col(n) for n in ("requirements", "qualifications") if n in have], F.array().cast("array<string>"))).alias("requirements"),
         apply.alias("apply_url"), urls.https_url(F.coalesce(pick("sourceUrl", "careerUrl"), apply)).alias("source_url"),
         imported_at.alias("imported_at"), F.lit("USER_IMPORTED_LOCAL_INBOX").alias("source"), *(["seq"] if "seq" in have else []))

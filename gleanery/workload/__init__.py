@@ -33,7 +33,7 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
-MODULES = ["windows", "quality", "state", "joins", "gates", "facets", "scalars", "records", "webpages", "reports", "provisional"]
+MODULES = ["windows", "quality", "state", "joins", "gates", "facets", "scalars", "records", "webpages", "reports", "provisional", "pagejobs"]
 
 
 def query(name: str, sql: str | None = None):

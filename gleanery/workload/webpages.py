@@ -91,6 +91,20 @@ def h6(t):
     return rows.select("page_id", first_field(F.col("item"), "title").alias("title"), F.round(pages.posting_completeness(F.col("item")), 6).alias("completeness"))
 
 
+@query("H4_many_feeds", r"select page_id, 60 as found, 60 as kept from pages")
+def h4_many(t):
+    """Three times as many feeds as any reader would take by default: none is cut."""
+    feeds = "".join(f"<a href='/f{i}/feed.rss'>f</a>" for i in range(60))
+    links = pages.page_links(parsed(t, F.lit(feeds)), ["page_id"])
+    return pages.feed_links(links, ["page_id"]).select("page_id", "found", F.size("urls").alias("kept"))
+
+
+@query("H5_many_locations", "select page_id, 700 + page_id % 50 as addresses from pages")
+def h5_many(t):
+    loc = F.transform(F.sequence(F.lit(1), (F.lit(700) + F.col("page_id") % 50).cast("int")), lambda i: F.concat(F.lit("<url><loc>https://example.com/"), i, F.lit("</loc></url>")))
+    return t.pages.select("page_id", F.size(pages.sitemap_locations(F.concat(F.lit("<urlset>"), F.array_join(loc, ""), F.lit("</urlset>")))).cast("long").alias("addresses"))
+
+
 VENDOR_LINKS = ["https://boards.greenhouse.io/acme", "https://jobs.lever.co/acme/jobs", "https://acme.wd1.myworkdayjobs.com/en-US/Acme_Careers", "https://acme.zhiye.com/campus", "https://app.mokahr.com/apply/acme", ""]
 
 

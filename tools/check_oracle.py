@@ -29,7 +29,7 @@ def main() -> int:
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{root}/{t}.parquet'")
-    spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="12g")
+    spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
     if prefixes and prefixes[0].startswith("mod:"):
         for m in prefixes[0][4:].split(","):
