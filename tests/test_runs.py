@@ -1,5 +1,6 @@
 """Whole runs, streams against batch, and the driver contract."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -106,6 +107,39 @@ def test_lifecycle_stream_equals_batch(spark, tmp_path):
     assert got == {"a": ("ACTIVE", 0), "b": ("CLOSED", 2)}
 
 
+def test_keyed_lifecycle_equals_batch(spark, tmp_path):
+    """Twenty snapshots of three sources, some incomplete or quarantined, postings that come, change, go and return; stream against batch."""
+    r = random.Random(4)
+    names = ["source_id", "id", "content_hash", "status", "first_missing_successes", "first_seen_at", "last_verified_at", "changed_at"]
+    schema = state.LIFECYCLE_ROW + ", run long, run_at timestamp, complete boolean, quarantined boolean, postings long"
+    previous, touched = spark.createDataFrame([], state.LIFECYCLE_ROW), 0
+    for run in range(20):
+        at = NOW + timedelta(days=12 * run)
+        rows, flags = [], []
+        for source in ("s", "t", "u")[: 3 if run % 4 else 2]:
+            ids = [f"p{i}" for i in range(12) if r.random() < 0.7 and i < 6 + run and not (i == 0 and run > 5)]
+            complete, quarantined = r.random() < 0.8, r.random() < 0.1
+            flags.append((source, complete, quarantined))
+            rows += [(source, x, f"h{r.randrange(2)}", "ACTIVE", 0, at, at, None, run, at, None, None, None) for x in ids]
+            rows.append((source, None, None, None, None, None, None, None, run, at, complete, quarantined, len(ids)))
+            if run == 9:
+                rows.append((source, "late", "h", "ACTIVE", 0, at, at, None, 3, at, None, None, None))
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        current = spark.createDataFrame([x[:8] for x in rows if x[1] is not None and x[1] != "late"], state.LIFECYCLE_ROW)
+        sources = spark.createDataFrame(flags, "source_id string, complete boolean, quarantined boolean")
+        out = snapshots.retain(snapshots.advance_lifecycle(previous, current, sources, F.lit(at)), F.lit(at), 90).select(*names)
+        previous = spark.createDataFrame(out.collect(), state.LIFECYCLE_ROW)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.ROCKSDB)
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(str(tmp_path / "in"))
+        query = state.keyed_lifecycle(stream, shards=3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = state.latest_lifecycle(spark.read.parquet(str(tmp_path / "out"))).select(*names)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, previous.collect()), key=lambda x: x[:2]) or sorted(map(str, got.collect())) == sorted(map(str, previous.collect()))
+
+
 def test_stage_stream_and_first_seen(spark, tmp_path):
     rows = [("u", "j", NOW + timedelta(hours=i), s) for i, s in enumerate(["NOT_APPLIED", "APPLIED", "APPLIED", "INTERVIEW", "OFFER"])]
     schema = "user_id string, job_id string, ts timestamp, stage string"
