@@ -7,6 +7,7 @@ works on that struct, and the page source is dropped before any shuffle.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -19,7 +20,7 @@ from gleanery.functions import urls
 from gleanery.functions.rules import first_reason, has_any, reason_list, words_pattern
 from gleanery.functions.text import SPACE, let, name_key, nfkc, single_spaced
 from gleanery.operators.gates import access_class
-from gleanery.scale import dealt, keep_first
+from gleanery.scale import collect_in_chunks, dealt, keep_first, lookup_join
 from gleanery.sources.envelopes import first_field, is_type, jsonld_objects
 
 _S = T.StringType()
@@ -453,17 +454,41 @@ def changed_pages(pages: DataFrame, previous: DataFrame, url: str = "url", html:
     return hashed.join(known, [url, "content_hash"], "left_anti"), hashed.select(url, "content_hash").join(known, [url, "content_hash"], "left_semi")
 
 
-def company_rollup(analyses: DataFrame, company: str) -> DataFrame:
-    """Pages of a company as one result (H15). Vendors, signals and classes are closed sets; endpoints stay rows elsewhere."""
-
-    long = analyses.select(company, "classification", F.explode_outer("vendors").alias("vendor"), "signals")
-    long = long.select(company, "classification", "vendor", F.explode_outer("signals").alias("signal"))
-    out = long.groupBy(company).agg(
-        F.bool_or(F.col("classification") == "CONNECTOR_CANDIDATE").alias("_any"), F.array_sort(F.collect_set("vendor")).alias("vendors"),
-        F.array_sort(F.collect_set("signal")).alias("signals"))
+def company_rollup(analyses: DataFrame, company: str, order: Sequence[Column] | None = None, url: str = "page_url") -> DataFrame:
+    """Pages of a company as one result (H15): class, vendors, signals and review reasons, which are closed sets, and the page that shows most.
+
+    That page has the best class, then the most vendors, postings and table rows, then comes first in ``order``. Columns an analysis lacks
+    are left out of the comparison. Sets of page parts meet as partial sets, so no list grows with a company's pages.
+    """
+
+    have = set(analyses.columns)
+    sets = [c for c in ("vendors", "signals", "review_reasons") if c in have]
+    hit = F.col("classification") == "CONNECTOR_CANDIDATE"
+    empty = F.array().cast("array<string>")
+    named = lambda c: F.transform(F.coalesce(c, empty), lambda v: F.struct(F.lit(c).alias("kind"), v.alias("value")))
+    rows = analyses.withColumn("_parts", F.array_distinct(F.flatten(F.array(*[named(c) for c in sets]))))
+    values = rows.select(company, F.explode("_parts").alias("p")).groupBy(company, "p.kind").agg(F.array_sort(F.collect_set("p.value")).alias("v"))
+    values = values.groupBy(company).agg(*[F.max(F.when(F.col("kind") == c, F.col("v"))).alias(c) for c in sets])
+    shown = [F.col(c).desc_nulls_last() for c in ("structured_job_count", "table_row_count") if c in have]
+    best = [hit.desc(), F.size("vendors").desc(), *shown, *(order or []), *([F.col(url).asc()] if url in have else [])]
+    first = keep_first(analyses, [company], best)
+    any_hit = analyses.groupBy(company).agg(F.bool_or(hit).alias("_any"), F.count("*").alias("pages"))
+    out = lookup_join(any_hit, values, company)
+    if url in have:
+        out = lookup_join(out, first.select(company, F.col(url).alias("best_page_url"), *[F.col(c) for c in ("detected_ats", "confidence") if c in have]), company)
+    out = out.withColumns({c: F.coalesce(c, empty) for c in sets})
     return out.withColumn("classification", F.when(F.col("_any"), "CONNECTOR_CANDIDATE").otherwise("NEEDS_MANUAL_REVIEW")).drop("_any")
 
 
+def company_endpoints(analyses: DataFrame, company: str, order: Sequence[Column], chunk: int = 1000) -> DataFrame:
+    """Distinct endpoints of a company's pages in order of their first page (H15), as chunks of at most ``chunk`` with a running number."""
+
+    long = analyses.select(company, *[c.alias(f"_o{i}") for i, c in enumerate(order)], F.posexplode("endpoints").alias("_at", "endpoint"))
+    keys = [f"_o{i}" for i in range(len(order))] + ["_at"]
+    once = keep_first(long, [company, "endpoint"], [F.col(k).asc() for k in keys])
+    return collect_in_chunks(once, [company], "endpoint", [F.col(k) for k in keys], chunk, "endpoints")
+
+
 def probe_outcome(url: Column, status: Column, challenge: Column, signals: Column) -> Column:
     """Struct (directory_status, error_type) of one entry probe."""
 

@@ -229,7 +229,7 @@ def keyed_lifecycle(events: DataFrame, shards: int = 16, close_after: int = 2, d
     """
 
     shard = F.when(F.col("id").isNull(), F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")))
-    rows = events.withWatermark("run_at", delay).withColumns({c: F.unix_micros(c) for c in STAMPS} | {"at": F.unix_micros("run_at"), "shard": F.explode(shard)})
+    rows = events.withWatermark("run_at", delay).withColumns({c: F.unix_micros(F.col(c).cast("timestamp")) for c in STAMPS} | {"at": F.unix_micros("run_at"), "shard": F.explode(shard)})
     changes = rows.groupBy("source_id", "shard").transformWithState(
         statefulProcessor=PostingLifecycle(close_after, days), outputStructType=_CHANGES, outputMode="Append", timeMode="EventTime")
     return changes.withColumns({c: F.timestamp_micros(c) for c in STAMPS})

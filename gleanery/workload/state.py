@@ -1,10 +1,13 @@
 """Snapshots, lifecycle, validators, histories and state merges."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gleanery.operators import snapshots
-from gleanery.scale import keep_first, top_per_group
+from gleanery.scale import ensure_checkpoint_dir, keep_first, top_per_group
 from gleanery.sources import feeds, sinks
+from gleanery.streaming import state
 from gleanery.workload import query
 
 SPLIT = "2024-01-15"
@@ -57,6 +60,41 @@ def t1(t):
                       F.coalesce(F.date_format("changed_at", "yyyy-MM-dd"), F.lit("")).alias("changed"))
 
 
+@query("T1_keyed_lifecycle", f"""with {HALVES},
+    f as (select unnest(['click', 'error', 'purchase', 'signup', 'view']) as s, unnest([true, true, false, true, true]) as complete, unnest([false, true, false, false, false]) as quarantined),
+    j as (select coalesce(a.event_type, b.event_type) as s, coalesce(a.user_id, b.user_id) as id, a.ts as ats, b.ts as bts, a.props as ap, b.props as bp from a full join b on a.event_type = b.event_type and a.user_id = b.user_id),
+    k as (select j.*, not complete or quarantined as keep from j join f using (s))
+    select s as source_id, id::varchar as id, case when keep or bp is null then ap else bp end as content_hash, case when not keep and bts is null then 1 else 0 end as misses,
+      strftime(coalesce(ats, bts), '%Y-%m-%d %H:%M:%S') as first_seen, case when not keep and ap <> bp then '2024-02-01' else '' end as changed
+    from k where not (keep and ats is null)""")
+def t1_keyed(t):
+    """Two snapshots through the stream, in as many files as tasks write: rows wait in the state for the end of their snapshot."""
+
+    spark = t.spark
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/lifecycle-{uuid.uuid4().hex}"
+    for run, at in ((0, "2024-01-15"), (1, "2024-02-01")):
+        when = F.lit(at).cast("timestamp")
+        rows = half(t, run == 0).select(
+            F.col("event_type").alias("source_id"), F.col("user_id").cast("string").alias("id"), F.col("props").alias("content_hash"), F.lit("ACTIVE").alias("status"), F.lit(0).alias("first_missing_successes"),
+            F.col("ts").alias("first_seen_at"), F.col("ts").alias("last_verified_at"), F.lit(None).cast("timestamp").alias("changed_at"))
+        ends = rows.groupBy("source_id").agg(F.count("*").alias("postings")).withColumns({"complete": F.col("source_id") != "purchase" if run else F.lit(True), "quarantined": F.col("source_id") == "error" if run else F.lit(False)})
+        feed = rows.unionByName(ends, allowMissingColumns=True).withColumns({"run": F.lit(run).cast("long"), "run_at": when})
+        feed.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, state.ROCKSDB)
+    try:
+        stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        running = state.keyed_lifecycle(stream, shards=2).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
+        running.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    out = state.latest_lifecycle(spark.read.parquet(f"{root}/out"))
+    return out.select("source_id", "id", "content_hash", F.col("first_missing_successes").alias("misses"), F.date_format("first_seen_at", "yyyy-MM-dd HH:mm:ss").alias("first_seen"),
+                      F.coalesce(F.date_format("changed_at", "yyyy-MM-dd"), F.lit("")).alias("changed"))
+
+
 @query("F22_T5_retention", """
     select o_orderkey from orders where o_orderstatus <> 'F' or o_orderdate >= timestamp '2001-07-01' - interval 90 days""")
 def f22(t):

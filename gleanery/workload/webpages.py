@@ -182,6 +182,37 @@ def h15(t):
     return out.select("company", "classification", F.array_join("vendors", ",").alias("vendors"), F.array_join("signals", ",").alias("signals"))
 
 
+ROLLUP = r"""with r as (select page_id, page_id % 10 as company, page_id % 4 as k, url from pages),
+    a as (select *, case k when 0 then ['BEISEN'] when 1 then ['MOKA'] else []::varchar[] end as vendors, case when k = 0 then 'CONNECTOR_CANDIDATE' else 'NEEDS_MANUAL_REVIEW' end as classification,
+      case when k in (2, 3) then ['ats_not_detected_use_manual_or_structured_review', 'current_cohort_signal_not_found'] else ['current_cohort_signal_not_found'] end as reasons from r)"""
+
+
+def company_pages(t):
+    """Analyses of whole pages, some with a vendor's link, by company."""
+
+    k = F.col("page_id") % 4
+    extra = F.when(k == 0, F.concat(F.lit("<a href='https://t"), F.col("page_id") % 3, F.lit(".zhiye.com/'>jobs</a>"))).when(k == 1, "<a href='https://app.mokahr.com/apply/acme'>jobs</a>").otherwise("")
+    return pages.analyse_pages(parsed(t, extra), ["page_id"]).withColumn("company", F.col("page_id") % 10)
+
+
+@query("H15_company_of_pages", ROLLUP + """, b as (select company, url, row_number() over (partition by company order by (classification = 'CONNECTOR_CANDIDATE') desc, len(vendors) desc, page_id) as rn from a),
+    v as (select company, string_agg(distinct v, ',' order by v) as vendors from (select company, unnest(vendors) as v from a) group by 1),
+    w as (select company, string_agg(distinct v, ',' order by v) as reasons from (select company, unnest(reasons) as v from a) group by 1),
+    n as (select company, count(*) as pages, case when bool_or(classification = 'CONNECTOR_CANDIDATE') then 'CONNECTOR_CANDIDATE' else 'NEEDS_MANUAL_REVIEW' end as classification from a group by 1)
+    select company, pages, classification, coalesce(vendors, '') as vendors, reasons, url as best_page_url from n left join v using (company) join w using (company) join b using (company) where rn = 1""")
+def h15_pages(t):
+    out = pages.company_rollup(company_pages(t), "company", [F.col("page_id").asc()])
+    return out.select("company", "pages", "classification", F.array_join("vendors", ",").alias("vendors"), F.array_join("review_reasons", ",").alias("reasons"), "best_page_url")
+
+
+@query("H15_company_endpoints", ROLLUP + """, e as (select company, 'https://t' || page_id % 3 || '.zhiye.com/portal/registerSystemInfo' as endpoint, min(page_id) as first from a where k = 0 group by 1, 2),
+    o as (select *, row_number() over (partition by company order by first) - 1 as pos from e)
+    select company, pos // 2 as chunk_no, string_agg(endpoint, ',' order by pos) as endpoints from o group by 1, 2""")
+def h15_endpoints(t):
+    out = pages.company_endpoints(company_pages(t), "company", [F.col("page_id")], chunk=2)
+    return out.select("company", "chunk_no", F.array_join("endpoints", ",").alias("endpoints"))
+
+
 @query("H16_probe_outcome", """
     with s as (select page_id, url, [200, 403, 404, 503, 410, 0, 200][page_id % 7 + 1] as st from pages)
     select page_id, case when url not like 'https%' then 'BLOCKED' when st = 0 then 'STALE' when st = 403 then 'BLOCKED' when st = 404 then 'INACTIVE' when st in (503, 410) then 'STALE' when page_id % 2 = 0 then 'ACTIVE_CONFIRMED' else 'INACTIVE' end as directory_status,
