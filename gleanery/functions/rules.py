@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleanery import defaults as d
-from gleanery.functions.text import lit_or_col, sentences, squash
+from gleanery.functions.text import let, lit_or_col, sentences, squash
 
 
 def words_pattern(words: Iterable[str]) -> str:
@@ -179,7 +179,7 @@ def demanded_portfolio(texts: Column, demand: str = d.PORTFOLIO_DEMAND, exempt:
     """Term of the first sentence that demands a portfolio and does not speak of a book of business."""
 
     hits = F.filter(sentences(texts), lambda s: s.rlike("(?i)" + demand) & ~s.rlike("(?i)" + exempt))
-    return F.when(F.size(hits) > 0, F.regexp_extract(F.try_element_at(hits, F.lit(1)), "(?i)" + demand, 0))
+    return let(F.try_element_at(hits, F.lit(1)), lambda first: F.when(first.isNotNull(), F.regexp_extract(first, "(?i)" + demand, 0)))
 
 
 def passes_page_guard(category: Column, title: Column) -> Column:

@@ -11,6 +11,7 @@ from gleanery import defaults as d
 from gleanery.functions import urls
 from gleanery.functions.dates import business_date, catalog_version
 from gleanery.operators.gates import usable_leads
+from gleanery.operators.provisional import page_counts
 from gleanery.scale import keep_first, lookup_join, rank_rows
 
 
@@ -174,6 +175,23 @@ def public_sources(sources: DataFrame, log: DataFrame, source: str = "source_id"
     return kept.join(log, source, "left").withColumn("health", F.coalesce("health", F.lit("not_ready")))
 
 
+SOURCE_COUNTS = ("raw_jobs", "normalised_jobs", "eligible_jobs", "review_jobs", "excluded_jobs")
+
+
+def sources_after_run(sources: DataFrame, log: DataFrame, gated: DataFrame, source: str = "source_id") -> DataFrame:
+    """Public source rows with what the run made of each (P26): fetched rows, those with sound links, and the audience decisions on them.
+
+    ``gated`` holds the run's rows with ``link_problem`` and ``decision``. A source without rows counts zero; one that the run could not
+    fetch counts nothing (NULL), so that "no jobs" and "not read" differ. Counts are partial sums before they meet.
+    """
+
+    counts = page_counts(gated, [source])
+    out = lookup_join(public_sources(sources, log, source), counts, source)
+    read = F.col("health") != "not_ready"
+    return out.withColumns({c: F.when(read | F.col(c).isNotNull(), F.coalesce(c, F.lit(0))) for c in SOURCE_COUNTS}).withColumn(
+        "eligible_share", F.when(F.col("normalised_jobs") > 0, F.round(F.col("eligible_jobs") / F.col("normalised_jobs"), 4)))
+
+
 def company_directory(companies: DataFrame, sources: DataFrame, jobs: DataFrame, now: Column, cohort: str = d.COHORT,
                       leads: DataFrame | None = None, observations: DataFrame | None = None, focus: DataFrame | None = None,
                       origin: str = "registry/companies.json") -> DataFrame:

@@ -4,9 +4,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from gleanery.operators import pagejobs, pages
+from gleanery.operators import pagejobs, pages, reports
 from gleanery.scale import ensure_checkpoint_dir
 from gleanery.workload import query
+from gleanery.workload.gates import gate_sources
 
 #: markup put in front of a page by page_id % 6: JSON-LD, a table, links only, all three, a table that repeats, nothing
 LD = '<script type="application/ld+json">{"@type":"JobPosting","title":"市场专员","identifier":"L1","url":"/jobs/l1","description":"本科","jobLocation":"上海","qualifications":["市场营销专业"]}</script>'
@@ -49,6 +50,20 @@ def p36(t):
     return pagejobs.collect_pages(sourced(t), ["page_id"]).counts
 
 
+@query("P26_sources_after_run", JOBS + """, n as (select page_id % 9 as s, count(title) as raw_jobs, count(title) filter (where ok) as normalised_jobs, count(title) filter (where ok and decision = 'TARGET_GENERALIST') as eligible_jobs,
+    count(title) filter (where ok and decision = 'NEEDS_REVIEW') as review_jobs, count(title) filter (where ok and decision = 'OUT_OF_SCOPE') as excluded_jobs from j group by 1)
+    select s_suppkey as k, coalesce(raw_jobs, case when s_suppkey % 2 = 0 then 0 end, -1) as raw_jobs, coalesce(normalised_jobs, case when s_suppkey % 2 = 0 then 0 end, -1) as normalised_jobs, coalesce(eligible_jobs, case when s_suppkey % 2 = 0 then 0 end, -1) as eligible_jobs,
+      coalesce(review_jobs, case when s_suppkey % 2 = 0 then 0 end, -1) as review_jobs, coalesce(excluded_jobs, case when s_suppkey % 2 = 0 then 0 end, -1) as excluded_jobs,
+      case when normalised_jobs > 0 then round(eligible_jobs / normalised_jobs, 4) else -1 end::double as share from supplier left join n on s = s_suppkey""")
+def p26(t):
+    """Suppliers as sources: nine have pages in the run, of the rest every second was read and gave nothing."""
+    k = F.col("s_suppkey")
+    sources = gate_sources(t).withColumns({"source_id": F.concat(F.lit("s"), F.col("source_id")), "company_id": F.col("source_id"), "company_name": F.lit("x"), "source_level": F.lit("A")})
+    log = t.supplier.filter("s_suppkey % 2 = 0").select(F.concat(F.lit("s"), k).alias("source_id"), F.lit("healthy").alias("health"))
+    out = reports.sources_after_run(sources, log, pagejobs.collect_pages(sourced(t), ["page_id"]).jobs)
+    return out.select(F.substring("source_id", 2, 9).cast("long").alias("k"), *[F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in reports.SOURCE_COUNTS], F.coalesce("eligible_share", F.lit(-1.0)).alias("share"))
+
+
 @query("P35_collected_catalog", JOBS + " select page_id, title, case when city = '未知' then '地点待确认' else city end as city, '甲公司 · 公开入口临时采集' as source_name from j where ok and decision <> 'OUT_OF_SCOPE' qualify row_number() over (partition by page_id % 9, apply_url, title order by page_id) = 1")
 def p35(t):
     return pagejobs.collect_pages(sourced(t), ["page_id"]).catalog(["page_id"], include_review=True).select("page_id", "title", "city", "source_name")
