@@ -16,7 +16,7 @@ HEADLINE = [
     "A1_A2_run_quality", "A1_source_quality", "A4_decision_counts", "W1_latest_per_key", "W3_global_rank", "W3_rank_in_hot_group", "W4_spread_sample", "W6_top_with_more",
     "W8_failure_streak", "T1_J4_lifecycle", "T9_stage_events", "J2_source_or_fallback", "J11_match_by_names", "J14_match_identity", "J16_longest_alias", "J16_longest_alias_by_join", "J15_allowed_hosts",
     "F8_demanded_portfolio", "F11_audience_gate", "F19_facet_filter", "F24_F31_date_predicates", "S6_unwrap_envelopes", "S9_feed_rows", "S11_paging_state", "P6_greenhouse_items", "X1_clean_text",
-    "X4_normalize_locations", "X10_name_key", "H1_visible_text", "H7_H8_vendors_and_endpoints", "H11_O11_recruitment_links", "A5_O2_campaigns", "A9_A10_company_backlog", "Z1_clamp_ratio", "P33_landing_pages", "P36_page_counts",
+    "X4_normalize_locations", "X10_name_key", "H1_visible_text", "H7_H8_vendors_and_endpoints", "H11_O11_recruitment_links", "A5_O2_campaigns", "A9_A10_company_backlog", "Z1_clamp_ratio", "P33_landing_pages", "P36_page_counts", "H12_page_jobs", "P36_collected_pages", "H14_analyse_changed", "H15_company_of_pages",
     "PLAN_catalog_sources", "PLAN_catalog_rejects", "PLAN_catalog_decisions",
 ]
 
