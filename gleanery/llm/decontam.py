@@ -172,10 +172,10 @@ def _code_points(text: bytes, words: list[bytes], hit: list[tuple[int, int]]) ->
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns."""
+    """The contract's columns, then the hit runs as code point offsets in the original text."""
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "hit_spans",
     )
 
 

@@ -22,7 +22,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @query
 def op6_benchmark_decontamination(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", "text")
-    return decontam.digest(decontam.find_contamination(docs, table(spark, root, "benchmark"), offsets=False))
+    return decontam.digest(decontam.find_contamination(docs, table(spark, root, "benchmark")))
 
 
 @query
