@@ -6,15 +6,16 @@ training texts (the ``max_labelled`` smallest by hash of the id that have a docu
 likelihood ratio G2 of at least ``min_g2``; the ``max_terms`` strongest) count three times as much; without any, the words decide alone. Term
 frequencies are damped (1 + ln tf), document frequencies are counted over all documents, and vectors are scaled to length 1.
 
-The examples are the ``max_examples`` smallest of that sample by hash of the id, so long as they have a word. They are indexed by term:
-a list of blocks of ``block`` examples, each with the term's largest weight in it. A query adds up what each block can reach at
-most and scores whole blocks, best first, until no block left can reach the k-th best; where most blocks could, whole posting lists are
-added up instead. Either way the top k by cosine is exact; ties go to the smaller example id. The vote is the cosine-weighted share of toxic neighbours, and votes are turned into probabilities by
-monotone steps fitted on the examples themselves, each scored without itself. A text at cosine 1 of examples takes the toxic share of those.
+The examples are the ``max_examples`` smallest of that sample by hash of the id, so long as they have a word. They are laid out in blocks of
+``block`` rows and indexed by term: rare terms by posting lists, terms of more than one row in ``DENSE`` by their weight in every row and their
+largest weight in each block. A query adds up the lists of its rare terms, then what its common terms can add at most in each block; the common
+terms of a row are added only if that bound reaches the k-th best of the rows with the largest bounds. Every query goes this way, whatever its length.
+The top k by cosine is exact; ties go to the smaller example id. The vote is the cosine-weighted share of toxic neighbours, and votes are turned
+into probabilities by monotone steps fitted on the examples themselves, each scored without itself. A text at cosine 1 of examples takes the toxic share of those.
 
 A text without a word (null and empty texts too) has no neighbour and takes the toxic share of such training texts, one clean text added; a
 text that shares no word with an example takes the calibrated usual share. Labels, language,
-source and id are never inputs: the id only decides which rows may teach. Repeated rows are scored each. Tables without labelled
+source and id are never inputs: the id, of any type, only decides which rows may teach. Repeated rows are scored each. Tables without labelled
 training rows give 0 to every text.
 """
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +35,26 @@ from pyspark.sql import types as T
 
 from gleanery.llm.common import stored, text_of
 
-MAX_LABELLED, MAX_EXAMPLES, MAX_TERMS, MIN_G2, NEIGHBOURS, BLOCK, THRESHOLD, MIN_ODDS, TELLING = 20_000, 4000, 4096, 25.0, 25, 64, 0.3, 3.0, 3.0
+MAX_LABELLED, MAX_EXAMPLES, MAX_TERMS, MIN_G2, NEIGHBOURS, BLOCK, THRESHOLD, MIN_ODDS, TELLING = 20_000, 4000, 4096, 25.0, 25, 8, 0.3, 3.0, 3.0
 PREFIXES = (4, 5, 6)
-MANY_TERMS = 12
+DENSE = 4  # a term of more than one example in 4 is common
 _WORD = re.compile(r"[^\W\d_]+")
+#: ASCII bytes other than letters are spaces, A-Z is lower-cased, bytes of other characters stay.
+_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 4 == 2
 
 
+def words_of(text: str) -> list[str]:
+    """The matches of ``_WORD`` in the lower-cased text; the expression only runs on pieces with other characters than letters."""
+    if text.isascii():
+        return text.encode().translate(_BYTES).decode().split()
+    pieces = text.lower().encode("utf-8", "surrogatepass").translate(_BYTES).decode("utf-8", "surrogatepass").split()
+    return [w for piece in pieces for w in ((piece,) if piece.isalpha() else _WORD.findall(piece))]
+
+
 def terms_of(word: str) -> list[str]:
     return [word, *[word[:k] + "*" for k in PREFIXES if len(word) >= k]]
 
@@ -52,7 +64,7 @@ def _labelled_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         both: dict[str, list[int]] = {}
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for term in {t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)}:
+            for term in {t for w in set(words_of(text)) for t in terms_of(w)}:
                 n = both.setdefault(term, [0, 0])
                 n[0] += 1
                 n[1] += toxic
@@ -77,30 +89,52 @@ def choose_terms(training: DataFrame, max_terms: int, min_g2: float) -> list[str
     return [r.term for r in best.collect()]
 
 
-class Counter:
+class _Known(dict):
+    """Number of each word's term, -1 for none; words of several terms get numbers from ``len(terms)`` on, expanded by ``several``."""
+
+    def __init__(self, terms: list[str]) -> None:
+        super().__init__()
+        self.number, self.several = {t: i for i, t in enumerate(terms)}, []
+        self.same: dict[tuple[int, ...], int] = {}
+
+    def __missing__(self, word: str) -> int:
+        hits = tuple(self.number[t] for t in terms_of(word) if t in self.number)
+        at = hits[0] if len(hits) == 1 else -1
+        if len(hits) > 1:
+            at = self.same.get(hits, -1)
+            if at < 0:
+                at = self.same[hits] = len(self.number) + len(self.several)
+                self.several.append(np.array(hits, np.int64))
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = at
+        return at
+
+
+class TermCounter:
     """Numbers and frequencies of a text's terms: ``terms`` are words and starts (``start*``)."""
 
     def __init__(self, terms: list[str]) -> None:
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.n, self.known = len(terms), _Known(terms)
 
     def count(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
         """Terms (ascending), their frequencies, and whether the text has any word, known or not."""
-        found: dict[int, int] = {}
-        words = _WORD.findall(text.lower())
-        for word in words:
-            hits = self.known.get(word)
-            if hits is None:
-                hits = tuple(self.number[t] for t in terms_of(word) if t in self.number)
-                if len(self.known) > 200_000:
-                    self.known.clear()
-                self.known[word] = hits
-            for i in hits:
-                found[i] = found.get(i, 0) + 1
-        order = np.fromiter(found, np.int64, len(found))
-        tf = np.fromiter(found.values(), np.int64, len(found))
-        by = np.argsort(order)
-        return order[by], tf[by], bool(words)
+        words = Counter(words_of(text))
+        found = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        tf = np.fromiter(words.values(), np.int64, len(words))
+        extra = np.flatnonzero(found >= self.n)
+        if len(extra):
+            parts = [self.known.several[i - self.n] for i in found[extra].tolist()]
+            tf = np.concatenate([tf, np.repeat(tf[extra], [len(p) for p in parts])])
+            found[extra] = -1
+            found = np.concatenate([found, *parts])
+        by = np.argsort(found, kind="stable")
+        by = by[np.searchsorted(found[by], 0):]
+        found, tf = found[by], tf[by]
+        if len(found):  # a start may come from several words
+            at = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+            found, tf = found[at], np.add.reduceat(tf, at)
+        return found, tf, bool(words)
 
 
 def document_frequencies(texts: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
@@ -108,7 +142,7 @@ def document_frequencies(texts: DataFrame, terms: list[str]) -> tuple[int, np.nd
     shared = texts.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, df, n = Counter(shared.value), np.zeros(len(shared.value), np.int64), 0
+        counter, df, n = TermCounter(shared.value), np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
             n += batch.num_rows
             for text in batch.column(0).to_pylist():
@@ -125,73 +159,58 @@ def document_frequencies(texts: DataFrame, terms: list[str]) -> tuple[int, np.nd
 class BlockMaxIndex:
     """Exact top-k cosine over unit vectors of (term, weight).
 
-    Rows are laid out by their heaviest term, so that a block holds alike rows. A term's list has the blocks it occurs in with its largest
-    weight there.
+    Rows are laid out by their heaviest term, so that a block holds alike rows. A rare term has its posting list; a common one has its weight
+    in each row and its largest weight in each block.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK) -> None:
         heaviest = np.array([t[np.argmax(w)] for t, w in vectors], np.int64)
         self.row = np.argsort(heaviest, kind="stable")
-        lengths = np.array([len(vectors[r][0]) for r in self.row], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(lengths)])
-        self.terms = np.concatenate([vectors[r][0] for r in self.row])
-        self.weights = np.concatenate([vectors[r][1] for r in self.row])
-        self.block, self.blocks = block, -(-len(vectors) // block)
-        key = self.terms * self.blocks + np.repeat(np.arange(len(vectors)) // block, lengths)
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        self.maxima, self.places = np.maximum.reduceat(self.weights[order], at), k[at] % self.blocks
-        self.edges = np.searchsorted(k[at] // self.blocks, np.arange(n_terms + 1))
-        self.query = np.zeros(n_terms)
-        order = np.argsort(self.terms, kind="stable")
-        self.posted, self.posted_weights = np.repeat(np.arange(len(vectors)), lengths)[order], self.weights[order]
-        self.lists = np.searchsorted(self.terms[order], np.arange(n_terms + 1))
-
-    def all_cosines(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Cosines of all rows in layout order, by adding up the posting lists."""
-        first, last = self.lists[terms], self.lists[terms + 1]
-        spans = [slice(a, b) for a, b in zip(first.tolist(), last.tolist())]
-        rows = np.concatenate([self.posted[x] for x in spans])
-        return np.bincount(rows, np.concatenate([self.posted_weights[x] for x in spans]) * np.repeat(weights, last - first), len(self.row))
+        self.place = np.argsort(self.row)
+        self.n, self.block = len(vectors), block
+        terms = np.concatenate([vectors[r][0] for r in self.row])
+        weights = np.concatenate([vectors[r][1] for r in self.row])
+        rows = np.repeat(np.arange(self.n), [len(vectors[r][0]) for r in self.row])
+        lengths = np.bincount(terms, minlength=n_terms)
+        common = np.flatnonzero(lengths > max(1, self.n // DENSE))
+        self.common = np.full(n_terms, -1)
+        self.common[common] = np.arange(len(common))
+        dense = self.common[terms]
+        self.full = np.zeros((self.n, len(common)))  # a row's common weights lie together
+        self.full[rows[dense >= 0], dense[dense >= 0]] = weights[dense >= 0]
+        self.maxima = np.maximum.reduceat(self.full, np.arange(0, self.n, block), axis=0)
+        order = np.flatnonzero(dense < 0)
+        order = order[np.argsort(terms[order], kind="stable")]
+        self.posted, self.posted_weights = rows[order], weights[order]
+        self.lists = np.searchsorted(terms[order], np.arange(n_terms + 1))
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest, by cosine and then row; ``skip`` is a row to leave out. Rows that share no term are left out.
 
-        Blocks are taken by what they can reach at most, until none left can reach the k-th best. Queries of many terms reach most blocks:
-        they add up whole posting lists.
+        The k rows of the largest bounds are completed first; then all whose bound reaches the least of those.
         """
-        if len(terms) > MANY_TERMS:
-            full = np.round(self.all_cosines(terms, weights), 9)
-            if skip >= 0:
-                full[self.row == skip] = 0.0
-            least = np.partition(full, -k)[-k] if k < len(full) else 0.0
-            hit = np.flatnonzero((full >= least) & (full > 0))
-            best = hit[np.lexsort((self.row[hit], -full[hit]))[:k]]
-            return self.row[best], full[best]
-        reach = np.zeros(self.blocks)
-        for t, w in zip(terms, weights):
-            span = slice(self.edges[t], self.edges[t + 1])
-            reach[self.places[span]] += w * self.maxima[span]
-        order = np.argsort(-reach, kind="stable")
-        order = order[reach[order] > 0]
-        self.query[terms] = weights
-        rows, near, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
-        while at < len(order) and (len(rows) < k or reach[order[at]] >= near[-1] - 1e-9):
-            parts = [(rows, near)]
-            for b in order[at: at + step]:
-                first, last = b * self.block, min((b + 1) * self.block, len(self.row))
-                flat = slice(self.start[first], self.start[last])
-                full = np.add.reduceat(self.query[self.terms[flat]] * self.weights[flat], self.start[first:last] - self.start[first])
-                hit = np.flatnonzero(full > max(0.0, parts[0][1][-1] - 1e-9 if len(rows) == k else 0.0))
-                parts.append((self.row[first + hit], np.round(full[hit], 9)))
-            at, step = at + step, step * 2
-            rows, near = (np.concatenate(x) for x in zip(*parts))
-            rows, near = rows[rows != skip], near[rows != skip]
-            best = np.lexsort((rows, -near))[:k]
-            rows, near = rows[best], near[best]
-        self.query[terms] = 0.0
-        return rows, near
+        number = self.common[terms]
+        rare, often = number < 0, number >= 0
+        first, last = self.lists[terms[rare]], self.lists[terms[rare] + 1]
+        size = last - first
+        start = np.cumsum(size) - size
+        flat = np.arange(size.sum()) + np.repeat(first - start, size)
+        near = np.bincount(self.posted.take(flat), self.posted_weights.take(flat) * np.repeat(weights[rare], size), self.n)
+        query = np.zeros(self.full.shape[1])
+        query[number[often]] = weights[often]
+        bound = near + np.repeat(self.maxima @ query, self.block)[: self.n]
+        if skip >= 0:
+            near[self.place[skip]] = bound[self.place[skip]] = -2.0
+        seed = np.argpartition(bound, -k)[-k:] if k < self.n else np.arange(self.n)
+        sure = (near[seed] + self.full[seed] @ query).min() if len(seed) == k else 0.0  # the k-th best reaches this
+        left = np.flatnonzero(bound >= sure - 1e-8) if sure > 1e-8 else np.flatnonzero(bound > 0)
+        got = np.round(near[left] + self.full[left] @ query, 9)
+        left, got = left[got > 0], got[got > 0]
+        if len(got) > k:
+            hit = got >= np.partition(got, -k)[-k]
+            left, got = left[hit], got[hit]
+        best = np.lexsort((self.row[left], -got))[:k]
+        return self.row[left[best]], got[best]
 
 
 def _vector(terms: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +240,7 @@ class Scorer:
     def __init__(self, model: dict) -> None:
         self.weight, self.labels, self.ids, self.k = model["weight"], model["labels"], model["ids"], model["k"]
         self.index = BlockMaxIndex([_vector(t, f, self.weight) for t, f in model["vectors"]], len(self.weight))
-        self.counter, self.bare = Counter(model["terms"]), model["bare"]
+        self.counter, self.bare = TermCounter(model["terms"]), model["bare"]
         self.base, self.upper, self.share = model["base"], model.get("upper"), model.get("share")
         self.done: dict[bytes, tuple] = {}
 
@@ -253,15 +272,15 @@ def fit(texts: DataFrame, teach: DataFrame, telling: list[str], max_examples: in
     has_word = F.col("text").rlike(r"\p{L}")
     size = teach.agg(F.count("*").alias("n"), F.sum("toxic").alias("t"), F.sum((~has_word).cast("int")).alias("bare"), F.sum(F.when(~has_word, F.col("toxic"))).alias("bare_t")).first()
     rows = teach.filter(has_word).orderBy(F.xxhash64("id"), "id").limit(max_examples).collect()  # at most max_examples texts
-    rows = sorted((r for r in rows if _WORD.search(r.text.lower())), key=lambda r: r.id)
+    rows = sorted((r for r in rows if words_of(r.text)), key=lambda r: r.id)
     if not rows:
         return None
-    terms = sorted({w for r in rows for w in _WORD.findall(r.text.lower())} | set(telling))
+    terms = sorted({w for r in rows for w in words_of(r.text)} | set(telling))
     n_docs, df = document_frequencies(texts, terms)
     idf = np.log((n_docs + 1.0) / (df + 1.0)) + 1.0
     strong = set(telling)
     weight = idf * np.array([TELLING if t in strong else 1.0 for t in terms])
-    counter = Counter(terms)
+    counter = TermCounter(terms)
     return {
         "terms": terms, "weight": weight, "vectors": [counter.count(r.text)[:2] for r in rows], "labels": np.array([r.toxic for r in rows], float), "ids": [r.id for r in rows],
         "k": k, "base": (size.t + 0.02) / (size.n + 0.04), "bare": ((size.bare_t or 0) + 0.02) / (size.bare + 1.0),
@@ -306,9 +325,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     new = ["score", "neighbours", "cosines"]
     model = learn(docs, labels, id_col, text_col, **options)
     docs = docs.select(*[docs[c] for c in docs.columns if c not in new or c in (id_col, text_col)])
+    id_type = docs.schema[id_col].dataType
     if model is None:
-        return docs.select("*", F.lit(0.0).alias("score"), F.array().cast("array<bigint>").alias("neighbours"), F.array().cast("array<double>").alias("cosines"))
+        return docs.select("*", F.lit(0.0).alias("score"), F.array().cast(T.ArrayType(id_type)).alias("neighbours"), F.array().cast("array<double>").alias("cosines"))
     names = docs.columns
+    id_at = names.index(id_col)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     plain = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], text_of(docs, text_col).alias("_text"))
 
@@ -317,10 +338,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         for batch in batches:
             got = [scorer.score(text) for text in batch.column(n).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(n)], pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
+                [*[batch.column(i) for i in range(n)], pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(batch.column(id_at).type)), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
                 [*[f"c{i}" for i in range(n)], *new])
 
-    schema = T.StructType([*plain.schema.fields[: len(names)], T.StructField("score", T.DoubleType()), T.StructField("neighbours", T.ArrayType(T.LongType())), T.StructField("cosines", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*plain.schema.fields[: len(names)], T.StructField("score", T.DoubleType()), T.StructField("neighbours", T.ArrayType(id_type)), T.StructField("cosines", T.ArrayType(T.DoubleType()))])
     return plain.mapInArrow(run, schema).toDF(*names, *new)
 
 

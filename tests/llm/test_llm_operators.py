@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -141,15 +142,54 @@ def test_toxicity_with_many_toxic_labels_few_labels_and_unmarked_copies(spark):
     assert all(rows[c].predicted == 1 for c in copies) and not any(rows[i].predicted for i in range(100) if i not in toxic)
 
 
-def test_posting_lists_find_what_block_maxima_find(monkeypatch):
+@pytest.mark.parametrize("dense", [1, 4, 16, 10_000])
+def test_block_max_search_of_long_queries_is_exact(monkeypatch, dense):
+    """From all terms rare to all common, with ties: whole rows repeat."""
+    monkeypatch.setattr(toxicity, "DENSE", dense)
     r = np.random.default_rng(2)
-    vectors = [toxicity._vector(np.sort(r.choice(60, r.integers(1, 25), replace=False)), np.ones(1), np.ones(60)) for _ in range(200)]
-    index = toxicity.BlockMaxIndex(vectors, 60, block=8)
-    found = []
-    for many in (0, 99):
-        monkeypatch.setattr(toxicity, "MANY_TERMS", many)
-        found.append([index.top(*vectors[q], 15, skip=q) for q in range(200)])
-    assert all(a[0].tolist() == b[0].tolist() and np.allclose(a[1], b[1]) for a, b in zip(*found))
+    chance = 1 / np.arange(1, 201) / (1 / np.arange(1, 201)).sum()
+    idf = np.log(np.arange(2, 202))
+    vectors = []
+    for i in range(240):
+        t = np.sort(r.choice(200, r.integers(1, 60), replace=False, p=chance))
+        vectors.append(vectors[i - 3] if i % 7 == 6 else toxicity._vector(t, r.integers(1, 5, len(t)), idf))
+    full = np.zeros((240, 200))
+    for i, (t, w) in enumerate(vectors):
+        full[i, t] = w
+    index = toxicity.BlockMaxIndex(vectors, 200, block=8)
+    for q in range(240):
+        s = np.round(full @ full[q], 9)
+        s[q] = -1
+        want = np.lexsort((np.arange(240), -s))[:15]
+        rows, near = index.top(*vectors[q], 15, skip=q)
+        assert rows.tolist() == want[s[want] > 0].tolist() and np.allclose(near, s[rows])
+
+
+def test_toxicity_terms_equal_plain_counts():
+    r = random.Random(4)
+    pieces = ["Straße", "naïve", "abc", "ABCDE", "abcdefg", "x1y", "½", "²a", "日本語、です", "_a_", "e\u0301a", "I\u0307", "\u2028", "\x85", "\u3000", "!", " ", "\n", "7", "-"]
+    terms = ["abc", "abcd*", "abcde", "abcdefg", "abcde*", "naïve", "a", "stra*", "日本語", "です"]
+    counter = toxicity.TermCounter(terms)
+    for _ in range(400):
+        text = "".join(r.choice(pieces) for _ in range(r.randint(0, 30)))
+        plain = re.findall(r"[^\W\d_]+", text.lower())
+        assert toxicity.words_of(text) == plain
+        want = collections.Counter(terms.index(t) for w in plain for t in toxicity.terms_of(w) if t in terms)
+        got, tf, any_word = counter.count(text)
+        assert dict(zip(got.tolist(), tf.tolist())) == want and got.tolist() == sorted(want) and any_word == bool(plain)
+
+
+def test_toxicity_text_ids_and_clashing_columns(spark):
+    r = random.Random(9)
+    rows = [(f"d{i}", words(r, 40) + (" vilew" if i % 4 == 0 else ""), "mine", i) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, score string, cosines int")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 4 == 0)) for i in range(100)], "doc_id string, toxic int")
+    got = toxicity.score_toxicity(docs, labels)
+    assert got.columns == ["doc_id", "text", "score", "neighbours", "cosines"] and got.schema["neighbours"].dataType.elementType.simpleString() == "string"
+    found = got.collect()
+    assert len(found) == 120 and all(set(x.neighbours) <= {f"d{i}" for i in range(100)} and x.neighbours for x in found)
+    assert sum((x.score >= 0.3) != (int(x.doc_id[1:]) % 4 == 0) for x in found) <= 3
+    assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0 and toxicity.score_toxicity(docs, labels.limit(0)).first().neighbours == []
 
 
 def test_pfair_schedule():
