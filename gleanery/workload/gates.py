@@ -12,12 +12,12 @@ HOST = r"regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)"
 
 
 @query("F1_scope_gate", """
-    select d.doc_id, case when toxic = 1 then false when regexp_matches(lower(substr(text, 1, 80)), 'lorem|spam|the') then false when quality = 1 then true
-      when regexp_matches(lower(text), 'lorem|spam|the') then false else regexp_matches(lower(text), 'de |la ') end as in_scope from documents d left join labels l using (doc_id)""")
+    select d.doc_id, case when toxic = 1 then false when regexp_matches(lower(source), 'lorem|spam|the|3') then false when quality = 1 then true
+      when regexp_matches(lower(text), 'lorem|spam|the|3') then false else regexp_matches(lower(text), 'de |la ') end as in_scope from documents d left join labels l using (doc_id)""")
 def f1(t):
-    rows = t.documents.select("doc_id", "text").join(t.labels, "doc_id", "left")
+    rows = t.documents.select("doc_id", "source", "text").join(t.labels, "doc_id", "left")
     flag = F.when(F.col("toxic") == 1, F.lit(False)).when(F.col("quality") == 1, F.lit(True))
-    return rows.select("doc_id", rules.in_scope(flag, F.substring("text", 1, 80), F.col("text"), ["lorem", "spam", "the"], ["de ", "la "]).alias("in_scope"))
+    return rows.select("doc_id", rules.in_scope(flag, F.col("source"), F.col("text"), ["lorem", "spam", "the", "3"], ["de ", "la "]).alias("in_scope"))
 
 
 @query("F2_feed_scope_flag", """
@@ -39,9 +39,9 @@ def f3(t):
 
 
 @query("F4_feed_row_allowed", """
-    select doc_id, (doc_id % 3 = 0 or contains(lower(substr(text, 1, 50)), 'de')) and not regexp_matches(lower(text), '社招|社会招聘|experienced|社会人才') as allowed from documents""")
+    select doc_id, (doc_id % 3 = 0 or contains(lower(text), 'de')) and not regexp_matches(lower(text), '社招|社会招聘|experienced|社会人才') as allowed from documents""")
 def f4(t):
-    row = rules.feed_row_allowed(F.array((F.col("doc_id") % 3).cast("string")), F.substring("text", 1, 50), F.col("text"), F.array(F.lit("0")), F.array(F.lit("DE")))
+    row = rules.feed_row_allowed(F.array((F.col("doc_id") % 3).cast("string")), F.col("text"), F.col("text"), F.array(F.lit("0")), F.array(F.lit("DE")))
     return t.documents.select("doc_id", row.alias("allowed"))
 
 
