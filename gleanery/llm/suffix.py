@@ -2,9 +2,10 @@
 
 Dealing out: each start of a ``length``-byte string belongs to the 64-byte gram of smallest hash inside that string (the leftmost of equal
 ones). Equal strings hold the same gram at the same place, so all starts that can match meet under the gram's hash, and a text becomes a
-row of segments, each with the starts of one gram. Segments that are equal as a whole are settled by counting alone, before any text moves.
-Grams with different segments send one copy of each to a task, which builds a suffix array over them (ranks by prefix doubling) and its
-common prefixes.
+row of segments, each with the starts of one gram. Grams are counted first: a gram met once is dropped, and of a gram whose segments are
+all equal every start repeats, before any text moves. Grams with different segments send them to a task, copies without their bytes; it
+builds a suffix array over the different ones (ranks by prefix doubling) and its common prefixes. Texts move packed, and equal texts of an
+Arrow batch move as one row with all their ids, so a hot text costs a task one row for each batch that holds it.
 
 Intervals: a run of the array with common prefixes of ``length`` or more is a node of the interval tree; all its starts repeat. A node whose
 occurrences follow different bytes (or start a text) can't be extended to the left: a stack scan splits it into its maximal repeats,
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,36 +73,71 @@ def segments(data: bytes, length: int = LENGTH) -> Iterator[tuple[int, int, int]
             yield int(signed[place[a]]), at + a, at + b - 1
 
 
+def _texts_of(batch: pa.RecordBatch) -> dict[tuple[int, int], tuple[bytes, list[int]]]:
+    """The different texts of a batch by key, each with its row numbers; the text is the last column."""
+    out: dict[tuple[int, int], tuple[bytes, list[int]]] = {}
+    for i, data in enumerate(utf8_rows(batch.column(batch.num_columns - 1))):
+        out.setdefault(text_key(data), (data, []))[1].append(i)
+    return out
+
+
 def _occurrences(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["gram", "hash", "k1", "k2", "a", "b", "n"], [pa.int64()] * 7
         for batch in batches:
             rows: list[tuple[int, ...]] = []
-            for data in utf8_rows(batch.column(0)):
-                if len(data) < length:
-                    continue
-                key = text_key(data)
-                rows += [(gram, *text_key(data[a: b + length]), *key, a, b) for gram, a, b in segments(data, length)]
+            for key, (data, members) in _texts_of(batch).items():
+                if len(data) >= length:
+                    rows += [(gram, xxhash.xxh3_64_intdigest(data[a: b + length]) - (1 << 63), *key, a, b, len(members)) for gram, a, b in segments(data, length)]
+                if len(rows) > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["gram", "g1", "g2", "k1", "k2", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each different text of a batch: the ids that have it, its key, the compressed text."""
+    pack = zstandard.ZstdCompressor().compress
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        found = _texts_of(batch)
+        members = [m for _, m in found.values()]
+        ids = pa.ListArray.from_arrays(
+            pa.array(np.concatenate([[0], np.cumsum([len(m) for m in members])]), pa.int32()), batch.column(0).take(pa.array([i for m in members for i in m], pa.int64()))
+        )
+        keys = [pa.array([k[i] for k in found], pa.int64()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([ids, *keys, pa.array([pack(d) for d, _ in found.values()], pa.binary())], ["ids", "k1", "k2", "packed"])
+
+
 def _cut_out(length: int):
-    """Bytes of the wanted segments of each text, with the byte before (-1 at the start of the text)."""
+    """The wanted segments of each text, with the byte before (-1 at the start of the text); a batch sends the bytes of equal ones once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        kinds = [pa.int64()] * 9 + [pa.binary()]
+        names = ["gram", "g1", "g2", "n", "k1", "k2", "a", "b", "left", "data"]
         for batch in batches:
-            wanted = batch.column(0).to_pylist()
-            out: list[list] = [[] for _ in range(9)]
-            for segs, data in zip(wanted, utf8_rows(batch.column(1))):
-                key = text_key(data)
+            sent: set[tuple[int, int, int]] = set()
+            rows: list[tuple] = []
+            size = 0
+            for k1, k2, n, segs, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                data = unpack(packed)
                 for s in segs:
                     a, b = s["a"], s["b"]
-                    for column, value in zip(out, (s["gram"], s["g1"], s["g2"], s["n"], *key, a, data[a - 1] if a else -1, data[a: b + length])):
-                        column.append(value)
-            kinds = [pa.int64()] * 8 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["gram", "g1", "g2", "n", "k1", "k2", "a", "left", "data"])
+                    part = data[a: b + length]
+                    kind = (s["gram"], *text_key(part))
+                    rows.append((*kind, n, k1, k2, a, b, data[a - 1] if a else -1, None if kind in sent else part))
+                    size += 0 if kind in sent else len(part)
+                    sent.add(kind)
+                if size > 1 << 23:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return run
 
@@ -180,22 +217,22 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def scan_shard(rows: list[tuple], length: int, groups: bool) -> tuple[list[tuple], list[tuple]]:
     """Repeated runs of starts (k1, k2, a, b) of segments that occur once, and groups (group, length, k1, k2, start)."""
-    array = SuffixArray([r[7] for r in rows], length)
+    array = SuffixArray([r[6] for r in rows], length)
     repeated = np.zeros(len(array.starts), bool)
     sizes = np.diff(array.breaks)
     many = np.repeat(sizes > 1, sizes)
     repeated[array.order[many]] = True
     base = np.array([r[3] for r in rows])
-    at = np.concatenate([[0], np.cumsum([len(r[7]) for r in rows])])
+    at = np.concatenate([[0], np.cumsum([len(r[6]) for r in rows])])
     found: list[tuple] = []
-    bounds = np.concatenate([[0], np.cumsum([len(r[7]) - length + 1 for r in rows])])
+    bounds = np.concatenate([[0], np.cumsum([len(r[6]) - length + 1 for r in rows])])
     for i, r in enumerate(rows):
         if r[0] == 1:
             found += [(r[1], r[2], r[3] + a, r[3] + b) for a, b in _runs(repeated[bounds[i]: bounds[i + 1]])]
     out: list[tuple] = []
     if groups:
         inner = array.starts - at[array.owner]
-        first = np.array([r[6] for r in rows])[array.owner]
+        first = np.array([r[5] for r in rows])[array.owner]
         left = np.where(inner > 0, array.data[np.maximum(array.starts - 1, 0)], first)
         for a, b in zip(array.breaks[:-1][sizes > 1].tolist(), array.breaks[1:][sizes > 1].tolist()):
             members = array.order[a:b]
@@ -214,10 +251,10 @@ def scan_aligned(rows: list[tuple], gram_at: list[int], length: int) -> list[tup
     """The same runs for a gram with very many different segments, place by place with rolling hashes."""
     reach = length - GRAM
     lo = np.array([-g for g in gram_at])
-    hi = np.array([len(r[7]) - length - g for r, g in zip(rows, gram_at)])
+    hi = np.array([len(r[6]) - length - g for r, g in zip(rows, gram_at)])
     table = np.zeros((len(rows), reach + length), np.uint8)
     for i, (r, g) in enumerate(zip(rows, gram_at)):
-        table[i, reach - g: reach - g + len(r[7])] = np.frombuffer(r[7], np.uint8)
+        table[i, reach - g: reach - g + len(r[6])] = np.frombuffer(r[6], np.uint8)
     flags = np.zeros((len(rows), reach + 1), bool)
     factors = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
     with np.errstate(over="ignore"):
@@ -256,7 +293,7 @@ def gram_place(data: bytes, gram: int) -> int:
 
 
 def _scan(length: int, groups: bool, max_bytes: int):
-    """Rows sorted by (gram, g1, g2): whole grams are gathered into shards of about SHARD bytes."""
+    """Rows sorted by (gram, g1, g2): equal segments repeat as a whole, different ones of whole grams are gathered into shards of about SHARD bytes."""
 
     def batch_of(found: list[tuple], grouped: list[tuple]) -> pa.RecordBatch:
         both = [(None, 0, *f) for f in found] + [(g, n, k1, k2, s, s) for g, n, k1, k2, s in grouped]
@@ -265,70 +302,93 @@ def _scan(length: int, groups: bool, max_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: list[tuple] = []
-        current: list[tuple] = []
-        held, size, gram, last = 0, 0, None, None
-
-        def close() -> Iterator[pa.RecordBatch]:
+        current: list[tuple] = []  # the different segments of one gram
+        whole: list[tuple] = []
+        held, size, gram = 0, 0, None
+        kind, first, data, met = None, (), None, 0
+
+        def end_kind() -> None:
+            nonlocal size, kind
+            if kind is not None:
+                current.append((met, *first, data))
+                size += len(data)
+                kind = None
+
+        def end_gram() -> Iterator[pa.RecordBatch]:
             nonlocal shard, current, held, size
+            end_kind()
             if len(current) > 1:
                 if size > max_bytes:
-                    yield batch_of(scan_aligned(current, [gram_place(r[7], gram) for r in current], length), [])
+                    yield batch_of(scan_aligned(current, [gram_place(r[6], gram) for r in current], length), [])
                 else:
                     shard += current
                     held += size
             current, size = [], 0
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] == last:
-                    continue  # the same segment from a copy of the text
-                last = row[:3]
-                if row[0] != gram:
-                    yield from close()
-                    gram = row[0]
+            for g, g1, g2, n, k1, k2, a, b, left, part in zip(*(c.to_pylist() for c in batch.columns)):
+                if g != gram:
+                    yield from end_gram()
+                    gram = g
                     if held >= SHARD:
                         yield batch_of(*scan_shard(shard, length, groups))
                         shard, held = [], 0
-                current.append((row[3], row[4], row[5], row[6], row[1], row[2], row[7], row[8]))
-                size += len(row[8])
-        yield from close()
+                if (g1, g2) != kind:
+                    end_kind()
+                    kind, first, data, met = (g1, g2), (k1, k2, a, b, left), part, n
+                    if n > 1:
+                        whole.append((k1, k2, a, b))
+                else:
+                    if met == 1:
+                        whole.append(first[:4])
+                    met += n
+                    data = part if data is None else data
+                    whole.append((k1, k2, a, b))
+            if whole:
+                yield batch_of(whole, [])
+                whole = []
+        yield from end_gram()
         if shard:
             yield batch_of(*scan_shard(shard, length, groups))
 
     return run
 
 
-def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, groups: bool = False, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(group, size, k1, k2, a, b), stored: rows without a group are runs a..b of repeated starts of the text with that key; with
-    ``groups``, rows with one are the occurrences of maximal repeats that the suffix arrays found (start a)."""
+def _found(docs: DataFrame, text_col: str, length: int, groups: bool, max_bytes: int) -> DataFrame:
+    """(group, size, k1, k2, a, b) as in ``repeats``; copies of a text may give a row more than once."""
     if length <= GRAM:
         raise ValueError(f"the length must exceed {GRAM} bytes")
-    texts = docs.select(text_of(docs, text_col).alias("text"))
-    seen = stored(texts.mapInArrow(_occurrences(length), "gram long, g1 long, g2 long, k1 long, k2 long, a long, b long"), "segments")
-    key = ["gram", "g1", "g2"]
-    kinds = stored(seen.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "a", "b")).alias("one")), "kinds")
-    grams = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram")
-    whole = seen.join(kinds.filter("n > 1").select(*key), key).select("k1", "k2", "a", "b")
-    mixed = kinds.join(grams, "gram").select(*key, "n", "one.*")
-    wanted = mixed.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "g1", "g2", "n", "a", "b")).alias("segs"))  # at most a text's segments
-    keyed = texts.filter(F.octet_length("text") >= length).mapInArrow(_keyed, "k1 long, k2 long, text string")
-    cut = keyed.join(wanted, ["k1", "k2"]).select("segs", "text").mapInArrow(_cut_out(length), "gram long, g1 long, g2 long, n long, k1 long, k2 long, a long, left long, data binary")
-    scanned = cut.repartition("gram").sortWithinPartitions(*key).mapInArrow(_scan(length, groups, max_bytes), "group string, size long, k1 long, k2 long, a long, b long")
-    plain = whole.select(F.lit(None).cast("string").alias("group"), F.lit(0).cast("long").alias("size"), "k1", "k2", "a", "b")
-    return stored(plain.union(scanned).distinct(), "repeats")
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [text_key(t) for t in utf8_rows(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), batch.column(0)], ["k1", "k2", "text"])
+    texts = docs.select(F.lit(0).alias("id"), text_of(docs, text_col).alias("text")).filter(F.octet_length("text") >= length)
+    seen = stored(texts.mapInArrow(_occurrences(length), "gram long, hash long, k1 long, k2 long, a long, b long, n long"), "segments")
+    counted = seen.groupBy("gram").agg(F.sum("n").alias("n"), F.min("hash").alias("low"), F.max("hash").alias("high"))
+    grams = stored(counted.filter("n > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed")), "grams")
+    hits = stored(seen.select("gram", "k1", "k2", "a", "b").join(grams, "gram"), "hits")
+    plain = hits.filter("not mixed").select(F.lit(None).cast("string").alias("group"), F.lit(0).cast("long").alias("size"), "k1", "k2", "a", "b")
+    wanted = hits.filter("mixed").groupBy("k1", "k2").agg(F.collect_set(F.struct("gram", "a", "b")).alias("segs"))  # at most a text's segments
+    packed = texts.mapInArrow(_packed, "ids array<int>, k1 long, k2 long, packed binary")
+    cut = packed.select("k1", "k2", F.size("ids").cast("long").alias("n"), "packed").join(wanted, ["k1", "k2"]).select("k1", "k2", "n", "segs", "packed")
+    cut = cut.mapInArrow(_cut_out(length), "gram long, g1 long, g2 long, n long, k1 long, k2 long, a long, b long, left long, data binary")
+    scanned = cut.repartition("gram").sortWithinPartitions("gram", "g1", "g2")
+    return plain.union(scanned.mapInArrow(_scan(length, groups, max_bytes), "group string, size long, k1 long, k2 long, a long, b long"))
+
+
+def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, groups: bool = False, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(group, size, k1, k2, a, b): rows without a group are runs a..b of repeated starts of the text with that key; with
+    ``groups``, rows with one are the occurrences of maximal repeats that the suffix arrays found (start a)."""
+    return _found(docs, text_col, length, groups, max_bytes).distinct()
 
 
 def _keep(length: int):
+    """Rows (ids, packed text, spans) to one row for each id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
+            if not batch.num_rows:
+                continue
             out: list[tuple] = []
-            for ident, text, spans in zip(batch.column(0), utf8_rows(batch.column(1)), batch.column(2).to_pylist()):
+            for packed, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                text = unpack(packed)
                 merged: list[list[int]] = []
                 for s in sorted((s["a"], s["b"] + length) for s in spans or ()):
                     if merged and s[0] <= merged[-1][1]:
@@ -342,24 +402,23 @@ def _keep(length: int):
                 kept.update(text[at:])
                 out.append((len(text), sum(b - a for a, b in merged), kept.hexdigest(), [x for m in merged for x in m]))
             cols = list(zip(*out)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())))]], ["id", "n_bytes", "n_removed", "kept_sha256", "removed"])
+            row = pa.array(np.repeat(np.arange(len(out)), batch.column(0).value_lengths().to_numpy(zero_copy_only=False)))
+            values = [pa.array(c, k).take(row) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).flatten(), *values], ["id", "n_bytes", "n_removed", "kept_sha256", "removed"])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(id, n_bytes, n_removed, kept_sha256, removed): ``removed`` lists first and end (exclusive) of the maximal removed runs, in bytes."""
-    found = repeats(docs, text_col, length, False, max_bytes)
-    spans = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # at most a text's segments
-    plain = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [text_key(t) for t in utf8_rows(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], ["id", "text", "k1", "k2"])
+    """(id, n_bytes, n_removed, kept_sha256, removed): ``removed`` lists first and end (exclusive) of the maximal removed runs, in bytes.
 
+    Ids may be of any type, null or repeated; each row of ``docs`` gives one row. Other columns, whatever their names, are left alone. An
+    empty table gives no rows.
+    """
+    spans = _found(docs, text_col, length, False, max_bytes).groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # at most a text's segments
+    plain = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
-    rows = plain.mapInArrow(keyed, f"id {kind}, text string, k1 long, k2 long").join(spans, ["k1", "k2"], "left").select("id", "text", "spans")
+    rows = plain.mapInArrow(_packed, f"ids array<{kind}>, k1 long, k2 long, packed binary").join(spans, ["k1", "k2"], "left").select("ids", "packed", "spans")
     return rows.mapInArrow(_keep(length), f"id {kind}, n_bytes long, n_removed long, kept_sha256 string, removed array<long>").withColumnRenamed("id", id_col)
 
 
