@@ -3,16 +3,18 @@
 Dealing out: each start of a ``length``-byte string belongs to the 64-byte gram of smallest hash inside that string (the leftmost of equal
 ones). Equal strings hold the same gram at the same place, so all starts that can match meet under the gram's hash, and a text becomes a
 row of segments, each with the starts of one gram. Grams are counted first: a gram met once is dropped, and of a gram whose segments are
-all equal every start repeats, before any text moves. Grams with different segments send them to a task, copies without their bytes; it
-builds a suffix array over the different ones (ranks by prefix doubling) and its common prefixes. Texts move packed, and equal texts of an
-Arrow batch move as one row with all their ids, so a hot text costs a task one row for each batch that holds it.
+all equal every start repeats, before any text moves. Segments of other grams are split by the gram's offset in the string into PARTS; the
+strings of a part share a core of about 288 bytes around the gram, whose hash names the task they go to, so a gram that a third of all texts
+hold is spread by its surroundings. Copies go without their bytes. The task builds a suffix array over the different segments of whole
+cores (ranks by prefix doubling) and its common prefixes. Texts move packed, and equal texts of an Arrow batch move as one row with all
+their ids, so a hot text costs a task one row for each batch that holds it.
 
 Intervals: a run of the array with common prefixes of ``length`` or more is a node of the interval tree; all its starts repeat. A node whose
 occurrences follow different bytes (or start a text) can't be extended to the left: a stack scan splits it into its maximal repeats,
 each with all its occurrences, as far as the segments reach. A segment reaches ``length`` bytes past its last start, so the length told for a group is a lower bound there.
 
-A gram with more than ``max_bytes`` of different segments is scanned in place order instead: its segments line up at the gram, and at each
-place windows are grouped by a rolling hash of 128 bits. That takes 1 KB of memory for each different context of one gram.
+A core with more than ``max_bytes`` of different segments is scanned in place order instead: its segments line up at the gram, and at each
+place windows are grouped by a rolling hash of 128 bits. That takes 1 KB of memory for each different context of one core.
 
 Null text is empty. Texts shorter than ``length`` bytes keep everything. Repeated rows are occurrences like any other. Strings are judged on the input.
 """
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import mix64, stored, text_of, utf8_rows
 
-LENGTH, GRAM, CHUNK, SHARD, MAX_BYTES = 400, 64, 1 << 20, 1 << 19, 1 << 20
+LENGTH, GRAM, PARTS, CHUNK, SHARD, MAX_BYTES = 400, 64, 3, 1 << 20, 1 << 19, 1 << 20
 PLACE_BITS = 21
 
 
@@ -50,8 +52,8 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix64(h)
 
 
-def segments(data: bytes, length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
-    """(gram hash, first start, last start) of each run of starts that share their gram."""
+def segments(data: bytes, length: int = LENGTH) -> Iterator[tuple[int, int, int, int]]:
+    """(gram hash, its place, first start, last start) of each run of starts that share their gram."""
     n = len(data) - length + 1
     window = length - GRAM + 1
     raw = np.frombuffer(data, np.uint8)
@@ -70,7 +72,16 @@ def segments(data: bytes, length: int = LENGTH) -> Iterator[tuple[int, int, int]
         cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]]))
         signed = h.view(np.int64)
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            yield int(signed[place[a]]), at + a, at + b - 1
+            yield int(signed[place[a]]), at + int(place[a]), at + a, at + b - 1
+
+
+def parts_of(data: bytes, place: int, a: int, b: int, length: int) -> Iterator[tuple[int, int, int]]:
+    """(core hash, first start, last start) of the parts of a segment whose gram is at ``place``."""
+    span = (length - GRAM) // PARTS + 1
+    for part in range((place - b) // span, (place - a) // span + 1):
+        low, high = part * span, min((part + 1) * span - 1, length - GRAM)
+        core = xxhash.xxh3_64_intdigest(data[place - low: place - high + length], part) - (1 << 63)
+        yield core, max(a, place - high), min(b, place - low)
 
 
 def _texts_of(batch: pa.RecordBatch) -> dict[tuple[int, int], tuple[bytes, list[int]]]:
@@ -83,12 +94,12 @@ def _texts_of(batch: pa.RecordBatch) -> dict[tuple[int, int], tuple[bytes, list[
 
 def _occurrences(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["gram", "hash", "k1", "k2", "a", "b", "n"], [pa.int64()] * 7
+        names, kinds = ["gram", "hash", "k1", "k2", "place", "a", "b", "n"], [pa.int64()] * 8
         for batch in batches:
             rows: list[tuple[int, ...]] = []
             for key, (data, members) in _texts_of(batch).items():
                 if len(data) >= length:
-                    rows += [(gram, xxhash.xxh3_64_intdigest(data[a: b + length]) - (1 << 63), *key, a, b, len(members)) for gram, a, b in segments(data, length)]
+                    rows += [(gram, xxhash.xxh3_64_intdigest(data[a: b + length]) - (1 << 63), *key, place, a, b, len(members)) for gram, place, a, b in segments(data, length)]
                 if len(rows) > 1 << 16:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                     rows = []
@@ -114,12 +125,12 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_out(length: int):
-    """The wanted segments of each text, with the byte before (-1 at the start of the text); a batch sends the bytes of equal ones once."""
+    """The parts of the wanted segments of each text, with the byte before (-1 at the start of the text); a batch sends the bytes of equal ones once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        kinds = [pa.int64()] * 9 + [pa.binary()]
-        names = ["gram", "g1", "g2", "n", "k1", "k2", "a", "b", "left", "data"]
+        kinds = [pa.int64()] * 10 + [pa.binary()]
+        names = ["core", "g1", "g2", "n", "k1", "k2", "a", "b", "left", "gram_at", "data"]
         for batch in batches:
             sent: set[tuple[int, int, int]] = set()
             rows: list[tuple] = []
@@ -127,13 +138,13 @@ def _cut_out(length: int):
             for k1, k2, n, segs, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 data = unpack(packed)
                 for s in segs:
-                    a, b = s["a"], s["b"]
-                    part = data[a: b + length]
-                    kind = (s["gram"], *text_key(part))
-                    rows.append((*kind, n, k1, k2, a, b, data[a - 1] if a else -1, None if kind in sent else part))
-                    size += 0 if kind in sent else len(part)
-                    sent.add(kind)
-                if size > 1 << 23:
+                    for core, a, b in parts_of(data, s["place"], s["a"], s["b"], length):
+                        part = data[a: b + length]
+                        kind = (core, *text_key(part))
+                        rows.append((*kind, n, k1, k2, a, b, data[a - 1] if a else -1, s["place"] - a, None if kind in sent else part))
+                        size += 0 if kind in sent else len(part)
+                        sent.add(kind)
+                if size > 1 << 22 or len(rows) > 1 << 16:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                     rows, size = [], 0
             if rows:
@@ -217,15 +228,15 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def scan_shard(rows: list[tuple], length: int, groups: bool) -> tuple[list[tuple], list[tuple]]:
     """Repeated runs of starts (k1, k2, a, b) of segments that occur once, and groups (group, length, k1, k2, start)."""
-    array = SuffixArray([r[6] for r in rows], length)
+    array = SuffixArray([r[7] for r in rows], length)
     repeated = np.zeros(len(array.starts), bool)
     sizes = np.diff(array.breaks)
     many = np.repeat(sizes > 1, sizes)
     repeated[array.order[many]] = True
     base = np.array([r[3] for r in rows])
-    at = np.concatenate([[0], np.cumsum([len(r[6]) for r in rows])])
+    at = np.concatenate([[0], np.cumsum([len(r[7]) for r in rows])])
     found: list[tuple] = []
-    bounds = np.concatenate([[0], np.cumsum([len(r[6]) - length + 1 for r in rows])])
+    bounds = np.concatenate([[0], np.cumsum([len(r[7]) - length + 1 for r in rows])])
     for i, r in enumerate(rows):
         if r[0] == 1:
             found += [(r[1], r[2], r[3] + a, r[3] + b) for a, b in _runs(repeated[bounds[i]: bounds[i + 1]])]
@@ -248,13 +259,13 @@ def scan_shard(rows: list[tuple], length: int, groups: bool) -> tuple[list[tuple
 
 
 def scan_aligned(rows: list[tuple], gram_at: list[int], length: int) -> list[tuple]:
-    """The same runs for a gram with very many different segments, place by place with rolling hashes."""
+    """The same runs for a core with very many different segments, place by place with rolling hashes."""
     reach = length - GRAM
     lo = np.array([-g for g in gram_at])
-    hi = np.array([len(r[6]) - length - g for r, g in zip(rows, gram_at)])
+    hi = np.array([len(r[7]) - length - g for r, g in zip(rows, gram_at)])
     table = np.zeros((len(rows), reach + length), np.uint8)
     for i, (r, g) in enumerate(zip(rows, gram_at)):
-        table[i, reach - g: reach - g + len(r[6])] = np.frombuffer(r[6], np.uint8)
+        table[i, reach - g: reach - g + len(r[7])] = np.frombuffer(r[7], np.uint8)
     flags = np.zeros((len(rows), reach + 1), bool)
     factors = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
     with np.errstate(over="ignore"):
@@ -288,12 +299,8 @@ def scan_aligned(rows: list[tuple], gram_at: list[int], length: int) -> list[tup
     return out
 
 
-def gram_place(data: bytes, gram: int) -> int:
-    return int(np.flatnonzero(gram_hashes(np.frombuffer(data, np.uint8)).view(np.int64) == gram)[0])
-
-
 def _scan(length: int, groups: bool, max_bytes: int):
-    """Rows sorted by (gram, g1, g2): equal segments repeat as a whole, different ones of whole grams are gathered into shards of about SHARD bytes."""
+    """Rows sorted by (core, g1, g2): equal segments repeat as a whole, different ones of whole cores are gathered into shards of about SHARD bytes."""
 
     def batch_of(found: list[tuple], grouped: list[tuple]) -> pa.RecordBatch:
         both = [(None, 0, *f) for f in found] + [(g, n, k1, k2, s, s) for g, n, k1, k2, s in grouped]
@@ -302,9 +309,9 @@ def _scan(length: int, groups: bool, max_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: list[tuple] = []
-        current: list[tuple] = []  # the different segments of one gram
+        current: list[tuple] = []  # the different segments of one core
         whole: list[tuple] = []
-        held, size, gram = 0, 0, None
+        held, size, core = 0, 0, None
         kind, first, data, met = None, (), None, 0
 
         def end_kind() -> None:
@@ -314,28 +321,28 @@ def _scan(length: int, groups: bool, max_bytes: int):
                 size += len(data)
                 kind = None
 
-        def end_gram() -> Iterator[pa.RecordBatch]:
+        def end_core() -> Iterator[pa.RecordBatch]:
             nonlocal shard, current, held, size
             end_kind()
             if len(current) > 1:
                 if size > max_bytes:
-                    yield batch_of(scan_aligned(current, [gram_place(r[6], gram) for r in current], length), [])
+                    yield batch_of(scan_aligned(current, [r[6] for r in current], length), [])
                 else:
                     shard += current
                     held += size
             current, size = [], 0
 
         for batch in batches:
-            for g, g1, g2, n, k1, k2, a, b, left, part in zip(*(c.to_pylist() for c in batch.columns)):
-                if g != gram:
-                    yield from end_gram()
-                    gram = g
+            for c, g1, g2, n, k1, k2, a, b, left, gram_at, part in zip(*(x.to_pylist() for x in batch.columns)):
+                if c != core:
+                    yield from end_core()
+                    core = c
                     if held >= SHARD:
                         yield batch_of(*scan_shard(shard, length, groups))
                         shard, held = [], 0
                 if (g1, g2) != kind:
                     end_kind()
-                    kind, first, data, met = (g1, g2), (k1, k2, a, b, left), part, n
+                    kind, first, data, met = (g1, g2), (k1, k2, a, b, left, gram_at), part, n
                     if n > 1:
                         whole.append((k1, k2, a, b))
                 else:
@@ -347,7 +354,7 @@ def _scan(length: int, groups: bool, max_bytes: int):
             if whole:
                 yield batch_of(whole, [])
                 whole = []
-        yield from end_gram()
+        yield from end_core()
         if shard:
             yield batch_of(*scan_shard(shard, length, groups))
 
@@ -359,16 +366,16 @@ def _found(docs: DataFrame, text_col: str, length: int, groups: bool, max_bytes:
     if length <= GRAM:
         raise ValueError(f"the length must exceed {GRAM} bytes")
     texts = docs.select(F.lit(0).alias("id"), text_of(docs, text_col).alias("text")).filter(F.octet_length("text") >= length)
-    seen = stored(texts.mapInArrow(_occurrences(length), "gram long, hash long, k1 long, k2 long, a long, b long, n long"), "segments")
+    seen = stored(texts.mapInArrow(_occurrences(length), "gram long, hash long, k1 long, k2 long, place long, a long, b long, n long"), "segments")
     counted = seen.groupBy("gram").agg(F.sum("n").alias("n"), F.min("hash").alias("low"), F.max("hash").alias("high"))
     grams = stored(counted.filter("n > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed")), "grams")
-    hits = stored(seen.select("gram", "k1", "k2", "a", "b").join(grams, "gram"), "hits")
+    hits = stored(seen.select("gram", "k1", "k2", "place", "a", "b").join(grams, "gram"), "hits")
     plain = hits.filter("not mixed").select(F.lit(None).cast("string").alias("group"), F.lit(0).cast("long").alias("size"), "k1", "k2", "a", "b")
-    wanted = hits.filter("mixed").groupBy("k1", "k2").agg(F.collect_set(F.struct("gram", "a", "b")).alias("segs"))  # at most a text's segments
+    wanted = hits.filter("mixed").groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "a", "b")).alias("segs"))  # at most a text's segments
     packed = texts.mapInArrow(_packed, "ids array<int>, k1 long, k2 long, packed binary")
     cut = packed.select("k1", "k2", F.size("ids").cast("long").alias("n"), "packed").join(wanted, ["k1", "k2"]).select("k1", "k2", "n", "segs", "packed")
-    cut = cut.mapInArrow(_cut_out(length), "gram long, g1 long, g2 long, n long, k1 long, k2 long, a long, b long, left long, data binary")
-    scanned = cut.repartition("gram").sortWithinPartitions("gram", "g1", "g2")
+    cut = cut.mapInArrow(_cut_out(length), "core long, g1 long, g2 long, n long, k1 long, k2 long, a long, b long, left long, gram_at long, data binary")
+    scanned = cut.repartition("core").sortWithinPartitions("core", "g1", "g2")
     return plain.union(scanned.mapInArrow(_scan(length, groups, max_bytes), "group string, size long, k1 long, k2 long, a long, b long"))
 
 

@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from gleanery.llm import decontam, lm, mixing, quality, simhash, suffix, tokens, toxicity, warc
 
@@ -89,6 +90,14 @@ def test_repeats(spark):
     for limit in (suffix.MAX_BYTES, 0):  # suffix arrays, or place by place
         rows = suffix.digest(suffix.remove_repeats(docs_of(spark, texts), length=100, max_bytes=limit)).collect()
         assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in rows} == want
+    line = "".join(r.choice("abcdefgh ") for _ in range(80))  # one line that every text holds, in different surroundings
+    texts = [f"{words(r, 30)} {line}{words(r, 5)}{line} {words(r, 30)}" for _ in range(60)] + [f"x{line}{line}y{base[2][:300]}{line}", base[2][:200]]
+    want = {i: x for i, x in enumerate(suffix.brute_force(texts, 150))}
+    rows = suffix.digest(suffix.remove_repeats(docs_of(spark, texts).withColumn("ids", F.lit(1)).withColumn("K1", F.lit("x")), length=150)).collect()
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in rows} == want
+    named = spark.createDataFrame([("a", base[0]), (None, base[0]), ("a", "q"), ("b", None)], "doc_id string, text string")
+    rows = suffix.remove_repeats(named, length=100).collect()  # text, null and repeated ids: one row each
+    assert sorted((x.doc_id or "", x.n_bytes, x.n_removed) for x in rows) == [("", 900, 900), ("a", 1, 0), ("a", 900, 900), ("b", 0, 0)]
     groups = suffix.repeats(docs_of(spark, [base[0] + "p", "q" + base[0][:300], "rr" + base[0][:300] + "z"]), length=100, groups=True).filter("group is not null").collect()
     assert max(collections.Counter(g.group for g in groups).values()) == 3
     assert suffix.remove_repeats(docs_of(spark, texts).limit(0)).count() == 0
