@@ -5,7 +5,7 @@ ones). Equal strings hold the same gram at the same place, so all starts that ca
 row of segments, each with the starts of one gram. Grams are counted first: a gram met once is dropped, and of a gram whose segments are
 all equal every start repeats, before any text moves. Segments of other grams are split by the gram's offset in the string into PARTS; the
 strings of a part share a core of about 288 bytes around the gram, whose hash names the task they go to, so a gram that a third of all texts
-hold is spread by its surroundings. Copies go without their bytes. The task builds a suffix array over the different segments of whole
+hold is spread by its surroundings. Of equal segments a batch of texts sends one, with their number. The task builds a suffix array over the different segments of whole
 cores (ranks by prefix doubling) and its common prefixes. Texts move packed, and equal texts of an Arrow batch move as one row with all
 their ids, so a hot text costs a task one row for each batch that holds it.
 
@@ -124,15 +124,23 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, *keys, pa.array([pack(d) for d, _ in found.values()], pa.binary())], ["ids", "k1", "k2", "packed"])
 
 
+def _known(k1: int, k2: int, a: int, b: int) -> tuple:
+    return k1 ^ (a * 0x9E3779B97F4A7C15 & (1 << 63) - 1), 0, 0, 0, k1, k2, a, b, 0, 0, None
+
+
 def _cut_out(length: int):
-    """The parts of the wanted segments of each text, with the byte before (-1 at the start of the text); a batch sends the bytes of equal ones once."""
+    """The parts of the wanted segments of each text, with the byte before (-1 at the start of the text).
+
+    Of equal ones a batch sends one with their number ``n``; where that is over 1 each also gives a row of its own with n = 0, a run that is
+    known to repeat and whose ``core`` only spreads it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         kinds = [pa.int64()] * 10 + [pa.binary()]
         names = ["core", "g1", "g2", "n", "k1", "k2", "a", "b", "left", "gram_at", "data"]
         for batch in batches:
-            sent: set[tuple[int, int, int]] = set()
+            met: dict[tuple[int, int, int], list] = {}
             rows: list[tuple] = []
             size = 0
             for k1, k2, n, segs, packed in zip(*(c.to_pylist() for c in batch.columns)):
@@ -140,13 +148,18 @@ def _cut_out(length: int):
                 for s in segs:
                     for core, a, b in parts_of(data, s["place"], s["a"], s["b"], length):
                         part = data[a: b + length]
-                        kind = (core, *text_key(part))
-                        rows.append((*kind, n, k1, k2, a, b, data[a - 1] if a else -1, s["place"] - a, None if kind in sent else part))
-                        size += 0 if kind in sent else len(part)
-                        sent.add(kind)
+                        first = met.setdefault((core, *text_key(part)), [0, k1, k2, a, b, data[a - 1] if a else -1, s["place"] - a, part])
+                        if first[0] == 1:
+                            rows.append(_known(*first[1:5]))
+                        if first[0] or n > 1:
+                            rows.append(_known(k1, k2, a, b))
+                        size += 0 if first[0] else len(part)
+                        first[0] += n
                 if size > 1 << 22 or len(rows) > 1 << 16:
+                    rows += [(*kind, *first) for kind, first in met.items()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-                    rows, size = [], 0
+                    met, rows, size = {}, [], 0
+            rows += [(*kind, *first) for kind, first in met.items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -334,6 +347,9 @@ def _scan(length: int, groups: bool, max_bytes: int):
 
         for batch in batches:
             for c, g1, g2, n, k1, k2, a, b, left, gram_at, part in zip(*(x.to_pylist() for x in batch.columns)):
+                if n == 0:
+                    whole.append((k1, k2, a, b))
+                    continue
                 if c != core:
                     yield from end_core()
                     core = c
@@ -343,14 +359,9 @@ def _scan(length: int, groups: bool, max_bytes: int):
                 if (g1, g2) != kind:
                     end_kind()
                     kind, first, data, met = (g1, g2), (k1, k2, a, b, left, gram_at), part, n
-                    if n > 1:
-                        whole.append((k1, k2, a, b))
-                else:
-                    if met == 1:
-                        whole.append(first[:4])
+                else:  # the same segment from another batch, which has told its runs unless it is the only one there
+                    whole += [x for x, single in ((first[:4], met == 1), ((k1, k2, a, b), n == 1)) if single]
                     met += n
-                    data = part if data is None else data
-                    whole.append((k1, k2, a, b))
             if whole:
                 yield batch_of(whole, [])
                 whole = []
