@@ -189,10 +189,15 @@ def f27(t):
 
 
 @query("F28_manifest_violations", """
-    select unnest(['demo_catalog', 'invalid_publishable_source_counts', 'auto_verification_reports_missing', 'auto_verification_incomplete', 'auto_verification_source_ids']) as violation from (select count(*) as n from supplier) where n > 0""")
+    with m as (select count(*) as n, count(*) filter (where s_acctbal > 5000) as v, count(*) filter (where s_acctbal between 0 and 5000) as a, count(*) filter (where s_nationkey > 0) as p,
+      count(*) filter (where s_acctbal < 0) > 0 as demo, count(*) filter (where s_acctbal < 2500) as still_open, count(distinct s_nationkey) as ids from supplier)
+    select violation from (select unnest([case when demo then 'demo_catalog' end, case when p < 10 then 'verified_sources' end, case when p <> v + a then 'invalid_publishable_source_counts' end, case when n < p then 'invalid_source_counts' end,
+      case when a > 0 and n < a then 'auto_verification_reports_missing' end, case when a > 0 and still_open > 0 then 'auto_verification_incomplete' end, case when a > 0 and ids <> n then 'auto_verification_source_ids' end]) as violation from m) where violation is not null""")
 def f28(t):
-    m = t.supplier.agg(F.count("*").alias("source_count")).select("source_count", F.lit(True).alias("is_demo"), F.lit(1).alias("verified_source_count"), (F.col("source_count") + 50).alias("auto_verified_source_count"), F.lit(20).alias("publishable_source_count"))
-    reports = t.supplier.select((F.col("s_suppkey") % 10).alias("source_id"), F.when(F.col("s_suppkey") % 2 == 0, "PROVISIONAL").otherwise("AUTO_VERIFIED").alias("conclusion"))
+    balance = F.col("s_acctbal")
+    m = t.supplier.agg(F.count("*").alias("source_count"), (F.count_if(balance < 0) > 0).alias("is_demo"), F.count_if(balance > 5000).alias("verified_source_count"),
+                       F.count_if(balance.between(0, 5000)).alias("auto_verified_source_count"), F.count_if(F.col("s_nationkey") > 0).alias("publishable_source_count"))
+    reports = t.supplier.select(F.col("s_nationkey").alias("source_id"), F.when(balance < 2500, "PROVISIONAL").otherwise("AUTO_VERIFIED").alias("conclusion"))
     return gates.manifest_violations(m, reports, 10)
 
 

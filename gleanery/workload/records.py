@@ -379,13 +379,21 @@ def s19(t):
     return out.select("group_id", "rank", "name", F.coalesce("homepage", F.lit("")).alias("homepage"))
 
 
-@query("S20_newer_if_valid", "select n_nationkey as id, 'new' as origin from nation")
+@query("S20_newer_if_valid", """
+    with good as (select count(*) = 25 and count(distinct n_nationkey) = 25 and min(n_nationkey) = 0 and max(n_nationkey) = 24 and count(distinct n_name) = 25 as ok from nation),
+    bad as (select count(*) = 25 and count(distinct c_nationkey) = 25 and count(distinct c_name) = 25 as ok from customer)
+    select n_nationkey as id, 'nation' as origin from nation, good where ok union all select r_regionkey, 'region' from region, good where not ok
+    union all select c_custkey, 'customer' from customer, bad where ok union all select s_suppkey, 'supplier' from supplier, bad where not ok""")
 def s20(t):
     from gleanery.operators.gates import dense_rank_check, newer_if_valid
 
-    new = t.nation.select(F.col("n_nationkey").alias("id"), F.lit("new").alias("origin"))
-    check = dense_rank_check(t.nation.withColumn("rank", F.col("n_nationkey") + 1), "rank", 25, F.col("n_name"))
-    return newer_if_valid(new, t.region.select(F.col("r_regionkey").alias("id"), F.lit("old").alias("origin")), check)
+    def chosen(new, key, previous, previous_key, rank, name):
+        ids = lambda table, c: getattr(t, table).select(F.col(c).cast("bigint").alias("id"), F.lit(table).alias("origin"))
+        check = dense_rank_check(getattr(t, new).withColumn("rank", F.col(rank) + 1), "rank", 25, F.col(name))
+        return newer_if_valid(ids(new, key), ids(previous, previous_key), check)
+
+    ranked = chosen("nation", "n_nationkey", "region", "r_regionkey", "n_nationkey", "n_name")
+    return ranked.unionByName(chosen("customer", "c_custkey", "supplier", "s_suppkey", "c_nationkey", "c_name"))
 
 
 @query("S26_P24_list_rows", """
@@ -403,7 +411,7 @@ def s23(t):
 
 
 @query("X22_apply_links", r"""
-    select page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/en/next.html' as resolved from pages where regexp_matches(url, '^https?://[^/]+/[a-z]+/[0-9]+')""")
+    select page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/en/p' || page_id || '.html' as resolved from pages""")
 def x22_links(t):
-    good = t.pages.filter(F.col("url").rlike("^https?://[^/]+/[a-z]+/[0-9]+"))
-    return good.select("page_id", urls.absolute_url(F.lit("../en/next.html"), F.regexp_replace("url", r"^(https?://[^/]+/[a-z]+/[0-9]+).*$", "$1.html")).alias("resolved"))
+    base = F.concat(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), F.lit("/jobs/"), "page_id", F.lit(".html?from="), F.length("html"))
+    return t.pages.select("page_id", urls.absolute_url(F.concat(F.lit("../en/p"), "page_id", F.lit(".html")), base).alias("resolved"))

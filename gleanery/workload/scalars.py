@@ -53,9 +53,15 @@ def place(t, key="p_partkey"):
     return F.element_at(F.array(*[F.lit(n) for n in names]), (F.col(key) % 10 + 1).cast("int"))
 
 
-@query("X3_normalize_city", f"select p_partkey, coalesce(nullif(replace({PLACES}[p_partkey % 10 + 1], '市', ''), ''), '未知') as city from part")
+@query("X3_normalize_city", f"""
+    select 'p' || p_partkey as id, coalesce(nullif(replace({PLACES}[p_partkey % 10 + 1], '市', ''), ''), '未知') as city from part
+    union all select 'c' || c_custkey, c_mktsegment from customer union all select 's' || s_suppkey, s_name from supplier""")
 def x3(t):
-    return t.part.select("p_partkey", text.normalize_city(place(t)).alias("city"))
+    def cities(rows, mark, key, words):
+        return rows.select(F.concat(F.lit(mark), key).alias("id"), text.normalize_city(words).alias("city"))
+
+    named = cities(t.customer, "c", "c_custkey", F.concat(F.lit(" "), "c_mktsegment", F.lit("市 ")))
+    return cities(t.part, "p", "p_partkey", place(t)).unionByName(named).unionByName(cities(t.supplier, "s", "s_suppkey", F.concat("s_name", F.lit("市"))))
 
 
 @query("X4_normalize_locations", """

@@ -107,33 +107,42 @@ def fetch_log(t):
     return t.nation.select(n.alias("source_id"), (n % 6 != 5).alias("complete"), (n % 3 == 0).alias("not_modified"), F.lit("healthy").alias("health"), F.lit(None).cast("string").alias("reason"))
 
 
-@query("T3_reuse_unmodified", """
-    with held as (select distinct s_nationkey from supplier where s_acctbal > 7000),
+HELD_SOURCES = "(select *, case when s_acctbal > 7000 then s_nationkey else s_nationkey + 100 end as source from supplier)"
+
+
+def held_postings(t):
+    """Every supplier as a posting of an earlier snapshot; poor ones belong to sources that the log doesn't have."""
+
+    source = F.when(F.col("s_acctbal") > 7000, F.col("s_nationkey")).otherwise(F.col("s_nationkey") + 100)
+    return t.supplier.select(source.cast("bigint").alias("source_id"), F.col("s_suppkey").alias("id"), F.lit("old").alias("origin"))
+
+
+@query("T3_reuse_unmodified", f"""
+    with held as (select distinct source as s_nationkey from {HELD_SOURCES}),
     j as (select n_nationkey, n_nationkey % 6 <> 5 as c, n_nationkey % 3 = 0 as nm, s_nationkey is not null as has from nation left join held on s_nationkey = n_nationkey)
     select n_nationkey as source_id, nm and has as reuse_previous, c and not (nm and not has) as complete,
       case when nm and not has then 'stale' else 'healthy' end as health, case when nm and not has then 'not_modified_without_previous_snapshot' else '' end as reason from j""")
 def t3(t):
-    old = t.supplier.filter("s_acctbal > 7000").select(F.col("s_nationkey").cast("bigint").alias("source_id"))
-    out = snapshots.reuse_unmodified(fetch_log(t), old)
+    out = snapshots.reuse_unmodified(fetch_log(t), held_postings(t).select("source_id"))
     return out.select("source_id", "reuse_previous", "complete", "health", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
-@query("T3_reused_snapshot", """
-    with held as (select distinct s_nationkey from supplier where s_acctbal > 7000)
-    select s_nationkey as source_id, s_suppkey as id, 'old' as origin from supplier where s_acctbal > 7000 and s_nationkey % 3 = 0
-    union all select c_nationkey, c_custkey, 'new' from customer where not (c_nationkey % 3 = 0 and c_nationkey in (select s_nationkey from held))""")
+@query("T3_reused_snapshot", f"""
+    with held as {HELD_SOURCES}
+    select source as source_id, s_suppkey as id, 'old' as origin from held where source < 100 and source % 3 = 0
+    union all select c_nationkey, c_custkey, 'new' from customer where not (c_nationkey % 3 = 0 and c_nationkey in (select source from held))""")
 def t3_rows(t):
-    old = t.supplier.filter("s_acctbal > 7000").select(F.col("s_nationkey").cast("bigint").alias("source_id"), F.col("s_suppkey").alias("id"), F.lit("old").alias("origin"))
+    old = held_postings(t)
     new = t.customer.select(F.col("c_nationkey").cast("bigint").alias("source_id"), F.col("c_custkey").alias("id"), F.lit("new").alias("origin"))
     return snapshots.current_or_previous(new, old, snapshots.reuse_unmodified(fetch_log(t), old))
 
 
 @query("T3_S24_merge_validators", """
-    select coalesce(c_custkey, s_suppkey) as source_id, coalesce(case when s_nationkey % 4 <> 0 then s_name end, c_name) as etag
-    from (select * from customer where c_acctbal > 5000) c full join (select * from supplier where s_nationkey % 4 <> 0) s on c_custkey = s_suppkey""")
+    select coalesce(c_custkey, s_suppkey * 20) as source_id, coalesce(s_name, c_name) as etag
+    from customer c full join (select * from supplier where s_nationkey % 4 <> 0) s on c_custkey = s_suppkey * 20""")
 def t3_validators(t):
-    old = t.customer.filter("c_acctbal > 5000").select(F.col("c_custkey").alias("source_id"), F.col("c_name").alias("etag"))
-    new = t.supplier.select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("etag"), F.when(F.col("s_nationkey") % 4 == 0, "error").otherwise("healthy").alias("health"))
+    old = t.customer.select(F.col("c_custkey").alias("source_id"), F.col("c_name").alias("etag"))
+    new = t.supplier.select((F.col("s_suppkey") * 20).alias("source_id"), F.col("s_name").alias("etag"), F.when(F.col("s_nationkey") % 4 == 0, "error").otherwise("healthy").alias("health"))
     return snapshots.merge_validators(old, new)
 
 
@@ -165,25 +174,26 @@ def s14(t):
 
 
 @query("T2_J23_merge_observations", f"""with {HALVES},
-    o as (select user_id, event_id % 4 as f, ts as confirmed from a where event_type = 'view'),
-    n as (select user_id, ['ACTIVE_CONFIRMED', 'BLOCKED', 'STALE', 'INACTIVE'][event_id % 4 + 1] as st, ts from b where event_type = 'view'),
-    j as (select coalesce(o.user_id, n.user_id) as user_id, o.user_id is not null as has_old, n.user_id is not null as has_new, f, st, confirmed, ts from o full join n on o.user_id = n.user_id)
-    select user_id, case when not has_new then 'ACTIVE_LEAD' when st = 'ACTIVE_CONFIRMED' then st when st in ('BLOCKED', 'STALE') and has_old then case when f + 1 < 3 then 'STALE' else 'INACTIVE' end else st end as directory_status,
+    o as (select event_type || ':' || user_id as company_id, event_id % 4 as f, ts as confirmed from a),
+    n as (select event_type || ':' || user_id as company_id, ['ACTIVE_CONFIRMED', 'BLOCKED', 'STALE', 'INACTIVE'][event_id % 4 + 1] as st, ts from b),
+    j as (select coalesce(o.company_id, n.company_id) as company_id, o.company_id is not null as has_old, n.company_id is not null as has_new, f, st, confirmed, ts from o full join n on o.company_id = n.company_id)
+    select company_id, case when not has_new then 'ACTIVE_LEAD' when st = 'ACTIVE_CONFIRMED' then st when st in ('BLOCKED', 'STALE') and has_old then case when f + 1 < 3 then 'STALE' else 'INACTIVE' end else st end as directory_status,
       case when not has_new then f when st = 'ACTIVE_CONFIRMED' then 0 else coalesce(f, 0) + 1 end as consecutive_failures,
       coalesce(strftime(coalesce(confirmed, case when st = 'ACTIVE_CONFIRMED' then ts end), '%Y-%m-%d %H:%M:%S'), '') as first_confirmed from j""")
 def t2(t):
     text, stamp = F.lit(None).cast("string"), lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     states = F.array(*[F.lit(s) for s in ("ACTIVE_CONFIRMED", "BLOCKED", "STALE", "INACTIVE")])
     signals = F.array().cast("array<string>").alias("signals")
-    old = half(t, True).filter("event_type = 'view'").select(
-        F.col("user_id").cast("string").alias("company_id"), text.alias("cohort"), F.lit("ACTIVE_LEAD").alias("directory_status"), text.alias("entry_type"), text.alias("career_url"),
+    company = F.concat("event_type", F.lit(":"), "user_id").alias("company_id")
+    old = half(t, True).select(
+        company, text.alias("cohort"), F.lit("ACTIVE_LEAD").alias("directory_status"), text.alias("entry_type"), text.alias("career_url"),
         text.alias("evidence_url"), signals, text.alias("last_checked_at"), stamp("ts").alias("first_confirmed_at"), (F.col("event_id") % 4).cast("int").alias("consecutive_failures"),
         text.alias("last_error_type"), F.lit(True).alias("public"))
-    new = half(t, False).filter("event_type = 'view'").select(
-        F.col("user_id").cast("string").alias("company_id"), text.alias("cohort"), F.element_at(states, (F.col("event_id") % 4 + 1).cast("int")).alias("directory_status"), text.alias("entry_type"),
+    new = half(t, False).select(
+        company, text.alias("cohort"), F.element_at(states, (F.col("event_id") % 4 + 1).cast("int")).alias("directory_status"), text.alias("entry_type"),
         text.alias("career_url"), signals, stamp("ts").alias("checked_at"), text.alias("error_type"))
     out = snapshots.merge_observations(old, new)
-    return out.select(F.col("company_id").cast("bigint").alias("user_id"), "directory_status", "consecutive_failures", F.coalesce("first_confirmed_at", F.lit("")).alias("first_confirmed"))
+    return out.select("company_id", "directory_status", "consecutive_failures", F.coalesce("first_confirmed_at", F.lit("")).alias("first_confirmed"))
 
 
 @query("T7_remaining_work", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F')")
