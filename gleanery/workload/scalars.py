@@ -64,29 +64,38 @@ def x3(t):
     return cities(t.part, "p", "p_partkey", place(t)).unionByName(named).unionByName(cities(t.supplier, "s", "s_suppkey", F.concat("s_name", F.lit("市"))))
 
 
-@query("X4_normalize_locations", """
-    select p_partkey, ['MAINLAND_CHINA', 'REMOTE', 'OVERSEAS', 'HONG_KONG_MACAU_TAIWAN', 'MAINLAND_CHINA', 'MAINLAND_CHINA,MAINLAND_CHINA,OVERSEAS', 'MAINLAND_CHINA', 'MAINLAND_CHINA', 'UNKNOWN', 'UNKNOWN'][p_partkey % 10 + 1] as scopes,
-      ['北京', '远程', '日本 · 东京', '香港', '上海 · 嘉定区', '武汉,深圳,澳大利亚 · 悉尼', '湖北省', '全国', 'Gotham', '未知'][p_partkey % 10 + 1] as names,
+LISTED = "case when p_partkey % 10 = 9 then '' else '{0}' end || p_brand || '{0}' || p_name"  # the empty place leaves no item
+
+
+def places(t):
+    """A known place, then a brand and a name, which are unknown ones, in one list with two kinds of marks."""
+
+    return F.concat(place(t), F.lit("、"), "p_brand", F.lit("/"), "p_name")
+
+
+@query("X4_normalize_locations", f"""
+    select p_partkey, ['MAINLAND_CHINA', 'REMOTE', 'OVERSEAS', 'HONG_KONG_MACAU_TAIWAN', 'MAINLAND_CHINA', 'MAINLAND_CHINA,MAINLAND_CHINA,OVERSEAS', 'MAINLAND_CHINA', 'MAINLAND_CHINA', 'UNKNOWN', ''][p_partkey % 10 + 1] || case when p_partkey % 10 = 9 then '' else ',' end || 'UNKNOWN,UNKNOWN' as scopes,
+      ['北京', '远程', '日本 · 东京', '香港', '上海 · 嘉定区', '武汉,深圳,澳大利亚 · 悉尼', '湖北省', '全国', 'Gotham', ''][p_partkey % 10 + 1] || {LISTED.format(',')} as names,
       ['BJ-北京', '', '', '', 'SH-上海', 'HB-武汉,GD-深圳', '', '', '', ''][p_partkey % 10 + 1] as cities from part""")
 def x4(t):
-    found = locations.normalize_locations(place(t))
+    found = locations.normalize_locations(places(t))
     part = lambda f: F.array_join(F.transform(found, lambda x: x[f]), ",")
     return t.part.select("p_partkey", part("scope").alias("scopes"), part("display_name").alias("names"), part("city_code").alias("cities"))
 
 
-@query("X5_page_locations", """
-    select p_partkey, ['北京', 'Remote - US', '日本 · 东京', '香港', '上海嘉定区', '武汉,深圳,澳大利亚 · 悉尼', '湖北省', '全国', 'Gotham', ''][p_partkey % 10 + 1] as names,
-      ['北京', 'Remote - US', '东京', '香港', '上海嘉定区', '武汉、深圳、悉尼', '湖北省', '全国', 'Gotham', '地点待定'][p_partkey % 10 + 1] as shown from part""")
+@query("X5_page_locations", f"""
+    select p_partkey, ['北京', 'Remote - US', '日本 · 东京', '香港', '上海嘉定区', '武汉,深圳,澳大利亚 · 悉尼', '湖北省', '全国', 'Gotham', ''][p_partkey % 10 + 1] || {LISTED.format(',')} as names,
+      ['北京', 'Remote - US', '东京', '香港', '上海嘉定区', '武汉、深圳、悉尼', '湖北省', '全国', 'Gotham', ''][p_partkey % 10 + 1] || {LISTED.format('、')} as shown from part""")
 def x5(t):
     none = F.array().cast(f"array<{locations.LOCATION_TYPE}>")
-    found = locations.page_locations(place(t), none)
-    return t.part.select("p_partkey", F.array_join(F.transform(found, lambda x: x["display_name"]), ",").alias("names"), locations.display_locations(place(t), none).alias("shown"))
+    found = locations.page_locations(places(t), none)
+    return t.part.select("p_partkey", F.array_join(F.transform(found, lambda x: x["display_name"]), ",").alias("names"), locations.display_locations(places(t), none).alias("shown"))
 
 
 @query("P28_repair_web_locations", """
     select p_partkey, ['北京', '远程', '日本 · 东京', '香港', '上海 · 嘉定区', '武汉,深圳,澳大利亚 · 悉尼', '湖北省', '全国', '地点待确认', '地点待确认'][p_partkey % 10 + 1] as names from part""")
 def p28(t):
-    found = locations.repair_web_locations(locations.normalize_locations(place(t)))
+    found = locations.repair_web_locations(locations.normalize_locations(places(t)))
     return t.part.select("p_partkey", F.array_join(F.transform(found, lambda x: x["display_name"]), ",").alias("names"))
 
 
@@ -110,10 +119,11 @@ def x7_docs(t):
 
 
 @query("X8_X9_cohort_batch_education", """
-    select p_partkey, ['2027', '2026', '2028', '2027', '2027'][p_partkey % 5 + 1] as cohort, ['秋招正式批', '提前批', '未知', '未知', '春招'][p_partkey % 5 + 1] as batch, ['本科', '硕士', '博士', '未知', '大专'][p_partkey % 5 + 1] as education from part""")
+    select p_partkey, (2020 + p_size % 10)::varchar as cohort, ['秋招正式批', '提前批', '未知', '未知', '春招'][p_partkey % 5 + 1] as batch, ['本科', '硕士', '博士', '未知', '大专'][p_partkey % 5 + 1] as education from part""")
 def x8(t):
-    lines = ["【2027届秋招】 本科", "26届提前批 研究生", "2028校园招聘 博士 硕士", " Academy class (2027) ", "发布于2027年 春招 专科"]
-    words = F.concat("p_name", F.element_at(F.array(*[F.lit(x) for x in lines]), (F.col("p_partkey") % 5 + 1).cast("int")))
+    year = (2020 + F.col("p_size") % 10).cast("string")
+    lines = [("【", year, "届秋招】 本科"), ("", F.substr(year, F.lit(3)), "届提前批 研究生"), ("", year, "校园招聘 博士 硕士"), (" Academy class (", year, ") "), ("发布于", year, "年 春招 专科")]
+    words = F.concat("p_name", F.lit(" "), F.element_at(F.array(*[F.concat(F.lit(a), y, F.lit(b)) for a, y, b in lines]), (F.col("p_partkey") % 5 + 1).cast("int")))
     return t.part.select("p_partkey", rules.cohort(words).alias("cohort"), rules.batch(words).alias("batch"), rules.education(words).alias("education"))
 
 
