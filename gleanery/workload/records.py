@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.functions import urls
+from gleanery.functions import dates, urls
 from gleanery.scale import ensure_checkpoint_dir
 from gleanery.sources import envelopes, feeds, records, registry, sinks
 from gleanery.workload import query
@@ -405,9 +405,13 @@ def s26(t):
     return list_projection(rows).select("p_partkey", "p_name", F.coalesce("p_brand", F.lit("-")).alias("p_brand"), F.when(F.col("tags").isNotNull(), 1).otherwise(0).alias("tagged"))
 
 
-@query("S23_version_stamp", "select r_regionkey, '2026.10.14.0456' as catalog_version from region")
+@query("S23_version_stamp", """
+    with v as (select strftime(max(ts), '%Y.%m.%d.%H%M') as catalog_version from events)
+    select 'customer' as product, c_custkey as id, catalog_version from customer, v union all select 'supplier', s_suppkey, catalog_version from supplier, v""")
 def s23(t):
-    return sinks.stamped(t.region.select("r_regionkey"), "2026.10.14.0456")
+    version = t.events.agg(dates.catalog_version(F.max("ts")).alias("v")).first()["v"]  # one row: the newest event names the version
+    rows = t.customer.select(F.lit("customer").alias("product"), F.col("c_custkey").alias("id")).unionByName(t.supplier.select(F.lit("supplier").alias("product"), F.col("s_suppkey").alias("id")))
+    return sinks.stamped(rows, version)
 
 
 @query("X22_apply_links", r"""

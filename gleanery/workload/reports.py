@@ -132,9 +132,14 @@ def a24(t):
     return rows.select("n_nationkey", reports.coverage_rates(F.col("part"), F.col("whole")).alias("rate"))
 
 
-@query("X15_source_domains", "select s_suppkey as source_id, 'example.com' as domain from supplier")
+@query("X15_source_domains", r"""
+    with h as (select page_id, string_split(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1), '.') as labels from pages)
+    select page_id as source_id, case when page_id % 5 = 0 then 'n' || page_id || '.com' else list_extract(labels, -2) || '.' || list_extract(labels, -1) end as domain from h""")
 def x15(t):
-    return gate_sources(t).select("source_id", reports.source_domains(gate_sources(t)).alias("domain"))
+    k = F.col("page_id")
+    rows = t.pages.select(k.alias("source_id"), F.when(k % 5 == 0, F.concat(F.lit("boards.n"), k, F.lit(".com"))).otherwise("").alias("ats_host"),
+                          F.when(k % 2 == 0, F.col("url")).alias("endpoint"), F.when(k % 2 == 0, "https://other.example.org/").otherwise(F.col("url")).alias("source_url"))
+    return rows.select("source_id", reports.source_domains(rows).alias("domain"))
 
 
 def catalog_run(t):
