@@ -6,8 +6,10 @@ works on that struct, and the page source is dropped before any shuffle.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Sequence
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -44,8 +46,9 @@ _IMPLIED_END = {"li": {"p", "li"}, "td": {"p", "td", "th"}, "th": {"p", "td", "t
 class _Page(HTMLParser):
     """One pass over a page: open elements form a stack that tells what is hidden or navigation."""
 
-    def __init__(self) -> None:
+    def __init__(self, mark: str = "") -> None:
         super().__init__(convert_charrefs=True)
+        self.mark = mark  # stands for a "&" that is no reference
         self.stack: list[dict] = []
         self.open: Counter[str] = Counter()  # open elements by tag
         self.text: list[str] = []  # shown text; an element's text is what was added since it opened
@@ -56,8 +59,11 @@ class _Page(HTMLParser):
         self.blocks: list[str] = []
         self.rows: list[dict] = []
 
+    def _plain(self, text):
+        return text.replace(self.mark, "&") if self.mark else text
+
     def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
+        a = {k: self._plain(v or "") for k, v in attrs}
         while self.stack and self.stack[-1]["tag"] in _IMPLIED_END.get(tag, ()):
             self._close()
         up = self.stack[-1] if self.stack else {}
@@ -116,6 +122,7 @@ class _Page(HTMLParser):
         self._close()
 
     def handle_data(self, data):
+        data = self._plain(data)
         if self.stack and self.stack[-1]["ld"]:
             self.blocks.append(data)
         if self.stack and self.stack[-1]["mute"]:
@@ -125,10 +132,22 @@ class _Page(HTMLParser):
         self.text.append(data)
 
 
-def _read_page(html: str | None) -> dict | None:
+_REFERENCE = re.compile(r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);|([A-Za-z][A-Za-z0-9]*;))?")
+
+
+def _open_references(html: str) -> tuple[str, str]:
+    """The page with a mark it does not hold in place of every ``&`` that starts no closed reference, and that mark."""
+
+    mark = next(c for c in map(chr, range(0xE000, 0x110000)) if c not in html)
+    closed = lambda m: m[1] in html5 if m[1] else len(m[0]) > 1
+    return _REFERENCE.sub(lambda m: m[0] if closed(m) else mark + m[0][1:], html), mark
+
+
+def _read_page(html: str | None, closed_only: bool = False) -> dict | None:
     if html is None:
         return None
-    page = _Page()
+    html, mark = _open_references(html) if closed_only else (html, "")
+    page = _Page(mark)
     page.feed(html)
     page.close()
     while page.stack:
@@ -138,8 +157,11 @@ def _read_page(html: str | None) -> dict | None:
             "links": page.links, "json_ld": page.blocks, "rows": page.rows}
 
 
-def parse_pages(pages: DataFrame, html: str = "html", name: str = "page", tasks: int | None = None) -> DataFrame:
-    """Add the parsed page struct. Runs in Arrow batches; ``html`` is read whole. ``tasks`` deals the pages anew first."""
+def parse_pages(pages: DataFrame, html: str = "html", name: str = "page", tasks: int | None = None, closed_only: bool = False) -> DataFrame:
+    """Add the parsed page struct. Runs in Arrow batches; ``html`` is read whole. ``tasks`` deals the pages anew first.
+
+    Browsers also read references without their semicolon (``&amp``); with ``closed_only`` those stay as written.
+    """
 
     fields = {f.name: f.dataType for f in pages.schema.fields}
     kept = [c for c in pages.columns if c != name]
@@ -148,7 +170,7 @@ def parse_pages(pages: DataFrame, html: str = "html", name: str = "page", tasks:
     def read(batches):
         for batch in batches:
             out = batch[kept].copy()
-            out[name] = pd.Series([_read_page(h) for h in batch[html]], index=batch.index, dtype=object)
+            out[name] = pd.Series([_read_page(h, closed_only) for h in batch[html]], index=batch.index, dtype=object)
             yield out
 
     return dealt(pages, tasks).mapInPandas(read, schema)
