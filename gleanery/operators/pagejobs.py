@@ -157,7 +157,7 @@ def analyse_changed(
     fresh = materialize(fresh)
     touched = {r["bucket"] for r in fresh.select("bucket").distinct().collect()}
     if kept is not None:
-        gone = old.join(hashed.select(key), key, "left_anti").select("bucket").distinct().collect()
+        gone = old.join(same, [key, "content_hash"], "left_anti").select("bucket").distinct().collect()
         touched |= {r["bucket"] for r in gone}
     place = lambda b: f"{state}/run={run}/part={b}"
     rows = fresh if kept is None else fresh.unionByName(kept.filter(F.col("bucket").isin(sorted(touched))))

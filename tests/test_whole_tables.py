@@ -3,7 +3,7 @@
 import duckdb
 
 from gleanery import workload
-from gleanery.operators import pages
+from gleanery.operators import pagejobs, pages
 
 
 def against_sql(spark, folder, name, **tables):
@@ -28,7 +28,19 @@ def test_titles_with_open_references(spark, tmp_path):
     assert dict(against_sql(spark, tmp_path, "H1_page_titles", pages=web(spark)))[0] == "a&&amp"
 
 
+def test_changed_pages_with_open_references_and_one_address(spark, tmp_path):
+    assert len(against_sql(spark, tmp_path, "H14_analyse_changed", pages=web(spark))) == 5
+
+
 def test_open_references_outside_titles(spark):
     html = "<p>a &amp b &#38; &#x26 &nosuch; &</p><a href='/x?a=1&ampb=2&amp;c'>l</a><script type='application/ld+json'>{\"t\":\"&amp &amp;\"}</script>"
     row = pages.parse_pages(spark.createDataFrame([(1, html)], "page_id int, html string"), closed_only=True).first()["page"]
     assert row["text"] == "a &amp b & &#x26 &nosuch; & l" and row["links"][0]["href"] == "/x?a=1&ampb=2&c" and row["json_ld"] == ['{"t":"&amp &amp;"}']
+
+
+def test_vanished_page_whose_address_stays(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(r, "url string, html string")
+    keep = lambda df: df.select("url", "content_hash", "bucket", "html")
+    pagejobs.analyse_changed(rows(("u", "one"), ("u", "two")), str(tmp_path), 0, keep)
+    out = pagejobs.analyse_changed(rows(("u", "two")), str(tmp_path), 1, keep)
+    assert [r["html"] for r in out.collect()] == ["two"]
