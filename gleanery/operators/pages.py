@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from html.entities import html5
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ from gleanery.functions import urls
 from gleanery.functions.rules import first_reason, has_any, reason_list, words_pattern
 from gleanery.functions.text import SPACE, let, name_key, nfkc, single_spaced
 from gleanery.operators.gates import access_class
-from gleanery.scale import collect_in_chunks, dealt, keep_first, lookup_join
+from gleanery.scale import collect_in_chunks, dealt, keep_first, lookup_join, materialize
 from gleanery.sources.envelopes import first_field, is_type, jsonld_objects
 
 _S = T.StringType()
@@ -36,6 +37,13 @@ PAGE = T.StructType([
         T.StructField("cells", T.ArrayType(_S)), T.StructField("data_cells", T.IntegerType()), T.StructField("in_body", T.BooleanType()),
         T.StructField("hrefs", T.ArrayType(_S)), T.StructField("labels", T.ArrayType(_S)), T.StructField("hidden", T.BooleanType())]))),
 ])
+_TEXTS = pa.list_(pa.string())
+_ARROW_PAGE = pa.struct([
+    *[(c, pa.string()) for c in ("title", "text", "head_text", "meta_text")],
+    ("links", pa.list_(pa.struct([*[(c, pa.string()) for c in ("tag", "href", "src", "type", "rel", "text", "around")], ("nav", pa.bool_()), ("hidden", pa.bool_())]))),
+    ("json_ld", _TEXTS),
+    ("rows", pa.list_(pa.struct([("cells", _TEXTS), ("data_cells", pa.int32()), ("in_body", pa.bool_()), ("hrefs", _TEXTS), ("labels", _TEXTS), ("hidden", pa.bool_())]))),
+])
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 #: Elements that a start tag ends when they are the innermost open one.
@@ -157,8 +165,19 @@ def _read_page(html: str | None, closed_only: bool = False) -> dict | None:
             "links": page.links, "json_ld": page.blocks, "rows": page.rows}
 
 
+def _parts(lengths: Sequence[int | None], size: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of pages that end once they hold ``size`` characters, so only one run at a time is in memory as parsed pages."""
+
+    start = held = 0
+    for i, length in enumerate(lengths, 1):
+        held += (length or 0) + 64
+        if held >= size or i == len(lengths):
+            yield start, i
+            start, held = i, 0
+
+
 def parse_pages(pages: DataFrame, html: str = "html", name: str = "page", tasks: int | None = None, closed_only: bool = False) -> DataFrame:
-    """Add the parsed page struct. Runs in Arrow batches; ``html`` is read whole. ``tasks`` deals the pages anew first.
+    """Add the parsed page struct. Runs in Arrow batches, parsed in small parts; ``html`` is read whole. ``tasks`` deals the pages anew first.
 
     Browsers also read references without their semicolon (``&amp``); with ``closed_only`` those stay as written.
     """
@@ -169,11 +188,13 @@ def parse_pages(pages: DataFrame, html: str = "html", name: str = "page", tasks:
 
     def read(batches):
         for batch in batches:
-            out = batch[kept].copy()
-            out[name] = pd.Series([_read_page(h, closed_only) for h in batch[html]], index=batch.index, dtype=object)
-            yield out
+            texts = batch.column(html)
+            for at, to in _parts(pc.utf8_length(texts).to_pylist()):
+                part = batch.slice(at, to - at)
+                read_pages = pa.array([_read_page(h, closed_only) for h in part.column(html).to_pylist()], _ARROW_PAGE)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], read_pages], [*kept, name])
 
-    return dealt(pages, tasks).mapInPandas(read, schema)
+    return dealt(pages, tasks).mapInArrow(read, schema)
 
 
 def visible_text(page: str = "page") -> Column:
@@ -485,6 +506,7 @@ def company_rollup(analyses: DataFrame, company: str, order: Sequence[Column] |
 
     have = set(analyses.columns)
     sets = [c for c in ("vendors", "signals", "review_reasons") if c in have]
+    analyses = materialize(analyses)  # read four times below, made once
     hit = F.col("classification") == "CONNECTOR_CANDIDATE"
     empty = F.array().cast("array<string>")
     named = lambda c: F.transform(F.coalesce(c, empty), lambda v: F.struct(F.lit(c).alias("kind"), v.alias("value")))

@@ -49,3 +49,20 @@ def test_vanished_page_whose_address_stays(spark, tmp_path):
 def test_stock_codes_of_keys_beyond_six_digits(spark, tmp_path):
     keys = [0, 7, 999_996, 999_999, 1_000_000, 1_000_001, 1_000_002, 1_000_003, 12_345_678]
     assert dict(against_sql(spark, tmp_path, "X17_stock_code", part=spark.createDataFrame([(k,) for k in keys], "p_partkey long")))[12345678] == "123456"
+
+
+def test_pages_are_parsed_in_small_parts():
+    bounds = list(pages._parts([300_000, None, 100_000, 100_000, 100_000, 5]))
+    assert bounds == [(0, 1), (1, 5), (5, 6)] and list(pages._parts([])) == []
+
+
+def test_company_rollup_makes_its_analyses_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def analyses(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch.assign(classification="NEEDS_MANUAL_REVIEW", vendors=[["MOKA"]] * len(batch))
+
+    rows = spark.range(40).mapInPandas(analyses, "id long, classification string, vendors array<string>").selectExpr("id % 4 as company", "classification", "vendors")
+    assert [r["pages"] for r in pages.company_rollup(rows, "company").collect()] == [10] * 4 and made.value == 40
