@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,14 +66,22 @@ def without_markup(text: Column) -> Column:
     return F.when(text.contains("<"), plain).otherwise(text)
 
 
-@F.pandas_udf(T.StringType())
-def _unescaped(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+def in_parts(values: pa.Array, change, rows: int = 256) -> pa.Array:
+    """``change`` of every value that is not null. A batch stays in Arrow; only ``rows`` of its values at a time are Python objects."""
 
+    parts = (values.slice(i, rows).to_pylist() for i in range(0, len(values), rows))
+    done = [pa.array([None if v is None else change(v) for v in part], values.type) for part in parts]
+    return pa.concat_arrays(done) if done else values
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _unescaped_each(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda items: [x if x is None else html.unescape(x) for x in items], na_action="ignore")
+
+@F.arrow_udf(T.StringType())
+def _unescaped(texts: pa.Array) -> pa.Array:
+    return in_parts(texts, html.unescape)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _unescaped_each(lists: pa.Array) -> pa.Array:
+    return in_parts(lists, lambda items: [x if x is None else html.unescape(x) for x in items])
 
 
 _REFERENCE = "&#?[A-Za-z0-9]"
@@ -124,14 +132,14 @@ def sentences(values: str | Column) -> Column:
     return F.filter(F.flatten(parts), lambda s: s.rlike(r"(?U)\S"))
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+@F.arrow_udf(T.StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return in_parts(texts, lambda t: unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc_folded(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+@F.arrow_udf(T.StringType())
+def _nfkc_folded(texts: pa.Array) -> pa.Array:
+    return in_parts(texts, lambda t: unicodedata.normalize("NFKC", t).casefold())
 
 
 def nfkc(text: str | Column) -> Column:
@@ -158,9 +166,9 @@ def name_keys(names: str | Column) -> Column:
     return F.transform(folded, lambda x: F.regexp_replace(x, "[^0-9a-z㐀-鿿]+", ""))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _nfkc_folded_each(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda items: [unicodedata.normalize("NFKC", x or "").casefold() for x in items], na_action="ignore")
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _nfkc_folded_each(lists: pa.Array) -> pa.Array:
+    return in_parts(lists, lambda items: [unicodedata.normalize("NFKC", x or "").casefold() for x in items])
 
 
 def string_list(*values: Column) -> Column:

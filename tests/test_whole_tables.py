@@ -1,8 +1,10 @@
 """Registered queries against their SQL on tables with values that the small shared ones lack."""
 
 import duckdb
+import pyarrow as pa
 
 from gleanery import workload
+from gleanery.functions import text
 from gleanery.operators import pagejobs, pages
 
 
@@ -66,3 +68,25 @@ def test_company_rollup_makes_its_analyses_once(spark):
 
     rows = spark.range(40).mapInPandas(analyses, "id long, classification string, vendors array<string>").selectExpr("id % 4 as company", "classification", "vendors")
     assert [r["pages"] for r in pages.company_rollup(rows, "company").collect()] == [10] * 4 and made.value == 40
+
+
+def test_texts_leave_arrow_in_small_parts():
+    most = []
+
+    class Texts:  # an Arrow array that tells how many of its values became Python objects at once
+        def __init__(self, values):
+            self.values, self.type = values, values.type
+
+        def __len__(self):
+            return len(self.values)
+
+        def slice(self, at, rows):
+            return Texts(self.values.slice(at, rows))
+
+        def to_pylist(self):
+            most.append(len(self.values))
+            return self.values.to_pylist()
+
+    out = text.in_parts(Texts(pa.array(["a", None] * 1500)), str.upper)
+    assert out.to_pylist() == ["A", None] * 1500 and max(most) <= 256
+    assert text.in_parts(pa.array([], pa.string()), str.upper).to_pylist() == []
