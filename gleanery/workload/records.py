@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.functions import dates, urls
-from gleanery.scale import ensure_checkpoint_dir
+from gleanery.scale import dealt, ensure_checkpoint_dir
 from gleanery.sources import envelopes, feeds, records, registry, sinks
 from gleanery.workload import query
 
@@ -159,7 +159,7 @@ def items(t, adapter, fields, extra=None):
     for i, (name, value) in enumerate(fields.items()):
         parts += [F.lit(("," if i else "") + json.dumps(name) + ":"), value]
     none = F.array().cast("array<string>")
-    return t.part.select(
+    return dealt(t.part, t.tasks).select(
         F.try_parse_json(F.concat(*parts, F.lit("}"))).alias("item"), F.lit(adapter).alias("adapter"), F.lit("src").alias("source_id"), F.lower("p_brand").alias("company_id"), F.lit("Acme").alias("company_name"),
         F.lit("A").alias("source_level"), F.lit("https://acme.example.com/campus/").alias("source_url"), F.lit("https://acme.example.com/api/jobs").alias("endpoint"), none.alias("evidence_urls"), F.lit("").alias("note"),
         F.lit(None).cast("string").alias("current_cohort_signal"), none.alias("allowed_job_ids"), none.alias("allowed_title_markers"), none.alias("campus_markers"), F.lit(False).alias("campus_only"),
@@ -192,8 +192,8 @@ SHAPES = {
 }
 
 
-def mapped(df):
-    return df.select("source_job_id", "company_id", "title", "city", "description", "apply_url", "publish_date_source", F.date_format("publish_date", "yyyy-MM-dd").alias("publish_date"), "campaign_id")
+def mapped(df, *more):
+    return df.select("source_job_id", "company_id", "title", "city", "description", "apply_url", "publish_date_source", F.date_format("publish_date", "yyyy-MM-dd").alias("publish_date"), "campaign_id", *more)
 
 
 def shape_sql(adapter):
@@ -220,7 +220,7 @@ def p2(t):
     place = F.concat(F.lit('["Gotham",{"displayName":"N'), F.col("p_size"), F.lit('","cityCode":"X-1"}]'))
     fields = {"jobId": key(), "jobTitle": quoted(name()), "applyUrl": quoted(F.concat(F.lit("https://x.example.com/"), key())), "detail": quoted(F.col("p_type")), "postedAt": F.lit('"2026-08-20"'), "location": place, "tags": F.lit('["red","hot"]')}
     out = records.map_items(items(t, "json", fields), ["json"])
-    return mapped(out).drop("campaign_id").join(out.select("source_job_id", F.array_join(F.transform("locations", lambda x: x["display_name"]), "|").alias("places"), F.array_join("skills", ",").alias("skills")), "source_job_id")
+    return mapped(out, F.array_join(F.transform("locations", lambda x: x["display_name"]), "|").alias("places"), F.array_join("skills", ",").alias("skills")).drop("campaign_id")
 
 
 @query("P3_tencent_items", """
