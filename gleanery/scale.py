@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 MAX_BROADCAST_ROWS = 100_000
 MAX_BROADCAST_BYTES = 64 << 20
+TASK_ROWS = 250_000
 LOOKUP_JOINS = ("inner", "left", "left_semi", "left_anti")
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
@@ -90,6 +91,14 @@ def dealt(df: DataFrame, tasks: int | None) -> DataFrame:
     return df.repartition(tasks) if tasks else df
 
 
+def dealt_by_rows(df: DataFrame, keys: Sequence[str] = (), rows: int = TASK_ROWS) -> DataFrame:
+    """The rows dealt (by ``keys``) to at least as many partitions as keep each at about ``rows`` rows, so a task's share doesn't grow
+    with the table. For frames that are cheap to count: a count of a stored table reads its footers only.
+    """
+
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), *[F.col(k) for k in keys])
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key by a total order.
 

@@ -109,12 +109,17 @@ def paging_state(pages: DataFrame, source: str = "source_id") -> DataFrame:
 
     ``pages`` has one row per fetched page: (source, page, row_count, total, page_size, max_pages). A short or empty last
     page, or the announced total, ends a feed. An empty page before the total, or a missing page, is incomplete paging;
-    reaching the page limit before the end is a truncated feed.
+    reaching the page limit before the end is a truncated feed. Pages are whole numbers. Those of a source are counted as the
+    bits of blocks of 64 pages, so a task holds a row per block, and a source of very many pages is spread by its blocks.
     """
 
-    agg = pages.groupBy(source).agg(
-        F.sum("row_count").alias("row_count"), F.max("total").alias("total"), F.max("page").alias("last_page"), F.countDistinct("page").alias("pages"),
-        F.max("page_size").alias("page_size"), F.max("max_pages").alias("max_pages"), F.max_by("row_count", "page").alias("last_rows"))
+    page = F.col("page").cast("bigint")
+    most = [F.max(c).alias(c) for c in ("total", "page_size", "max_pages")]
+    blocks = pages.withColumns({"_block": F.shiftright(page, 6), "_bit": F.expr("shiftleft(1L, cast(cast(page as bigint) & 63 as int))")}).groupBy(source, "_block").agg(
+        F.sum("row_count").alias("row_count"), F.max("page").alias("last_page"), F.bit_or("_bit").alias("_bits"), F.max_by("row_count", "page").alias("last_rows"), *most)
+    agg = blocks.groupBy(source).agg(
+        F.sum("row_count").alias("row_count"), F.max("last_page").alias("last_page"), F.coalesce(F.sum(F.bit_count("_bits")), F.lit(0)).alias("pages"),
+        F.max_by("last_rows", "last_page").alias("last_rows"), *most)
     reached = F.col("total").isNotNull() & (F.col("row_count") >= F.col("total"))
     short = F.col("last_rows") < F.col("page_size")
     gap = F.col("pages") < F.col("last_page")

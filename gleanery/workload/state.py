@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gleanery.operators import snapshots
-from gleanery.scale import ensure_checkpoint_dir, keep_first, top_per_group
+from gleanery.scale import dealt_by_rows, ensure_checkpoint_dir, keep_first, top_per_group
 from gleanery.sources import feeds, sinks
 from gleanery.streaming import state
 from gleanery.workload import query
@@ -249,7 +249,8 @@ def t9_applied(t):
     select l_orderkey as source_id, cast(row_count as bigint) as row_count, coalesce(case when pages < last_page then 'incomplete_pagination' when row_count >= total then null when total is not null and last_rows = 0 then 'incomplete_pagination'
       when total is null and last_rows < 25 then null when last_page >= 7 then 'truncated_feed' else 'incomplete_pagination' end, '') as error from a""")
 def s11(t):
-    pages = t.lineitem.groupBy(F.col("l_orderkey").alias("source_id"), F.col("l_linenumber").alias("page")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("row_count"))
+    lines = dealt_by_rows(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey"])
+    pages = lines.groupBy(F.col("l_orderkey").alias("source_id"), F.col("l_linenumber").alias("page")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("row_count"))
     pages = pages.withColumns({"total": F.when(F.col("source_id") % 2 == 0, 60), "page_size": F.lit(25), "max_pages": F.lit(7)})
     return feeds.paging_state(pages).select("source_id", "row_count", F.coalesce("error", F.lit("")).alias("error"))
 

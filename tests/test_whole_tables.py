@@ -7,6 +7,8 @@ import pytest
 from gleanery import workload
 from gleanery.functions import text
 from gleanery.operators import pagejobs, pages
+from gleanery.scale import dealt_by_rows
+from gleanery.sources import feeds
 
 
 def against_sql(spark, folder, name, **tables):
@@ -97,3 +99,17 @@ def test_texts_leave_arrow_in_small_parts():
 def test_costly_row_work_is_dealt_and_done_once(spark, root, name):
     df = workload.load_all()[name].run(spark, root)  # one small input split
     assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and df.count() == spark.read.parquet(f"{root}/part.parquet").count()
+
+
+def test_paging_state_of_long_feeds_in_blocks(spark):
+    feed = lambda k, nums, last: [(k, p, 0 if p == max(nums) else 25, None, 25, 200) for p in nums for _ in range(last)]
+    rows = feed(1, range(1, 131), 1) + feed(2, [p for p in range(1, 131) if p != 70], 1) + feed(3, range(1, 66), 2) + [(4, None, 5, None, 25, 200)]
+    out = feeds.paging_state(spark.createDataFrame(rows, "source_id long, page int, row_count long, total long, page_size int, max_pages int"))
+    got = {r["source_id"]: (r["pages"], r["last_page"], r["last_rows"], r["row_count"], r["error"]) for r in out.collect()}
+    assert got == {1: (130, 130, 0, 129 * 25, None), 2: (129, 130, 0, 128 * 25, "incomplete_pagination"), 3: (65, 65, 0, 2 * 64 * 25, None), 4: (0, None, None, 5, "incomplete_pagination")}
+
+
+def test_paging_state_deals_lines_once_by_their_number(spark, root):
+    assert dealt_by_rows(spark.range(1000), ["id"], 10).rdd.getNumPartitions() == 100
+    plan = workload.load_all()["S11_paging_state"].run(spark, root)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
