@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from gleanery.scale import keep_first, lookup_join, rank_rows, top_per_group
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], stamp: str, seq: Sequence[str]) -> DataFrame:
+def latest_per_key(df: DataFrame, keys: Sequence[str], stamp: str, seq: Sequence[str], tasks: int | None = None) -> DataFrame:
     """Newest row per key; a tie keeps the row that arrived first."""
 
-    return keep_first(df, keys, [F.col(stamp).desc_nulls_last(), *[F.col(c).asc() for c in seq]])
+    return keep_first(df, keys, [F.col(stamp).desc_nulls_last(), *[F.col(c).asc() for c in seq]], tasks)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], seq: Sequence[str]) -> DataFrame:

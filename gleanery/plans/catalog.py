@@ -101,7 +101,9 @@ def build_catalog(
     minimum_verified: int = 0,
 ) -> CatalogRun:
     """One run. ``log`` has one row per source: source_id, complete, not_modified, health, reason, raw_count, fetched_at.
-    ``counts_state`` carries previous_count and count_history per source. Raises before any write when a gate refuses."""
+    ``counts_state`` carries previous_count and count_history per source. Raises before any write when a gate refuses.
+
+    The work is dealt to as many tasks as ``raw`` (and ``previous``) has partitions; see ``scale.dealt_by_rows``."""
 
     spark, at = raw.sparkSession, F.lit(now).cast("timestamp")
     if companies is not None:
@@ -118,9 +120,10 @@ def build_catalog(
         # state of an older policy is judged again before it is used
         regated = gate(previous.drop("audience_decision", "audience_reason_codes")).filter(is_publishable())
         old = materialize(regated.withColumn("role_category", rules.role_category("role_category")).select(*names))
+    tasks = gated.rdd.getNumPartitions() + (0 if previous is None else old.rdd.getNumPartitions())
     log = snapshots.reuse_unmodified(log, old)
     arrival = ["content_hash", "apply_url"]
-    observed = dedup.latest_per_key(gated, ["source_id", "id"], "last_verified_at", arrival)
+    observed = dedup.latest_per_key(gated, ["source_id", "id"], "last_verified_at", arrival, tasks)
     observed = snapshots.current_or_previous(observed.select(*names), old, log)
     current = observed.filter(F.col("audience_decision") == "TARGET_GENERALIST")
 
@@ -132,7 +135,7 @@ def build_catalog(
     report = materialize(quality.source_quality(counts, judged_log, "source_id", at))
     flags = log.select("source_id", "complete").join(report.select("source_id", "quarantined"), "source_id", "left")
     merged = snapshots.advance_lifecycle(old, current, flags, at)
-    jobs = materialize(snapshots.retain(dedup.latest_per_key(merged, ["id"], "last_verified_at", ["source_id"]), at))
+    jobs = materialize(snapshots.retain(dedup.latest_per_key(merged, ["id"], "last_verified_at", ["source_id"], tasks), at))
 
     held_counts = counts.select("source_id", F.col("item_count").alias("observed_count"))
     moved = judged_log.join(held_counts, "source_id", "left").withColumn("observed_count", F.coalesce("observed_count", F.lit(0)).cast("bigint"))

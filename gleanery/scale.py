@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 MAX_BROADCAST_ROWS = 100_000
 MAX_BROADCAST_BYTES = 64 << 20
 TASK_ROWS = 250_000
+SALTS = 16
 LOOKUP_JOINS = ("inner", "left", "left_semi", "left_anti")
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
@@ -99,13 +100,17 @@ def dealt_by_rows(df: DataFrame, keys: Sequence[str] = (), rows: int = TASK_ROWS
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), *[F.col(k) for k in keys])
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], tasks: int | None = None) -> DataFrame:
     """One row per key by a total order.
 
     ``row_number() = 1`` lets Spark drop the losers before the shuffle (WindowGroupLimit), so a hot key
-    sends one row per input task.
+    sends one row per input task. With ``tasks``, rows are dealt to as many partitions, which Spark doesn't merge: wide rows that pack
+    well would else meet in a few tasks. A key's rows are then thinned to SALTS first.
     """
 
+    if tasks:
+        salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).repartition(tasks, *keys, "_salt")
+        df = top_per_group(salted, [*keys, "_salt"], order, 1).drop("_rn", "_salt").repartition(tasks, *keys)
     return top_per_group(df, keys, order, 1).drop("_rn")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.locations import location
 from gleanery.operators import quality, reports
 from gleanery.plans.catalog import build_catalog
+from gleanery.scale import dealt_by_rows
 from gleanery.workload import query
 from gleanery.workload.gates import gate_sources
 from gleanery.workload.joins import supplier_sources
@@ -146,7 +147,8 @@ def catalog_run(t):
     """Parts as postings of 25 sources, the parts above size 25 known from the run before."""
 
     k, empty = F.col("p_partkey"), F.array().cast("array<string>")
-    rows = t.part.select(
+    parts = dealt_by_rows(t.part.select("p_partkey", "p_brand", "p_name", "p_type", "p_size"), ["p_partkey"], 20_000)  # postings are wide
+    rows = parts.select(
         F.concat(F.lit("s"), k % 25).alias("source_id"), k.cast("string").alias("source_job_id"), F.lower("p_brand").alias("company_id"), F.col("p_brand").alias("company_name"), F.concat("p_name", F.when(F.col("p_type") == "PROMO", " engineer").otherwise(" 运营专员")).alias("title"),
         F.lit("武汉市").alias("city"), F.array().cast("array<struct<scope:string,country_code:string,province_code:string,city_code:string,district_code:string,display_name:string,raw:string>>").alias("locations"), F.lit("运营").alias("role_category"),
         F.lit("未知").alias("company_industry"), F.lit("未知").alias("company_type"), F.lit("未知").alias("company_scale"), F.lit("2027").alias("cohort"), F.lit("秋招正式批").alias("batch"), F.lit("本科").alias("education"), empty.alias("major_tags"), empty.alias("skills"),

@@ -3,11 +3,12 @@
 import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery import workload
 from gleanery.functions import text
 from gleanery.operators import pagejobs, pages
-from gleanery.scale import dealt_by_rows
+from gleanery.scale import dealt_by_rows, keep_first
 from gleanery.sources import feeds
 
 
@@ -113,3 +114,18 @@ def test_paging_state_deals_lines_once_by_their_number(spark, root):
     assert dealt_by_rows(spark.range(1000), ["id"], 10).rdd.getNumPartitions() == 100
     plan = workload.load_all()["S11_paging_state"].run(spark, root)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_first_rows_dealt_to_tasks(spark):
+    rows = spark.range(2000).select((F.col("id") % 7 * (F.col("id") % 3 > 0).cast("int")).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("at"), "id")
+    order = [F.col("at").desc_nulls_last(), F.col("id").asc()]
+    dealt = keep_first(rows, ["k"], order, 5)
+    assert sorted(dealt.collect()) == sorted(keep_first(rows, ["k"], order).collect()) and dealt.columns == rows.columns
+    assert dealt.rdd.getNumPartitions() == 5
+
+
+def test_catalog_keeps_its_tasks(spark, root):
+    from gleanery.workload import reports
+
+    jobs = reports.catalog_run(workload.Tables(spark, root)).jobs
+    assert jobs.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and jobs.count() > 0
