@@ -36,7 +36,7 @@ from gleanery.llm.common import list_column, stored
 from gleanery.llm.runs import LETTERS, lengths_of, word_runs
 from gleanery.scale import is_bounded, lookup_join
 
-MIN_DOCS, FIRST_LEVEL, BITS, TOP_TERMS = 3, 6, 1 << 24, 200
+MIN_DOCS, FIRST_LEVEL, BITS, TOP_TERMS = 3, 12, 1 << 24, 200
 SLICE_BYTES = 6 << 20  # text taken up at a time by a task
 COUNTS = "whole boolean, lang string, source string, term binary, docs long, n long"
 SURVIVORS = "lang string, source string, terms array<binary>, counts array<int>"
@@ -83,10 +83,11 @@ def _coded(values: list) -> tuple[list, np.ndarray]:
     return list(codes), of
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[Slice]:
+def slices(batch: pa.RecordBatch, longer_than: int = 0) -> Iterator[Slice]:
+    """The batch's documents; of texts only the terms of more than ``longer_than`` bytes."""
     langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
     if len(batch.schema) == 3:  # texts
-        for part in word_runs(batch.column(2), LETTERS, SLICE_BYTES):
+        for part in word_runs(batch.column(2), LETTERS, SLICE_BYTES, longer_than):
             span = slice(part.first, part.first + len(part.per_row))
             yield Slice(part.rows, part.words, None, langs[span], sources[span])
         return
@@ -127,7 +128,7 @@ def keep_survivors(length: int, bits):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, length):
                 alive = part.survives(length, bits.value)
                 rows, codes = part.rows[alive], part.codes[alive]
                 has, sizes = np.unique(rows, return_counts=True)
@@ -172,7 +173,7 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, first_level: int = FIR
         frame = stored(frame.mapInArrow(keep_survivors(length, shared), SURVIVORS), "survivors")
         shared.unpersist()
         after, length = length, 2 * length
-    term = Window.partitionBy("lang", "term")
+    term = Window.partitionBy("term", "lang")  # the term first: sorts compare the first column's bytes before whole rows
     cells = reduce(DataFrame.unionAll, ended)
     cells = cells.withColumns({"lang_docs": F.sum("docs").over(term), "lang_n": F.sum("n").over(term), "head": F.row_number().over(term.orderBy("source")) == 1})
     return stored(cells.filter(F.col("lang_docs") >= min_docs).select("lang", "source", F.col("term").cast("string").alias("term"), "n", "lang_n", "head"), "terms")
@@ -212,8 +213,8 @@ def pair_values(cells: DataFrame, groups: DataFrame) -> DataFrame:
     theirs = tally.withColumnRenamed("source", "item").join(near(b), ["lang", "item"]).join(near(a), "lang").filter(other)
     theirs = theirs.select("lang", "source", "item", (F.col("times") * gap(F.col("pa"), share(F.col("n"), F.col("tb"), F.col("v")))).alias("value"))
     held = cells.join(near(groups), ["lang", "source"]).select("lang", "term", "source", share(F.col("n"), F.col("total"), F.col("v")).alias("p"), "p0")
-    held = held.repartition("lang", "term")
-    both = held.join(held.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("p0").alias("q0")), ["lang", "term"]).filter(other)
+    held = held.repartition("term", "lang")
+    both = held.join(held.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("p0").alias("q0")), ["term", "lang"]).filter(other)
     p, q, p0, q0 = (F.col(c) for c in ("p", "q", "p0", "q0"))
     both = both.select("lang", "source", "item", (gap(p, q) - gap(p, q0) - gap(p0, q) + gap(p0, q0)).alias("value"))
     return reduce(DataFrame.unionAll, (neither, mine, theirs, both)).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))

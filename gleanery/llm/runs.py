@@ -49,8 +49,8 @@ def binary_array(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(values)])
 
 
-def word_runs(texts: pa.Array, keep: np.ndarray, slice_bytes: int = SLICE_BYTES) -> Iterator[Words]:
-    """All rows of ``texts`` (no nulls), slice after slice."""
+def word_runs(texts: pa.Array, keep: np.ndarray, slice_bytes: int = SLICE_BYTES, longer_than: int = 0) -> Iterator[Words]:
+    """All rows of ``texts`` (no nulls), slice after slice; only their words of more than ``longer_than`` bytes."""
     data, offs = buffers(texts)
     offs = offs.astype(np.int64)
     whole = np.frombuffer(data, np.uint8)
@@ -66,8 +66,13 @@ def word_runs(texts: pa.Array, keep: np.ndarray, slice_bytes: int = SLICE_BYTES)
         begins[edges] = inside[edges]
         ends[edges - 1] = inside[edges - 1]
         at = np.flatnonzero(begins)
+        sizes = np.flatnonzero(ends) + 1 - at
+        if longer_than:
+            long = sizes > longer_than
+            inside[inside] = np.repeat(long, sizes)
+            at, sizes = at[long], sizes[long]
         offsets = np.zeros(len(at) + 1, np.int64)
-        np.cumsum(np.flatnonzero(ends) + 1 - at, out=offsets[1:])
+        np.cumsum(sizes, out=offsets[1:])
         yield Words(row, np.diff(np.searchsorted(at, starts)), binary_array(LOWER[part[inside]], offsets))
         row = end
 

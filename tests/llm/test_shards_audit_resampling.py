@@ -199,3 +199,13 @@ def test_weighted_median_rules_out_a_quarter():
         pivot = resampling.weighted_median([(len(p), (int(p[len(p) // 2]), 0, 0)) for p in parts])[0]
         every = np.concatenate(parts)
         assert min((every >= pivot).sum(), (every <= pivot).sum()) * 4 >= len(every)
+
+
+def test_later_levels_read_only_longer_terms():
+    texts = ["abcdefghijklm ab éééééééé x", "", "abcdefghijkl", "Abcdefghijklm abcdefghijklm zz nopqrstuvwxyzz"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["l"] * 4), pa.array(["s"] * 4), pa.array(texts)], ["lang", "source", "text"])
+    parts = list(divergence.slices(batch, 12))
+    assert [sorted(p.dictionary.to_pylist()) for p in parts] == [[b"abcdefghijklm", b"nopqrstuvwxyzz", "éééééééé".encode()]]
+    assert sorted(zip(parts[0].rows.tolist(), parts[0].counts.tolist())) == [(0, 1), (0, 1), (3, 1), (3, 2)]
+    whole = next(runs.word_runs(pa.array(texts), runs.LETTERS))
+    assert whole.per_row.tolist() == [4, 0, 1, 4] and divergence.FIRST_LEVEL == 12
