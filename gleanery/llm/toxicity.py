@@ -21,13 +21,13 @@ training rows give 0 to every text.
 
 from __future__ import annotations
 
-import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,12 +137,12 @@ class TermCounter:
         return found, tf, bool(words)
 
 
-def document_frequencies(texts: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
+def document_frequencies(texts: DataFrame, terms: pa.Array) -> tuple[int, np.ndarray]:
     """Number of texts, and of those that hold each term; ``texts`` has one column."""
     shared = texts.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, df, n = TermCounter(shared.value), np.zeros(len(shared.value), np.int64), 0
+        counter, df, n = TermCounter(shared.value.to_pylist()), np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
             n += batch.num_rows
             for text in batch.column(0).to_pylist():
@@ -151,6 +151,7 @@ def document_frequencies(texts: DataFrame, terms: list[str]) -> tuple[int, np.nd
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int64()), pa.array(np.append(df[seen], n), pa.int64())], ["term", "n"])
 
     got = texts.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row per term
+    shared.destroy()
     df = np.zeros(len(terms) + 1, np.int64)
     df[got.column("term").to_numpy()] = got.column("n").to_numpy()  # -1, the texts, is the last place
     return int(df[-1]), df[:-1]
@@ -213,6 +214,36 @@ class BlockMaxIndex:
         return self.row[left[best]], got[best]
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array({w for text in batch.column(0).to_pylist() for w in words_of(text)}, pa.string())], ["word"])
+
+
+def example_counts(examples: DataFrame, terms: pa.Array) -> pa.Table:
+    """Terms and their frequencies (lists of numbers) of the ``examples`` (id, text, toxic) that have a word, by id."""
+    shared = examples.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = TermCounter(shared.value.to_pylist())
+        for batch in batches:
+            got = [counter.count(text) for text in batch.column(1).to_pylist()]
+            made = pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), *[pa.array([g[i] for g in got], pa.list_(pa.int32())) for i in (0, 1)]], ["id", "toxic", "terms", "tf"])
+            yield made.filter(pa.array([g[2] for g in got], pa.bool_()))
+
+    lists = [T.StructField(name, T.ArrayType(T.IntegerType())) for name in ("terms", "tf")]
+    got = examples.mapInArrow(run, T.StructType([examples.schema["id"], examples.schema["toxic"], *lists])).toArrow()  # no texts
+    shared.destroy()
+    ids = got.column("id").to_pylist()
+    return got.take(pa.array(sorted(range(len(ids)), key=ids.__getitem__), pa.int64())).combine_chunks()
+
+
+def _vectors(model: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(terms, frequencies) of each example."""
+    cuts = model["offsets"][1:-1]
+    return list(zip(np.split(model["example_terms"], cuts), np.split(model["example_tf"], cuts)))
+
+
 def _vector(terms: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     terms = np.asarray(terms, np.int64)
     w = (1.0 + np.log(np.asarray(tf, float))) * idf[terms]
@@ -239,8 +270,8 @@ def _steps(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Scorer:
     def __init__(self, model: dict) -> None:
         self.weight, self.labels, self.ids, self.k = model["weight"], model["labels"], model["ids"], model["k"]
-        self.index = BlockMaxIndex([_vector(t, f, self.weight) for t, f in model["vectors"]], len(self.weight))
-        self.counter, self.bare = TermCounter(model["terms"]), model["bare"]
+        self.index = BlockMaxIndex([_vector(t, f, self.weight) for t, f in _vectors(model)], len(self.weight))
+        self.counter, self.bare = TermCounter(model["terms"].to_pylist()), model["bare"]
         self.base, self.upper, self.share = model["base"], model.get("upper"), model.get("share")
         self.done: dict[bytes, tuple] = {}
 
@@ -271,35 +302,38 @@ def fit(texts: DataFrame, teach: DataFrame, telling: list[str], max_examples: in
     """Model of the labelled training rows ``teach`` (id, text, toxic), with document frequencies of ``texts`` (one column)."""
     has_word = F.col("text").rlike(r"\p{L}")
     size = teach.agg(F.count("*").alias("n"), F.sum("toxic").alias("t"), F.sum((~has_word).cast("int")).alias("bare"), F.sum(F.when(~has_word, F.col("toxic"))).alias("bare_t")).first()
-    rows = teach.filter(has_word).orderBy(F.xxhash64("id"), "id").limit(max_examples).collect()  # at most max_examples texts
-    rows = sorted((r for r in rows if words_of(r.text)), key=lambda r: r.id)
-    if not rows:
+    # chosen and counted by tasks: the driver holds numbers and the terms, as Arrow and numpy arrays, and never the texts
+    examples = stored(teach.filter(has_word).orderBy(F.xxhash64("id"), "id").limit(max_examples), "examples")
+    words = examples.select("text").mapInArrow(_words, "word string").distinct().toArrow().column("word").combine_chunks()
+    if not len(words):
         return None
-    terms = sorted({w for r in rows for w in words_of(r.text)} | set(telling))
+    terms = pc.unique(pa.concat_arrays([words, pa.array(telling, words.type)]))
+    terms = terms.take(pc.sort_indices(terms))
     n_docs, df = document_frequencies(texts, terms)
     idf = np.log((n_docs + 1.0) / (df + 1.0)) + 1.0
-    strong = set(telling)
-    weight = idf * np.array([TELLING if t in strong else 1.0 for t in terms])
-    counter = TermCounter(terms)
+    strong = pc.is_in(terms, pa.array(telling, terms.type)).to_numpy(zero_copy_only=False)
+    rows = example_counts(examples, terms)
+    lists = rows.column("terms").combine_chunks()
     return {
-        "terms": terms, "weight": weight, "vectors": [counter.count(r.text)[:2] for r in rows], "labels": np.array([r.toxic for r in rows], float), "ids": [r.id for r in rows],
+        "terms": terms, "weight": idf * np.where(strong, TELLING, 1.0), "labels": rows.column("toxic").to_numpy().astype(float), "ids": rows.column("id").to_pylist(),
+        "offsets": lists.offsets.to_numpy(), "example_terms": lists.values.to_numpy(), "example_tf": rows.column("tf").combine_chunks().values.to_numpy(),
         "k": k, "base": (size.t + 0.02) / (size.n + 0.04), "bare": ((size.bare_t or 0) + 0.02) / (size.bare + 1.0),
     }
 
 
 def calibrate(model: dict, spark) -> dict:
     """Votes of the examples, each without itself, and the steps that map votes to shares."""
-    shared = spark.sparkContext.broadcast(pickle.dumps(model))
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(pickle.loads(shared.value))
-        given = pickle.loads(shared.value)["vectors"]
+        scorer, given = Scorer(shared.value), _vectors(shared.value)
         for batch in batches:
             at = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer.vote(*given[i], skip=i)[0] for i in at], pa.float64())], ["i", "vote"])
 
-    n = len(model["vectors"])
+    n = len(model["ids"])
     votes = dict(spark.range(0, n, 1, min(12, max(1, n // 500 + 1))).toDF("i").mapInArrow(run, "i long, vote double").collect())  # one number per example
+    shared.destroy()
     upper, share = _steps(np.round([votes[i] for i in range(n)], 9), model["labels"])
     return model | {"upper": upper, "share": share}
 
@@ -330,11 +364,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         return docs.select("*", F.lit(0.0).alias("score"), F.array().cast(T.ArrayType(id_type)).alias("neighbours"), F.array().cast("array<double>").alias("cosines"))
     names = docs.columns
     id_at = names.index(id_col)
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     plain = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], text_of(docs, text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, n = Scorer(pickle.loads(shared.value)), len(names)
+        scorer, n = Scorer(shared.value), len(names)
         for batch in batches:
             got = [scorer.score(text) for text in batch.column(n).to_pylist()]
             yield pa.RecordBatch.from_arrays(

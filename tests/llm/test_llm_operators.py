@@ -188,6 +188,23 @@ def test_toxicity_terms_equal_plain_counts():
         assert dict(zip(got.tolist(), tf.tolist())) == want and got.tolist() == sorted(want) and any_word == bool(plain)
 
 
+def test_toxicity_fit_keeps_texts_off_the_driver(spark, monkeypatch):
+    r = random.Random(10)
+    texts = [words(r, 30) + (" vilew" if i % 4 == 0 else "") for i in range(100)] + ["12 34", None]
+    docs, labels = docs_of(spark, texts), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(102)], "doc_id long, toxic int")
+    fetched = []
+    for name in ("collect", "toArrow"):
+        monkeypatch.setattr(type(docs), name, lambda self, f=getattr(type(docs), name): fetched.append(self.columns) or f(self))
+    model = toxicity.learn(docs, labels)
+    assert fetched and not any("text" in c for c in fetched)
+    taught = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2]
+    counter = toxicity.TermCounter(model["terms"].to_pylist())
+    assert model["ids"] == taught and model["labels"].tolist() == [float(i % 4 == 0) for i in taught]
+    for i, (terms, tf) in zip(taught, toxicity._vectors(model)):
+        want = counter.count(texts[i])
+        assert terms.tolist() == want[0].tolist() and tf.tolist() == want[1].tolist()
+
+
 def test_toxicity_text_ids_and_clashing_columns(spark):
     r = random.Random(9)
     rows = [(f"d{i}", words(r, 40) + (" vilew" if i % 4 == 0 else ""), "mine", i) for i in range(120)]
